@@ -10,9 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.operators import marts, review, staging
+from tesoro.operators import marts, review, staging, tax
+from tesoro.plans import tax_cycle
 from tesoro.sources import driver_tables as dt
 
+# Statuses that keep rule-set history visible (trap 5: the default sees only 'active').
+HISTORY_STATUSES = ("active", "superseded")
+# Dates of the scheduled monthly update used by t8 (run date, and the as-of date).
+MONTHLY_RUN_DATE = "2026-02-01"
+AFTER_MONTHLY_RUN = "2026-03-01"
+# As-of date for taxing customer balances with the 2026 seed.
+BALANCES_AS_OF = "2026-06-30"
+
 
 # ---- shared lazy building blocks -------------------------------------------------
 
@@ -95,6 +104,91 @@ def n2_slow_moving(spark, sf_dir):
     return marts.slow_moving_inventory(turnover_mart(spark, sf_dir))
 
 
+def typed_order_amounts(spark, sf_dir):
+    """Orders as tax requests: urgent/high priority -> IVA, others -> ISR; pending
+    orders ask for 'general', which has no ISR rule (trap 6)."""
+    a = dt.order_tax_amounts(spark, sf_dir)
+    tax_type = (F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("IVA"))
+                 .otherwise(F.lit("ISR")))
+    a = a.withColumn("tax_type", tax_type)
+    applies = (F.when(F.col("o_orderstatus") == "P", F.lit("general"))
+                .when(F.col("tax_type") == "IVA", F.lit("general"))
+                .otherwise(F.lit(tax.ISR_APPLIES_TO)))
+    return a.withColumn("applies_to", applies)
+
+
+def j3_asof_rule_set(spark, sf_dir):
+    """Rule set in force on each order date (history visible)."""
+    rule_sets, _ = tax_cycle.example_rule_history(spark)
+    amounts = dt.order_tax_amounts(spark, sf_dir)
+    return tax.as_of_rule_set(amounts, rule_sets, "as_of_date", statuses=HISTORY_STATUSES).select(
+        "o_orderkey", "as_of_date", "rule_set_id", "rule_set_effective_date")
+
+
+def _tax_columns(df, key):
+    return df.select(key, "amount", "rule_set_id", "rule_set_effective_date",
+                     "tax_amount", "tax_status")
+
+
+def t1_iva(spark, sf_dir):
+    """IVA on every order total, with the rate in force on the order date."""
+    rule_sets, rules = tax_cycle.example_rule_history(spark)
+    amounts = dt.order_tax_amounts(spark, sf_dir).withColumn("tax_type", F.lit("IVA"))
+    out = tax.calculate_tax(amounts, rule_sets, rules, as_of="as_of_date",
+                            statuses=HISTORY_STATUSES)
+    return _tax_columns(out, "o_orderkey")
+
+
+def t2_isr(spark, sf_dir):
+    """Monthly ISR brackets on every order total, as of the order date."""
+    rule_sets, rules = tax_cycle.example_rule_history(spark)
+    amounts = (dt.order_tax_amounts(spark, sf_dir)
+               .withColumn("tax_type", F.lit("ISR"))
+               .withColumn("applies_to", F.lit(tax.ISR_APPLIES_TO)))
+    out = tax.calculate_tax(amounts, rule_sets, rules, applies_to="applies_to",
+                            as_of="as_of_date", statuses=HISTORY_STATUSES)
+    return _tax_columns(out, "o_orderkey")
+
+
+def t2_isr_balances(spark, sf_dir):
+    """T2 on customer balances with the active 2026 set (incomes <= 0 owe 0.00)."""
+    rule_sets, rules = tax_cycle.example_rule_history(spark)
+    amounts = (dt.customer_incomes(spark, sf_dir)
+               .withColumn("tax_type", F.lit("ISR"))
+               .withColumn("applies_to", F.lit(tax.ISR_APPLIES_TO))
+               .withColumn("as_of_date", F.lit(BALANCES_AS_OF).cast("date")))
+    out = tax.calculate_tax(amounts, rule_sets, rules, applies_to="applies_to",
+                            as_of="as_of_date")
+    return _tax_columns(out, "c_custkey")
+
+
+def t3_calculate_tax(spark, sf_dir):
+    """Mixed IVA/ISR requests with ok / no_rule_set / no_rule outcomes."""
+    rule_sets, rules = tax_cycle.example_rule_history(spark)
+    out = tax.calculate_tax(typed_order_amounts(spark, sf_dir), rule_sets, rules,
+                            applies_to="applies_to", as_of="as_of_date",
+                            statuses=HISTORY_STATUSES)
+    return out.select("o_orderkey", "tax_type", "applies_to", "amount", "rule_set_id",
+                      "rule_set_effective_date", "tax_amount", "tax_status")
+
+
+def t8_approved_publish(spark, sf_dir):
+    """Seed, monthly IVA-only draft, approval, publish; then tax every
+    order as of the following month (ISR now has no rule, trap 7)."""
+    rule_sets, rules, _ = tax_cycle.seed_rules(spark)
+    draft_id = tax.rule_set_id("MX", MONTHLY_RUN_DATE, tax_cycle._created(MONTHLY_RUN_DATE))
+    approvals = tax_cycle.approvals_frame(spark, [
+        (draft_id, "approved", tax_cycle._created(MONTHLY_RUN_DATE))])
+    rule_sets, rules, _ = tax_cycle.monthly_tax_update(
+        spark, rule_sets, rules, MONTHLY_RUN_DATE, approvals)
+    amounts = typed_order_amounts(spark, sf_dir).withColumn(
+        "as_of_date", F.lit(AFTER_MONTHLY_RUN).cast("date"))
+    out = tax.calculate_tax(amounts, rule_sets, rules, applies_to="applies_to",
+                            as_of="as_of_date")
+    return out.select("o_orderkey", "tax_type", "applies_to", "amount", "rule_set_id",
+                      "rule_set_effective_date", "tax_amount", "tax_status")
+
+
 QUERIES = {
     "a1_monthly_cashflow": a1_monthly_cashflow,
     "s9_cashflow_read": s9_cashflow_read,
@@ -107,4 +201,10 @@ QUERIES = {
     "a3_inventory_turnover": a3_inventory_turnover,
     "s10_inventory_read": s10_inventory_read,
     "n2_slow_moving": n2_slow_moving,
+    "j3_asof_rule_set": j3_asof_rule_set,
+    "t1_iva": t1_iva,
+    "t2_isr": t2_isr,
+    "t2_isr_balances": t2_isr_balances,
+    "t3_calculate_tax": t3_calculate_tax,
+    "t8_approved_publish": t8_approved_publish,
 }

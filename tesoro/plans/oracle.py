@@ -200,3 +200,135 @@ SELECT entity_id, sku,
 FROM summary
 WHERE rs < 0.4 * rn AND months_tracked > 0""",
 }
+
+
+# ---- tax engine -------------------------------------------------------------------
+
+def _tax_sql() -> dict:
+    import datetime as _dt
+
+    from tesoro.operators import tax
+    from tesoro.plans import tax_cycle
+
+    def created(eff):
+        d = _dt.date.fromisoformat(eff)
+        return _dt.datetime(d.year, d.month, d.day)
+
+    # Visible MX history (active + superseded): the example publications and the seed.
+    hist = [(tax.rule_set_id("MX", eff, created(eff)), eff, rate)
+            for eff, rate, _ in tax_cycle.EXAMPLE_HISTORY]
+    seed_eff = tax.SEED_EFFECTIVE_DATE
+    hist.append((tax.rule_set_id("MX", seed_eff, created(seed_eff)), seed_eff,
+                 tax.IVA_GENERAL_RATE))
+    sets_values = ", ".join(
+        f"('{sid}', DATE '{eff}', CAST('{rate}' AS DECIMAL(6,4)))" for sid, eff, rate in hist)
+    brackets_values = ", ".join(
+        f"({i}, CAST('{lo}' AS DECIMAL(14,2)), "
+        f"{'NULL' if hi is None else f'CAST({chr(39)}{hi}{chr(39)} AS DECIMAL(14,2))'}, "
+        f"CAST('{fee}' AS DECIMAL(14,2)), CAST('{rate}' AS DECIMAL(8,4)))"
+        for i, (lo, hi, fee, rate) in enumerate(tax.ISR_MONTHLY_BRACKETS_2026))
+    isr_to = tax.ISR_APPLIES_TO
+
+    common = f"""
+sets(id, effective_date, iva_rate) AS (VALUES {sets_values}),
+brackets(idx, lo, hi, fee, rate) AS (VALUES {brackets_values})"""
+
+    def isr(amount_expr_table: str, key: str) -> str:
+        # first matching bracket per request (list order), as a range join
+        return f"""
+isr_pick AS (
+    SELECT r.{key}, min(b.idx) AS idx
+    FROM {amount_expr_table} r JOIN brackets b
+      ON b.lo <= r.amount AND (b.hi IS NULL OR b.hi = 0 OR r.amount <= b.hi)
+    GROUP BY 1
+),
+isr_tax AS (
+    SELECT p.{key}, CAST(round_even(b.fee + (r.amount - b.lo) * b.rate, 2) AS DECIMAL(14,2)) AS isr
+    FROM isr_pick p JOIN brackets b ON b.idx = p.idx JOIN {amount_expr_table} r ON r.{key} = p.{key}
+)"""
+
+    orders_asof = """
+ord AS (
+    SELECT o_orderkey, o_orderstatus, o_orderpriority,
+           CAST(o_totalprice AS DECIMAL(14,2)) AS amount,
+           CAST(o_orderdate AS DATE) AS as_of_date, 'MX' AS jur
+    FROM orders
+),
+matched AS (
+    SELECT o.*, s.id AS rule_set_id, s.effective_date AS rule_set_effective_date, s.iva_rate
+    FROM ord o ASOF LEFT JOIN (SELECT 'MX' AS jur, * FROM sets) s
+      ON o.jur = s.jur AND o.as_of_date >= s.effective_date
+)"""
+
+    out = {}
+    out["j3_asof_rule_set"] = "WITH " + common + "," + orders_asof + """
+SELECT o_orderkey, as_of_date, rule_set_id, rule_set_effective_date FROM matched"""
+
+    out["t1_iva"] = "WITH " + common + "," + orders_asof + """
+SELECT o_orderkey, amount, rule_set_id, rule_set_effective_date,
+       CASE WHEN rule_set_id IS NULL THEN NULL
+            ELSE CAST(round_even(amount * iva_rate, 2) AS DECIMAL(14,2)) END AS tax_amount,
+       CASE WHEN rule_set_id IS NULL THEN 'no_rule_set' ELSE 'ok' END AS tax_status
+FROM matched"""
+
+    out["t2_isr"] = "WITH " + common + "," + orders_asof + "," + isr("matched", "o_orderkey") + """
+SELECT m.o_orderkey, m.amount, m.rule_set_id, m.rule_set_effective_date,
+       CASE WHEN m.rule_set_id IS NULL THEN NULL
+            ELSE coalesce(t.isr, CAST(0 AS DECIMAL(14,2))) END AS tax_amount,
+       CASE WHEN m.rule_set_id IS NULL THEN 'no_rule_set' ELSE 'ok' END AS tax_status
+FROM matched m LEFT JOIN isr_tax t ON t.o_orderkey = m.o_orderkey"""
+
+    seed_id = hist[-1][0]
+    out["t2_isr_balances"] = "WITH " + common + """,
+bal AS (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(14,2)) AS amount FROM customer),""" + \
+        isr("bal", "c_custkey") + f"""
+SELECT b.c_custkey, b.amount, '{seed_id}' AS rule_set_id, DATE '{seed_eff}' AS rule_set_effective_date,
+       coalesce(t.isr, CAST(0 AS DECIMAL(14,2))) AS tax_amount, 'ok' AS tax_status
+FROM bal b LEFT JOIN isr_tax t ON t.c_custkey = b.c_custkey"""
+
+    typed = f"""
+typed AS (
+    SELECT m.*, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' ELSE 'ISR' END AS tax_type
+    FROM matched m
+),
+req AS (
+    SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'general'
+                   WHEN tax_type = 'IVA' THEN 'general'
+                   ELSE '{isr_to}' END AS applies_to
+    FROM typed
+)"""
+    out["t3_calculate_tax"] = "WITH " + common + "," + orders_asof + "," + typed + "," + \
+        isr("req", "o_orderkey") + f"""
+SELECT r.o_orderkey, r.tax_type, r.applies_to, r.amount, r.rule_set_id, r.rule_set_effective_date,
+       CASE WHEN r.rule_set_id IS NULL THEN NULL
+            WHEN r.tax_type = 'IVA' AND r.applies_to = 'general'
+                 THEN CAST(round_even(r.amount * r.iva_rate, 2) AS DECIMAL(14,2))
+            WHEN r.tax_type = 'ISR' AND r.applies_to = '{isr_to}'
+                 THEN coalesce(t.isr, CAST(0 AS DECIMAL(14,2)))
+            ELSE NULL END AS tax_amount,
+       CASE WHEN r.rule_set_id IS NULL THEN 'no_rule_set'
+            WHEN (r.tax_type = 'IVA' AND r.applies_to = 'general')
+              OR (r.tax_type = 'ISR' AND r.applies_to = '{isr_to}') THEN 'ok'
+            ELSE 'no_rule' END AS tax_status
+FROM req r LEFT JOIN isr_tax t ON t.o_orderkey = r.o_orderkey"""
+
+    from tesoro.plans.catalog import MONTHLY_RUN_DATE
+    draft_id = tax.rule_set_id("MX", MONTHLY_RUN_DATE, created(MONTHLY_RUN_DATE))
+    out["t8_approved_publish"] = f"""
+WITH req AS (
+    SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS amount,
+           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' ELSE 'ISR' END AS tax_type,
+           o_orderstatus
+    FROM orders
+)
+SELECT o_orderkey, tax_type,
+       CASE WHEN o_orderstatus = 'P' OR tax_type = 'IVA' THEN 'general' ELSE '{isr_to}' END AS applies_to,
+       amount, '{draft_id}' AS rule_set_id, DATE '{MONTHLY_RUN_DATE}' AS rule_set_effective_date,
+       CASE WHEN tax_type = 'IVA' THEN CAST(round_even(amount * CAST('0.16' AS DECIMAL(6,4)), 2) AS DECIMAL(14,2))
+            ELSE NULL END AS tax_amount,
+       CASE WHEN tax_type = 'IVA' THEN 'ok' ELSE 'no_rule' END AS tax_status
+FROM req"""
+    return out
+
+
+ORACLE.update(_tax_sql())
