@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.operators import marts, review, staging, tax
+from tesoro import schemas
+from tesoro.operators import marts, quality, review, staging, tax
 from tesoro.plans import tax_cycle
 from tesoro.sources import driver_tables as dt
 
@@ -189,6 +190,106 @@ def t8_approved_publish(spark, sf_dir):
                       "rule_set_effective_date", "tax_amount", "tax_status")
 
 
+def _cashflow_stg(spark, sf_dir):
+    return staging.stg_cashflow(dt.cashflow_events(spark, sf_dir))
+
+
+def _transactions_stg(spark, sf_dir):
+    return staging.stg_transactions(dt.transactions(spark, sf_dir))
+
+
+def d1_unique(spark, sf_dir):
+    """The two dbt unique tests, plus unique category ids."""
+    return quality.summarize([
+        ("stg_transactions", "transaction_id", "unique",
+         quality.unique(_transactions_stg(spark, sf_dir), "transaction_id")),
+        ("stg_cashflow", "cashflow_event_id", "unique",
+         quality.unique(_cashflow_stg(spark, sf_dir), "cashflow_event_id")),
+        ("core_category", "id", "unique", quality.unique(dt.categories(spark, sf_dir), "id")),
+    ])
+
+
+def d2_not_null(spark, sf_dir):
+    """The five dbt not_null tests (each model checked in one scan)."""
+    return (quality.null_counts(_transactions_stg(spark, sf_dir), "stg_transactions",
+                                ["transaction_id", "amount"])
+            .unionByName(quality.null_counts(_cashflow_stg(spark, sf_dir), "stg_cashflow",
+                                             ["cashflow_event_id"]))
+            .unionByName(quality.null_counts(cashflow_mart(spark, sf_dir),
+                                             "mart_monthly_cashflow", ["month"]))
+            .unionByName(quality.null_counts(flags_mart(spark, sf_dir),
+                                             "mart_profitability_flags", ["category"])))
+
+
+def d3_accepted_values(spark, sf_dir):
+    """D3: enumerations (event type, requested tax type)."""
+    return quality.summarize([
+        ("stg_cashflow", "event_type", "accepted_values",
+         quality.accepted_values(_cashflow_stg(spark, sf_dir), "event_type", schemas.EVENT_TYPES)),
+        ("tax_requests", "tax_type", "accepted_values",
+         quality.accepted_values(typed_order_amounts(spark, sf_dir), "tax_type", tax.TAX_TYPES)),
+    ])
+
+
+def d4_orphans(spark, sf_dir):
+    """Foreign keys without a parent (categories are missing for large parts)."""
+    return quality.summarize([
+        ("stg_transactions", "category_id", "relationships",
+         quality.relationships(_transactions_stg(spark, sf_dir), "category_id",
+                               dt.categories(spark, sf_dir), "id")),
+        ("stg_cashflow", "entity_id", "relationships",
+         quality.relationships(_cashflow_stg(spark, sf_dir), "entity_id",
+                               dt.read_table(spark, sf_dir, "nation"), "n_nationkey")),
+        ("stg_inventory", "entity_id", "relationships",
+         quality.relationships(staging.stg_inventory(dt.inventory_snapshots(spark, sf_dir)),
+                               "entity_id", dt.read_table(spark, sf_dir, "supplier"), "s_suppkey")),
+    ])
+
+
+def d6_limits(spark, sf_dir):
+    """Varchar lengths and decimal precision of the raw values."""
+    li = dt.read_table(spark, sf_dir, "lineitem")
+    txns = _transactions_stg(spark, sf_dir)
+    return quality.summarize([
+        ("stg_transactions", "description", "max_length_500",
+         quality.too_long(txns, "description", 500)),
+        ("stg_transactions", "source_doc_ref", "max_length_255",
+         quality.too_long(txns, "source_doc_ref", 255)),
+        ("lineitem", "l_quantity", "decimal_14_2", quality.not_decimal(li, "l_quantity", 14, 2)),
+        ("lineitem", "l_extendedprice", "decimal_12_2",
+         quality.not_decimal(li, "l_extendedprice", 12, 2)),
+        ("lineitem", "l_discount", "decimal_3_1", quality.not_decimal(li, "l_discount", 3, 1)),
+    ])
+
+
+# Entities known before this date count as already loaded in s6.
+S6_PREVIOUS_LOADS_BEFORE = "1998-01-01"
+
+
+def s6_new_dimension_rows(spark, sf_dir):
+    """Entities a day's feed would create (get-or-create by rfc)."""
+    from tesoro.sources.feed import DEFAULT_ENTITY_NAME, DEFAULT_ENTITY_TYPE, get_or_create
+    from tesoro.functions.columns import deterministic_id
+    feed = dt.customer_entities_feed(spark, sf_dir)
+    cut = F.lit(S6_PREVIOUS_LOADS_BEFORE).cast("date")
+    existing = feed.where(F.col("feed_date") < cut).select("rfc").distinct().select(
+        deterministic_id(F.lit("entity"), "rfc").alias("id"), "rfc",
+        F.lit(DEFAULT_ENTITY_NAME).alias("name"), F.lit(DEFAULT_ENTITY_TYPE).alias("entity_type"))
+    incoming = feed.where(F.col("feed_date") >= cut)
+    _, new_rows = get_or_create(
+        existing, incoming, ["rfc"],
+        lambda k: k.select(deterministic_id(F.lit("entity"), "rfc").alias("id"), "rfc",
+                           F.lit(DEFAULT_ENTITY_NAME).alias("name"),
+                           F.lit(DEFAULT_ENTITY_TYPE).alias("entity_type")))
+    return new_rows
+
+
+def p4_nested_extract(spark, sf_dir):
+    """A field out of a JSON document column (explicit schema)."""
+    ev = dt.events_props(spark, sf_dir)
+    return ev.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
 QUERIES = {
     "a1_monthly_cashflow": a1_monthly_cashflow,
     "s9_cashflow_read": s9_cashflow_read,
@@ -207,4 +308,11 @@ QUERIES = {
     "t2_isr_balances": t2_isr_balances,
     "t3_calculate_tax": t3_calculate_tax,
     "t8_approved_publish": t8_approved_publish,
+    "d1_unique": d1_unique,
+    "d2_not_null": d2_not_null,
+    "d3_accepted_values": d3_accepted_values,
+    "d4_orphans": d4_orphans,
+    "d6_limits": d6_limits,
+    "s6_new_dimension_rows": s6_new_dimension_rows,
+    "p4_nested_extract": p4_nested_extract,
 }

@@ -332,3 +332,90 @@ FROM req"""
 
 
 ORACLE.update(_tax_sql())
+
+
+# ---- quality, dimensions, JSON -----------------------------------------------------
+
+def _summary(rows):
+    return "\nUNION ALL\n".join(
+        f"SELECT '{m}' AS model, '{c}' AS column_name, '{t}' AS test, "
+        f"(SELECT count(*) FROM ({q})) AS failures" for m, c, t, q in rows)
+
+
+ORACLE["d1_unique"] = "WITH " + STG_TRANSACTIONS + "," + STG_CASHFLOW + """,
+core_category AS (SELECT p_partkey AS id FROM part WHERE p_size <= 40)
+""" + _summary([
+    ("stg_transactions", "transaction_id", "unique",
+     "SELECT transaction_id FROM stg_transactions WHERE transaction_id IS NOT NULL "
+     "GROUP BY 1 HAVING count(*) > 1"),
+    ("stg_cashflow", "cashflow_event_id", "unique",
+     "SELECT cashflow_event_id FROM stg_cashflow WHERE cashflow_event_id IS NOT NULL "
+     "GROUP BY 1 HAVING count(*) > 1"),
+    ("core_category", "id", "unique",
+     "SELECT id FROM core_category WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
+])
+
+ORACLE["d2_not_null"] = "WITH " + FLAGS + "," + MART_CASHFLOW + "\n" + _summary([
+    ("stg_transactions", "transaction_id", "not_null",
+     "SELECT 1 FROM stg_transactions WHERE transaction_id IS NULL"),
+    ("stg_transactions", "amount", "not_null", "SELECT 1 FROM stg_transactions WHERE amount IS NULL"),
+    ("stg_cashflow", "cashflow_event_id", "not_null",
+     "SELECT 1 FROM stg_cashflow WHERE cashflow_event_id IS NULL"),
+    ("mart_monthly_cashflow", "month", "not_null", "SELECT 1 FROM mart_cashflow WHERE month IS NULL"),
+    ("mart_profitability_flags", "category", "not_null",
+     "SELECT 1 FROM flags WHERE category IS NULL"),
+])
+
+ORACLE["d3_accepted_values"] = "WITH " + STG_CASHFLOW + "\n" + _summary([
+    ("stg_cashflow", "event_type", "accepted_values",
+     "SELECT 1 FROM stg_cashflow WHERE event_type IS NOT NULL AND event_type NOT IN ('inflow', 'outflow')"),
+    ("tax_requests", "tax_type", "accepted_values",
+     "SELECT 1 FROM (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' ELSE 'ISR' END "
+     "AS tax_type FROM orders) WHERE tax_type IS NOT NULL AND tax_type NOT IN ('IVA', 'ISR')"),
+])
+
+ORACLE["d4_orphans"] = "WITH " + STG_TRANSACTIONS + "," + STG_CASHFLOW + "\n" + _summary([
+    ("stg_transactions", "category_id", "relationships",
+     "SELECT 1 FROM stg_transactions t WHERE t.category_id IS NOT NULL AND NOT EXISTS "
+     "(SELECT 1 FROM part p WHERE p.p_size <= 40 AND p.p_partkey = t.category_id)"),
+    ("stg_cashflow", "entity_id", "relationships",
+     "SELECT 1 FROM stg_cashflow c WHERE c.entity_id IS NOT NULL AND NOT EXISTS "
+     "(SELECT 1 FROM nation n WHERE n.n_nationkey = c.entity_id)"),
+    ("stg_inventory", "entity_id", "relationships",
+     "SELECT 1 FROM lineitem l WHERE l.l_suppkey IS NOT NULL AND NOT EXISTS "
+     "(SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey)"),
+])
+
+
+def _not_decimal(col, p, s):
+    return (f"SELECT 1 FROM lineitem WHERE {col} IS NOT NULL AND ("
+            f"TRY_CAST({col} AS DECIMAL({p},{s})) IS NULL OR "
+            f"CAST(TRY_CAST({col} AS DECIMAL({p},{s})) AS DECIMAL(38,10)) <> TRY_CAST({col} AS DECIMAL(38,10)))")
+
+
+ORACLE["d6_limits"] = "WITH " + STG_TRANSACTIONS + "\n" + _summary([
+    ("stg_transactions", "description", "max_length_500",
+     "SELECT 1 FROM stg_transactions WHERE length(description) > 500"),
+    ("stg_transactions", "source_doc_ref", "max_length_255",
+     "SELECT 1 FROM stg_transactions WHERE length(transaction_id) > 255"),
+    ("lineitem", "l_quantity", "decimal_14_2", _not_decimal("l_quantity", 14, 2)),
+    ("lineitem", "l_extendedprice", "decimal_12_2", _not_decimal("l_extendedprice", 12, 2)),
+    ("lineitem", "l_discount", "decimal_3_1", _not_decimal("l_discount", 3, 1)),
+])
+
+ORACLE["s6_new_dimension_rows"] = """
+WITH feed AS (
+    SELECT 'C' || lpad(CAST(c.c_custkey AS VARCHAR), 12, '0') AS rfc, CAST(o.o_orderdate AS DATE) AS feed_date
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+),
+new_rfc AS (
+    SELECT DISTINCT rfc FROM feed WHERE feed_date >= DATE '1998-01-01' AND rfc IS NOT NULL
+    EXCEPT
+    SELECT rfc FROM feed WHERE feed_date < DATE '1998-01-01'
+)
+SELECT sha256('entity|' || rfc) AS id, rfc, 'Synthetic Test Entity SA de CV' AS name,
+       'persona_moral' AS entity_type
+FROM new_rfc"""
+
+ORACLE["p4_nested_extract"] = """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
