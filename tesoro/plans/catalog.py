@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro import schemas
-from tesoro.operators import marts, quality, review, staging, tax
+from tesoro.operators import anomaly, forecast, marts, quality, review, staging, tax
 from tesoro.plans import tax_cycle
 from tesoro.sources import driver_tables as dt
 
@@ -290,6 +290,17 @@ def p4_nested_extract(spark, sf_dir):
     return ev.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
+def f1_forecast(spark, sf_dir):
+    """Six-month forecast for every entity of the cash-flow mart."""
+    forecasts, _ = forecast.forecast_refresh(cashflow_mart(spark, sf_dir))
+    return forecasts
+
+
+def n1_anomalies(spark, sf_dir):
+    """Isolation-forest anomalies per entity on the monthly net cash flow."""
+    return anomaly.detect_cashflow_anomalies(cashflow_mart(spark, sf_dir))
+
+
 QUERIES = {
     "a1_monthly_cashflow": a1_monthly_cashflow,
     "s9_cashflow_read": s9_cashflow_read,
@@ -315,4 +326,6 @@ QUERIES = {
     "d6_limits": d6_limits,
     "s6_new_dimension_rows": s6_new_dimension_rows,
     "p4_nested_extract": p4_nested_extract,
+    "f1_forecast": f1_forecast,
+    "n1_anomalies": n1_anomalies,
 }
