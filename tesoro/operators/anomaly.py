@@ -14,6 +14,10 @@ The monthly mart is grouped by entity; a group holds one row per month.
 
 from __future__ import annotations
 
+import bisect
+import math
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,38 +43,58 @@ def average_path_length(n) -> np.ndarray:
     return out
 
 
-def _tree_depths(values: np.ndarray, sample: np.ndarray, rng, limit: int) -> np.ndarray:
-    """Path length of every value through one random isolation tree grown on sample."""
-    depth = np.zeros(len(values))
-    stack = [(np.arange(len(values)), sample, 0)]
+def _c(n: int) -> float:
+    if n <= 1:
+        return 0.0
+    if n == 2:
+        return 1.0
+    return 2.0 * (math.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
+
+
+def _tree_depths(points: list, sample: list, rnd: random.Random, limit: int) -> list:
+    """Path length of every point through one random isolation tree on ``sample``.
+
+    In one dimension every node is a value interval, so the node's sample and
+    the points that reach it are contiguous runs of the two sorted lists: the
+    tree is grown over index ranges with binary search, no copying.
+    """
+    depth = [0.0] * len(points)
+    stack = [(0, len(sample), 0, len(points), 0)]
     while stack:
-        idx, data, d = stack.pop()
-        if len(idx) == 0:
+        slo, shi, plo, phi, d = stack.pop()
+        if plo >= phi:
             continue
-        lo, hi = data.min(), data.max()
-        if d >= limit or len(data) <= 1 or lo == hi:
-            depth[idx] = d + average_path_length([len(data)])[0]
+        size = shi - slo
+        if d >= limit or size <= 1 or sample[slo] == sample[shi - 1]:
+            value = d + _c(size)
+            for i in range(plo, phi):
+                depth[i] = value
             continue
-        split = rng.uniform(lo, hi)
-        go_left = values[idx] <= split
-        stack.append((idx[go_left], data[data <= split], d + 1))
-        stack.append((idx[~go_left], data[data > split], d + 1))
+        split = rnd.uniform(sample[slo], sample[shi - 1])
+        sm = bisect.bisect_right(sample, split, slo, shi)
+        pm = bisect.bisect_right(points, split, plo, phi)
+        stack.append((slo, sm, plo, pm, d + 1))
+        stack.append((sm, shi, pm, phi, d + 1))
     return depth
 
 
-def isolation_scores(values: np.ndarray, n_trees: int = N_TREES, seed: int = SEED) -> np.ndarray:
+def isolation_scores(values, n_trees: int = N_TREES, seed: int = SEED) -> np.ndarray:
     """score_samples in the scikit-learn sign convention (lower = more anomalous)."""
     values = np.asarray(values, dtype=float)
     n = len(values)
     psi = min(MAX_SAMPLES, n)
-    limit = int(np.ceil(np.log2(max(psi, 2))))
-    rng = np.random.default_rng(seed)
+    limit = int(math.ceil(math.log2(max(psi, 2))))
+    order = np.argsort(values, kind="stable")
+    points = values[order].tolist()
+    rnd = random.Random(seed)
     total = np.zeros(n)
     for _ in range(n_trees):
-        sample = values if psi == n else values[rng.choice(n, psi, replace=False)]
-        total += _tree_depths(values, sample, rng, limit)
-    mean_depth = total / n_trees
-    return -np.power(2.0, -mean_depth / average_path_length([psi])[0])
+        sample = points if psi == n else sorted(rnd.sample(points, psi))
+        total += np.asarray(_tree_depths(points, sample, rnd, limit))
+    scores_sorted = -np.power(2.0, -(total / n_trees) / _c(psi))
+    scores = np.empty(n)
+    scores[order] = scores_sorted
+    return scores
 
 
 def flag_anomalies(values: np.ndarray, contamination: float = CONTAMINATION) -> tuple:

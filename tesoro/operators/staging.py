@@ -71,9 +71,9 @@ MAX_HOT_GROUPS = 100_000
 
 
 def _window_flags(df: DataFrame) -> DataFrame:
-    whole = Window.partitionBy(*DUP_KEY)
-    ordered = whole.orderBy(*_dup_order())
-    # Both windows share the partitioning, so this is one Exchange + one Sort.
+    ordered = Window.partitionBy(*DUP_KEY).orderBy(*_dup_order())
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Same partitioning and order for both: one Exchange, one Sort, one Window.
     return (df.withColumn("dup_group_size", F.count(F.lit(1)).over(whole))
               .withColumn("dup_rank", F.row_number().over(ordered)))
 
@@ -119,8 +119,8 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
 
     With ``hot_group_rows`` set, a pre-aggregated count per key (map-side
     combined, key columns only) finds groups bigger than that; there are at most
-    rows/hot_group_rows of them, and the few found are checkpointed so the count
-    runs once. With none, this is the plain windowed plan: one shuffle on the
+    rows/hot_group_rows of them, and only those few keys are collected, so the
+    count runs once. With none, this is the plain windowed plan: one shuffle on the
     key, shared by both windows. Otherwise ordinary groups keep that plan and
     hot groups are ranked by :func:`_split_hot_ranks`, so no single task holds
     a whole group. ``hot_group_rows=None`` skips the check.
@@ -130,12 +130,13 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
     if hot_group_rows is not None:
         sizes = stg.groupBy(*DUP_KEY).agg(F.count(F.lit(1)).alias("_n"))
         hot = (sizes.where(F.col("_n") > hot_group_rows)
-                    .select(*[F.col(k).alias(f"_h_{k}") for k in DUP_KEY], "_n")
-                    .checkpoint(eager=True))
-        n_hot = hot.limit(MAX_HOT_GROUPS + 1).count()
-        if n_hot > 0:
-            small = n_hot <= MAX_HOT_GROUPS
-            lookup = F.broadcast(hot) if small else hot
+                    .select(*[F.col(k).alias(f"_h_{k}") for k in DUP_KEY], "_n"))
+        # at most MAX_HOT_GROUPS + 1 tiny rows reach the driver; the count runs once
+        found = hot.limit(MAX_HOT_GROUPS + 1).collect()
+        if found:
+            small = len(found) <= MAX_HOT_GROUPS
+            spark = stg.sparkSession
+            lookup = F.broadcast(spark.createDataFrame(found, hot.schema)) if small else hot
             cond = [stg[k].eqNullSafe(lookup[f"_h_{k}"]) for k in DUP_KEY]
             tagged = stg.join(lookup, cond, "left").drop(*[f"_h_{k}" for k in DUP_KEY])
             cold = _window_flags(tagged.where(F.col("_n").isNull()))
