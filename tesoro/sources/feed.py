@@ -41,7 +41,7 @@ def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     the schema leaves NULL fields (never a guessed type).
     """
     schema = FEED_SCHEMAS[kind]
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("_source_file"), "value")
     parsed = files.select("_source_file", F.posexplode(
         F.from_json("value", T.ArrayType(schema))).alias("_pos", "r"))
