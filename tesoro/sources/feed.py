@@ -34,18 +34,32 @@ DEFAULT_ACCOUNT_TYPE = "checking"
 DEFAULT_CURRENCY = "MXN"
 
 
+def parse_feed_files(files: DataFrame, kind: str) -> DataFrame:
+    """Records of whole-file text rows ``(_source_file, value)`` of one feed kind.
+
+    A record that does not match the schema leaves NULL fields (never a guessed
+    type). Also used by the streaming loader on each micro-batch."""
+    schema = FEED_SCHEMAS[kind]
+    parsed = files.select("_source_file", F.posexplode(
+        F.from_json("value", T.ArrayType(schema))).alias("_pos", "r"))
+    return parsed.select("_source_file", "_pos", "r.*")
+
+
 def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Records of one feed kind with ``_source_file`` and ``_pos`` columns.
 
-    ``path`` may be a file, a directory or a glob. A record that does not match
-    the schema leaves NULL fields (never a guessed type).
+    ``path`` may be a file, a directory or a glob; each file is one task.
     """
-    schema = FEED_SCHEMAS[kind]
     files = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("_source_file"), "value")
-    parsed = files.select("_source_file", F.posexplode(
-        F.from_json("value", T.ArrayType(schema))).alias("_pos", "r"))
-    return parsed.select("_source_file", "_pos", "r.*")
+    return parse_feed_files(files, kind)
+
+
+def empty_feed(spark: SparkSession, kind: str) -> DataFrame:
+    from tesoro.sources.literal import literal_frame
+    schema = T.StructType([T.StructField("_source_file", T.StringType()),
+                           T.StructField("_pos", T.IntegerType())] + FEED_SCHEMAS[kind].fields)
+    return literal_frame(spark, [], schema)
 
 
 def first_concept(field: str):
@@ -106,7 +120,19 @@ def _new_only(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
 
 def load_feed(spark: SparkSession, feed_dir: str, bronze: dict, load_ts,
               mode: str = "idempotent") -> tuple[dict, dict]:
-    """S3-S6 + J2: load transactions.json, cashflow.json and inventory.json.
+    """S3-S6 + J2: load transactions.json, cashflow.json and inventory.json of
+    ``feed_dir``. See :func:`load_records`."""
+    feed_dir = feed_dir.rstrip("/")
+    return load_records(spark,
+                        read_feed(spark, f"{feed_dir}/transactions.json", "transactions"),
+                        read_feed(spark, f"{feed_dir}/cashflow.json", "cashflow"),
+                        read_feed(spark, f"{feed_dir}/inventory.json", "inventory"),
+                        bronze, load_ts, mode)
+
+
+def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: DataFrame,
+                 bronze: dict, load_ts, mode: str = "idempotent") -> tuple[dict, dict]:
+    """Load parsed feed records (any of them may be empty) into Bronze frames.
 
     Every record is attached to the entity of its own rfc (the reference gives
     all records the first transaction's receptor, trap 11; equal on a
@@ -114,12 +140,9 @@ def load_feed(spark: SparkSession, feed_dir: str, bronze: dict, load_ts,
     ``load_ts`` stamps created_at; with ``mode="append"`` it also enters the
     ids, so a re-run appends copies as the reference does.
     """
-    feed_dir = feed_dir.rstrip("/")
     ts = F.lit(str(load_ts)).cast("timestamp")
     salt = [F.lit(str(load_ts))] if mode == "append" else []
-    txn = typed_transactions(read_feed(spark, f"{feed_dir}/transactions.json", "transactions"))
-    cf = read_feed(spark, f"{feed_dir}/cashflow.json", "cashflow")
-    inv = read_feed(spark, f"{feed_dir}/inventory.json", "inventory")
+    txn = typed_transactions(raw_txn)
 
     rfcs = (txn.select(F.col("entity_rfc").alias("rfc"))
                .unionByName(cf.select(F.col("entity_rfc").alias("rfc")))
