@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesoro.session import ship_package
+
 from tesoro.operators.forecast import MIN_HISTORY_MONTHS, history_gate
 
 N_TREES = 100
@@ -117,6 +119,7 @@ def detect_cashflow_anomalies(mart: DataFrame) -> DataFrame:
     """N1 for every entity: flagged months with net_cashflow and the score."""
     key_type = mart.schema["entity_id"].dataType.simpleString()
     net_type = mart.schema["net_cashflow"].dataType.simpleString()
+    ship_package(mart.sparkSession)
     ok, _ = history_gate(mart.select("entity_id", "month", "net_cashflow"))
     schema = (f"entity_id {key_type}, month date, net_cashflow {net_type}, "
               "anomaly_score double, reason string")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesoro.session import ship_package
+
 MIN_HISTORY_MONTHS = 6
 DEFAULT_PERIODS = 6
 INTERVAL_WIDTH = 0.85
@@ -151,6 +153,7 @@ def forecast_cashflow(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> DataFr
     lower_bound, upper_bound, history_months). Entities below the gate yield no
     rows; ``forecast_refresh`` also reports them."""
     validate_periods(periods)
+    ship_package(mart.sparkSession)
     ok, _ = history_gate(mart.select("entity_id", "month",
                                      F.col("net_cashflow").cast("double").alias("net_cashflow")))
     return ok.groupBy("entity_id").applyInPandas(_forecast_group(periods), _schema(ok))
@@ -160,6 +163,7 @@ def forecast_refresh(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> tuple[D
     """the weekly refresh over every entity found in the mart (trap 21):
     (forecasts, rejected entities with the reason)."""
     validate_periods(periods)
+    ship_package(mart.sparkSession)
     series = mart.select("entity_id", "month",
                          F.col("net_cashflow").cast("double").alias("net_cashflow"))
     ok, rejected = history_gate(series)
