@@ -51,7 +51,7 @@ def test_duplicate_flags_and_tie_break(spark):
 def test_hot_group_split_path_equals_window_path(spark):
     base = dup_fixture(spark)
     # many copies of one key: a "hot" group
-    hot = spark.range(500).select(
+    hot = spark.range(5000, numPartitions=6).select(
         F.format_string("h%04d", "id").alias("transaction_id"), F.lit(9).cast("bigint").alias("account_id"),
         F.lit(1).cast("bigint").alias("category_id"), F.lit("2024-03-01").cast("date").alias("transaction_date"),
         F.lit("5.00").cast("decimal(14,2)").alias("amount"), F.lit("d").alias("description"),
@@ -65,7 +65,7 @@ def test_hot_group_split_path_equals_window_path(spark):
     split = rows(staging.flag_duplicates(df, hot_group_rows=2, hot_slices=7), *cols)
     assert plain == split
     ranks = [r[2] for r in split if r[0].startswith("h")]
-    assert sorted(ranks) == list(range(1, 501))
+    assert sorted(ranks) == list(range(1, 5001))
 
 
 def test_exactly_one_primary_per_group_and_partition_independence(spark):
