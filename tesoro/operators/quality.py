@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesoro.functions.joins import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+from tesoro.functions.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 
 SUMMARY_COLUMNS = ("model", "column_name", "test", "failures")
 
@@ -41,8 +41,11 @@ def relationships(child: DataFrame, fk: str, parent: DataFrame, pk: str,
 
     The parent keys are broadcast when provably small; otherwise the anti join
     shuffles both sides (AQE splits skewed child partitions)."""
-    keys = parent.select(F.col(pk).alias("_pk")).distinct()
-    keys, _ = bounded_broadcast(keys, max_broadcast_rows)
+    raw = parent.select(F.col(pk).alias("_pk"))
+    keys = raw.distinct()
+    # raw rows bound the distinct keys, and limit() stops early on a big parent
+    if row_count_at_most(raw, max_broadcast_rows):
+        keys = F.broadcast(keys)
     return child.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == keys["_pk"], "left_anti")
 
 

@@ -20,6 +20,9 @@ HISTORY_STATUSES = ("active", "superseded")
 # Dates of the scheduled monthly update used by t8 (run date, and the as-of date).
 MONTHLY_RUN_DATE = "2026-02-01"
 AFTER_MONTHLY_RUN = "2026-03-01"
+# t5: a retroactive publication drafted in mid-2026 (illustrative rate).
+T5_DRAFT = ("1999-01-01", "0.10", "example retroactive publication")
+T5_CREATED = "2026-06-01"
 # As-of date for taxing customer balances with the 2026 seed.
 BALANCES_AS_OF = "2026-06-30"
 
@@ -173,6 +176,22 @@ def t3_calculate_tax(spark, sf_dir):
                       "rule_set_effective_date", "tax_amount", "tax_status")
 
 
+def t5_publish(spark, sf_dir):
+    """Draft a retroactive rule set, publish it over the history, then
+    tax every order as of its date (history visible; the new set now covers
+    1999-01-01 until the next publication)."""
+    rule_sets, rules = tax_cycle.example_rule_history(spark)
+    eff, rate, ref = T5_DRAFT
+    rule_sets, rules, sid = tax.create_draft(
+        spark, rule_sets, rules, tax_cycle._history_spec(eff, rate, ref),
+        tax_cycle._created(T5_CREATED))
+    rule_sets = tax.publish(rule_sets, sid, "api_user", tax_cycle._created(T5_CREATED))
+    amounts = dt.order_tax_amounts(spark, sf_dir).withColumn("tax_type", F.lit("IVA"))
+    out = tax.calculate_tax(amounts, rule_sets, rules, as_of="as_of_date",
+                            statuses=HISTORY_STATUSES)
+    return _tax_columns(out, "o_orderkey")
+
+
 def t8_approved_publish(spark, sf_dir):
     """Seed, monthly IVA-only draft, approval, publish; then tax every
     order as of the following month (ISR now has no rule, trap 7)."""
@@ -318,6 +337,7 @@ QUERIES = {
     "t2_isr": t2_isr,
     "t2_isr_balances": t2_isr_balances,
     "t3_calculate_tax": t3_calculate_tax,
+    "t5_publish": t5_publish,
     "t8_approved_publish": t8_approved_publish,
     "d1_unique": d1_unique,
     "d2_not_null": d2_not_null,

@@ -260,7 +260,30 @@ matched AS (
       ON o.jur = s.jur AND o.as_of_date >= s.effective_date
 )"""
 
+    from tesoro.plans.catalog import T5_CREATED, T5_DRAFT
+    t5_eff, t5_rate, _ = T5_DRAFT
+    t5_hist = hist + [(tax.rule_set_id("MX", t5_eff, created(T5_CREATED)), t5_eff, t5_rate)]
+    t5_values = ", ".join(
+        f"('{sid}', DATE '{eff}', CAST('{rate}' AS DECIMAL(6,4)))" for sid, eff, rate in t5_hist)
+
     out = {}
+    out["t5_publish"] = f"""
+WITH sets(id, effective_date, iva_rate) AS (VALUES {t5_values}),
+ord AS (
+    SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS amount,
+           CAST(o_orderdate AS DATE) AS as_of_date, 'MX' AS jur
+    FROM orders
+),
+matched AS (
+    SELECT o.*, s.id AS rule_set_id, s.effective_date AS rule_set_effective_date, s.iva_rate
+    FROM ord o ASOF LEFT JOIN (SELECT 'MX' AS jur, * FROM sets) s
+      ON o.jur = s.jur AND o.as_of_date >= s.effective_date
+)
+SELECT o_orderkey, amount, rule_set_id, rule_set_effective_date,
+       CASE WHEN rule_set_id IS NULL THEN NULL
+            ELSE CAST(round_even(amount * iva_rate, 2) AS DECIMAL(14,2)) END AS tax_amount,
+       CASE WHEN rule_set_id IS NULL THEN 'no_rule_set' ELSE 'ok' END AS tax_status
+FROM matched"""
     out["j3_asof_rule_set"] = "WITH " + common + "," + orders_asof + """
 SELECT o_orderkey, as_of_date, rule_set_id, rule_set_effective_date FROM matched"""
 
