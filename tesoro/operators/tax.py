@@ -277,10 +277,13 @@ def validity_ranges(rule_sets: DataFrame, statuses=DEFAULT_STATUSES) -> DataFram
         Window.partitionBy("jurisdiction").orderBy("effective_date")))
 
 
-def _year_buckets(ranges: DataFrame) -> DataFrame:
-    """One row per (range, calendar year it touches): turns the range join into
-    an equi-join on (jurisdiction, year) plus a range check."""
-    last_day = F.coalesce(F.date_sub("valid_to", 1), F.lit(_dt.date(9999, 12, 31)))
+def _year_buckets(ranges: DataFrame, cap_year: int) -> DataFrame:
+    """One row per (range, calendar year it touches, up to ``cap_year``): turns
+    the range join into an equi-join on the year plus a range check. Only
+    open-ended ranges reach past the latest effective year, so amounts dated
+    later are looked up in the ``cap_year`` bucket (see as_of_rule_set)."""
+    last_day = F.coalesce(F.date_sub("valid_to", 1), F.make_date(
+        F.lit(cap_year), F.lit(12), F.lit(31)))
     return ranges.withColumn(
         "_year", F.explode(F.sequence(F.year("effective_date"), F.year(last_day))))
 
@@ -291,17 +294,22 @@ def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "a
     visible set with effective_date <= as_of (NULL when there is none).
 
     The ranges are broadcast (checked small) and matched by hash on the as-of
-    year, so every amount row probes only the ranges of its year: no shuffle of
-    the amounts and no nested-loop join.
+    year, clamped to the latest effective year, so every amount row probes only
+    the ranges of its year: no shuffle of the amounts and no nested-loop join.
+    The bucket table has at most (rule sets x years of rule history) rows.
     """
-    buckets = _year_buckets(validity_ranges(rule_sets, statuses)).where(
-        F.col("jurisdiction") == F.lit(jurisdiction)).select(
+    ranges = validity_ranges(rule_sets, statuses).where(F.col("jurisdiction") == F.lit(jurisdiction))
+    cap_year = ranges.agg(F.max(F.year("effective_date"))).first()[0]  # one tiny row
+    if cap_year is None:
+        return (amounts.withColumn("rule_set_id", F.lit(None).cast("string"))
+                       .withColumn("rule_set_effective_date", F.lit(None).cast("date")))
+    buckets = _year_buckets(ranges, cap_year).select(
         F.col("id").alias("rule_set_id"),
         F.col("effective_date").alias("rule_set_effective_date"),
         F.col("valid_to").alias("_valid_to"), "_year")
     buckets, small = bounded_broadcast(buckets, MAX_RULE_ROWS)
     as_of = F.col(as_of_col)
-    left = amounts.withColumn("_as_of_year", F.year(as_of))
+    left = amounts.withColumn("_as_of_year", F.least(F.year(as_of), F.lit(cap_year)))
     cond = ((left["_as_of_year"] == buckets["_year"])
             & (as_of >= buckets["rule_set_effective_date"])
             & (buckets["_valid_to"].isNull() | (as_of < buckets["_valid_to"])))
