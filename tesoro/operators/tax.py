@@ -408,10 +408,3 @@ def calculate_tax(amounts: DataFrame, rule_sets: DataFrame, rules: DataFrame,
 def check_tax_types(amounts: DataFrame, tax_type: str = "tax_type") -> DataFrame:
     """Rows whose tax type cannot be calculated (e.g. RETENCION, trap 8)."""
     return amounts.where(~F.col(tax_type).isin(*TAX_TYPES) | F.col(tax_type).isNull())
-
-
-def validate_periods(periods: int) -> int:
-    """Forecast horizon 1..24 months."""
-    if not isinstance(periods, int) or not 1 <= periods <= 24:
-        raise ValueError("periods_months must be an integer between 1 and 24")
-    return periods
