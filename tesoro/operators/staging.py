@@ -11,6 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesoro.functions.joins import DEFAULT_MAX_BROADCAST_ROWS
+
 
 
 def stg_transactions(core_transaction: DataFrame) -> DataFrame:
@@ -65,8 +67,8 @@ def _dup_order():
 # A duplicate group above this many rows is ranked by the split path below
 # instead of one window task. At most rows/threshold groups can be that big.
 DEFAULT_HOT_GROUP_ROWS = 2_000_000
-# How many range slices one hot group is cut into.
-DEFAULT_HOT_SLICES = 64
+# Hot rows are cut into range slices of about this many rows (default: the
+# threshold itself), so the slice count grows with the hot data.
 # Most hot groups we broadcast as a lookup; rows/threshold bounds it anyway.
 MAX_HOT_GROUPS = 100_000
 
@@ -110,7 +112,7 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
     offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in DUP_KEY],
                              F.col("_slice").alias("_o_slice"), "_offset")
     if broadcast_offsets:
-        # at most (hot groups x slices) rows, and both factors are bounded
+        # checked by the caller: at most (slices + hot groups) rows
         offsets = F.broadcast(offsets)
     cond = [local[k].eqNullSafe(offsets[f"_o_{k}"]) for k in DUP_KEY] + [
         local["_slice"] == offsets["_o_slice"]]
@@ -120,7 +122,7 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
 
 
 def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GROUP_ROWS,
-                    hot_slices: int = DEFAULT_HOT_SLICES) -> DataFrame:
+                    hot_slices: int | None = None) -> DataFrame:
     """W5 = W1 + W2 + P10: ``stg_transactions_deduped``.
 
     Adds dup_group_size (rows sharing account, amount and date), dup_rank
@@ -145,12 +147,18 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
         found = hot.limit(MAX_HOT_GROUPS + 1).collect()
         if found:
             small = len(found) <= MAX_HOT_GROUPS
+            if hot_slices is None:
+                hot_total = sum(r["_n"] for r in found)
+                hot_slices = max(2, -(-hot_total // hot_group_rows))
+            # offsets have one row per (hot group, slice it spans) <= slices + groups
+            small_offsets = small and hot_slices + len(found) <= DEFAULT_MAX_BROADCAST_ROWS
             spark = stg.sparkSession
             lookup = F.broadcast(spark.createDataFrame(found, hot.schema)) if small else hot
             cond = [stg[k].eqNullSafe(lookup[f"_h_{k}"]) for k in DUP_KEY]
             tagged = stg.join(lookup, cond, "left").drop(*[f"_h_{k}" for k in DUP_KEY])
             cold = _window_flags(tagged.where(F.col("_n").isNull()))
-            warm = _split_hot_ranks(tagged.where(F.col("_n").isNotNull()), hot_slices, small)
+            warm = _split_hot_ranks(tagged.where(F.col("_n").isNotNull()), hot_slices,
+                                    small_offsets)
             keep = [*cols, "dup_group_size", "dup_rank"]
             flagged = cold.select(*keep).unionByName(warm.select(*keep))
     if flagged is None:
