@@ -121,6 +121,31 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
                   .withColumn("dup_rank", (F.col("_local_rank") + F.col("_offset")).cast("int")))
 
 
+def _find_hot_groups(stg: DataFrame, hot_group_rows: int) -> tuple[list, DataFrame | None]:
+    """Keys of duplicate groups with more than ``hot_group_rows`` rows, with sizes.
+
+    A group that big lies in an account that big, so accounts are counted first:
+    that aggregate collapses map-side to one row per account and per task. Full
+    keys are then counted only inside the candidate accounts (usually none). At
+    most MAX_HOT_GROUPS + 1 small rows come back to the driver per step.
+    Returns (collected rows, the full lazy table of hot keys and sizes).
+    """
+    acct = DUP_KEY[0]
+    accounts = (stg.groupBy(acct).agg(F.count(F.lit(1)).alias("_an"))
+                   .where(F.col("_an") > hot_group_rows).select(F.col(acct).alias("_c_acct")))
+    candidates = accounts.limit(MAX_HOT_GROUPS + 1).collect()
+    if not candidates:
+        return [], None
+    scope = stg
+    if len(candidates) <= MAX_HOT_GROUPS:
+        cand = F.broadcast(stg.sparkSession.createDataFrame(candidates, accounts.schema))
+        scope = stg.join(cand, stg[acct].eqNullSafe(cand["_c_acct"]), "left_semi")
+    sizes = scope.groupBy(*DUP_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    hot = (sizes.where(F.col("_n") > hot_group_rows)
+                .select(*[F.col(k).alias(f"_h_{k}") for k in DUP_KEY], "_n"))
+    return hot.limit(MAX_HOT_GROUPS + 1).collect(), hot
+
+
 def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GROUP_ROWS,
                     hot_slices: int | None = None) -> DataFrame:
     """W5 = W1 + W2 + P10: ``stg_transactions_deduped``.
@@ -129,10 +154,9 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
     (1 = first by created_at, then transaction_id), is_likely_duplicate
     (size > 1) and is_duplicate_secondary (rank > 1).
 
-    With ``hot_group_rows`` set, a pre-aggregated count per key (map-side
-    combined, key columns only) finds groups bigger than that; there are at most
-    rows/hot_group_rows of them, and only those few keys are collected, so the
-    count runs once. With none, this is the plain windowed plan: one shuffle on the
+    With ``hot_group_rows`` set, :func:`_find_hot_groups` finds groups bigger
+    than that (at most rows/hot_group_rows of them; only their keys are
+    collected). With none, this is the plain windowed plan: one shuffle on the
     key, shared by both windows. Otherwise ordinary groups keep that plan and
     hot groups are ranked by :func:`_split_hot_ranks`, so no single task holds
     a whole group. ``hot_group_rows=None`` skips the check.
@@ -140,20 +164,20 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
     cols = stg.columns
     flagged = None
     if hot_group_rows is not None:
-        sizes = stg.groupBy(*DUP_KEY).agg(F.count(F.lit(1)).alias("_n"))
-        hot = (sizes.where(F.col("_n") > hot_group_rows)
-                    .select(*[F.col(k).alias(f"_h_{k}") for k in DUP_KEY], "_n"))
-        # at most MAX_HOT_GROUPS + 1 tiny rows reach the driver; the count runs once
-        found = hot.limit(MAX_HOT_GROUPS + 1).collect()
+        found, hot_all = _find_hot_groups(stg, hot_group_rows)
         if found:
             small = len(found) <= MAX_HOT_GROUPS
             if hot_slices is None:
-                hot_total = sum(r["_n"] for r in found)
+                hot_total = (sum(r["_n"] for r in found) if small
+                             else hot_all.agg(F.sum("_n")).first()[0])
                 hot_slices = max(2, -(-hot_total // hot_group_rows))
             # offsets have one row per (hot group, slice it spans) <= slices + groups
             small_offsets = small and hot_slices + len(found) <= DEFAULT_MAX_BROADCAST_ROWS
             spark = stg.sparkSession
-            lookup = F.broadcast(spark.createDataFrame(found, hot.schema)) if small else hot
+            hot_schema = ", ".join([f"_h_{k} {stg.schema[k].dataType.simpleString()}"
+                                    for k in DUP_KEY] + ["_n bigint"])
+            # the collected keys when few (broadcast), else the full table (shuffle join)
+            lookup = F.broadcast(spark.createDataFrame(found, hot_schema)) if small else hot_all
             cond = [stg[k].eqNullSafe(lookup[f"_h_{k}"]) for k in DUP_KEY]
             tagged = stg.join(lookup, cond, "left").drop(*[f"_h_{k}" for k in DUP_KEY])
             cold = _window_flags(tagged.where(F.col("_n").isNull()))

@@ -188,3 +188,11 @@ def test_reports_push_account_filter_to_scan(spark, tmp_path):
     plan = r3._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(account_id,3)" in plan
     assert {r[0] for r in r1.select("account_id").collect()} == {3}
+
+
+def test_many_hot_groups_take_the_shuffle_path(spark, monkeypatch):
+    df = dup_fixture(spark)
+    cols = ["transaction_id", "dup_group_size", "dup_rank"]
+    plain = rows(staging.flag_duplicates(df, hot_group_rows=None), *cols)
+    monkeypatch.setattr(staging, "MAX_HOT_GROUPS", 0)   # nothing may be broadcast
+    assert rows(staging.flag_duplicates(df, hot_group_rows=1), *cols) == plain
