@@ -27,6 +27,8 @@ from tesoro.session import ship_package
 
 from tesoro.operators.forecast import MIN_HISTORY_MONTHS, history_gate
 
+# Contamination, seed and reason text of the reference's detector;
+# tree count and sub-sample size are the published isolation-forest defaults.
 N_TREES = 100
 MAX_SAMPLES = 256
 CONTAMINATION = 0.1

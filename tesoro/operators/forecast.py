@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from tesoro.session import ship_package
 
+# Minimum history, default horizon and interval width of the
+# reference's forecast, and its rejection message.
 MIN_HISTORY_MONTHS = 6
 DEFAULT_PERIODS = 6
 INTERVAL_WIDTH = 0.85
+SHORT_HISTORY_REASON = "Need at least 6 months of history to forecast reliably."
 _Z = 1.4395314709384563          # two-sided 85 % normal quantile
 N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
@@ -143,8 +146,7 @@ def history_gate(mart: DataFrame, key: str = "entity_id") -> tuple[DataFrame, Da
     ok = counted.where(F.col("history_months") >= MIN_HISTORY_MONTHS).drop("history_months")
     rejected = (counted.where(F.col("history_months") < MIN_HISTORY_MONTHS)
                 .groupBy(key).agg(F.first("history_months").cast("int").alias("history_months"))
-                .withColumn("reason", F.lit("Need at least 6 months of history to forecast "
-                                            "reliably.")))
+                .withColumn("reason", F.lit(SHORT_HISTORY_REASON)))
     return ok, rejected
 
 

@@ -91,8 +91,9 @@ def category_trend(expense: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: the spike threshold of the reference (30 % above the rolling average),
-# written as the exact ratio 13/10 used in the integer comparison below.
+# The spike threshold (30 % above the rolling average, written as the
+# exact ratio 13/10 used in the integer comparison below) and the flag text around
+# the rounded percentage.
 SPIKE_RATIO_NUM, SPIKE_RATIO_DEN = 13, 10
 FLAG_REASON_PREFIX = "Category spend "
 FLAG_REASON_SUFFIX = "% above 6-month rolling average — review for waste"
@@ -159,8 +160,12 @@ def sku_turnover_summary(turnover: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: the reference's default slow-moving threshold.
+# The default slow-moving threshold and the reason text around the
+# rounded rate and the threshold.
 DEFAULT_TURNOVER_THRESHOLD = 0.4
+SLOW_REASON_PREFIX = "Turnover rate "
+SLOW_REASON_MIDDLE = " below threshold "
+SLOW_REASON_SUFFIX = " — capital tied up in slow-moving stock"
 
 
 def slow_moving_inventory(turnover: DataFrame,
@@ -180,7 +185,7 @@ def slow_moving_inventory(turnover: DataFrame,
         "entity_id", "sku",
         rate3.alias("avg_turnover_rate"),
         quantize_half_even("avg_value", 2).cast("decimal(24,2)").alias("avg_inventory_value"),
-        F.concat(F.lit("Turnover rate "), rate3.cast("string"),
-                 F.lit(f" below threshold {turnover_threshold} — capital tied up in "
-                       "slow-moving stock")).alias("reason"),
+        F.concat(F.lit(SLOW_REASON_PREFIX), rate3.cast("string"),
+                 F.lit(f"{SLOW_REASON_MIDDLE}{turnover_threshold}{SLOW_REASON_SUFFIX}")
+                 ).alias("reason"),
     )
