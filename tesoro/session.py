@@ -74,23 +74,12 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``tesoro`` importable in Python workers (grouped maps pickle
-    references to its functions): zip the package once per application and
-    ``addPyFile`` it, which Spark distributes to every executor."""
+    references to its functions): ship the package folder once per application
+    with ``addFile``; workers have the SparkFiles root on their path."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    import zipfile
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg_dir)
-    fd, zip_path = tempfile.mkstemp(prefix="tesoro-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
-        for folder, _, files in os.walk(pkg_dir):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zip_path)
+    sc.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
     _SHIPPED.add(sc.applicationId)
 
 
