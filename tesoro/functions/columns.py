@@ -8,8 +8,6 @@ exact decimals so results do not depend on partition order.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,11 +82,3 @@ def scaled_decimal(units: Column, scale: int, precision: int = 20) -> Column:
 def deterministic_id(*parts) -> Column:
     """A stable id from natural keys (sha-256 hex), so a re-run gives the same ids."""
     return F.sha2(F.concat_ws("|", *[col_(p).cast("string") for p in parts]), 256)
-
-
-def dec(value: str) -> Column:
-    """A DECIMAL literal with exactly the scale written in ``value``."""
-    d = Decimal(value)
-    scale = max(0, -d.as_tuple().exponent)
-    precision = max(len(d.as_tuple().digits), scale + 1)
-    return F.lit(value).cast(f"decimal({precision},{scale})")

@@ -184,8 +184,8 @@ def t5_publish(spark, sf_dir):
     eff, rate, ref = T5_DRAFT
     rule_sets, rules, sid = tax.create_draft(
         spark, rule_sets, rules, tax_cycle._history_spec(eff, rate, ref),
-        tax_cycle._created(T5_CREATED))
-    rule_sets = tax.publish(rule_sets, sid, "api_user", tax_cycle._created(T5_CREATED))
+        tax_cycle.day_start(T5_CREATED))
+    rule_sets = tax.publish(rule_sets, sid, "api_user", tax_cycle.day_start(T5_CREATED))
     amounts = dt.order_tax_amounts(spark, sf_dir).withColumn("tax_type", F.lit("IVA"))
     out = tax.calculate_tax(amounts, rule_sets, rules, as_of="as_of_date",
                             statuses=HISTORY_STATUSES)
@@ -196,9 +196,9 @@ def t8_approved_publish(spark, sf_dir):
     """Seed, monthly IVA-only draft, approval, publish; then tax every
     order as of the following month (ISR now has no rule, trap 7)."""
     rule_sets, rules, _ = tax_cycle.seed_rules(spark)
-    draft_id = tax.rule_set_id("MX", MONTHLY_RUN_DATE, tax_cycle._created(MONTHLY_RUN_DATE))
+    draft_id = tax.rule_set_id("MX", MONTHLY_RUN_DATE, tax_cycle.day_start(MONTHLY_RUN_DATE))
     approvals = tax_cycle.approvals_frame(spark, [
-        (draft_id, "approved", tax_cycle._created(MONTHLY_RUN_DATE))])
+        (draft_id, "approved", tax_cycle.day_start(MONTHLY_RUN_DATE))])
     rule_sets, rules, _ = tax_cycle.monthly_tax_update(
         spark, rule_sets, rules, MONTHLY_RUN_DATE, approvals)
     amounts = typed_order_amounts(spark, sf_dir).withColumn(

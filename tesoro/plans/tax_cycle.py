@@ -40,7 +40,7 @@ def _history_spec(eff: str, iva_rate: str, ref: str, jurisdiction: str = "MX") -
     }
 
 
-def _created(eff: str) -> _dt.datetime:
+def day_start(eff: str) -> _dt.datetime:
     d = _dt.date.fromisoformat(eff)
     return _dt.datetime(d.year, d.month, d.day)
 
@@ -51,7 +51,7 @@ def seed_rules(spark: SparkSession, rule_sets: DataFrame | None = None,
     if rule_sets is None:
         rule_sets, rules = tax.empty_rule_tables(spark)
     spec = tax.seed_2026_spec()
-    created = _created(spec["effective_date"])
+    created = day_start(spec["effective_date"])
     rule_sets, rules, sid = tax.create_draft(spark, rule_sets, rules, spec, created)
     rule_sets = tax.publish(rule_sets, sid, tax.SEED_PUBLISHED_BY, created)
     return rule_sets, rules, sid
@@ -65,15 +65,15 @@ def example_rule_history(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """
     rule_sets, rules = tax.empty_rule_tables(spark)
     jur, eff, rate, ref = EXAMPLE_OTHER_JURISDICTION
-    drafts = [(_history_spec(eff, rate, ref, jur), _created(eff))]
-    drafts += [(_history_spec(eff, rate, ref), _created(eff)) for eff, rate, ref in EXAMPLE_HISTORY]
+    drafts = [(_history_spec(eff, rate, ref, jur), day_start(eff))]
+    drafts += [(_history_spec(eff, rate, ref), day_start(eff)) for eff, rate, ref in EXAMPLE_HISTORY]
     seed = tax.seed_2026_spec()
-    drafts.append((seed, _created(seed["effective_date"])))
+    drafts.append((seed, day_start(seed["effective_date"])))
     eff, rate, ref = EXAMPLE_UNPUBLISHED_DRAFT
-    drafts.append((_history_spec(eff, rate, ref), _created(eff)))
+    drafts.append((_history_spec(eff, rate, ref), day_start(eff)))
     rule_sets, rules, ids = tax.create_drafts(spark, rule_sets, rules, drafts)
     rule_sets = tax.publish_in_order(rule_sets, ids[:-1], "history",
-                                     _created(tax.SEED_EFFECTIVE_DATE))
+                                     day_start(tax.SEED_EFFECTIVE_DATE))
     return rule_sets, rules
 
 
@@ -85,7 +85,7 @@ def monthly_tax_update(spark: SparkSession, rule_sets: DataFrame, rules: DataFra
     publish every draft approved in ``approvals`` (rule_set_id, decision,
     decided_at). Without approvals the draft simply waits."""
     spec = tax.monthly_draft_spec(run_date)
-    created = _created(str(run_date))
+    created = day_start(str(run_date))
     rule_sets, rules, sid = tax.create_draft(spark, rule_sets, rules, spec, created)
     if approvals is not None:
         rule_sets = tax.publish_approved(rule_sets, approvals, tax.MONTHLY_DRAFT_PUBLISHED_BY,

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,12 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint location for written tables."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/tesoro-{name}-{uuid.uuid4().hex[:12]}"
-
-
 _SHIPPED: set = set()
 
 
