@@ -359,7 +359,13 @@ def isr_tax(income, brackets) -> F.Column:
     to cents; 0.00 when no bracket matches. Exact decimals throughout, so edge
     incomes such as 844.60 fall in their bracket (trap 2)."""
     inc = F.col(income) if isinstance(income, str) else income
-    b = matching_bracket(inc, brackets)
+    return isr_from_bracket(inc, matching_bracket(inc, brackets))
+
+
+def isr_from_bracket(income, bracket) -> F.Column:
+    """T2 given the already matched bracket (a struct column, NULL for none)."""
+    inc = F.col(income) if isinstance(income, str) else income
+    b = F.col(bracket) if isinstance(bracket, str) else bracket
     raw = F.coalesce(b["fixed_fee"], F.lit(0)) + (inc - b["min"]) * b["rate"]
     return F.coalesce(quantize_half_even(raw, 2).cast(MONEY),
                       F.lit("0.00").cast(MONEY))
@@ -394,14 +400,19 @@ def calculate_tax(amounts: DataFrame, rule_sets: DataFrame, rules: DataFrame,
             & (with_set[tax_type] == rule_lookup["_r_type"])
             & (with_set[applies_to] == rule_lookup["_r_applies"]))
     joined = with_set.join(rule_lookup, cond, "left")
+    # the bracket search runs once per row in its own projection; the tax
+    # expression then reads the matched struct's fields
+    joined = joined.withColumn("_r_bracket", F.when(
+        F.col(tax_type) == "ISR", matching_bracket(amount, "_r_brackets")))
     status = (F.when(F.col("rule_set_id").isNull(), F.lit("no_rule_set"))
                .when(F.col("_r_found").isNull(), F.lit("no_rule"))
                .otherwise(F.lit("ok")))
     tax = (F.when(status != "ok", F.lit(None).cast(MONEY))
             .when(F.col(tax_type) == "IVA", iva_tax(amount, "_r_rate"))
-            .otherwise(isr_tax(amount, "_r_brackets")))
+            .otherwise(isr_from_bracket(amount, "_r_bracket")))
     out = joined.withColumn("tax_amount", tax).withColumn("tax_status", status)
-    return out.drop("_r_set", "_r_type", "_r_applies", "_r_rate", "_r_brackets", "_r_found",
+    return out.drop("_r_set", "_r_type", "_r_applies", "_r_rate", "_r_brackets", "_r_bracket",
+                    "_r_found",
                     "_applies_to", "_as_of")
 
 
