@@ -172,7 +172,10 @@ def t3_calculate_tax(spark, sf_dir):
     out = tax.calculate_tax(typed_order_amounts(spark, sf_dir), rule_sets, rules,
                             applies_to="applies_to", as_of="as_of_date",
                             statuses=HISTORY_STATUSES)
-    return out.select("o_orderkey", "tax_type", "applies_to", "amount", "rule_set_id",
+    # the response fields of the calculation (tax_type, input_amount, tax_amount,
+    # rule_set_id, rule_set_effective_date) plus the request key and outcome
+    return out.select("o_orderkey", "tax_type", "applies_to",
+                      F.col("amount").alias("input_amount"), "rule_set_id",
                       "rule_set_effective_date", "tax_amount", "tax_status")
 
 

@@ -322,7 +322,8 @@ req AS (
 )"""
     out["t3_calculate_tax"] = "WITH " + common + "," + orders_asof + "," + typed + "," + \
         isr("req", "o_orderkey") + f"""
-SELECT r.o_orderkey, r.tax_type, r.applies_to, r.amount, r.rule_set_id, r.rule_set_effective_date,
+SELECT r.o_orderkey, r.tax_type, r.applies_to, r.amount AS input_amount, r.rule_set_id,
+       r.rule_set_effective_date,
        CASE WHEN r.rule_set_id IS NULL THEN NULL
             WHEN r.tax_type = 'IVA' AND r.applies_to = 'general'
                  THEN CAST(round_even(r.amount * r.iva_rate, 2) AS DECIMAL(14,2))
