@@ -299,7 +299,9 @@ def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "a
     The bucket table has at most (rule sets x years of rule history) rows.
     """
     ranges = validity_ranges(rule_sets, statuses).where(F.col("jurisdiction") == F.lit(jurisdiction))
-    cap_year = ranges.agg(F.max(F.year("effective_date"))).first()[0]  # one tiny row
+    stats = ranges.agg(F.count(F.lit(1)).alias("n"), F.min(F.year("effective_date")).alias("lo"),
+                       F.max(F.year("effective_date")).alias("hi")).first()   # one tiny row
+    cap_year = stats["hi"]
     if cap_year is None:
         return (amounts.withColumn("rule_set_id", F.lit(None).cast("string"))
                        .withColumn("rule_set_effective_date", F.lit(None).cast("date")))
@@ -307,7 +309,9 @@ def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "a
         F.col("id").alias("rule_set_id"),
         F.col("effective_date").alias("rule_set_effective_date"),
         F.col("valid_to").alias("_valid_to"), "_year")
-    buckets, small = bounded_broadcast(buckets, MAX_RULE_ROWS)
+    # each range spans at most the years lo..hi, so the bucket table is bounded
+    if stats["n"] * (stats["hi"] - stats["lo"] + 1) <= MAX_RULE_ROWS:
+        buckets = F.broadcast(buckets)
     as_of = F.col(as_of_col)
     left = amounts.withColumn("_as_of_year", F.least(F.year(as_of), F.lit(cap_year)))
     cond = ((left["_as_of_year"] == buckets["_year"])
