@@ -170,3 +170,25 @@ def forecast_refresh(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> tuple[D
                          F.col("net_cashflow").cast("double").alias("net_cashflow"))
     ok, rejected = history_gate(series)
     return ok.groupBy("entity_id").applyInPandas(_forecast_group(periods), _schema(ok)), rejected
+
+
+def history_summary(mart: DataFrame) -> DataFrame:
+    """P11 per entity: months of history, whether it can be forecast, and the
+    rejection reason otherwise (F2 logs and skips those)."""
+    n = F.count(F.lit(1)).cast("int")
+    return (mart.groupBy("entity_id").agg(n.alias("history_months"))
+                .withColumn("eligible", F.col("history_months") >= MIN_HISTORY_MONTHS)
+                .withColumn("reason", F.when(~F.col("eligible"), F.lit(SHORT_HISTORY_REASON))))
+
+
+def forecast_months(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> DataFrame:
+    """X13 + P12 in Spark SQL: the month ends each eligible entity is forecast
+    for, ``last_day(add_months(last history month, k))`` for k = 0..periods-1
+    (all later than the last month start, trap 20)."""
+    validate_periods(periods)
+    last = (mart.groupBy("entity_id")
+                .agg(F.max("month").alias("_last"), F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") >= MIN_HISTORY_MONTHS))
+    steps = last.select("entity_id", "_last",
+                        F.explode(F.sequence(F.lit(0), F.lit(periods - 1))).alias("_k"))
+    return steps.select("entity_id", F.last_day(F.add_months("_last", F.col("_k"))).alias("month"))

@@ -318,6 +318,16 @@ def f1_forecast(spark, sf_dir):
     return forecasts
 
 
+def p11_history_gate(spark, sf_dir):
+    """Which entities can be forecast, with the rejection reason."""
+    return forecast.history_summary(cashflow_mart(spark, sf_dir))
+
+
+def x13_forecast_months(spark, sf_dir):
+    """The six forecast month ends of every eligible entity."""
+    return forecast.forecast_months(cashflow_mart(spark, sf_dir))
+
+
 def n1_anomalies(spark, sf_dir):
     """Isolation-forest anomalies per entity on the monthly net cash flow."""
     return anomaly.detect_cashflow_anomalies(cashflow_mart(spark, sf_dir))
@@ -349,6 +359,8 @@ QUERIES = {
     "d6_limits": d6_limits,
     "s6_new_dimension_rows": s6_new_dimension_rows,
     "p4_nested_extract": p4_nested_extract,
+    "p11_history_gate": p11_history_gate,
+    "x13_forecast_months": x13_forecast_months,
     "f1_forecast": f1_forecast,
     "n1_anomalies": n1_anomalies,
 }

@@ -443,3 +443,19 @@ FROM new_rfc"""
 
 ORACLE["p4_nested_extract"] = """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
+
+
+# ---- forecast gate and month spine -----------------------------------------------
+
+ORACLE["p11_history_gate"] = "WITH " + MART_CASHFLOW + """,
+g AS (SELECT entity_id, CAST(count(*) AS INTEGER) AS history_months FROM mart_cashflow GROUP BY 1)
+SELECT entity_id, history_months, history_months >= 6 AS eligible,
+       CASE WHEN history_months < 6 THEN 'Need at least 6 months of history to forecast reliably.'
+       END AS reason
+FROM g"""
+
+ORACLE["x13_forecast_months"] = "WITH " + MART_CASHFLOW + """,
+g AS (SELECT entity_id, max(month) AS last_month FROM mart_cashflow GROUP BY 1 HAVING count(*) >= 6),
+steps AS (SELECT entity_id, last_month, unnest(generate_series(0, 5)) AS k FROM g)
+SELECT entity_id, CAST(last_day(last_month + to_months(CAST(k AS INTEGER))) AS DATE) AS month
+FROM steps"""

@@ -82,3 +82,15 @@ def test_isolation_scores_are_deterministic_and_ordered():
     big[17] = 25.0
     s = anomaly.isolation_scores(big)           # sub-sampled trees (n > 256)
     assert np.argmin(s) == 17
+
+
+def test_spark_month_spine_matches_forecast_and_gate(spark):
+    data = series(spark, 1, [100 + 10 * i for i in range(24)]) + series(spark, 2, [1, 2, 3, 4, 5])
+    m = mart(spark, data)
+    spine = rows(forecast.forecast_months(m), "entity_id", "month")
+    fc = rows(forecast.forecast_cashflow(m), "entity_id", "month")
+    assert spine == fc and len(spine) == 6
+    gate = {r["entity_id"]: (r["history_months"], r["eligible"], r["reason"])
+            for r in forecast.history_summary(m).collect()}
+    assert gate[1] == (24, True, None)
+    assert gate[2] == (5, False, forecast.SHORT_HISTORY_REASON)
