@@ -62,6 +62,26 @@ def empty_feed(spark: SparkSession, kind: str) -> DataFrame:
     return literal_frame(spark, [], schema)
 
 
+def iso_date(column: str):
+    """P5: ISO ``yyyy-MM-dd`` text -> DATE; NULL (a reject) instead of an ANSI error."""
+    return F.to_date(F.try_to_timestamp(F.col(column), F.lit("yyyy-MM-dd")))
+
+
+# Fields a record cannot be loaded without (it is counted as a reject instead).
+REQUIRED = {
+    "transactions": ("source_doc_ref", "entity_rfc", "date", "amount"),
+    "cashflow": ("entity_rfc", "date", "type", "amount"),
+    "inventory": ("entity_rfc", "sku", "date"),
+}
+
+
+def _complete(df: DataFrame, kind: str):
+    ok = F.lit(True)
+    for c in REQUIRED[kind]:
+        ok = ok & F.col(c).isNotNull()
+    return ok
+
+
 def first_concept(field: str):
     """``conceptos[0].<field>``; NULL (not an error) when the list is empty."""
     return F.get(F.col("conceptos"), 0)[field]
@@ -73,7 +93,7 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("uuid").alias("source_doc_ref"),
         F.col("rfc_receptor").alias("entity_rfc"),
-        F.to_date("fecha_emision").alias("date"),
+        iso_date("fecha_emision").alias("date"),
         F.col("total").alias("amount"),
         first_concept("categoria").alias("category_name"),
         first_concept("descripcion").alias("description"),
@@ -136,13 +156,23 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
 
     Every record is attached to the entity of its own rfc (the reference gives
     all records the first transaction's receptor, trap 11; equal on a
-    one-entity feed). Returns (bronze after the load, rows added per table).
+    one-entity feed). Records missing a required field (or with a malformed
+    date) are not loaded; they are returned as ``rejected_<kind>``. Returns
+    (bronze after the load, rows added per table and rejected records).
     ``load_ts`` stamps created_at; with ``mode="append"`` it also enters the
     ids, so a re-run appends copies as the reference does.
     """
     ts = F.lit(str(load_ts)).cast("timestamp")
     salt = [F.lit(str(load_ts))] if mode == "append" else []
     txn = typed_transactions(raw_txn)
+    cf = cf.withColumn("date", iso_date("date"))
+    inv = inv.withColumn("date", iso_date("date"))
+    rejected = {"transactions": txn.where(~_complete(txn, "transactions")),
+                "cashflow": cf.where(~_complete(cf, "cashflow")),
+                "inventory": inv.where(~_complete(inv, "inventory"))}
+    txn = txn.where(_complete(txn, "transactions"))
+    cf = cf.where(_complete(cf, "cashflow"))
+    inv = inv.where(_complete(inv, "inventory"))
 
     rfcs = (txn.select(F.col("entity_rfc").alias("rfc"))
                .unionByName(cf.select(F.col("entity_rfc").alias("rfc")))
@@ -185,13 +215,13 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     c = cf.join(ent_key, "entity_rfc", "left")
     new_cf = _new_only(bronze["core_cashflowevent"], c.select(
         deterministic_id(F.lit("cashflow"), "_source_file", "_pos", *salt).alias("id"), "entity_id",
-        F.to_date("date").alias("date"), F.col("type").alias("event_type"), "amount",
+        "date", F.col("type").alias("event_type"), "amount",
         F.lit(False).alias("projected")), mode)
 
     i = inv.join(ent_key, "entity_rfc", "left")
     new_inv = _new_only(bronze["core_inventorysnapshot"], i.select(
         deterministic_id(F.lit("inventory"), "_source_file", "_pos", *salt).alias("id"), "entity_id",
-        "sku", F.to_date("date").alias("date"), "qty", "unit_cost", "turnover_rate"), mode)
+        "sku", "date", "qty", "unit_cost", "turnover_rate"), mode)
 
     added = {"core_entity": new_entities, "core_account": new_accounts,
              "core_category": new_categories, "core_transaction": new_txn,
@@ -200,6 +230,7 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
              "core_transaction": bronze["core_transaction"].unionByName(new_txn),
              "core_cashflowevent": bronze["core_cashflowevent"].unionByName(new_cf),
              "core_inventorysnapshot": bronze["core_inventorysnapshot"].unionByName(new_inv)}
+    added.update({f"rejected_{kind}": df for kind, df in rejected.items()})
     return after, added
 
 

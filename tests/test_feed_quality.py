@@ -23,6 +23,9 @@ def write_feed(folder, rfc=RFC):
                      "metodo_pago": "PUE", "forma_pago": "01"})
     txns.append({"uuid": "u9", "fecha_emision": "2024-03-01", "rfc_receptor": rfc, "conceptos": [],
                  "total": 10.0})
+    # rejects: a malformed date and a missing total
+    txns.append({"uuid": "bad1", "fecha_emision": "2024-13-45", "rfc_receptor": rfc, "total": 1.0})
+    txns.append({"uuid": "bad2", "fecha_emision": "2024-03-01", "rfc_receptor": rfc})
     cash = [{"entity_rfc": rfc, "date": "2024-01-01", "type": "inflow", "amount": 153973.71},
             {"entity_rfc": rfc, "date": "2024-01-01", "type": "outflow", "amount": 124371.65},
             {"entity_rfc": "OTHER0000000", "date": "2024-03-01", "type": "inflow", "amount": 1.0}]
@@ -40,7 +43,8 @@ def test_feed_load_is_idempotent_and_typed(spark, tmp_path):
     bronze, added = feed.load_feed(spark, path, feed.empty_bronze(spark), ts)
     counts = dict(rows(feed.load_counts(added)))
     assert counts == {"core_entity": 2, "core_account": 1, "core_category": 2, "core_transaction": 4,
-                      "core_cashflowevent": 3, "core_inventorysnapshot": 1}
+                      "core_cashflowevent": 3, "core_inventorysnapshot": 1,
+                      "rejected_transactions": 2, "rejected_cashflow": 0, "rejected_inventory": 0}
     t = {r["source_doc_ref"]: r for r in bronze["core_transaction"].collect()}
     assert t["u0"]["amount"] == D("116.00") and t["u0"]["date"] == dt.date(2024, 1, 5)
     assert t["u9"]["category_id"] is None and t["u9"]["description"] is None   # empty conceptos
@@ -50,7 +54,7 @@ def test_feed_load_is_idempotent_and_typed(spark, tmp_path):
     assert cf_entities == set(ents.values())
     # a re-run of the same files adds nothing (trap 12)
     _, added2 = feed.load_feed(spark, path, bronze, dt.datetime(2026, 1, 2))
-    assert {r[1] for r in rows(feed.load_counts(added2))} == {0}
+    assert {r[1] for r in rows(feed.load_counts(added2)) if not r[0].startswith("rejected")} == {0}
     # the reference's append mode duplicates every fact row
     _, added3 = feed.load_feed(spark, path, bronze, dt.datetime(2026, 1, 2), mode="append")
     assert dict(rows(feed.load_counts(added3)))["core_transaction"] == 4
