@@ -7,7 +7,8 @@ Storage layout under ``warehouse`` (a shared path on a cluster)::
     models/<run_id>/<model>/        marts written once per run, never overwritten
                                     in place; month-partitioned where the model
                                     has a month (partition pruning for reports)
-    models/<run_id>/_tests/         data-test summary of the run
+    models/<run_id>/_tests/         data-test summary of the run (the dbt tests)
+    models/<run_id>/_constraints/   D3-D6 checks of Bronze (the database constraints)
 
 Reports read the newest run folder. Re-running the same day's feed adds no
 Bronze rows (idempotent load), and writes a fresh run folder.
@@ -85,6 +86,37 @@ def data_tests(models: dict) -> DataFrame:
     ])
 
 
+def bronze_checks(bronze: dict) -> DataFrame:
+    """D3-D6 on Bronze: the constraints the reference's database declares
+    (choices, foreign keys, varchar lengths, unique rfc), as one summary."""
+    e, a, c = bronze["core_entity"], bronze["core_account"], bronze["core_category"]
+    t, i, f = bronze["core_transaction"], bronze["core_inventorysnapshot"], bronze["core_cashflowevent"]
+    return quality.summarize([
+        ("core_entity", "rfc", "unique", quality.unique(e, "rfc")),
+        ("core_entity", "rfc", "max_length_13", quality.too_long(e, "rfc", 13)),
+        ("core_entity", "entity_type", "accepted_values",
+         quality.accepted_values(e, "entity_type", schemas.ENTITY_TYPES)),
+        ("core_account", "account_type", "accepted_values",
+         quality.accepted_values(a, "account_type", schemas.ACCOUNT_TYPES)),
+        ("core_account", "entity_id", "relationships", quality.relationships(a, "entity_id", e, "id")),
+        ("core_category", "name", "max_length_100", quality.too_long(c, "name", 100)),
+        ("core_transaction", "account_id", "relationships",
+         quality.relationships(t, "account_id", a, "id")),
+        ("core_transaction", "category_id", "relationships",
+         quality.relationships(t, "category_id", c, "id")),
+        ("core_transaction", "description", "max_length_500", quality.too_long(t, "description", 500)),
+        ("core_transaction", "source_doc_ref", "max_length_255",
+         quality.too_long(t, "source_doc_ref", 255)),
+        ("core_inventorysnapshot", "entity_id", "relationships",
+         quality.relationships(i, "entity_id", e, "id")),
+        ("core_inventorysnapshot", "sku", "max_length_100", quality.too_long(i, "sku", 100)),
+        ("core_cashflowevent", "entity_id", "relationships",
+         quality.relationships(f, "entity_id", e, "id")),
+        ("core_cashflowevent", "event_type", "accepted_values",
+         quality.accepted_values(f, "event_type", schemas.EVENT_TYPES)),
+    ])
+
+
 def register_views(models: dict) -> None:
     """S8 as views: every model is queryable by its dbt name from SQL."""
     for name, df in models.items():
@@ -125,5 +157,8 @@ def run_daily(spark: SparkSession, feed_dir: str, warehouse: str, run_id: str, l
     stored = {k: spark.read.schema(models[k].schema).parquet(p) for k, p in written.items()}
     data_tests({**models, **stored}) \
         .write.mode("errorifexists").parquet(f"{out}/_tests")
+    bronze_checks(read_bronze(spark, warehouse)) \
+        .write.mode("errorifexists").parquet(f"{out}/_constraints")
     return {"load_counts": counts, "models": written,
-            "tests": spark.read.parquet(f"{out}/_tests")}
+            "tests": spark.read.parquet(f"{out}/_tests"),
+            "constraints": spark.read.parquet(f"{out}/_constraints")}

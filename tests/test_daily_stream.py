@@ -15,6 +15,11 @@ def test_run_daily_twice_is_idempotent(spark, tmp_path):
     tests = {(r["model"], r["column_name"], r["test"]): r["failures"] for r in first["tests"].collect()}
     assert tests[("stg_transactions", "transaction_id", "unique")] == 0
     assert tests[("mart_monthly_cashflow", "month", "not_null")] == 0
+    constraints = {(r["model"], r["column_name"], r["test"]): r["failures"]
+                   for r in first["constraints"].collect()}
+    assert constraints[("core_entity", "rfc", "unique")] == 0
+    assert constraints[("core_transaction", "category_id", "relationships")] == 0
+    assert sum(constraints.values()) == 0
     mart = spark.read.parquet(first["models"]["mart_monthly_cashflow"])
     assert "month" in mart.columns and mart.count() == 2
     second = daily.run_daily(spark, feed_dir, wh, "run2", dt.datetime(2026, 1, 2))
