@@ -40,7 +40,7 @@ stg_transactions AS (
     SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'),
                           lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
                           lpad(CAST(l_partkey AS VARCHAR), 12, '0'),
-                          lpad(CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR), 16, '0'))
+                          lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0'))
              AS transaction_id,
            l_suppkey AS account_id,
            l_partkey AS category_id,

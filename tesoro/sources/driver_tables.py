@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.functions.columns import MONEY, UNIT_COST, money
+from tesoro.functions.columns import UNIT_COST, money
 
 # Fixed values of the mapping: which order priorities count as inflows,
 # which order status counts as projected, which part sizes have a category.
@@ -57,7 +57,8 @@ def _lineitem_id() -> F.Column:
         F.lpad(F.col("l_orderkey").cast("string"), 12, "0"),
         F.lpad(F.col("l_linenumber").cast("string"), 4, "0"),
         F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
-        F.lpad(F.col("l_extendedprice").cast(MONEY).cast("string"), 16, "0"))
+        # the price as whole cents: a BIGINT renders much faster than a DECIMAL
+        F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 14, "0"))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
