@@ -266,13 +266,15 @@ def load_latest(spark: SparkSession, base_path: str) -> DataFrame:
 def validity_ranges(rule_sets: DataFrame, statuses=DEFAULT_STATUSES) -> DataFrame:
     """Visible rule sets as [valid_from, valid_to) ranges per jurisdiction.
 
-    Ties on effective_date keep the greatest id (the reference leaves it open).
+    Ties on effective_date (the reference leaves them open) go to the set
+    published last, then to the greatest id.
     """
     sets = rule_sets.where(F.col("status").isin(*statuses)).select(
-        "id", "jurisdiction", "effective_date")
+        "id", "jurisdiction", "effective_date", "published_at")
+    order = (F.col("published_at").desc_nulls_last(), F.col("id").desc())
     sets = (sets.withColumn("_rn", F.row_number().over(
-                Window.partitionBy("jurisdiction", "effective_date").orderBy(F.col("id").desc())))
-                .where(F.col("_rn") == 1).drop("_rn"))
+                Window.partitionBy("jurisdiction", "effective_date").orderBy(*order)))
+                .where(F.col("_rn") == 1).drop("_rn", "published_at"))
     return sets.withColumn("valid_to", F.lead("effective_date").over(
         Window.partitionBy("jurisdiction").orderBy("effective_date")))
 

@@ -102,6 +102,10 @@ def test_asof_ties_history_and_visibility(spark):
     rs2 = tax.publish(rs, "F", "t", dt.datetime(2023, 1, 1))
     after = tax.as_of_rule_set(amounts, rs2)
     assert [r[1] for r in rows(after, "k", "rule_set_id")] == [None, None, None, "F"]
+    # a tie on effective_date goes to the set published last, not the larger id
+    rs3 = tax.publish(rs, "B", "t", dt.datetime(2024, 1, 1))   # republish the superseded B
+    tie = tax.as_of_rule_set(amounts, rs3, statuses=("active", "superseded"))
+    assert [r[1] for r in rows(tie, "k", "rule_set_id")] == [None, "A", "B", "B"]
     one = tax.active_rule_set(rs2, "2031-01-01")
     assert [r[0] for r in one.select("id").collect()] == ["F"]
 
