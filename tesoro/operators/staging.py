@@ -64,12 +64,14 @@ DUP_KEY = ("account_id", "amount", "transaction_date")
 def _dup_order():
     return (F.col("created_at").asc_nulls_last(), F.col("transaction_id").asc_nulls_last())
 
+
 # A duplicate group above this many rows is ranked by the split path below
-# instead of one window task. At most rows/threshold groups can be that big.
+# instead of one window task (at most rows/threshold groups can be that big).
+# Hot rows are cut into range slices of about this many rows each, so the slice
+# count grows with the hot data.
 DEFAULT_HOT_GROUP_ROWS = 2_000_000
-# Hot rows are cut into range slices of about this many rows (default: the
-# threshold itself), so the slice count grows with the hot data.
-# Most hot groups we broadcast as a lookup; rows/threshold bounds it anyway.
+# Most candidate accounts / hot groups handled with a broadcast lookup; beyond
+# that the lookups are shuffle joins.
 MAX_HOT_GROUPS = 100_000
 
 
