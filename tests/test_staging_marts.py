@@ -66,6 +66,8 @@ def test_hot_group_split_path_equals_window_path(spark):
     assert plain == split
     # slice count derived from the hot rows found (about hot_group_rows rows per slice)
     assert rows(staging.flag_duplicates(df, hot_group_rows=300), *cols) == plain
+    # every group of 2+ rows hot, the NULL-amount group included (null-safe keys)
+    assert rows(staging.flag_duplicates(df, hot_group_rows=1, hot_slices=5), *cols) == plain
     ranks = [r[2] for r in split if r[0].startswith("h")]
     assert sorted(ranks) == list(range(1, 5001))
 
