@@ -10,7 +10,8 @@ at scale": y scaled by max|y|, time scaled to [0, 1], a piecewise-linear trend
 with up to 25 changepoints in the first 80 % of the history under a Laplace
 prior (scale 0.05), yearly seasonality as a Fourier series of order 10 under a
 normal prior (scale 10), fitted by MAP with iteratively reweighted ridge
-regression. The interval is normal around the fit with the residual scale.
+regression. The interval is normal around the fit: residual scale plus the
+variance of future trend changes, so it widens with the horizon.
 """
 
 from __future__ import annotations
@@ -103,7 +104,19 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, future: np.ndarray):
             break
         w = w_new
     yhat = design(future) @ w * scale
-    half = _Z * np.sqrt(sigma2) * scale
+    # Trend uncertainty: beyond the history, rate changes keep arriving at the
+    # historical changepoint rate (n_cp per unit of scaled time) with Laplace
+    # size b = mean |delta|, i.e. variance 2 b^2 each. A change at s adds
+    # delta * (t - s) at t, so the expected trend variance at t > 1 is
+    # rate * 2 b^2 * (t - 1)^3 / 3; it widens the interval with the horizon.
+    t_future = t_of(future)
+    if n_cp:
+        b = float(np.mean(np.abs(w[cp_idx])))
+        ahead = np.clip(t_future - 1.0, 0.0, None)
+        trend_var = n_cp * 2.0 * b * b * ahead ** 3 / 3.0
+    else:
+        trend_var = np.zeros_like(t_future)
+    half = _Z * np.sqrt(sigma2 + trend_var) * scale
     return yhat, yhat - half, yhat + half
 
 

@@ -94,3 +94,14 @@ def test_spark_month_spine_matches_forecast_and_gate(spark):
             for r in forecast.history_summary(m).collect()}
     assert gate[1] == (24, True, None)
     assert gate[2] == (5, False, forecast.SHORT_HISTORY_REASON)
+
+
+def test_interval_widens_with_horizon():
+    rng = np.random.default_rng(3)
+    ds = np.array([np.datetime64(f"{2015 + i // 12}-{i % 12 + 1:02d}-01") for i in range(60)])
+    y = 1000.0 + np.cumsum(rng.normal(0, 40, 60))
+    future = forecast.month_ends(ds.max(), 24)
+    yhat, lo, hi = forecast.fit_predict(ds, y, future)
+    width = hi - lo
+    assert np.all(np.diff(width) >= -1e-9) and width[-1] > width[0]
+    assert np.all(lo <= yhat) and np.all(yhat <= hi)
