@@ -198,3 +198,14 @@ def test_many_hot_groups_take_the_shuffle_path(spark, monkeypatch):
     plain = rows(staging.flag_duplicates(df, hot_group_rows=None), *cols)
     monkeypatch.setattr(staging, "MAX_HOT_GROUPS", 0)   # nothing may be broadcast
     assert rows(staging.flag_duplicates(df, hot_group_rows=1), *cols) == plain
+
+
+def test_missing_category_is_its_own_null_group(spark):
+    data = [txn("a", 1, 10, "2024-01-05", "5.00", "2024-01-05 00:00:00"),
+            txn("b", 1, 99, "2024-01-06", "7.00", "2024-01-06 00:00:00"),   # no such category
+            txn("c", 1, 98, "2024-01-07", "1.00", "2024-01-07 00:00:00")]   # no such category
+    d = staging.flag_duplicates(spark.createDataFrame(data, TXN_SCHEMA))
+    cats = spark.createDataFrame([(10, "Rent")], "id bigint, name string")
+    got = {r["category"]: (r["transaction_count"], r["total_amount"])
+           for r in marts.expense_summary(d, cats).collect()}
+    assert got == {"Rent": (1, D("5.00")), None: (2, D("8.00"))}
