@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.plans.daily import read_bronze
+from tesoro.plans.daily import append_bronze, read_bronze
 from tesoro.sources import feed
 
 KINDS = ("transactions", "cashflow", "inventory")
-BRONZE_ORDER = ("core_entity", "core_account", "core_category",
-                "core_transaction", "core_cashflowevent", "core_inventorysnapshot")
 
 
 def _batch_loader(spark: SparkSession, warehouse: str, load_ts):
@@ -32,8 +30,7 @@ def _batch_loader(spark: SparkSession, warehouse: str, load_ts):
         _, added = feed.load_records(spark, parts["transactions"], parts["cashflow"],
                                      parts["inventory"], read_bronze(spark, warehouse), load_ts)
         # one writer per Bronze table; ids make a replayed batch add nothing
-        for name in BRONZE_ORDER:
-            added[name].write.mode("append").parquet(f"{warehouse}/bronze/{name}")
+        append_bronze(added, warehouse)
     return load
 
 
