@@ -53,3 +53,13 @@ def test_projection_and_filter_reach_the_scan(spark):
     read_schema = scan.split("ReadSchema: ")[1]
     assert "o_orderkey" not in read_schema                 # pruned: A1 never reads it
     assert "Not(EqualTo(o_orderstatus,P))" in scan        # P6 pushed into the scan
+
+
+def test_duplicate_windows_share_one_exchange_and_sort(spark):
+    from tesoro.operators import staging
+    from tesoro.sources import driver_tables as dt
+    stg = staging.stg_transactions(dt.transactions(spark, SF))
+    plan = _plan(staging.flag_duplicates(stg, hot_group_rows=None))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Sort [") == 1
+    assert plan.count("Window [") == 1
