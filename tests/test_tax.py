@@ -176,3 +176,11 @@ def test_literal_frame_types(spark):
                                 dt.datetime(2026, 1, 1))], schemas.TAX_RULE)
     assert df.schema.simpleString() == schemas.TAX_RULE.simpleString()
     assert df.count() == 1
+
+
+def test_literal_frame_round_trips_awkward_text(spark):
+    awkward = ["it's", 'back\\slash', "quote\"d", "físicas — ñ", "line\nbreak", "%s {x}"]
+    rows_in = [(f"id{i}", text, dt.datetime(2026, 1, 1)) for i, text in enumerate(awkward)]
+    df = literal_frame(spark, rows_in, schemas.APPROVAL)
+    got = sorted((r["rule_set_id"], r["decision"]) for r in df.collect())
+    assert got == sorted((r[0], r[1]) for r in rows_in)
