@@ -51,7 +51,7 @@ def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     ``path`` may be a file, a directory or a glob; each file is one task.
     """
     files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("_source_file"), "value")
+        F.col("_metadata.file_path").alias("_source_file"), "value")
     return parse_feed_files(files, kind)
 
 

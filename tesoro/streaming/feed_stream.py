@@ -44,7 +44,7 @@ def start_feed_stream(spark: SparkSession, feed_root: str, warehouse: str,
     """
     files = (spark.readStream.option("maxFilesPerTrigger", 1000)
              .text(f"{feed_root.rstrip('/')}/*/", wholetext=True)
-             .select(F.input_file_name().alias("_source_file"), "value")
+             .select(F.col("_metadata.file_path").alias("_source_file"), "value")
              .withColumn("_kind", F.regexp_extract("_source_file", r"/([^/]+)/[^/]+$", 1)))
     writer = (files.writeStream
               .foreachBatch(_batch_loader(spark, warehouse.rstrip("/"), load_ts))
