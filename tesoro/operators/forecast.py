@@ -163,12 +163,16 @@ def history_gate(mart: DataFrame, key: str = "entity_id") -> tuple[DataFrame, Da
     return ok, rejected
 
 
-def forecast_cashflow(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> DataFrame:
-    """F1 for every entity at once: (entity_id, month, predicted_net_cashflow,
+def forecast_cashflow(mart: DataFrame, periods: int = DEFAULT_PERIODS,
+                      entity_id=None) -> DataFrame:
+    """F1 for every entity at once (or one, with ``entity_id``, as the
+    reference's request does): (entity_id, month, predicted_net_cashflow,
     lower_bound, upper_bound, history_months). Entities below the gate yield no
     rows; ``forecast_refresh`` also reports them."""
     validate_periods(periods)
     ship_package(mart.sparkSession)
+    if entity_id is not None:
+        mart = mart.where(F.col("entity_id") == F.lit(entity_id))
     ok, _ = history_gate(mart.select("entity_id", "month",
                                      F.col("net_cashflow").cast("double").alias("net_cashflow")))
     return ok.groupBy("entity_id").applyInPandas(_forecast_group(periods), _schema(ok))

@@ -105,3 +105,9 @@ def test_interval_widens_with_horizon():
     width = hi - lo
     assert np.all(np.diff(width) >= -1e-9) and width[-1] > width[0]
     assert np.all(lo <= yhat) and np.all(yhat <= hi)
+
+
+def test_forecast_for_one_entity(spark):
+    data = series(spark, 1, [100 + 10 * i for i in range(12)]) + series(spark, 2, [50 + i for i in range(12)])
+    one = forecast.forecast_cashflow(mart(spark, data), periods=3, entity_id=2).collect()
+    assert {r["entity_id"] for r in one} == {2} and len(one) == 3
