@@ -422,6 +422,29 @@ def calculate_tax(amounts: DataFrame, rule_sets: DataFrame, rules: DataFrame,
                     "_applies_to", "_as_of")
 
 
+def calculate_one(spark: SparkSession, rule_sets: DataFrame, rules: DataFrame, tax_type: str,
+                  amount, applies_to: str = DEFAULT_APPLIES_TO, as_of_date=None,
+                  jurisdiction: str = "MX") -> dict:
+    """T3 for one request, with the reference's answers: the response fields,
+    or LookupError when no rule set is active as of the date or the set has no
+    matching rule. Runs the same batch operator on a one-row frame."""
+    if tax_type not in TAX_TYPES:
+        raise ValueError(f"tax_type must be one of {TAX_TYPES}")
+    as_of = _dt.date.fromisoformat(str(as_of_date)) if as_of_date else _dt.date.today()
+    request = literal_frame(spark, [(tax_type, Decimal(str(amount)), applies_to, as_of)], T.StructType([
+        T.StructField("tax_type", T.StringType()), T.StructField("amount", schemas.MONEY),
+        T.StructField("applies_to", T.StringType()), T.StructField("as_of_date", T.DateType())]))
+    row = calculate_tax(request, rule_sets, rules, applies_to="applies_to", as_of="as_of_date",
+                        jurisdiction=jurisdiction).first()
+    if row["tax_status"] == "no_rule_set":
+        raise LookupError("No active tax rule set found for the given date.")
+    if row["tax_status"] == "no_rule":
+        raise LookupError(f"No {tax_type} rule found for '{applies_to}' in active rule set.")
+    return {"tax_type": tax_type, "input_amount": row["amount"], "tax_amount": row["tax_amount"],
+            "rule_set_id": row["rule_set_id"],
+            "rule_set_effective_date": row["rule_set_effective_date"]}
+
+
 def check_tax_types(amounts: DataFrame, tax_type: str = "tax_type") -> DataFrame:
     """Rows whose tax type cannot be calculated (e.g. RETENCION, trap 8)."""
     return amounts.where(~F.col(tax_type).isin(*TAX_TYPES) | F.col(tax_type).isNull())

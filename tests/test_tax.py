@@ -184,3 +184,17 @@ def test_literal_frame_round_trips_awkward_text(spark):
     df = literal_frame(spark, rows_in, schemas.APPROVAL)
     got = sorted((r["rule_set_id"], r["decision"]) for r in df.collect())
     assert got == sorted((r[0], r[1]) for r in rows_in)
+
+
+def test_single_request_answers(spark, seeded):
+    rule_sets, rules, sid = seeded
+    out = tax.calculate_one(spark, rule_sets, rules, "ISR", "55736.74",
+                            applies_to=tax.ISR_APPLIES_TO, as_of_date="2026-05-01")
+    assert out == {"tax_type": "ISR", "input_amount": D("55736.74"), "tax_amount": D("10457.10"),
+                   "rule_set_id": sid, "rule_set_effective_date": dt.date(2026, 1, 1)}
+    with pytest.raises(LookupError):
+        tax.calculate_one(spark, rule_sets, rules, "IVA", "1.00", as_of_date="2025-01-01")
+    with pytest.raises(LookupError):
+        tax.calculate_one(spark, rule_sets, rules, "ISR", "1.00", as_of_date="2026-05-01")
+    with pytest.raises(ValueError):
+        tax.calculate_one(spark, rule_sets, rules, "RETENCION", "1.00")
