@@ -111,7 +111,9 @@ def _anomaly_group(pdf: pd.DataFrame) -> pd.DataFrame:
     cols = ["entity_id", "month", "net_cashflow", "anomaly_score", "reason"]
     if len(pdf) < MIN_HISTORY_MONTHS:
         return pd.DataFrame(columns=cols)
-    pdf = pdf.sort_values("month")
+    pdf = pdf.dropna(subset=["net_cashflow"]).sort_values("month")   # nothing to score
+    if pdf.empty:
+        return pd.DataFrame(columns=cols)
     scores, flagged = flag_anomalies(pdf["net_cashflow"].astype(float).to_numpy())
     out = pdf.assign(anomaly_score=scores, reason=ANOMALY_REASON)[flagged]
     return out[cols]

@@ -134,9 +134,13 @@ def _forecast_group(periods: int):
                 "history_months"]
         if n < MIN_HISTORY_MONTHS:  # the gate also runs in Spark; kept for direct use
             return pd.DataFrame(columns=cols)
-        ds = pd.to_datetime(pdf["month"]).to_numpy().astype("datetime64[D]")
-        y = pdf["net_cashflow"].astype(float).to_numpy()
-        future = month_ends(ds.max(), periods)
+        known = pdf.dropna(subset=["net_cashflow"])  # missing y is not fitted
+        if known.empty:
+            return pd.DataFrame(columns=cols)
+        ds = pd.to_datetime(known["month"]).to_numpy().astype("datetime64[D]")
+        y = known["net_cashflow"].astype(float).to_numpy()
+        future = month_ends(pd.to_datetime(pdf["month"]).max().to_datetime64().astype("datetime64[D]"),
+                            periods)
         future = future[future > ds.max()]
         yhat, lo, hi = fit_predict(ds, y, future)
         return pd.DataFrame({

@@ -111,3 +111,11 @@ def test_forecast_for_one_entity(spark):
     data = series(spark, 1, [100 + 10 * i for i in range(12)]) + series(spark, 2, [50 + i for i in range(12)])
     one = forecast.forecast_cashflow(mart(spark, data), periods=3, entity_id=2).collect()
     assert {r["entity_id"] for r in one} == {2} and len(one) == 3
+
+
+def test_missing_months_are_not_fitted(spark):
+    data = series(spark, 1, [100 + 10 * i for i in range(12)])
+    data[4] = (1, data[4][1], None)
+    got = forecast.forecast_cashflow(mart(spark, data), periods=2).collect()
+    assert len(got) == 2 and all(r["predicted_net_cashflow"] == r["predicted_net_cashflow"] for r in got)
+    assert {r["history_months"] for r in got} == {12}
