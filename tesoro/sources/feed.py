@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tesoro import schemas
 from tesoro.functions.columns import deterministic_id
+from tesoro.functions.joins import bounded_broadcast
 
 FEED_SCHEMAS = {
     "transactions": schemas.RAW_TRANSACTION,
@@ -183,7 +184,11 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                            F.lit(DEFAULT_ENTITY_NAME).alias("name"),
                            F.lit(DEFAULT_ENTITY_TYPE).alias("entity_type"),
                            ts.alias("created_at")))
-    ent_key = entities.select(F.col("id").alias("entity_id"), F.col("rfc").alias("entity_rfc"))
+    # A feed usually carries one entity (the reference's has exactly one), so the
+    # lookups below join on a single hot key: the dimensions are broadcast when
+    # provably small, and the facts never shuffle on that key.
+    ent_key, _ = bounded_broadcast(
+        entities.select(F.col("id").alias("entity_id"), F.col("rfc").alias("entity_rfc")))
 
     accounts, new_accounts = get_or_create(
         bronze["core_account"],
@@ -200,10 +205,11 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                            F.lit(None).cast("string").alias("parent_id")))
 
     # Surrogate-key lookups (small dimensions: hash joins on distinct keys)
-    acct_key = accounts.where(F.col("account_type") == DEFAULT_ACCOUNT_TYPE).select(
-        F.col("id").alias("account_id"), "entity_id")
-    cat_key = categories.select(F.col("id").alias("category_id"),
-                                F.col("name").alias("category_name"))
+    acct_key, _ = bounded_broadcast(accounts.where(
+        F.col("account_type") == DEFAULT_ACCOUNT_TYPE).select(F.col("id").alias("account_id"),
+                                                              "entity_id"))
+    cat_key, _ = bounded_broadcast(categories.select(F.col("id").alias("category_id"),
+                                                     F.col("name").alias("category_name")))
     t = (txn.join(ent_key, "entity_rfc", "left").join(acct_key, "entity_id", "left")
             .join(cat_key, "category_name", "left"))
     new_txn = _new_only(bronze["core_transaction"], t.select(
