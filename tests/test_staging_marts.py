@@ -209,3 +209,19 @@ def test_missing_category_is_its_own_null_group(spark):
     got = {r["category"]: (r["transaction_count"], r["total_amount"])
            for r in marts.expense_summary(d, cats).collect()}
     assert got == {"Rent": (1, D("5.00")), None: (2, D("8.00"))}
+
+
+def test_one_big_account_with_small_groups(spark):
+    # every row in one account (a one-entity feed); groups of at most 2 rows
+    df = spark.range(400).select(
+        F.format_string("t%04d", "id").alias("transaction_id"), F.lit(1).cast("bigint").alias("account_id"),
+        F.lit(1).cast("bigint").alias("category_id"), F.lit("2024-03-01").cast("date").alias("transaction_date"),
+        (F.floor(F.col("id") / 2) + 1).cast("decimal(14,2)").alias("amount"), F.lit("d").alias("description"),
+        F.lit("x").alias("source_doc_ref"), F.lit(False).alias("is_duplicate_flag"),
+        F.lit(None).cast("double").alias("confidence_score"),
+        F.lit("2024-03-01 00:00:00").cast("timestamp").alias("created_at"))
+    found, _ = staging._find_hot_groups(df, 2)
+    assert found == []                                     # the account is a candidate, no group is hot
+    cols = ["transaction_id", "dup_group_size", "dup_rank"]
+    assert rows(staging.flag_duplicates(df, hot_group_rows=2), *cols) == \
+        rows(staging.flag_duplicates(df, hot_group_rows=None), *cols)
