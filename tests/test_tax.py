@@ -199,19 +199,3 @@ def test_single_request_answers(spark, seeded):
     with pytest.raises(ValueError):
         tax.calculate_one(spark, rule_sets, rules, "RETENCION", "1.00")
 
-
-def test_unrolled_bracket_search_equals_filter(spark):
-    brackets = [(D("0.01"), D("100.00"), D("0.00"), D("0.1000")),
-                (D("50.00"), D("0.00"), D("1.00"), D("0.5000")),      # zero max = open-ended
-                (D("200.00"), D("300.00"), None, D("0.2000"))]        # missing fee
-    arr = F.array(*[F.struct(F.lit(lo).cast("decimal(14,2)").alias("min"),
-                             F.lit(hi).cast("decimal(14,2)").alias("max"),
-                             F.lit(fee).cast("decimal(14,2)").alias("fixed_fee"),
-                             F.lit(rate).cast("decimal(8,4)").alias("rate"))
-                    for lo, hi, fee, rate in brackets])
-    incomes = ["-1.00", "0.00", "0.01", "49.99", "75.00", "100.00", "100.01", "250.00", "99999.99"]
-    df = spark.createDataFrame([(D(x),) for x in incomes], "income decimal(14,2)")
-    a = [r[0] for r in df.select(tax.isr_tax("income", arr)).collect()]
-    b = [r[0] for r in df.select(tax.isr_from_bracket(
-        "income", tax.matching_bracket_unrolled("income", arr, 5))).collect()]
-    assert a == b
