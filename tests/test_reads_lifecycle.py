@@ -60,3 +60,13 @@ def test_models_as_views(spark):
     assert n == 0
     assert spark.sql("SELECT count(*) FROM stg_transactions_deduped").first()[0] == \
         dt_.transactions(spark, SF).count()
+
+
+def test_rule_table_versions_are_immutable(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+    rule_sets, _ = tax_cycle.example_rule_history(spark)
+    base = str(tmp_path / "rs")
+    tax.save_version(rule_sets, base, "001")
+    with pytest.raises(AnalysisException):
+        tax.save_version(rule_sets, base, "001")      # never overwritten in place
