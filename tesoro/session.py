@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -66,13 +67,22 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``tesoro`` importable in Python workers (grouped maps pickle
-    references to its functions): ship the package folder once per application
-    with ``addFile``; workers have the SparkFiles root on their path."""
+    """Make ``tesoro`` importable in Python workers (grouped maps pickle references
+    to its functions): add the package's sources as one zip, once per application.
+    Spark's file server hands the zip from the driver to every executor, also to
+    those that start later."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    sc.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tesoro-py-"), "tesoro.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
 
 
