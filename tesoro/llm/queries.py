@@ -7,10 +7,20 @@ them against brute-force versions instead.
 
 from __future__ import annotations
 
+from tesoro.llm.decontaminate import op5_decontamination
+from tesoro.llm.mixture import op8_mixture
 from tesoro.llm.simhash import op2_simhash_near_dedup
+from tesoro.llm.token_output import op9_token_output
+from tesoro.llm.topk import op6_exact_topk
+from tesoro.llm.toxicity import op4_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op2_simhash_near_dedup,
+    op4_toxicity,
+    op5_decontamination,
+    op6_exact_topk,
+    op8_mixture,
+    op9_token_output,
 )}
 
 ORACLE: dict[str, str] = {}

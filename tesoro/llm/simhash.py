@@ -133,12 +133,15 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("doc_id").isNull().alias("_none"))
             .distinct())
-    rows = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
-                             "_none": F.col("doc_id").isNull()})
-    first = Window.partitionBy("_key", "_none", F.xxhash64("text")).orderBy(
-        *[F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind])
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("text").alias("_text"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"),
+                       F.col("doc_id").isNull().alias("_none"))
+    first = Window.partitionBy("_key", "_none", "_text").orderBy(
+        *[F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind],
+        F.lit(0))
     return (rows.join(kept, ["_key", "_none"], "left_semi")
-                .withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns))
+                .withColumn("_n", F.row_number().over(first)).where("_n = 1")
+                .select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
