@@ -167,10 +167,10 @@ def _merge_spans(spans: Column) -> Column:
     def add(done: Column, new: Column) -> Column:
         last = F.element_at(done, -1)
         joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            last["first"].alias("first"), F.greatest(last["last"], new["last"]).alias("last"))))
-        return (F.when(F.size(done) == 0, F.array(new))
+            last["first"].alias("first"), F.greatest(last["last"], new["last"]).alias("last"))).cast(_SPAN))
+        return (F.when(F.size(done) == 0, F.array(new).cast(_SPAN))
                  .when(last["last"] >= new["first"], joined)
-                 .otherwise(F.concat(done, F.array(new))))
+                 .otherwise(F.concat(done, F.array(new).cast(_SPAN))))
     return F.aggregate(F.sort_array(spans), F.array().cast(_SPAN), add)
 
 
