@@ -5,7 +5,8 @@ ordered thresholds. A document's features are the distinct words it has of a lea
 vocabulary. The expected severity is the sum over k of P(grade > k).
 
 Fitting uses a bounded, seeded sample of the labelled rows (``SAMPLE_PER_GRADE`` a
-grade, weighted back to the true shares); scoring covers every document.
+grade), with as much weight on the lowest grade as on all others, so that few toxic
+labels don't pull every probability down; scoring covers every document.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from tesoro.llm.common import prepare, read, shared_uri, steps, values
 SAMPLE_PER_GRADE = 6_000
 VOCABULARY = 8_192
 # A word must be in so many sample documents to become a feature.
-MIN_DOCUMENTS = 5
-# Words of a sample document that may reach the driver as features; the most
-# telling ones come first.
+MIN_DOCUMENTS = 3
+# Least log-likelihood ratio of a feature (half a chi-square of one degree: p < 0.0001).
+LEAST_TELLING = 7.6
 FIT_STEPS = 300
-RIDGE = 1e-3
+RIDGE = 0.5  # divided by the number of sample documents
 # A document is rejected if its probability of a grade above 0 reaches this.
 REJECT_AT = 0.5
 
@@ -39,7 +40,8 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
                    for b in range(256))
 
 
-def words(text: bytes | None) -> set[bytes]:
+def features(text: bytes | None) -> set[bytes]:
+    """The distinct words of a text."""
     return set((text or b"").translate(WORD_BYTES).split())
 
 
@@ -56,7 +58,7 @@ class OrdinalModel:
 
     def above(self, text: bytes | None) -> np.ndarray:
         """P(grade > k) for each threshold k."""
-        score = sum(map(self.weights.__getitem__, words(text) & self.weights.keys()))
+        score = sum(map(self.weights.__getitem__, features(text) & self.weights.keys()))
         return _sigmoid(score - self.thresholds)
 
 
@@ -91,7 +93,7 @@ def fit_cumulative_link(rows: np.ndarray, features: np.ndarray, grade: np.ndarra
         np.add.at(by_theta, np.minimum(grade, k - 1), np.where(grade < k, -share * up / probability, 0))
         np.add.at(by_theta, np.maximum(grade - 1, 0), np.where(grade > 0, share * down / probability, 0))
         tail = np.cumsum(by_theta[::-1])[::-1]
-        gradient = np.r_[np.bincount(features, weights=by_score[rows], minlength=n_features) + ridge * w,
+        gradient = np.r_[np.bincount(features, weights=by_score[rows], minlength=n_features) + ridge / n * w,
                          tail[0], tail[1:] * np.exp(gaps)]
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient ** 2
@@ -122,7 +124,7 @@ def _word_rows(sample: DataFrame) -> DataFrame:
     """``(row, grade, share, words)``: the distinct words of every sample document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
-            found = [sorted(words(t)) for t in values(step, "text")]
+            found = [sorted(features(t)) for t in values(step, "text")]
             yield pa.RecordBatch.from_arrays(
                 [step.column(0), step.column(1), pa.array(found, pa.list_(pa.binary()))], ["grade", "share", "words"])
     return sample.select("grade", "share", F.col("text").cast("binary").alias("text")).mapInArrow(
@@ -130,10 +132,12 @@ def _word_rows(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMPLE_PER_GRADE,
-        vocabulary: int = VOCABULARY, min_documents: int = MIN_DOCUMENTS) -> OrdinalModel:
+        vocabulary: int = VOCABULARY, min_documents: int = MIN_DOCUMENTS,
+        least: float = LEAST_TELLING, balance: bool = True) -> OrdinalModel:
     """Fit on the sample. The vocabulary is the words whose presence tells most about
     a grade above the lowest (largest weighted log-likelihood ratio); ties go to the
-    smaller word. With one grade only, every document gets it.
+    smaller word. ``balance`` gives the lowest grade as much weight as all others. With
+    one grade only, every document gets it.
 
     Null texts count as empty; labels without a document and null grades are ignored;
     no usable label raises ValueError.
@@ -161,18 +165,18 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMP
     rate = (F.col("a") + F.col("b")) / (n_high + n_low)
     telling = (term(F.col("a"), n_high * rate) + term(F.col("b"), n_low * rate)
                + term(n_high - F.col("a"), n_high * (1 - rate)) + term(n_low - F.col("b"), n_low * (1 - rate)))
-    chosen = [bytes(r["word"]) for r in counted.select("word", telling.alias("g"))
+    chosen = [bytes(r["word"]) for r in counted.select("word", telling.alias("g")).where(F.col("g") >= least)
               .orderBy(F.desc("g"), "word").limit(vocabulary).collect()]
     number = {w: i for i, w in enumerate(chosen)}
     known = spark.sparkContext.broadcast(number)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
         for batch in batches:
             found = [[i for w in ws if (i := get(w)) is not None] for ws in values(batch, "words")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
                                              ["grade", "share", "features"])
-    rows = sample.mapInArrow(features, "grade int, share double, features array<int>").toArrow()
+    rows = sample.mapInArrow(numbered, "grade int, share double, features array<int>").toArrow()
     rows = rows.combine_chunks()
     lists = rows["features"].combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
@@ -180,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMP
     index = lists.flatten().to_numpy().astype(np.int64)
     level = {g: i for i, g in enumerate(grades)}
     grade_of = np.array([level[g] for g in rows["grade"].to_pylist()])
-    w, thresholds = fit_cumulative_link(at, index, grade_of, rows["share"].to_numpy(), len(grades), len(chosen))
+    weight = rows["share"].to_numpy() / np.where(grade_of == 0, n_low, n_high) if balance else rows["share"].to_numpy()
+    w, thresholds = fit_cumulative_link(at, index, grade_of, weight, len(grades), len(chosen))
     return OrdinalModel(grades, thresholds, {word: float(w[i]) for word, i in number.items() if w[i]})
 
 
