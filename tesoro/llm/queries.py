@@ -8,6 +8,9 @@ them against brute-force versions instead.
 from __future__ import annotations
 
 from tesoro.llm.decontaminate import op5_decontamination
+from tesoro.llm.html_text import op1_html_extraction
+from tesoro.llm.langid import op3_language_id
+from tesoro.llm.language_model import op7_language_model
 from tesoro.llm.mixture import op8_mixture
 from tesoro.llm.simhash import op2_simhash_near_dedup
 from tesoro.llm.token_output import op9_token_output
@@ -15,10 +18,13 @@ from tesoro.llm.topk import op6_exact_topk
 from tesoro.llm.toxicity import op4_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op1_html_extraction,
     op2_simhash_near_dedup,
+    op3_language_id,
     op4_toxicity,
     op5_decontamination,
     op6_exact_topk,
+    op7_language_model,
     op8_mixture,
     op9_token_output,
 )}
