@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesoro.llm.hash_arrays import BLOCK, Held, bits_for, counted, top_part, unblock
 from tesoro.llm.common import mounted_path, prepare, read, shared_uri, steps, values, write_file
 
 # Hash of the end token: no word holds a space.
@@ -36,8 +37,6 @@ VOCABULARY_PART_BYTES = 32 << 20
 PAIR_PART_TOKENS = 4_000_000
 # Numbers of one part of the per-token tables.
 NUMBERS_PER_PART = 1 << 18
-# Distinct keys that a counting task holds before it passes them on.
-HELD_KEYS = 4_000_000
 UNKNOWN = -1
 
 
@@ -51,75 +50,6 @@ def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
-
-
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.r_[first, len(keys)])
-
-
-class _Held:
-    """Counts that a task gathers; passed on in blocks by part."""
-
-    def __init__(self, part_of):
-        self.part_of, self.keys, self.counts, self.size = part_of, [], [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = counted(keys)
-        self.keys.append(found[0])
-        self.counts.append(found[1])
-        self.size += len(found[0])
-        if self.size > HELD_KEYS:
-            self.keys, self.counts = ([x] for x in merged(self.keys, self.counts))
-            self.size = len(self.keys[0])
-            if self.size > HELD_KEYS // 2:
-                yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        keys, counts = merged(self.keys, self.counts)
-        self.keys, self.counts, self.size = [], [], 0
-        part = self.part_of(keys)
-        order = np.argsort(part, kind="stable")
-        keys, counts, part = keys[order], counts[order], part[order]
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-        for a, b in zip(cuts, np.r_[cuts[1:], len(part)].astype(int)) if len(part) else []:
-            one = counts[a:b] == 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[a])], pa.int32()), pa.array([keys[a:b][one].tobytes()], pa.binary()),
-                 pa.array([keys[a:b][~one].tobytes()], pa.binary()),
-                 pa.array([counts[a:b][~one].astype("<u4").tobytes()], pa.binary())],
-                ["part", "once", "more", "counts"])
-
-
-_BLOCK = "part int, once binary, more binary, counts binary"
-
-
-def _unblock(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The merged counts of a part's blocks."""
-    once = [np.frombuffer(x, "<u8") for x in table["once"].to_pylist()]
-    more = [np.frombuffer(x, "<u8") for x in table["more"].to_pylist()]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()]
-    return merged(once + more, [np.ones(len(x), np.int64) for x in once] + counts)
-
-
-def _bits(n: int) -> int:
-    return max(0, int(n - 1).bit_length())
-
-
-def _vocabulary_part(bits: int):
-    return lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-
-
 def _pair_part(parts: int):
     return lambda keys: (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
@@ -169,7 +99,7 @@ class BigramModel:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes; UNKNOWN for those not in training."""
         out = np.full(len(hashes), UNKNOWN, dtype=np.int64)
-        part = _vocabulary_part(self.vocabulary_bits)(hashes)
+        part = top_part(self.vocabulary_bits)(hashes)
         for p in np.unique(part):
             at = slice(*np.searchsorted(part, [p, p + 1]))
             held = self._map(f"token-{p}", "<u8")
@@ -262,24 +192,24 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
     texts = _text(docs)
     target = mounted_path(folder)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _bits(1 + size // VOCABULARY_PART_BYTES)
+    bits = bits_for(1 + size // VOCABULARY_PART_BYTES)
 
     def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(_vocabulary_part(bits))
+        held = Held(top_part(bits))
         for step in steps(batches, "text"):
             yield from held.add(token_hashes(values(step, "text"))[0])
         yield from held.flush()
 
     def write_tokens(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        keys, counts = _unblock(table)
+        keys, counts = unblock(table)
         write_file(f"{target}/token-{part}", keys.astype("<u8").tobytes())
         write_file(f"{target}/count-{part}", counts.astype("<u8").tobytes())
         return pa.table({"part": pa.array([part], pa.int32()), "size": pa.array([len(keys)], pa.int64()),
                          "n": pa.array([int(counts.sum())], pa.int64())})
 
     # one row for each part of the vocabulary
-    found = (texts.mapInArrow(count_tokens, _BLOCK).groupBy("part")
+    found = (texts.mapInArrow(count_tokens, BLOCK).groupBy("part")
                   .applyInArrow(write_tokens, "part int, size long, n long").collect())
     sizes = np.zeros(1 << bits, dtype=np.int64)
     for r in found:
@@ -292,7 +222,7 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        held = _Held(_pair_part(model.pair_parts))
+        held = Held(_pair_part(model.pair_parts))
         for step in steps(batches, "text"):
             hashes, sizes = token_hashes(values(step, "text"))
             unique, which = np.unique(hashes, return_inverse=True)
@@ -305,7 +235,7 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
     def write_pairs(table: pa.Table) -> pa.Table:
         """A part's files, and what its pairs add to the contexts and continuations."""
         part = table["part"][0].as_py()
-        keys, counts = _unblock(table)
+        keys, counts = unblock(table)
         write_file(f"{target}/pair-{part}", keys.astype("<u8").tobytes())
         write_file(f"{target}/pairs-{part}", counts.astype("<u4").tobytes())
         context = (keys >> np.uint64(32)).astype(np.int64)
@@ -343,7 +273,7 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
                          "over": pa.array([int((n >= 3).sum())], pa.int64()), "all": pa.array([int(n.sum())], pa.int64())})
 
     # one row for each range of numbers
-    tables = (texts.mapInArrow(count_pairs, _BLOCK).groupBy("part")
+    tables = (texts.mapInArrow(count_pairs, BLOCK).groupBy("part")
                    .applyInArrow(write_pairs, "part int, context binary, sums binary, word binary, times binary, seen array<long>")
                    .groupBy("part").applyInArrow(write_table, "seen array<long>, again array<long>, over long, all long")
                    .collect())

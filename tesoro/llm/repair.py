@@ -23,18 +23,17 @@ _HEADER = struct.Struct("<4sIIIIQ")
 
 # A pair becomes a rule if it occurs so often in its shard (a rule costs 12 bytes);
 # rules made before the pairs are counted again.
-MIN_PAIRS = 64
-RULES_PER_ROUND = 2048
+MIN_PAIRS = 128
+RULES_PER_ROUND = 16384
 # Symbols of a vocabulary that leaves room for rules in 16 bits are 16-bit.
 SYMBOLS = 1 << 16
 
 
-def _pairs(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The pairs at places ``at``: left in the high half, right in the low half of an
-    integer twice as wide as a symbol."""
-    half = symbols.dtype.itemsize * 8
-    wide = np.dtype(f"u{symbols.dtype.itemsize * 2}").type
-    return (symbols[at].astype(wide) << wide(half)) | symbols[at + 1]
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs of symbols: left in the high half, right in the low half of an integer
+    twice as wide as a symbol."""
+    wide = np.dtype(f"u{left.dtype.itemsize * 2}").type
+    return (left.astype(wide) << wide(left.dtype.itemsize * 8)) | right
 
 
 def _sides(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +45,7 @@ def _frequent_pairs(symbols: np.ndarray, inner: np.ndarray, at_least: int, at_mo
     """Pairs with at least ``at_least`` places, the most frequent ``at_most`` of them,
     ties to the smaller pair. ``inner[i]`` is True where symbols i and i + 1 belong to
     one document."""
-    pairs = np.sort(_pairs(symbols, np.flatnonzero(inner)))
+    pairs = np.sort(_pairs(symbols[:-1], symbols[1:])[inner])
     if not len(pairs):
         return pairs
     first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
@@ -66,7 +65,7 @@ def _replace(symbols: np.ndarray, inner: np.ndarray, starts: np.ndarray, pairs:
     for side, marked in zip(_sides(pairs), (left, right)):
         marked[side] = True
     at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & inner)
-    keys = _pairs(symbols, at)
+    keys = _pairs(symbols[at], symbols[at + 1])
     found = np.searchsorted(ranked, keys)
     hit = ranked[np.minimum(found, len(ranked) - 1)] == keys
     at, rule = at[hit], order[found[hit]]

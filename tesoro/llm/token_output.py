@@ -10,6 +10,7 @@ token offset is its partition's offset plus what the partition has before it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +28,14 @@ TOKENIZER = "word_bpe_49k.json"  # of the public tokenizers; see tokenizer_path
 END_ID = 1
 # Token ids of one shard file (a longer document is a shard of its own).
 SHARD_TOKENS = 2_000_000
-# Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+# White-space-free chunks, and words and marks in them, whose ids a worker remembers.
+CACHE_CHUNKS = 800_000
+CACHE_UNITS = 600_000
+# Units that are encoded as one text.
+JOINED_UNITS = 500
+
+# ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
+_CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 MANIFEST = "partition int, shard int, path string, n_docs long, n_tokens long"
 
@@ -40,11 +47,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: words are
-    encoded once and remembered, as packed little-endian 32-bit ids.
-
-    That holds for tokenizers whose pre-tokenizer drops white space, as the default
-    one's does; ``whole`` encodes texts as they are, for all others.
+    """Ids of texts by a tokenizer that never joins across ASCII white space, as the
+    default one, whose pre-tokenizer drops white space and cuts letters from marks. So a
+    text's ids are those of its white-space-free chunks, and a chunk of letters within
+    ASCII marks has the ids of its parts. Chunks and parts are encoded once by the
+    library and remembered as packed little-endian 32-bit ids; many parts are encoded as
+    one text and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -52,23 +60,59 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _learn_units(self, wanted: set[bytes]) -> None:
+        new = [u for u in wanted if u not in self.units]
+        if len(self.units) + len(new) > CACHE_UNITS:
+            self.units.clear()
+            new = list(wanted)
+        groups = [new[i:i + JOINED_UNITS] for i in range(0, len(new), JOINED_UNITS)]
+        for group, packed in zip(groups, self._whole([b" ".join(g) for g in groups])):
+            ids = np.frombuffer(packed, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(group) and last[-1] == len(ids):
+                cuts = [0, *(last * 4).tolist()]
+                self.units.update(zip(group, (packed[a:b] for a, b in zip(cuts, cuts[1:]))))
+            else:  # a unit that the tokenizer cuts further
+                self.units.update(zip(group, self._whole(group)))
 
     def _learn(self, wanted: set[bytes]) -> None:
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+        new = [c for c in wanted if c not in self.chunks]
+        if len(self.chunks) + len(new) > CACHE_CHUNKS:
+            self.chunks.clear()
             new = list(wanted)
-        texts = [w.decode() for w in new]
-        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[word] = np.array(encoded.ids, dtype="<u4").tobytes()
+        parts, others = [], []
+        for chunk in new:
+            m = _CHUNK.fullmatch(chunk)
+            if m and b"<|" not in chunk:
+                word = m[2]
+                if word.isascii():
+                    parts.append((chunk, [u for u in (m[1], word.lower(), m[3]) if u]))
+                    continue
+                if word.decode().isalpha():
+                    parts.append((chunk, [u for u in (m[1], word, m[3]) if u]))
+                    continue
+            others.append(chunk)
+        self._learn_units({u for _, us in parts for u in us})
+        for chunk, us in parts:
+            self.chunks[chunk] = b"".join([self.units[u] for u in us])
+        self.chunks.update(zip(others, self._whole(others)))
 
     def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> list[bytes]:
         """Packed ids of each text, closed by the end id; null is the empty text."""
         split = [(t or b"").split() for t in texts]
         self._learn(set().union(*split))
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        get = self.known.__getitem__
+        get = self.chunks.__getitem__
         return [b"".join(map(get, ws)) + end for ws in split]
 
 
@@ -153,7 +197,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                      pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, spark.sparkContext.defaultParallelism, len(offsets))
+    return files.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
