@@ -13,6 +13,7 @@ from tesoro.llm.langid import op3_language_id
 from tesoro.llm.language_model import op7_language_model
 from tesoro.llm.mixture import op8_mixture
 from tesoro.llm.simhash import op2_simhash_near_dedup
+from tesoro.llm.suffix_dedup import op10_suffix_dedup
 from tesoro.llm.token_output import op9_token_output
 from tesoro.llm.topk import op6_exact_topk
 from tesoro.llm.toxicity import op4_toxicity
@@ -27,6 +28,7 @@ QUERIES = {f.__name__: f for f in (
     op7_language_model,
     op8_mixture,
     op9_token_output,
+    op10_suffix_dedup,
 )}
 
 ORACLE: dict[str, str] = {}
