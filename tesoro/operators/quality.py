@@ -1,18 +1,15 @@
 """Data-quality checks D1-D7 on DataFrames.
 
 Each check returns the *failing* rows (or values) as a lazy DataFrame, like a
-dbt test's SELECT. ``summarize`` turns a list of checks into one small table of
-failure counts; ``null_counts`` checks several columns of one model in a single
-scan.
+dbt test's SELECT; ``summarize`` turns a list of them into one small table of failure
+counts. ``failures`` counts any number of row checks of one table in a single scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesoro.functions.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
-
 SUMMARY_COLUMNS = ("model", "column_name", "test", "failures")
 
 
@@ -25,45 +22,87 @@ def unique(df: DataFrame, column: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > 1))
 
 
+# Failing-row predicates: combined by ``failures`` into one scan of a table.
+
+def is_null(column: str) -> Column:
+    """D2."""
+    return F.col(column).isNull()
+
+
+def not_accepted(column: str, values) -> Column:
+    """D3: a non-NULL value outside ``values``."""
+    return F.col(column).isNotNull() & ~F.col(column).isin(*values)
+
+
+def longer_than(column: str, max_length: int) -> Column:
+    """A string longer than the varchar(n) limit."""
+    return F.length(F.col(column).cast("string")) > max_length
+
+
+def not_a_decimal(column: str, precision: int, scale: int) -> Column:
+    """A value that does not fit DECIMAL(precision, scale) exactly.
+
+    ``try_cast`` catches overflow and non-numbers; extra decimals would be
+    rounded silently, so the value is also compared with a wider cast."""
+    c = F.col(column)
+    narrow = c.try_cast(f"decimal({precision},{scale})")
+    wide = c.try_cast("decimal(38,10)")
+    return c.isNotNull() & (narrow.isNull() | wide.isNull() | (narrow.cast("decimal(38,10)") != wide))
+
+
+def with_parents(child: DataFrame, links) -> tuple[DataFrame, list[Column]]:
+    """D4 for several foreign keys of one table: ``links`` is a list of (fk, parent,
+    pk). Returns the child joined with its parents' distinct keys, and a predicate for
+    each link: a non-NULL key without a parent. Spark broadcasts parents by their size;
+    larger ones are shuffle joins, which adaptive execution splits where a key is hot."""
+    orphans = []
+    for i, (fk, parent, pk) in enumerate(links):
+        keys = parent.select(F.col(pk).alias(f"_pk{i}")).where(F.col(pk).isNotNull()).distinct()
+        child = child.join(keys, F.col(fk) == F.col(f"_pk{i}"), "left")
+        orphans.append(F.col(fk).isNotNull() & F.col(f"_pk{i}").isNull())
+    return child, orphans
+
+
+def failures(df: DataFrame, model: str, checks) -> DataFrame:
+    """Several checks of one model in one scan: ``checks`` is a list of (column, test,
+    failing predicate). Returns (model, column_name, test, failures)."""
+    counts = df.agg(*[F.count_if(failing).alias(f"_{i}") for i, (_, _, failing) in enumerate(checks)])
+    stack = ", ".join(f"'{c}', '{t}', _{i}" for i, (c, t, _) in enumerate(checks))
+    return counts.select(F.expr(f"stack({len(checks)}, {stack}) AS (column_name, test, failures)")).select(
+        F.lit(model).alias("model"), "column_name", "test", "failures")
+
+
+def union_all(parts) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def not_null(df: DataFrame, column: str) -> DataFrame:
     """Rows where ``column`` is NULL."""
-    return df.where(F.col(column).isNull())
+    return df.where(is_null(column))
 
 
 def accepted_values(df: DataFrame, column: str, values) -> DataFrame:
     """D3: rows whose non-NULL ``column`` is outside ``values``."""
-    return df.where(F.col(column).isNotNull() & ~F.col(column).isin(*values))
-
+    return df.where(not_accepted(column, values))
 
-def relationships(child: DataFrame, fk: str, parent: DataFrame, pk: str,
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Child rows whose non-NULL foreign key has no parent row.
 
-    The parent keys are broadcast when provably small; otherwise the anti join
-    shuffles both sides (AQE splits skewed child partitions)."""
-    raw = parent.select(F.col(pk).alias("_pk"))
-    keys = raw.distinct()
-    # raw rows bound the distinct keys, and limit() stops early on a big parent
-    if row_count_at_most(raw, max_broadcast_rows):
-        keys = F.broadcast(keys)
+def relationships(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    """Child rows whose non-NULL foreign key has no parent row."""
+    keys = parent.select(F.col(pk).alias("_pk")).distinct()
     return child.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == keys["_pk"], "left_anti")
 
 
 def too_long(df: DataFrame, column: str, max_length: int) -> DataFrame:
-    """Strings longer than the varchar(n) limit."""
-    return df.where(F.length(F.col(column).cast("string")) > max_length)
+    """Rows with a string longer than the varchar(n) limit."""
+    return df.where(longer_than(column, max_length))
 
 
 def not_decimal(df: DataFrame, column: str, precision: int, scale: int) -> DataFrame:
-    """Values that do not fit DECIMAL(precision, scale) exactly.
-
-    ``try_cast`` catches overflow and non-numbers; extra decimals would be
-    rounded silently, so the value is also compared with a wider cast."""
-    c = F.col(column)
-    narrow = c.try_cast(f"decimal({precision},{scale})")
-    wide = c.try_cast("decimal(38,10)")
-    return df.where(c.isNotNull() & (narrow.isNull() | wide.isNull()
-                                     | (narrow.cast("decimal(38,10)") != wide)))
+    """Rows with a value that does not fit DECIMAL(precision, scale) exactly."""
+    return df.where(not_a_decimal(column, precision, scale))
 
 
 def cascade_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str) -> DataFrame:
@@ -84,20 +123,12 @@ def summarize(checks) -> DataFrame:
     """One row per check: (model, column_name, test, failures).
 
     ``checks`` is a list of (model, column, test_name, failing DataFrame)."""
-    parts = [failing.agg(F.count(F.lit(1)).alias("failures")).select(
-                 F.lit(model).alias("model"), F.lit(column).alias("column_name"),
-                 F.lit(test).alias("test"), "failures")
-             for model, column, test, failing in checks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all([
+        failing.agg(F.count(F.lit(1)).alias("failures")).select(
+            F.lit(model).alias("model"), F.lit(column).alias("column_name"), F.lit(test).alias("test"), "failures")
+        for model, column, test, failing in checks])
 
 
 def null_counts(df: DataFrame, model: str, columns) -> DataFrame:
     """D2 for several columns in one scan: (model, column_name, test, failures)."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"_{i}") for i, c in enumerate(columns)])
-    stack = ", ".join(f"'{c}', _{i}" for i, c in enumerate(columns))
-    return counts.select(F.expr(f"stack({len(columns)}, {stack}) AS (column_name, failures)")) \
-                 .select(F.lit(model).alias("model"), "column_name",
-                         F.lit("not_null").alias("test"), "failures")
+    return failures(df, model, [(c, "not_null", is_null(c)) for c in columns])

@@ -3,7 +3,9 @@
 Each report takes an optional id filter (P8) that is added to the lazy plan, so
 Catalyst pushes it through the windows and aggregates down to the scan. Sorts
 name their NULL placement explicitly: PostgreSQL puts NULLs last on ASC and
-first on DESC, Spark the other way round (trap 16).
+first on DESC, Spark the other way round (trap 16). The reference leaves rows of one
+month or date and amount in any order; unique keys after them fix it, and let the range
+sort split equal months.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def duplicate_report(deduped: DataFrame, account_id=None) -> DataFrame:
     df = _maybe_filter(deduped.where(F.col("is_likely_duplicate")), "account_id", account_id)
     return (df.select("transaction_id", "account_id", "transaction_date", "amount",
                       "description", "dup_group_size", "dup_rank")
-              .orderBy(F.col("transaction_date").asc_nulls_last(),
-                       F.col("amount").asc_nulls_last()))
+              .orderBy(F.col("transaction_date").asc_nulls_last(), F.col("amount").asc_nulls_last(),
+                       F.col("account_id").asc_nulls_last(), F.col("dup_rank")))
 
 
 def cost_spike_report(flags: DataFrame, account_id=None) -> DataFrame:
@@ -50,7 +52,8 @@ def cost_spike_report(flags: DataFrame, account_id=None) -> DataFrame:
     df = _maybe_filter(flags, "account_id", account_id)
     return (df.select("account_id", "category", "month", "total_amount", "rolling_6mo_avg",
                       "pct_above_rolling_avg", "flag_reason")
-              .orderBy(F.col("month").desc_nulls_first()))
+              .orderBy(F.col("month").desc_nulls_first(), F.col("account_id").asc_nulls_last(),
+                       F.col("category").asc_nulls_last()))
 
 
 def normalization_review(deduped: DataFrame, flags: DataFrame, account_id=None) -> dict:

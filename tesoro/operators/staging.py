@@ -7,7 +7,6 @@ filters reach the parquet scan.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +87,9 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
 
     Range-partition on (key, order): one hot group lands in consecutive slices,
     each holding a contiguous run of its order. One window gives the rank inside
-    the slice and the slice size; that result is materialised once (persisted,
-    then checkpointed to the shared checkpoint folder), so the slice offsets and
-    the ranks are computed from the same slices even though range boundaries
-    are sampled. Rank = rank inside the slice + rows of the same group in
+    the slice and the slice size; that result is checkpointed to the shared folder,
+    so the slice offsets and the ranks are computed from the same slices even though
+    range boundaries are sampled. Rank = rank inside the slice + rows of the same group in
     earlier slices. Group size comes from the count aggregate that found the
     group (column ``_n``).
     """
@@ -102,9 +100,7 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
              .withColumn("_local_rank", F.row_number().over(in_slice))
              .withColumn("_slice_rows", F.count(F.lit(1)).over(
                  in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    cached = local.persist(StorageLevel.DISK_ONLY)
-    local = cached.checkpoint(eager=True)
-    cached.unpersist()
+    local = local.checkpoint(eager=True)
     per_slice = local.select(*DUP_KEY, "_slice", "_slice_rows").dropDuplicates([*DUP_KEY, "_slice"])
     offsets = per_slice.withColumn(
         "_offset",

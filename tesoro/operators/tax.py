@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from tesoro import schemas
 from tesoro.functions.columns import MONEY, quantize_half_even
-from tesoro.functions.joins import bounded_broadcast
 from tesoro.sources.literal import literal_frame, typed_lit
 
 # ---- fixed values -----------------------------------------------------------------
@@ -122,6 +121,18 @@ def empty_rule_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
             literal_frame(spark, [], schemas.TAX_RULE))
 
 
+def rules_from_json(rules: DataFrame, column: str = "formula_expression") -> DataFrame:
+    """X11: rule rows whose formula is JSON text, ``{"brackets": [{"min": .., "max": ..,
+    "fixed_fee": .., "rate": ..}]}``, typed as in TAX_RULE. Numbers may be JSON numbers
+    or strings; text that does not parse gives a NULL formula (status ``bad_rule``)."""
+    text = T.StructType([T.StructField("brackets", T.ArrayType(T.StructType([
+        T.StructField(f.name, T.StringType()) for f in schemas.BRACKET.fields])))])
+    parsed = F.from_json(column, text)
+    typed = F.transform(parsed["brackets"], lambda b: F.struct(*[
+        b[f.name].try_cast(f.dataType).alias(f.name) for f in schemas.BRACKET.fields]))
+    return rules.withColumn(column, F.when(parsed["brackets"].isNotNull(), F.struct(typed.alias("brackets"))))
+
+
 # ---- T7 / T9: drafts ---------------------------------------------------------------
 
 def _draft_rows(spec: dict, created_at: _dt.datetime, set_id: str | None):
@@ -177,7 +188,8 @@ def publish_in_order(rule_sets: DataFrame, set_ids, published_by: str = "api_use
 
     Unknown id -> LookupError; an id that is already active -> ValueError.
     Republishing a superseded set is allowed. Only the (id, status,
-    jurisdiction) of the named sets reach the driver.
+    jurisdiction) of the named sets reach the driver. The sets of a call are
+    stamped a microsecond apart, in their order.
     """
     set_ids = list(set_ids)
     if len(set(set_ids)) != len(set_ids):
@@ -185,7 +197,7 @@ def publish_in_order(rule_sets: DataFrame, set_ids, published_by: str = "api_use
     if not set_ids:
         return rule_sets
     found = {r["id"]: r for r in rule_sets.where(F.col("id").isin(*set_ids))
-             .select("id", "status", "jurisdiction").limit(len(set_ids) + 1).collect()}
+             .select("id", "status", "jurisdiction").distinct().collect()}
     for sid in set_ids:
         if sid not in found:
             raise LookupError(f"rule set {sid} not found")
@@ -197,6 +209,9 @@ def publish_in_order(rule_sets: DataFrame, set_ids, published_by: str = "api_use
     losers = [sid for sid in set_ids if sid not in winners.values()]
     stamp = published_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     published = F.col("id").isin(*set_ids)
+    # one microsecond apart, so that the order of publication is kept (J3 ties)
+    stamps = F.create_map(*[x for i, sid in enumerate(set_ids) for x in (
+        F.lit(sid), typed_lit(stamp + _dt.timedelta(microseconds=i), T.TimestampType()))])
     status = F.when(F.col("id").isin(*winners.values()), F.lit("active"))
     if losers:
         status = status.when(F.col("id").isin(*losers), F.lit("superseded"))
@@ -207,8 +222,7 @@ def publish_in_order(rule_sets: DataFrame, set_ids, published_by: str = "api_use
         "id", "jurisdiction", "effective_date", "published_gazette_ref",
         status.alias("status"), "notes", "created_at",
         F.when(published, F.lit(published_by)).otherwise(F.col("published_by")).alias("published_by"),
-        F.when(published, typed_lit(stamp, T.TimestampType()))
-         .otherwise(F.col("published_at")).alias("published_at"),
+        F.when(published, stamps[F.col("id")]).otherwise(F.col("published_at")).alias("published_at"),
     )
 
 
@@ -234,10 +248,13 @@ def publish_approved(rule_sets: DataFrame, approvals: DataFrame,
                      published_at: _dt.datetime | None = None) -> DataFrame:
     """Publish every approved draft, in effective-date order.
 
-    Only the ids of approved drafts come to the driver (a handful of rows).
+    Only the ids of approved drafts come to the driver (a handful of rows); more than
+    MAX_RULE_ROWS of them raise ValueError and publish nothing.
     """
     ids = [r["id"] for r in approved_drafts(rule_sets, approvals)
-           .orderBy("effective_date", "id").select("id").limit(MAX_RULE_ROWS).collect()]
+           .orderBy("effective_date", "id").select("id").limit(MAX_RULE_ROWS + 1).collect()]
+    if len(ids) > MAX_RULE_ROWS:
+        raise ValueError(f"more than {MAX_RULE_ROWS} approved drafts")
     return publish_in_order(rule_sets, ids, published_by, published_at)
 
 
@@ -263,22 +280,42 @@ def load_latest(spark: SparkSession, base_path: str) -> DataFrame:
 
 # ---- J3 / T4: active rule set as of a date ------------------------------------------
 
-def validity_ranges(rule_sets: DataFrame, statuses=DEFAULT_STATUSES) -> DataFrame:
-    """Visible rule sets as [valid_from, valid_to) ranges per jurisdiction.
+# The set in force: the latest effective date; among sets of one date (the reference
+# leaves the tie open) the one published last, then the greatest id.
+def _newest_first() -> list:
+    return [F.col("effective_date").desc(), F.col("published_at").desc_nulls_last(), F.col("id").desc()]
 
-    Ties on effective_date (the reference leaves them open) go to the set
-    published last, then to the greatest id.
-    """
+
+def validity_ranges(rule_sets: DataFrame, statuses=DEFAULT_STATUSES) -> DataFrame:
+    """Visible rule sets as [valid_from, valid_to) ranges per jurisdiction, one for
+    each effective date (ties as in ``_newest_first``)."""
     sets = rule_sets.where(F.col("status").isin(*statuses)).select(
         "id", "jurisdiction", "effective_date", "published_at")
-    order = (F.col("published_at").desc_nulls_last(), F.col("id").desc())
     sets = (sets.withColumn("_rn", F.row_number().over(
-                Window.partitionBy("jurisdiction", "effective_date").orderBy(*order)))
+                Window.partitionBy("jurisdiction", "effective_date").orderBy(*_newest_first())))
                 .where(F.col("_rn") == 1).drop("_rn", "published_at"))
     return sets.withColumn("valid_to", F.lead("effective_date").over(
         Window.partitionBy("jurisdiction").orderBy("effective_date")))
 
 
+def _driver_ranges(rule_sets: DataFrame, jurisdiction: str | None, statuses) -> list[tuple] | None:
+    """``validity_ranges`` as (jurisdiction, id, from, to) rows on the driver, or None
+    if there are more than MAX_RULE_ROWS visible sets."""
+    sets = rule_sets.where(F.col("status").isin(*statuses) & F.col("effective_date").isNotNull())
+    if jurisdiction is not None:
+        sets = sets.where(F.col("jurisdiction") == jurisdiction)
+    rows = sets.select("id", "jurisdiction", "effective_date", "published_at").limit(MAX_RULE_ROWS + 1).collect()
+    if len(rows) > MAX_RULE_ROWS:
+        return None
+    newest: dict = {}
+    for r in sorted(rows, key=lambda r: (r["published_at"] is not None, r["published_at"] or _dt.datetime.min, r["id"])):
+        newest[(r["jurisdiction"], r["effective_date"])] = r["id"]
+    out, starts = [], sorted(newest, key=lambda k: (k[0] or "", k[1]))
+    for (jur, start), following in zip(starts, [*starts[1:], (None, None)]):
+        out.append((jur, newest[(jur, start)], start, following[1] if following[0] == jur else None))
+    return out
+
+
 def _year_buckets(ranges: DataFrame, cap_year: int) -> DataFrame:
     """One row per (range, calendar year it touches, up to ``cap_year``): turns
     the range join into an equi-join on the year plus a range check. Only
@@ -290,48 +327,76 @@ def _year_buckets(ranges: DataFrame, cap_year: int) -> DataFrame:
         "_year", F.explode(F.sequence(F.year("effective_date"), F.year(last_day))))
 
 
+_BUCKETS = T.StructType([
+    T.StructField("_jurisdiction", T.StringType()), T.StructField("rule_set_id", T.StringType()),
+    T.StructField("rule_set_effective_date", T.DateType()), T.StructField("_valid_to", T.DateType()),
+    T.StructField("_year", T.IntegerType())])
+
+
 def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "as_of_date",
-                   jurisdiction: str = "MX", statuses=DEFAULT_STATUSES) -> DataFrame:
+                   jurisdiction: str = "MX", statuses=DEFAULT_STATUSES,
+                   jurisdiction_col: str | None = None) -> DataFrame:
     """Add ``rule_set_id`` and ``rule_set_effective_date`` of the latest
-    visible set with effective_date <= as_of (NULL when there is none).
-
-    The ranges are broadcast (checked small) and matched by hash on the as-of
-    year, clamped to the latest effective year, so every amount row probes only
-    the ranges of its year: no shuffle of the amounts and no nested-loop join.
-    The bucket table has at most (rule sets x years of rule history) rows.
+    visible set with effective_date <= as_of (NULL when there is none), in one
+    ``jurisdiction`` or in that of the column ``jurisdiction_col``.
+
+    The visible sets (checked to be at most MAX_RULE_ROWS) are cut into calendar
+    years on the driver and matched by hash on (jurisdiction, as-of year), the year
+    clamped to the latest effective one: no count job, no shuffle of the amounts and
+    no nested-loop join. With more sets the same lookup is a shuffle join, which
+    adaptive execution splits where a year is hot.
     """
-    ranges = validity_ranges(rule_sets, statuses).where(F.col("jurisdiction") == F.lit(jurisdiction))
-    stats = ranges.agg(F.count(F.lit(1)).alias("n"), F.min(F.year("effective_date")).alias("lo"),
-                       F.max(F.year("effective_date")).alias("hi")).first()   # one tiny row
-    cap_year = stats["hi"]
-    if cap_year is None:
+    spark = amounts.sparkSession
+    ranges = _driver_ranges(rule_sets, None if jurisdiction_col else jurisdiction, statuses)
+    if ranges is not None and not ranges:
         return (amounts.withColumn("rule_set_id", F.lit(None).cast("string"))
                        .withColumn("rule_set_effective_date", F.lit(None).cast("date")))
-    buckets = _year_buckets(ranges, cap_year).select(
-        F.col("id").alias("rule_set_id"),
-        F.col("effective_date").alias("rule_set_effective_date"),
-        F.col("valid_to").alias("_valid_to"), "_year")
-    # each range spans at most the years lo..hi, so the bucket table is bounded
-    if stats["n"] * (stats["hi"] - stats["lo"] + 1) <= MAX_RULE_ROWS:
-        buckets = F.broadcast(buckets)
+    if ranges is not None:
+        cap_year = max(start.year for _, _, start, _ in ranges)
+        rows = [(jur, sid, start, to, year) for jur, sid, start, to in ranges
+                for year in range(start.year, (to - _dt.timedelta(days=1)).year + 1 if to else cap_year + 1)]
+        buckets = literal_frame(spark, rows, _BUCKETS)
+        if len(rows) <= MAX_RULE_ROWS:
+            buckets = F.broadcast(buckets)
+    else:
+        lazy = validity_ranges(rule_sets, statuses)
+        if jurisdiction_col is None:
+            lazy = lazy.where(F.col("jurisdiction") == F.lit(jurisdiction))
+        cap_year = lazy.agg(F.max(F.year("effective_date"))).first()[0]
+        buckets = _year_buckets(lazy, cap_year).select(
+            F.col("jurisdiction").alias("_jurisdiction"), F.col("id").alias("rule_set_id"),
+            F.col("effective_date").alias("rule_set_effective_date"),
+            F.col("valid_to").alias("_valid_to"), "_year")
     as_of = F.col(as_of_col)
     left = amounts.withColumn("_as_of_year", F.least(F.year(as_of), F.lit(cap_year)))
     cond = ((left["_as_of_year"] == buckets["_year"])
             & (as_of >= buckets["rule_set_effective_date"])
             & (buckets["_valid_to"].isNull() | (as_of < buckets["_valid_to"])))
-    return left.join(buckets, cond, "left").drop("_as_of_year", "_year", "_valid_to")
+    if jurisdiction_col is not None:
+        cond = cond & (left[jurisdiction_col] == buckets["_jurisdiction"])
+    return left.join(buckets, cond, "left").drop("_as_of_year", "_year", "_valid_to", "_jurisdiction")
 
 
 def active_rule_set(rule_sets: DataFrame, as_of, jurisdiction: str = "MX",
                     statuses=DEFAULT_STATUSES) -> DataFrame:
-    """J3 for one date: at most one row (orderBy + limit 1, O3)."""
+    """J3 for one date: at most one row (orderBy + limit 1, O3), in the order that
+    ``as_of_rule_set`` uses."""
     return (rule_sets.where((F.col("jurisdiction") == jurisdiction)
                             & F.col("status").isin(*statuses)
                             & (F.col("effective_date") <= F.lit(as_of).cast("date")))
-                     .orderBy(F.col("effective_date").desc(), F.col("id").desc())
+                     .orderBy(*_newest_first())
                      .limit(1))
 
 
+def with_active_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of, jurisdiction: str = "MX",
+                         statuses=DEFAULT_STATUSES) -> DataFrame:
+    """J3 where all amounts share one date: the set's id and date as literals."""
+    row = active_rule_set(rule_sets, as_of, jurisdiction, statuses).select("id", "effective_date").first()
+    return (amounts.withColumn("rule_set_id", F.lit(row["id"] if row else None).cast("string"))
+                   .withColumn("rule_set_effective_date",
+                               F.lit(row["effective_date"] if row else None).cast("date")))
+
+
 # ---- J4: rule within a set -----------------------------------------------------------
 
 def first_rules(rules: DataFrame) -> DataFrame:
@@ -380,28 +445,35 @@ def isr_from_bracket(income, bracket) -> F.Column:
 def calculate_tax(amounts: DataFrame, rule_sets: DataFrame, rules: DataFrame,
                   tax_type: str = "tax_type", amount: str = "amount",
                   applies_to: str | None = None, as_of: str | None = None,
-                  jurisdiction: str = "MX", statuses=DEFAULT_STATUSES) -> DataFrame:
+                  jurisdiction: str = "MX", statuses=DEFAULT_STATUSES,
+                  jurisdiction_col: str | None = None, as_of_date=None) -> DataFrame:
     """T3 over a DataFrame of amounts.
 
     Adds tax_amount, rule_set_id, rule_set_effective_date and tax_status:
-    ``ok``, ``no_rule_set`` (nothing active as of the date) or ``no_rule`` (the
-    set has no rule for the tax type and applies_to), which are the reference's
-    two 404 answers. ``applies_to`` defaults to 'general' and ``as_of`` to the
-    current date, as in the reference. Tax types must be IVA or ISR (D8).
+    ``bad_tax_type`` (a type that is not IVA or ISR, such as RETENCION, D8),
+    ``no_rule_set`` (nothing active as of the date), ``no_rule`` (the set has no
+    rule for the tax type and applies_to), ``bad_rule`` (an IVA rule without a rate
+    or an ISR rule without brackets) or ``ok``; the tax is NULL unless ``ok``.
+    ``applies_to`` defaults to 'general'. The date is the column ``as_of`` or the
+    one date ``as_of_date``, and the current date without either; with one date and
+    jurisdiction the set is looked up once and no join is planned for it.
     """
     df = amounts
     if applies_to is None:
         df = df.withColumn("_applies_to", F.lit(DEFAULT_APPLIES_TO))
         applies_to = "_applies_to"
-    if as_of is None:
-        df = df.withColumn("_as_of", F.current_date())
-        as_of = "_as_of"
-    with_set = as_of_rule_set(df, rule_sets, as_of, jurisdiction, statuses)
+    if as_of is None and jurisdiction_col is None:
+        with_set = with_active_rule_set(df, rule_sets, as_of_date or _dt.date.today(), jurisdiction, statuses)
+    else:
+        if as_of is None:
+            df = df.withColumn("_as_of", F.lit(as_of_date).cast("date") if as_of_date else F.current_date())
+            as_of = "_as_of"
+        with_set = as_of_rule_set(df, rule_sets, as_of, jurisdiction, statuses, jurisdiction_col)
+    # Spark broadcasts the rules by their size; a larger table is a shuffle join
     rule_lookup = first_rules(rules).select(
         F.col("rule_set_id").alias("_r_set"), F.col("rule_type").alias("_r_type"),
         F.col("applies_to").alias("_r_applies"), F.col("rate").alias("_r_rate"),
         F.col("formula_expression.brackets").alias("_r_brackets"), F.lit(True).alias("_r_found"))
-    rule_lookup, _ = bounded_broadcast(rule_lookup, MAX_RULE_ROWS)
     cond = ((with_set["rule_set_id"] == rule_lookup["_r_set"])
             & (with_set[tax_type] == rule_lookup["_r_type"])
             & (with_set[applies_to] == rule_lookup["_r_applies"]))
@@ -411,16 +483,19 @@ def calculate_tax(amounts: DataFrame, rule_sets: DataFrame, rules: DataFrame,
     # (an unrolled CASE over the brackets keeps codegen but measured 2x slower)
     joined = joined.withColumn("_r_bracket", F.when(
         F.col(tax_type) == "ISR", matching_bracket(amount, "_r_brackets")))
-    status = (F.when(F.col("rule_set_id").isNull(), F.lit("no_rule_set"))
+    incomplete = F.when(F.col(tax_type) == "IVA", F.col("_r_rate").isNull()).otherwise(
+        F.coalesce(F.size("_r_brackets") <= 0, F.lit(True)))
+    status = (F.when(F.col(tax_type).isNull() | ~F.col(tax_type).isin(*TAX_TYPES), F.lit("bad_tax_type"))
+               .when(F.col("rule_set_id").isNull(), F.lit("no_rule_set"))
                .when(F.col("_r_found").isNull(), F.lit("no_rule"))
+               .when(incomplete, F.lit("bad_rule"))
                .otherwise(F.lit("ok")))
-    tax = (F.when(status != "ok", F.lit(None).cast(MONEY))
+    tax = (F.when(F.col("tax_status") != "ok", F.lit(None).cast(MONEY))
             .when(F.col(tax_type) == "IVA", iva_tax(amount, "_r_rate"))
             .otherwise(isr_from_bracket(amount, "_r_bracket")))
-    out = joined.withColumn("tax_amount", tax).withColumn("tax_status", status)
+    out = joined.withColumn("tax_status", status).withColumn("tax_amount", tax)
     return out.drop("_r_set", "_r_type", "_r_applies", "_r_rate", "_r_brackets", "_r_bracket",
-                    "_r_found",
-                    "_applies_to", "_as_of")
+                    "_r_found", "_applies_to", "_as_of")
 
 
 def calculate_one(spark: SparkSession, rule_sets: DataFrame, rules: DataFrame, tax_type: str,
@@ -438,9 +513,11 @@ def calculate_one(spark: SparkSession, rule_sets: DataFrame, rules: DataFrame, t
     row = calculate_tax(request, rule_sets, rules, applies_to="applies_to", as_of="as_of_date",
                         jurisdiction=jurisdiction).first()
     if row["tax_status"] == "no_rule_set":
-        raise LookupError("No active tax rule set found for the given date.")
+        raise LookupError(f"no rule set is in force on {as_of}")
     if row["tax_status"] == "no_rule":
-        raise LookupError(f"No {tax_type} rule found for '{applies_to}' in active rule set.")
+        raise LookupError(f"the rule set in force has no {tax_type} rule for {applies_to!r}")
+    if row["tax_status"] == "bad_rule":
+        raise ValueError(f"the {tax_type} rule for {applies_to!r} lacks a rate or brackets")
     return {"tax_type": tax_type, "input_amount": row["amount"], "tax_amount": row["tax_amount"],
             "rule_set_id": row["rule_set_id"],
             "rule_set_effective_date": row["rule_set_effective_date"]}

@@ -14,6 +14,7 @@ from tesoro import schemas
 from tesoro.operators import anomaly, forecast, marts, quality, review, staging, tax
 from tesoro.plans import tax_cycle
 from tesoro.sources import driver_tables as dt
+from tesoro.sources import feed
 
 # Statuses that keep rule-set history visible (trap 5: the default sees only 'active').
 HISTORY_STATUSES = ("active", "superseded")
@@ -21,7 +22,7 @@ HISTORY_STATUSES = ("active", "superseded")
 MONTHLY_RUN_DATE = "2026-02-01"
 AFTER_MONTHLY_RUN = "2026-03-01"
 # t5: a retroactive publication drafted in mid-2026 (illustrative rate).
-T5_DRAFT = ("1999-01-01", "0.10", "example retroactive publication")
+T5_DRAFT = ("MX", "1999-01-01", "0.10", 90, "example publication retroactive")
 T5_CREATED = "2026-06-01"
 # As-of date for taxing customer balances with the 2026 seed.
 BALANCES_AS_OF = "2026-06-30"
@@ -33,16 +34,21 @@ def cashflow_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.monthly_cashflow(staging.stg_cashflow(dt.cashflow_events(spark, sf_dir)))
 
 
-def deduped_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.flag_duplicates(staging.stg_transactions(dt.transactions(spark, sf_dir)))
+def deduped_transactions(spark: SparkSession, sf_dir: str, account_id=None) -> DataFrame:
+    """W5, of one account if it is given: the windows are partitioned by account, so
+    the filter goes below them, and below the look for hot groups (P8)."""
+    stg = staging.stg_transactions(dt.transactions(spark, sf_dir))
+    if account_id is not None:
+        stg = stg.where(F.col("account_id") == F.lit(account_id))
+    return staging.flag_duplicates(stg)
 
 
-def expense_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.expense_summary(deduped_transactions(spark, sf_dir), dt.categories(spark, sf_dir))
+def expense_mart(spark: SparkSession, sf_dir: str, account_id=None) -> DataFrame:
+    return marts.expense_summary(deduped_transactions(spark, sf_dir, account_id), dt.categories(spark, sf_dir))
 
 
-def flags_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.profitability_flags(expense_mart(spark, sf_dir))
+def flags_mart(spark: SparkSession, sf_dir: str, account_id=None) -> DataFrame:
+    return marts.profitability_flags(expense_mart(spark, sf_dir, account_id))
 
 
 def turnover_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +99,31 @@ def r3_cost_spike_report(spark, sf_dir):
     return review.cost_spike_report(flags_mart(spark, sf_dir))
 
 
+# The account and the entity whose reports are asked for.
+ONE_ACCOUNT = 7
+ONE_ENTITY = 7
+
+
+def r1_one_account(spark, sf_dir):
+    """The duplicate report of one account."""
+    return review.duplicate_report(deduped_transactions(spark, sf_dir, ONE_ACCOUNT), ONE_ACCOUNT)
+
+
+def r3_one_account(spark, sf_dir):
+    """The cost-spike report of one account."""
+    return review.cost_spike_report(flags_mart(spark, sf_dir, ONE_ACCOUNT), ONE_ACCOUNT)
+
+
+def s9_one_entity(spark, sf_dir):
+    """The cash flow of one entity."""
+    return review.monthly_cashflow_read(cashflow_mart(spark, sf_dir), ONE_ENTITY)
+
+
+def s10_one_entity(spark, sf_dir):
+    """The inventory turnover of one entity."""
+    return review.inventory_turnover_read(turnover_mart(spark, sf_dir), ONE_ENTITY)
+
+
 def a3_inventory_turnover(spark, sf_dir):
     """P3 A3."""
     return turnover_mart(spark, sf_dir)
@@ -109,10 +140,12 @@ def n2_slow_moving(spark, sf_dir):
 
 
 def typed_order_amounts(spark, sf_dir):
-    """Orders as tax requests: urgent/high priority -> IVA, others -> ISR; pending
-    orders ask for 'general', which has no ISR rule (trap 6)."""
+    """Orders as tax requests: urgent/high priority -> IVA, low -> RETENCION (which
+    can't be calculated, trap 8), others -> ISR; pending orders ask for 'general',
+    which has no ISR rule (trap 6)."""
     a = dt.order_tax_amounts(spark, sf_dir)
     tax_type = (F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("IVA"))
+                 .when(F.col("o_orderpriority") == "5-LOW", F.lit("RETENCION"))
                  .otherwise(F.lit("ISR")))
     a = a.withColumn("tax_type", tax_type)
     applies = (F.when(F.col("o_orderstatus") == "P", F.lit("general"))
@@ -122,11 +155,13 @@ def typed_order_amounts(spark, sf_dir):
 
 
 def j3_asof_rule_set(spark, sf_dir):
-    """Rule set in force on each order date (history visible)."""
+    """Rule set in force on each order date in the order's jurisdiction (history
+    visible; two sets share a date)."""
     rule_sets, _ = tax_cycle.example_rule_history(spark)
     amounts = dt.order_tax_amounts(spark, sf_dir)
-    return tax.as_of_rule_set(amounts, rule_sets, "as_of_date", statuses=HISTORY_STATUSES).select(
-        "o_orderkey", "as_of_date", "rule_set_id", "rule_set_effective_date")
+    return tax.as_of_rule_set(amounts, rule_sets, "as_of_date", statuses=HISTORY_STATUSES,
+                              jurisdiction_col="jurisdiction").select(
+        "o_orderkey", "jurisdiction", "as_of_date", "rule_set_id", "rule_set_effective_date")
 
 
 def _tax_columns(df, key):
@@ -159,19 +194,19 @@ def t2_isr_balances(spark, sf_dir):
     rule_sets, rules = tax_cycle.example_rule_history(spark)
     amounts = (dt.customer_incomes(spark, sf_dir)
                .withColumn("tax_type", F.lit("ISR"))
-               .withColumn("applies_to", F.lit(tax.ISR_APPLIES_TO))
-               .withColumn("as_of_date", F.lit(BALANCES_AS_OF).cast("date")))
+               .withColumn("applies_to", F.lit(tax.ISR_APPLIES_TO)))
     out = tax.calculate_tax(amounts, rule_sets, rules, applies_to="applies_to",
-                            as_of="as_of_date")
+                            as_of_date=BALANCES_AS_OF)
     return _tax_columns(out, "c_custkey")
 
 
 def t3_calculate_tax(spark, sf_dir):
-    """Mixed IVA/ISR requests with ok / no_rule_set / no_rule outcomes."""
+    """Mixed IVA/ISR/RETENCION requests of two jurisdictions with ok / no_rule_set /
+    no_rule / bad_tax_type outcomes."""
     rule_sets, rules = tax_cycle.example_rule_history(spark)
     out = tax.calculate_tax(typed_order_amounts(spark, sf_dir), rule_sets, rules,
                             applies_to="applies_to", as_of="as_of_date",
-                            statuses=HISTORY_STATUSES)
+                            statuses=HISTORY_STATUSES, jurisdiction_col="jurisdiction")
     # the response fields of the calculation (tax_type, input_amount, tax_amount,
     # rule_set_id, rule_set_effective_date) plus the request key and outcome
     return out.select("o_orderkey", "tax_type", "applies_to",
@@ -184,10 +219,10 @@ def t5_publish(spark, sf_dir):
     tax every order as of its date (history visible; the new set now covers
     1999-01-01 until the next publication)."""
     rule_sets, rules = tax_cycle.example_rule_history(spark)
-    eff, rate, ref = T5_DRAFT
+    jurisdiction, eff, _, _, ref = T5_DRAFT
     rule_sets, rules, sid = tax.create_draft(
-        spark, rule_sets, rules, tax_cycle._history_spec(eff, rate, ref),
-        tax_cycle.day_start(T5_CREATED))
+        spark, rule_sets, rules, tax_cycle._history_spec(*T5_DRAFT),
+        tax_cycle.day_start(T5_CREATED), tax_cycle.example_set_id(jurisdiction, eff, ref))
     rule_sets = tax.publish(rule_sets, sid, "api_user", tax_cycle.day_start(T5_CREATED))
     amounts = dt.order_tax_amounts(spark, sf_dir).withColumn("tax_type", F.lit("IVA"))
     out = tax.calculate_tax(amounts, rule_sets, rules, as_of="as_of_date",
@@ -204,10 +239,8 @@ def t8_approved_publish(spark, sf_dir):
         (draft_id, "approved", tax_cycle.day_start(MONTHLY_RUN_DATE))])
     rule_sets, rules, _ = tax_cycle.monthly_tax_update(
         spark, rule_sets, rules, MONTHLY_RUN_DATE, approvals)
-    amounts = typed_order_amounts(spark, sf_dir).withColumn(
-        "as_of_date", F.lit(AFTER_MONTHLY_RUN).cast("date"))
-    out = tax.calculate_tax(amounts, rule_sets, rules, applies_to="applies_to",
-                            as_of="as_of_date")
+    out = tax.calculate_tax(typed_order_amounts(spark, sf_dir), rule_sets, rules, applies_to="applies_to",
+                            as_of_date=AFTER_MONTHLY_RUN)
     return out.select("o_orderkey", "tax_type", "applies_to", "amount", "rule_set_id",
                       "rule_set_effective_date", "tax_amount", "tax_status")
 
@@ -244,43 +277,47 @@ def d2_not_null(spark, sf_dir):
 
 
 def d3_accepted_values(spark, sf_dir):
-    """D3: enumerations (event type, requested tax type)."""
-    return quality.summarize([
-        ("stg_cashflow", "event_type", "accepted_values",
-         quality.accepted_values(_cashflow_stg(spark, sf_dir), "event_type", schemas.EVENT_TYPES)),
-        ("tax_requests", "tax_type", "accepted_values",
-         quality.accepted_values(typed_order_amounts(spark, sf_dir), "tax_type", tax.TAX_TYPES)),
+    """D3: enumerations of real columns, each narrower than the data, and the requested
+    tax types."""
+    return quality.union_all([
+        quality.failures(dt.read_table(spark, sf_dir, "orders"), "orders", [
+            ("o_orderstatus", "accepted_values", quality.not_accepted("o_orderstatus", ("F", "O"))),
+            ("o_orderpriority", "accepted_values",
+             quality.not_accepted("o_orderpriority", ("1-URGENT", "2-HIGH", "3-MEDIUM")))]),
+        quality.failures(dt.read_table(spark, sf_dir, "lineitem"), "lineitem", [
+            ("l_returnflag", "accepted_values", quality.not_accepted("l_returnflag", ("A", "N")))]),
+        quality.failures(_cashflow_stg(spark, sf_dir), "stg_cashflow", [
+            ("event_type", "accepted_values", quality.not_accepted("event_type", schemas.EVENT_TYPES))]),
+        quality.failures(typed_order_amounts(spark, sf_dir), "tax_requests", [
+            ("tax_type", "accepted_values", quality.not_accepted("tax_type", tax.TAX_TYPES))]),
     ])
 
 
 def d4_orphans(spark, sf_dir):
     """Foreign keys without a parent (categories are missing for large parts)."""
-    return quality.summarize([
-        ("stg_transactions", "category_id", "relationships",
-         quality.relationships(_transactions_stg(spark, sf_dir), "category_id",
-                               dt.categories(spark, sf_dir), "id")),
-        ("stg_cashflow", "entity_id", "relationships",
-         quality.relationships(_cashflow_stg(spark, sf_dir), "entity_id",
-                               dt.read_table(spark, sf_dir, "nation"), "n_nationkey")),
-        ("stg_inventory", "entity_id", "relationships",
-         quality.relationships(staging.stg_inventory(dt.inventory_snapshots(spark, sf_dir)),
-                               "entity_id", dt.read_table(spark, sf_dir, "supplier"), "s_suppkey")),
+    def orphans(model, child, fk, parent, pk):
+        rows, (orphan,) = quality.with_parents(child, [(fk, parent, pk)])
+        return quality.failures(rows, model, [(fk, "relationships", orphan)])
+    return quality.union_all([
+        orphans("stg_transactions", _transactions_stg(spark, sf_dir), "category_id",
+                dt.categories(spark, sf_dir), "id"),
+        orphans("stg_cashflow", _cashflow_stg(spark, sf_dir), "entity_id",
+                dt.read_table(spark, sf_dir, "nation"), "n_nationkey"),
+        orphans("stg_inventory", staging.stg_inventory(dt.inventory_snapshots(spark, sf_dir)), "entity_id",
+                dt.read_table(spark, sf_dir, "supplier"), "s_suppkey"),
     ])
 
 
 def d6_limits(spark, sf_dir):
-    """Varchar lengths and decimal precision of the raw values."""
-    li = dt.read_table(spark, sf_dir, "lineitem")
-    txns = _transactions_stg(spark, sf_dir)
-    return quality.summarize([
-        ("stg_transactions", "description", "max_length_500",
-         quality.too_long(txns, "description", 500)),
-        ("stg_transactions", "source_doc_ref", "max_length_255",
-         quality.too_long(txns, "source_doc_ref", 255)),
-        ("lineitem", "l_quantity", "decimal_14_2", quality.not_decimal(li, "l_quantity", 14, 2)),
-        ("lineitem", "l_extendedprice", "decimal_12_2",
-         quality.not_decimal(li, "l_extendedprice", 12, 2)),
-        ("lineitem", "l_discount", "decimal_3_1", quality.not_decimal(li, "l_discount", 3, 1)),
+    """Varchar lengths and decimal precision of the raw values (one scan each)."""
+    return quality.union_all([
+        quality.failures(_transactions_stg(spark, sf_dir), "stg_transactions", [
+            ("description", "max_length_500", quality.longer_than("description", 500)),
+            ("source_doc_ref", "max_length_255", quality.longer_than("source_doc_ref", 255))]),
+        quality.failures(dt.read_table(spark, sf_dir, "lineitem"), "lineitem", [
+            ("l_quantity", "decimal_14_2", quality.not_a_decimal("l_quantity", 14, 2)),
+            ("l_extendedprice", "decimal_12_2", quality.not_a_decimal("l_extendedprice", 12, 2)),
+            ("l_discount", "decimal_3_1", quality.not_a_decimal("l_discount", 3, 1))]),
     ])
 
 
@@ -312,6 +349,43 @@ def p4_nested_extract(spark, sf_dir):
     return ev.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
+# The load that the feed queries run: its time and the name of its batch.
+FEED_LOAD_TS = "2026-01-01 00:00:00"
+FEED_BATCH = "tables"
+
+
+def feed_load(spark: SparkSession, sf_dir: str) -> dict:
+    """The tables written as feed files, parsed, typed and loaded into empty Bronze
+    tables: S1 P4 P5 J2 S3-S7. Returns the rows added."""
+    kinds = {kind: feed.parse_feed_files(files, kind, FEED_BATCH)
+             for kind, files in dt.feed_files(spark, sf_dir).items()}
+    return feed.load_records(spark, kinds["transactions"], kinds["cashflow"], kinds["inventory"],
+                             feed.empty_bronze(spark), FEED_LOAD_TS)[1]
+
+
+def s1_feed_transactions(spark, sf_dir):
+    """JSON invoices to Bronze transactions, one for each uuid."""
+    return feed_load(spark, sf_dir)["core_transaction"].drop("created_at", "confidence_score")
+
+
+def s4_feed_cashflow(spark, sf_dir):
+    """JSON cash-flow records to Bronze, records without a date rejected."""
+    return feed_load(spark, sf_dir)["core_cashflowevent"]
+
+
+def s5_feed_inventory(spark, sf_dir):
+    """JSON inventory snapshots to Bronze."""
+    return feed_load(spark, sf_dir)["core_inventorysnapshot"]
+
+
+def s7_load_counts(spark, sf_dir):
+    """Rows added and rejected by the load, and repeated entity keys."""
+    added = feed_load(spark, sf_dir)
+    repeated = quality.unique(added["core_entity"], "rfc").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit("repeated_rfc").alias("table"), "rows")
+    return feed.load_counts(added).unionByName(repeated)
+
+
 def f1_forecast(spark, sf_dir):
     """Six-month forecast for every entity of the cash-flow mart."""
     forecasts, _ = forecast.forecast_refresh(cashflow_mart(spark, sf_dir))
@@ -329,7 +403,7 @@ def x13_forecast_months(spark, sf_dir):
 
 
 def n1_anomalies(spark, sf_dir):
-    """Isolation-forest anomalies per entity on the monthly net cash flow."""
+    """Months in the most anomalous tenth of each entity's monthly net cash flow."""
     return anomaly.detect_cashflow_anomalies(cashflow_mart(spark, sf_dir))
 
 
@@ -342,6 +416,14 @@ QUERIES = {
     "r2_cost_spikes": r2_cost_spikes,
     "r1_duplicate_report": r1_duplicate_report,
     "r3_cost_spike_report": r3_cost_spike_report,
+    "r1_one_account": r1_one_account,
+    "r3_one_account": r3_one_account,
+    "s9_one_entity": s9_one_entity,
+    "s10_one_entity": s10_one_entity,
+    "s1_feed_transactions": s1_feed_transactions,
+    "s4_feed_cashflow": s4_feed_cashflow,
+    "s5_feed_inventory": s5_feed_inventory,
+    "s7_load_counts": s7_load_counts,
     "a3_inventory_turnover": a3_inventory_turnover,
     "s10_inventory_read": s10_inventory_read,
     "n2_slow_moving": n2_slow_moving,

@@ -3,25 +3,31 @@ materialisation.
 
 Storage layout under ``warehouse`` (a shared path on a cluster)::
 
-    bronze/<table>/                 append-only parquet; each load adds files
+    bronze/<table>/                 parquet; transactions by month, cash flow and
+                                    inventory by batch, dimensions plain
+    models/<run_id>/_load/          what the run's feed added and rejected
     models/<run_id>/<model>/        marts written once per run, never overwritten
                                     in place; month-partitioned where the model
                                     has a month (partition pruning for reports)
     models/<run_id>/_tests/         data-test summary of the run (the dbt tests)
     models/<run_id>/_constraints/   D3-D6 checks of Bronze (the database constraints)
 
-Reports read the newest run folder. Re-running the same day's feed adds no
-Bronze rows (idempotent load), and writes a fresh run folder.
+Reports read the newest run folder. Re-running the same feed content adds no
+Bronze rows (idempotent load), and writes a fresh run folder; new content at a known
+path is a new batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesoro import schemas
 from tesoro.operators import marts, quality, staging
 from tesoro.sources import feed
+from tesoro.session import ensure_checkpoint_dir
 from tesoro.sources.literal import literal_frame
 
 BRONZE_SCHEMAS = {
@@ -48,33 +54,58 @@ CLUSTER_KEYS = {
     "mart_inventory_turnover": ("entity_id", "sku"),
     "mart_profitability_flags": ("account_id",),
 }
+# Partition columns of the Bronze facts: a load joins its months or batches only.
+BRONZE_PARTITION = {"core_transaction": "month", "core_cashflowevent": "batch_id",
+                    "core_inventorysnapshot": "batch_id"}
 BRONZE_ORDER = ("core_entity", "core_account", "core_category",
                 "core_transaction", "core_cashflowevent", "core_inventorysnapshot")
 
 
 def clustered(df: DataFrame, name: str) -> DataFrame:
-    keys = CLUSTER_KEYS.get(name)
-    if not keys:
-        return df
-    # a month-partitioned write needs the month first, or the writer re-sorts
-    prefix = ("month",) if name in MONTH_PARTITIONED else ()
-    return df.sortWithinPartitions(*prefix, *keys)
+    """Rows ordered for the write. A month- or batch-partitioned table is dealt by that
+    column first (Spark splits a large month and joins small ones), so that a task does
+    not leave a small file in every partition."""
+    part = "month" if name in MONTH_PARTITIONED else BRONZE_PARTITION.get(name)
+    if part:
+        df = df.hint("rebalance", F.col(part))
+    keys = ([part] if part else []) + list(CLUSTER_KEYS.get(name, ()))
+    return df.sortWithinPartitions(*keys) if keys else df
 
 
 def append_bronze(added: dict, warehouse: str) -> None:
-    """S3-S5 sink: append the new rows of every Bronze table (dimensions first)."""
+    """S3-S5 sink (dimensions first). Transactions and dimensions append their new
+    rows. Cash flow and inventory write whole batches and overwrite a batch that is
+    there already: a replay, also one after a write that broke off, leaves each batch
+    once. A whole batch may be given as ``replay_<table>``; else the new rows are it."""
     for name in BRONZE_ORDER:
-        clustered(added[name], name).write.mode("append").parquet(f"{warehouse}/bronze/{name}")
+        part = BRONZE_PARTITION.get(name)
+        rows = added.get(f"replay_{name}", added[name])
+        if part == "month":
+            rows = rows.withColumn("month", F.trunc("date", "month"))
+        writer = clustered(rows, name).write
+        if part == "batch_id":
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(
+                f"{warehouse}/bronze/{name}")
+        elif part:
+            writer.mode("append").partitionBy(part).parquet(f"{warehouse}/bronze/{name}")
+        else:
+            writer.mode("append").parquet(f"{warehouse}/bronze/{name}")
 
 
 def read_bronze(spark: SparkSession, warehouse: str) -> dict:
-    """S2 on Bronze: every table, or an empty frame of its schema before the first load."""
+    """S2 on Bronze: every table, or an empty frame of its schema before the first load.
+    Any other error than a missing path is raised."""
     out = {}
     for name, schema in BRONZE_SCHEMAS.items():
+        stored = schema
+        if BRONZE_PARTITION.get(name) == "month":
+            stored = T.StructType([*schema.fields, T.StructField("month", T.DateType())])
         try:
-            out[name] = spark.read.schema(schema).parquet(f"{warehouse}/bronze/{name}")
-        except AnalysisException:
-            out[name] = literal_frame(spark, [], schema)
+            out[name] = spark.read.schema(stored).parquet(f"{warehouse}/bronze/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out[name] = literal_frame(spark, [], stored)
     return out
 
 
@@ -98,52 +129,49 @@ def build_models(bronze: dict) -> dict:
 
 
 def data_tests(models: dict) -> DataFrame:
-    """The reference's dbt tests (2 unique, 5 not_null) as one summary table."""
-    return quality.summarize([
-        ("stg_transactions", "transaction_id", "unique",
-         quality.unique(models["stg_transactions"], "transaction_id")),
-        ("stg_transactions", "transaction_id", "not_null",
-         quality.not_null(models["stg_transactions"], "transaction_id")),
-        ("stg_transactions", "amount", "not_null", quality.not_null(models["stg_transactions"], "amount")),
-        ("stg_cashflow", "cashflow_event_id", "unique",
-         quality.unique(models["stg_cashflow"], "cashflow_event_id")),
-        ("stg_cashflow", "cashflow_event_id", "not_null",
-         quality.not_null(models["stg_cashflow"], "cashflow_event_id")),
-        ("mart_monthly_cashflow", "month", "not_null",
-         quality.not_null(models["mart_monthly_cashflow"], "month")),
-        ("mart_profitability_flags", "category", "not_null",
-         quality.not_null(models["mart_profitability_flags"], "category")),
+    """The reference's dbt tests (2 unique, 5 not_null) as one summary table; the
+    not_null tests of a model are one scan."""
+    return quality.union_all([
+        quality.summarize([
+            ("stg_transactions", "transaction_id", "unique",
+             quality.unique(models["stg_transactions"], "transaction_id")),
+            ("stg_cashflow", "cashflow_event_id", "unique",
+             quality.unique(models["stg_cashflow"], "cashflow_event_id"))]),
+        quality.null_counts(models["stg_transactions"], "stg_transactions", ["transaction_id", "amount"]),
+        quality.null_counts(models["stg_cashflow"], "stg_cashflow", ["cashflow_event_id"]),
+        quality.null_counts(models["mart_monthly_cashflow"], "mart_monthly_cashflow", ["month"]),
+        quality.null_counts(models["mart_profitability_flags"], "mart_profitability_flags", ["category"]),
     ])
 
 
 def bronze_checks(bronze: dict) -> DataFrame:
     """D3-D6 on Bronze: the constraints the reference's database declares
-    (choices, foreign keys, varchar lengths, unique rfc), as one summary."""
+    (choices, foreign keys, varchar lengths, unique rfc), one scan a table."""
     e, a, c = bronze["core_entity"], bronze["core_account"], bronze["core_category"]
     t, i, f = bronze["core_transaction"], bronze["core_inventorysnapshot"], bronze["core_cashflowevent"]
-    return quality.summarize([
-        ("core_entity", "rfc", "unique", quality.unique(e, "rfc")),
-        ("core_entity", "rfc", "max_length_13", quality.too_long(e, "rfc", 13)),
-        ("core_entity", "entity_type", "accepted_values",
-         quality.accepted_values(e, "entity_type", schemas.ENTITY_TYPES)),
-        ("core_account", "account_type", "accepted_values",
-         quality.accepted_values(a, "account_type", schemas.ACCOUNT_TYPES)),
-        ("core_account", "entity_id", "relationships", quality.relationships(a, "entity_id", e, "id")),
-        ("core_category", "name", "max_length_100", quality.too_long(c, "name", 100)),
-        ("core_transaction", "account_id", "relationships",
-         quality.relationships(t, "account_id", a, "id")),
-        ("core_transaction", "category_id", "relationships",
-         quality.relationships(t, "category_id", c, "id")),
-        ("core_transaction", "description", "max_length_500", quality.too_long(t, "description", 500)),
-        ("core_transaction", "source_doc_ref", "max_length_255",
-         quality.too_long(t, "source_doc_ref", 255)),
-        ("core_inventorysnapshot", "entity_id", "relationships",
-         quality.relationships(i, "entity_id", e, "id")),
-        ("core_inventorysnapshot", "sku", "max_length_100", quality.too_long(i, "sku", 100)),
-        ("core_cashflowevent", "entity_id", "relationships",
-         quality.relationships(f, "entity_id", e, "id")),
-        ("core_cashflowevent", "event_type", "accepted_values",
-         quality.accepted_values(f, "event_type", schemas.EVENT_TYPES)),
+    a_rows, (a_entity,) = quality.with_parents(a, [("entity_id", e, "id")])
+    t_rows, (t_account, t_category) = quality.with_parents(
+        t, [("account_id", a, "id"), ("category_id", c, "id")])
+    i_rows, (i_entity,) = quality.with_parents(i, [("entity_id", e, "id")])
+    f_rows, (f_entity,) = quality.with_parents(f, [("entity_id", e, "id")])
+    return quality.union_all([
+        quality.summarize([("core_entity", "rfc", "unique", quality.unique(e, "rfc"))]),
+        quality.failures(e, "core_entity", [
+            ("rfc", "max_length_13", quality.longer_than("rfc", 13)),
+            ("entity_type", "accepted_values", quality.not_accepted("entity_type", schemas.ENTITY_TYPES))]),
+        quality.failures(a_rows, "core_account", [
+            ("account_type", "accepted_values", quality.not_accepted("account_type", schemas.ACCOUNT_TYPES)),
+            ("entity_id", "relationships", a_entity)]),
+        quality.failures(c, "core_category", [("name", "max_length_100", quality.longer_than("name", 100))]),
+        quality.failures(t_rows, "core_transaction", [
+            ("account_id", "relationships", t_account), ("category_id", "relationships", t_category),
+            ("description", "max_length_500", quality.longer_than("description", 500)),
+            ("source_doc_ref", "max_length_255", quality.longer_than("source_doc_ref", 255))]),
+        quality.failures(i_rows, "core_inventorysnapshot", [
+            ("entity_id", "relationships", i_entity), ("sku", "max_length_100", quality.longer_than("sku", 100))]),
+        quality.failures(f_rows, "core_cashflowevent", [
+            ("entity_id", "relationships", f_entity),
+            ("event_type", "accepted_values", quality.not_accepted("event_type", schemas.EVENT_TYPES))]),
     ])
 
 
@@ -157,36 +185,70 @@ def materialise(models: dict, path: str, names=None) -> dict:
     """S8 as tables: write models to a fresh folder; returns {model: path}."""
     written = {}
     for name in names or ("stg_transactions_deduped", *MONTH_PARTITIONED):
-        target = f"{path}/{name}"
-        writer = clustered(models[name], name).write.mode("errorifexists")
-        if name in MONTH_PARTITIONED:
-            writer = writer.partitionBy("month")
-        writer.parquet(target)
-        written[name] = target
+        written[name] = write_model(models[name], name, path)
     return written
 
 
+def write_model(df: DataFrame, name: str, path: str) -> str:
+    target = f"{path}/{name}"
+    writer = clustered(df, name).write.mode("errorifexists")
+    if name in MONTH_PARTITIONED:
+        writer = writer.partitionBy("month")
+    writer.parquet(target)
+    return target
+
+
+def build_stored_models(spark: SparkSession, bronze: dict, path: str) -> tuple[dict, dict]:
+    """P1-P3, W5, A1-A3, R2, written one after the other: each model reads the stored
+    one before it, so the duplicate windows and the expense aggregate run once.
+    Returns (models, with the stored ones read back, and {model: path})."""
+    models = {"stg_transactions": staging.stg_transactions(bronze["core_transaction"]),
+              "stg_cashflow": staging.stg_cashflow(bronze["core_cashflowevent"]),
+              "stg_inventory": staging.stg_inventory(bronze["core_inventorysnapshot"])}
+    written = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        written[name] = write_model(df, name, path)
+        models[name] = spark.read.schema(df.schema).parquet(written[name])
+        return models[name]
+
+    deduped = keep("stg_transactions_deduped", staging.flag_duplicates(models["stg_transactions"]))
+    expense = keep("mart_expense_summary", marts.expense_summary(deduped, bronze["core_category"]))
+    keep("mart_profitability_flags", marts.profitability_flags(expense))
+    keep("mart_monthly_cashflow", marts.monthly_cashflow(models["stg_cashflow"]))
+    keep("mart_inventory_turnover", marts.inventory_turnover(models["stg_inventory"]))
+    return models, written
+
+
 def run_daily(spark: SparkSession, feed_dir: str, warehouse: str, run_id: str, load_ts,
-              mode: str = "idempotent") -> dict:
+              mode: str = "idempotent", batch_id: str | None = None) -> dict:
     """L1: load the feed into Bronze, rebuild the models, run the data tests.
 
     Tests run after the marts are written, as in the reference: they report,
-    they do not hold data back. Returns the S7 load counts, the written model
-    paths and the test summary (as DataFrames read back from storage).
+    they do not hold data back. Rejected records are stored with the run. The load's
+    new rows are stored once, counted while they are written, and appended from there.
+    Returns the S7 load counts, the written model paths and the test summary (as
+    DataFrames read back from storage).
     """
+    ensure_checkpoint_dir(spark)
     warehouse = warehouse.rstrip("/")
-    before = read_bronze(spark, warehouse)
-    _, added = feed.load_feed(spark, feed_dir, before, load_ts, mode)
-    counts = feed.load_counts(added).checkpoint()   # computed before Bronze changes
-    append_bronze(added, warehouse)
-    models = build_models(read_bronze(spark, warehouse))
     out = f"{warehouse}/models/{run_id}"
-    written = materialise(models, out)
-    stored = {k: spark.read.schema(models[k].schema).parquet(p) for k, p in written.items()}
-    data_tests({**models, **stored}) \
-        .write.mode("errorifexists").parquet(f"{out}/_tests")
-    bronze_checks(read_bronze(spark, warehouse)) \
-        .write.mode("errorifexists").parquet(f"{out}/_constraints")
-    return {"load_counts": counts, "models": written,
+    _, added = feed.load_feed(spark, feed_dir, read_bronze(spark, warehouse), load_ts, mode, batch_id)
+    staged, counts = {}, []
+    for name, df in added.items():
+        seen = Observation(name)
+        target = f"{out}/_load/{name}"
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(target)
+        staged[name] = spark.read.schema(df.schema).parquet(target)
+        if not name.startswith("replay_"):
+            counts.append((name, seen.get["rows"]))
+    append_bronze(staged, warehouse)
+    load_counts = literal_frame(spark, counts, T.StructType([
+        T.StructField("table", T.StringType()), T.StructField("rows", T.LongType())]))
+    bronze = read_bronze(spark, warehouse)
+    models, written = build_stored_models(spark, bronze, out)
+    data_tests(models).write.mode("errorifexists").parquet(f"{out}/_tests")
+    bronze_checks(bronze).write.mode("errorifexists").parquet(f"{out}/_constraints")
+    return {"load_counts": load_counts, "models": written,
             "tests": spark.read.parquet(f"{out}/_tests"),
             "constraints": spark.read.parquet(f"{out}/_constraints")}

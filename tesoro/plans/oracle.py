@@ -205,152 +205,131 @@ WHERE rs < 0.4 * rn AND months_tracked > 0""",
 # ---- tax engine -------------------------------------------------------------------
 
 def _tax_sql() -> dict:
-    import datetime as _dt
-
     from tesoro.operators import tax
-    from tesoro.plans import tax_cycle
-
-    def created(eff):
-        d = _dt.date.fromisoformat(eff)
-        return _dt.datetime(d.year, d.month, d.day)
-
-    # Visible MX history (active + superseded): the example publications and the seed.
-    hist = [(tax.rule_set_id("MX", eff, created(eff)), eff, rate)
-            for eff, rate, _ in tax_cycle.EXAMPLE_HISTORY]
-    seed_eff = tax.SEED_EFFECTIVE_DATE
-    hist.append((tax.rule_set_id("MX", seed_eff, created(seed_eff)), seed_eff,
-                 tax.IVA_GENERAL_RATE))
-    sets_values = ", ".join(
-        f"('{sid}', DATE '{eff}', CAST('{rate}' AS DECIMAL(6,4)))" for sid, eff, rate in hist)
+
+    # the 2026 tariff: fixed values
     brackets_values = ", ".join(
         f"({i}, CAST('{lo}' AS DECIMAL(14,2)), "
         f"{'NULL' if hi is None else f'CAST({chr(39)}{hi}{chr(39)} AS DECIMAL(14,2))'}, "
         f"CAST('{fee}' AS DECIMAL(14,2)), CAST('{rate}' AS DECIMAL(8,4)))"
         for i, (lo, hi, fee, rate) in enumerate(tax.ISR_MONTHLY_BRACKETS_2026))
-    isr_to = tax.ISR_APPLIES_TO
-
-    common = f"""
-sets(id, effective_date, iva_rate) AS (VALUES {sets_values}),
-brackets(idx, lo, hi, fee, rate) AS (VALUES {brackets_values})"""
+    isr_to = "personas_fisicas_mensual"
+
+    # the visible sets: example publications in their order, then the seed; of two sets
+    # of one date the one published last counts
+    history = [("US", "1990-01-01", "0.07", 30, "jurisdiction"), ("MX", "1995-04-01", "0.15", 50, "1995"),
+               ("MX", "1998-01-01", "0.14", 60, "replaced"), ("MX", "1998-01-01", "0.12", 75, "1998"),
+               ("US", "1999-07-01", "0.08", 40, "later"), ("MX", "2000-07-01", "0.16", 80, "2000")]
+
+    def sets(extra=()):
+        rows = [f"({i}, '{jur}', '{jur}-{eff}-{name}', DATE '{eff}', CAST('{rate}' AS DECIMAL(6,4)), {pct})"
+                for i, (jur, eff, rate, pct, name) in enumerate([*history, *extra])]
+        rows.append("(99, 'MX', 'MX-20260101-' || substr(sha256('MX|2026-01-01|2026-01-01 00:00:00'), 1, 12), "
+                    "DATE '2026-01-01', CAST('0.16' AS DECIMAL(6,4)), 100)")
+        return f"""
+published(seq, jur, id, effective_date, iva_rate, pct) AS (VALUES {', '.join(rows)}),
+sets AS (
+    SELECT * FROM published QUALIFY row_number() OVER (PARTITION BY jur, effective_date ORDER BY seq DESC) = 1
+),
+tariff(idx, lo, hi, fee, rate) AS (VALUES {brackets_values}),
+brackets AS (
+    SELECT s.id AS set_id, b.idx, b.lo, b.hi,
+           CAST(round_even(CAST(b.fee AS DECIMAL(18,2)) * s.pct * CAST('0.01' AS DECIMAL(4,2)), 2) AS DECIMAL(14,2)) AS fee,
+           CAST(round_even(CAST(b.rate AS DECIMAL(18,4)) * s.pct * CAST('0.01' AS DECIMAL(4,2)), 4) AS DECIMAL(8,4)) AS rate
+    FROM sets s, tariff b
+)"""
 
-    def isr(amount_expr_table: str, key: str) -> str:
-        # first matching bracket per request (list order), as a range join
+    def isr(table: str, key: str) -> str:
+        # first matching bracket of the request's set (list order), as a range join
         return f"""
 isr_pick AS (
     SELECT r.{key}, min(b.idx) AS idx
-    FROM {amount_expr_table} r JOIN brackets b
-      ON b.lo <= r.amount AND (b.hi IS NULL OR b.hi = 0 OR r.amount <= b.hi)
+    FROM {table} r JOIN brackets b ON b.set_id = r.rule_set_id
+     AND b.lo <= r.amount AND (b.hi IS NULL OR b.hi = 0 OR r.amount <= b.hi)
     GROUP BY 1
 ),
 isr_tax AS (
     SELECT p.{key}, CAST(round_even(b.fee + (r.amount - b.lo) * b.rate, 2) AS DECIMAL(14,2)) AS isr
-    FROM isr_pick p JOIN brackets b ON b.idx = p.idx JOIN {amount_expr_table} r ON r.{key} = p.{key}
+    FROM isr_pick p JOIN {table} r ON r.{key} = p.{key} JOIN brackets b ON b.idx = p.idx AND b.set_id = r.rule_set_id
 )"""
 
-    orders_asof = """
+    def matched(jur: str) -> str:
+        return f"""
 ord AS (
     SELECT o_orderkey, o_orderstatus, o_orderpriority,
            CAST(o_totalprice AS DECIMAL(14,2)) AS amount,
-           CAST(o_orderdate AS DATE) AS as_of_date, 'MX' AS jur
+           CAST(o_orderdate AS DATE) AS as_of_date, {jur} AS jur
     FROM orders
 ),
 matched AS (
     SELECT o.*, s.id AS rule_set_id, s.effective_date AS rule_set_effective_date, s.iva_rate
-    FROM ord o ASOF LEFT JOIN (SELECT 'MX' AS jur, * FROM sets) s
+    FROM ord o ASOF LEFT JOIN sets s
       ON o.jur = s.jur AND o.as_of_date >= s.effective_date
 )"""
 
-    from tesoro.plans.catalog import T5_CREATED, T5_DRAFT
-    t5_eff, t5_rate, _ = T5_DRAFT
-    t5_hist = hist + [(tax.rule_set_id("MX", t5_eff, created(T5_CREATED)), t5_eff, t5_rate)]
-    t5_values = ", ".join(
-        f"('{sid}', DATE '{eff}', CAST('{rate}' AS DECIMAL(6,4)))" for sid, eff, rate in t5_hist)
-
-    out = {}
-    out["t5_publish"] = f"""
-WITH sets(id, effective_date, iva_rate) AS (VALUES {t5_values}),
-ord AS (
-    SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS amount,
-           CAST(o_orderdate AS DATE) AS as_of_date, 'MX' AS jur
-    FROM orders
-),
-matched AS (
-    SELECT o.*, s.id AS rule_set_id, s.effective_date AS rule_set_effective_date, s.iva_rate
-    FROM ord o ASOF LEFT JOIN (SELECT 'MX' AS jur, * FROM sets) s
-      ON o.jur = s.jur AND o.as_of_date >= s.effective_date
-)
+    by_customer = "CASE WHEN o_custkey % 5 = 0 THEN 'US' ELSE 'MX' END"
+    iva = """
 SELECT o_orderkey, amount, rule_set_id, rule_set_effective_date,
        CASE WHEN rule_set_id IS NULL THEN NULL
             ELSE CAST(round_even(amount * iva_rate, 2) AS DECIMAL(14,2)) END AS tax_amount,
        CASE WHEN rule_set_id IS NULL THEN 'no_rule_set' ELSE 'ok' END AS tax_status
 FROM matched"""
-    out["j3_asof_rule_set"] = "WITH " + common + "," + orders_asof + """
-SELECT o_orderkey, as_of_date, rule_set_id, rule_set_effective_date FROM matched"""
-
-    out["t1_iva"] = "WITH " + common + "," + orders_asof + """
-SELECT o_orderkey, amount, rule_set_id, rule_set_effective_date,
-       CASE WHEN rule_set_id IS NULL THEN NULL
-            ELSE CAST(round_even(amount * iva_rate, 2) AS DECIMAL(14,2)) END AS tax_amount,
-       CASE WHEN rule_set_id IS NULL THEN 'no_rule_set' ELSE 'ok' END AS tax_status
-FROM matched"""
-
-    out["t2_isr"] = "WITH " + common + "," + orders_asof + "," + isr("matched", "o_orderkey") + """
+    out = {}
+    out["t1_iva"] = "WITH " + sets() + "," + matched("'MX'") + iva
+    out["t5_publish"] = ("WITH " + sets([("MX", "1999-01-01", "0.10", 90, "retroactive")]) + ","
+                         + matched("'MX'") + iva)
+    out["j3_asof_rule_set"] = "WITH " + sets() + "," + matched(by_customer) + """
+SELECT o_orderkey, jur AS jurisdiction, as_of_date, rule_set_id, rule_set_effective_date FROM matched"""
+    out["t2_isr"] = "WITH " + sets() + "," + matched("'MX'") + "," + isr("matched", "o_orderkey") + """
 SELECT m.o_orderkey, m.amount, m.rule_set_id, m.rule_set_effective_date,
        CASE WHEN m.rule_set_id IS NULL THEN NULL
             ELSE coalesce(t.isr, CAST(0 AS DECIMAL(14,2))) END AS tax_amount,
        CASE WHEN m.rule_set_id IS NULL THEN 'no_rule_set' ELSE 'ok' END AS tax_status
 FROM matched m LEFT JOIN isr_tax t ON t.o_orderkey = m.o_orderkey"""
-
-    seed_id = hist[-1][0]
-    out["t2_isr_balances"] = "WITH " + common + """,
-bal AS (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(14,2)) AS amount FROM customer),""" + \
-        isr("bal", "c_custkey") + f"""
-SELECT b.c_custkey, b.amount, '{seed_id}' AS rule_set_id, DATE '{seed_eff}' AS rule_set_effective_date,
+    out["t2_isr_balances"] = "WITH " + sets() + """,
+bal AS (
+    SELECT c_custkey, CAST(c_acctbal AS DECIMAL(14,2)) AS amount, s.id AS rule_set_id,
+           s.effective_date AS rule_set_effective_date
+    FROM customer, sets s WHERE s.seq = 99
+),""" + isr("bal", "c_custkey") + """
+SELECT b.c_custkey, b.amount, b.rule_set_id, b.rule_set_effective_date,
        coalesce(t.isr, CAST(0 AS DECIMAL(14,2))) AS tax_amount, 'ok' AS tax_status
 FROM bal b LEFT JOIN isr_tax t ON t.c_custkey = b.c_custkey"""
 
-    typed = f"""
-typed AS (
-    SELECT m.*, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' ELSE 'ISR' END AS tax_type
-    FROM matched m
-),
+    tax_type = ("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' "
+                "WHEN o_orderpriority = '5-LOW' THEN 'RETENCION' ELSE 'ISR' END")
+    out["t3_calculate_tax"] = "WITH " + sets() + "," + matched(by_customer) + f""",
+typed AS (SELECT m.*, {tax_type} AS tax_type FROM matched m),
 req AS (
-    SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'general'
-                   WHEN tax_type = 'IVA' THEN 'general'
-                   ELSE '{isr_to}' END AS applies_to
+    SELECT *, CASE WHEN o_orderstatus = 'P' OR tax_type = 'IVA' THEN 'general' ELSE '{isr_to}' END AS applies_to
     FROM typed
-)"""
-    out["t3_calculate_tax"] = "WITH " + common + "," + orders_asof + "," + typed + "," + \
-        isr("req", "o_orderkey") + f"""
-SELECT r.o_orderkey, r.tax_type, r.applies_to, r.amount AS input_amount, r.rule_set_id,
-       r.rule_set_effective_date,
-       CASE WHEN r.rule_set_id IS NULL THEN NULL
-            WHEN r.tax_type = 'IVA' AND r.applies_to = 'general'
-                 THEN CAST(round_even(r.amount * r.iva_rate, 2) AS DECIMAL(14,2))
-            WHEN r.tax_type = 'ISR' AND r.applies_to = '{isr_to}'
-                 THEN coalesce(t.isr, CAST(0 AS DECIMAL(14,2)))
-            ELSE NULL END AS tax_amount,
-       CASE WHEN r.rule_set_id IS NULL THEN 'no_rule_set'
-            WHEN (r.tax_type = 'IVA' AND r.applies_to = 'general')
-              OR (r.tax_type = 'ISR' AND r.applies_to = '{isr_to}') THEN 'ok'
-            ELSE 'no_rule' END AS tax_status
-FROM req r LEFT JOIN isr_tax t ON t.o_orderkey = r.o_orderkey"""
-
-    from tesoro.plans.catalog import MONTHLY_RUN_DATE
-    draft_id = tax.rule_set_id("MX", MONTHLY_RUN_DATE, created(MONTHLY_RUN_DATE))
+),""" + isr("req", "o_orderkey") + f""",
+answered AS (
+    SELECT r.*, t.isr,
+           CASE WHEN tax_type NOT IN ('IVA', 'ISR') THEN 'bad_tax_type'
+                WHEN rule_set_id IS NULL THEN 'no_rule_set'
+                WHEN tax_type = 'IVA' OR applies_to = '{isr_to}' THEN 'ok'
+                ELSE 'no_rule' END AS tax_status
+    FROM req r LEFT JOIN isr_tax t ON t.o_orderkey = r.o_orderkey
+)
+SELECT o_orderkey, tax_type, applies_to, amount AS input_amount, rule_set_id, rule_set_effective_date,
+       CASE WHEN tax_status <> 'ok' THEN NULL
+            WHEN tax_type = 'IVA' THEN CAST(round_even(amount * iva_rate, 2) AS DECIMAL(14,2))
+            ELSE coalesce(isr, CAST(0 AS DECIMAL(14,2))) END AS tax_amount, tax_status
+FROM answered"""
+
     out["t8_approved_publish"] = f"""
 WITH req AS (
-    SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS amount,
-           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' ELSE 'ISR' END AS tax_type,
-           o_orderstatus
+    SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS amount, {tax_type} AS tax_type, o_orderstatus
     FROM orders
 )
 SELECT o_orderkey, tax_type,
        CASE WHEN o_orderstatus = 'P' OR tax_type = 'IVA' THEN 'general' ELSE '{isr_to}' END AS applies_to,
-       amount, '{draft_id}' AS rule_set_id, DATE '{MONTHLY_RUN_DATE}' AS rule_set_effective_date,
+       amount, 'MX-20260201-' || substr(sha256('MX|2026-02-01|2026-02-01 00:00:00'), 1, 12) AS rule_set_id,
+       DATE '2026-02-01' AS rule_set_effective_date,
        CASE WHEN tax_type = 'IVA' THEN CAST(round_even(amount * CAST('0.16' AS DECIMAL(6,4)), 2) AS DECIMAL(14,2))
             ELSE NULL END AS tax_amount,
-       CASE WHEN tax_type = 'IVA' THEN 'ok' ELSE 'no_rule' END AS tax_status
+       CASE WHEN tax_type = 'IVA' THEN 'ok' WHEN tax_type = 'ISR' THEN 'no_rule' ELSE 'bad_tax_type' END AS tax_status
 FROM req"""
     return out
 
@@ -391,11 +370,17 @@ ORACLE["d2_not_null"] = "WITH " + FLAGS + "," + MART_CASHFLOW + "\n" + _summary(
 ])
 
 ORACLE["d3_accepted_values"] = "WITH " + STG_CASHFLOW + "\n" + _summary([
+    ("orders", "o_orderstatus", "accepted_values",
+     "SELECT 1 FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O')"),
+    ("orders", "o_orderpriority", "accepted_values",
+     "SELECT 1 FROM orders WHERE o_orderpriority IS NOT NULL "
+     "AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"),
+    ("lineitem", "l_returnflag", "accepted_values",
+     "SELECT 1 FROM lineitem WHERE l_returnflag IS NOT NULL AND l_returnflag NOT IN ('A', 'N')"),
     ("stg_cashflow", "event_type", "accepted_values",
      "SELECT 1 FROM stg_cashflow WHERE event_type IS NOT NULL AND event_type NOT IN ('inflow', 'outflow')"),
     ("tax_requests", "tax_type", "accepted_values",
-     "SELECT 1 FROM (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'IVA' ELSE 'ISR' END "
-     "AS tax_type FROM orders) WHERE tax_type IS NOT NULL AND tax_type NOT IN ('IVA', 'ISR')"),
+     "SELECT 1 FROM orders WHERE o_orderpriority = '5-LOW'"),
 ])
 
 ORACLE["d4_orphans"] = "WITH " + STG_TRANSACTIONS + "," + STG_CASHFLOW + "\n" + _summary([
@@ -441,6 +426,60 @@ SELECT sha256('entity|' || rfc) AS id, rfc, 'Synthetic Test Entity SA de CV' AS
        'persona_moral' AS entity_type
 FROM new_rfc"""
 
+# ---- one account or entity, and the feed load --------------------------------------
+
+ORACLE["r1_one_account"] = ORACLE["r1_duplicate_report"].replace(
+    "WHERE is_likely_duplicate", "WHERE is_likely_duplicate AND account_id = 7")
+ORACLE["r3_one_account"] = ORACLE["r3_cost_spike_report"].replace("FROM flags ORDER", "FROM flags WHERE account_id = 7 ORDER")
+ORACLE["s9_one_entity"] = "WITH " + MART_CASHFLOW + """
+SELECT month, total_flow AS total_inflow, total_outflow, net_cashflow FROM mart_cashflow WHERE entity_id = 7"""
+ORACLE["s10_one_entity"] = "WITH " + INVENTORY_MART + """
+SELECT sku, month, avg_qty, avg_turnover_rate, inventory_value FROM turnover WHERE entity_id = 7"""
+
+_SUPPLIER = "sha256('entity|S' || lpad(CAST(l_suppkey AS VARCHAR), 11, '0'))"
+_CUSTOMER = "sha256('entity|C' || lpad(CAST(o_custkey AS VARCHAR), 11, '0'))"
+# cash-flow records that load: the file is whole and has a date
+_LOADED_ORDER = "o_orderkey % 50 <> 0 AND o_orderpriority <> '5-LOW' AND o_orderdate IS NOT NULL"
+
+ORACLE["s1_feed_transactions"] = "WITH " + STG_TRANSACTIONS + f"""
+SELECT DISTINCT sha256('txn|' || t.transaction_id) AS id, sha256('account|' || {_SUPPLIER} || '|checking') AS account_id,
+       sha256('category|' || l_returnflag) AS category_id, t.transaction_date AS date, t.amount,
+       'line ' || CAST(l_linenumber AS VARCHAR) AS description, t.transaction_id AS source_doc_ref,
+       false AS is_duplicate_flag
+FROM stg_transactions t JOIN lineitem ON t.transaction_id = concat_ws('-',
+     lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
+     lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0'))"""
+
+ORACLE["s4_feed_cashflow"] = f"""
+SELECT sha256('cashflow|tables|' || CAST(o_orderkey AS VARCHAR) || '|0') AS id, {_CUSTOMER} AS entity_id,
+       CAST(o_orderdate AS DATE) AS date,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'inflow' ELSE 'outflow' END AS event_type,
+       CAST(o_totalprice AS DECIMAL(14,2)) AS amount, false AS projected, 'tables' AS batch_id
+FROM orders WHERE {_LOADED_ORDER}"""
+
+ORACLE["s5_feed_inventory"] = "WITH " + STG_TRANSACTIONS + f"""
+SELECT sha256('inventory|tables|' || concat_ws('-',
+         lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
+         lpad(CAST(l_partkey AS VARCHAR), 12, '0'),
+         lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0')) || '|0') AS id,
+       {_SUPPLIER} AS entity_id, CAST(l_partkey AS VARCHAR) AS sku, CAST(l_shipdate AS DATE) AS date,
+       CAST(l_quantity AS INTEGER) AS qty, CAST(l_extendedprice AS DECIMAL(12,2)) AS unit_cost,
+       CAST(l_discount AS DOUBLE) AS turnover_rate, 'tables' AS batch_id
+FROM lineitem"""
+
+ORACLE["s7_load_counts"] = "WITH " + STG_TRANSACTIONS + f"""
+SELECT 'core_entity' AS "table", (SELECT count(DISTINCT l_suppkey) FROM lineitem)
+       + (SELECT count(DISTINCT o_custkey) FROM orders WHERE {_LOADED_ORDER}) AS "rows"
+UNION ALL SELECT 'core_account', (SELECT count(DISTINCT l_suppkey) FROM lineitem)
+UNION ALL SELECT 'core_category', (SELECT count(DISTINCT l_returnflag) FROM lineitem)
+UNION ALL SELECT 'core_transaction', (SELECT count(DISTINCT transaction_id) FROM stg_transactions)
+UNION ALL SELECT 'core_cashflowevent', (SELECT count(*) FROM orders WHERE {_LOADED_ORDER})
+UNION ALL SELECT 'core_inventorysnapshot', (SELECT count(*) FROM lineitem)
+UNION ALL SELECT 'rejected_transactions', 0
+UNION ALL SELECT 'rejected_cashflow', (SELECT count(*) FROM orders WHERE NOT ({_LOADED_ORDER}))
+UNION ALL SELECT 'rejected_inventory', 0
+UNION ALL SELECT 'repeated_rfc', 0"""
+
 ORACLE["p4_nested_extract"] = """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
 

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,22 +12,33 @@ from tesoro import schemas
 from tesoro.operators import tax
 from tesoro.sources.literal import literal_frame
 
-# Example history for the driver-table queries (orders are dated 1995-2001): three
-# earlier MX publications, each with a general IVA rate and the ISR table, then the
-# 2026 seed. Also a draft that is never published and a set of another
-# jurisdiction; neither may ever be picked for MX. Only the 2026 set carries the
-# reference's tariff; the earlier rates are illustrative.
+# Example history for the driver-table queries (orders are dated 1995-2001): earlier MX
+# publications, each with a general IVA rate and its own ISR table, then the 2026 seed.
+# Two of them share an effective date (the later published one counts). Also a draft
+# that is never published and sets of another jurisdiction. Only the 2026 set carries
+# the reference's tariff; the earlier rates are illustrative: each ISR table is the
+# tariff with fees and rates of the given percentage.
 EXAMPLE_HISTORY = [
-    # (effective_date, IVA general rate, gazette reference)
-    ("1995-04-01", "0.15", "example publication 1995"),
-    ("1998-01-01", "0.12", "example publication 1998"),
-    ("2000-07-01", "0.16", "example publication 2000"),
+    # (jurisdiction, effective_date, IVA general rate, ISR percentage, gazette reference)
+    ("US", "1990-01-01", "0.07", 30, "example other jurisdiction"),
+    ("MX", "1995-04-01", "0.15", 50, "example publication 1995"),
+    ("MX", "1998-01-01", "0.14", 60, "example publication 1998, replaced"),
+    ("MX", "1998-01-01", "0.12", 75, "example publication 1998"),
+    ("US", "1999-07-01", "0.08", 40, "example other jurisdiction, later"),
+    ("MX", "2000-07-01", "0.16", 80, "example publication 2000"),
 ]
-EXAMPLE_UNPUBLISHED_DRAFT = ("1999-06-01", "0.99", "example draft never approved")
-EXAMPLE_OTHER_JURISDICTION = ("US", "1990-01-01", "0.07", "example other jurisdiction")
+EXAMPLE_UNPUBLISHED_DRAFT = ("MX", "1999-06-01", "0.99", 99, "example draft never approved")
 
 
-def _history_spec(eff: str, iva_rate: str, ref: str, jurisdiction: str = "MX") -> dict:
+def scaled_brackets(percentage: int) -> list[tuple]:
+    """The 2026 ISR table with fees and rates at a percentage of the tariff's."""
+    share = Decimal(percentage) / 100
+    return [(lo, hi, str((Decimal(fee) * share).quantize(Decimal("0.01"))),
+             str((Decimal(rate) * share).quantize(Decimal("0.0001"))))
+            for lo, hi, fee, rate in tax.ISR_MONTHLY_BRACKETS_2026]
+
+
+def _history_spec(jurisdiction: str, eff: str, iva_rate: str, percentage: int, ref: str) -> dict:
     return {
         "jurisdiction": jurisdiction,
         "effective_date": eff,
@@ -35,11 +47,16 @@ def _history_spec(eff: str, iva_rate: str, ref: str, jurisdiction: str = "MX") -
         "rules": [
             {"rule_type": "IVA", "applies_to": "general", "rate": iva_rate},
             {"rule_type": "ISR", "applies_to": tax.ISR_APPLIES_TO,
-             "formula_expression": tax.brackets_formula(tax.ISR_MONTHLY_BRACKETS_2026)},
+             "formula_expression": tax.brackets_formula(scaled_brackets(percentage))},
         ],
     }
 
 
+def example_set_id(jurisdiction: str, eff: str, ref: str) -> str:
+    """A readable id: the two publications of one date differ in their reference only."""
+    return f"{jurisdiction}-{eff}-{ref.split()[-1]}"
+
+
 def day_start(eff: str) -> _dt.datetime:
     d = _dt.date.fromisoformat(eff)
     return _dt.datetime(d.year, d.month, d.day)
@@ -64,13 +81,12 @@ def example_rule_history(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     earlier MX sets are superseded, the unpublished draft stays a draft.
     """
     rule_sets, rules = tax.empty_rule_tables(spark)
-    jur, eff, rate, ref = EXAMPLE_OTHER_JURISDICTION
-    drafts = [(_history_spec(eff, rate, ref, jur), day_start(eff))]
-    drafts += [(_history_spec(eff, rate, ref), day_start(eff)) for eff, rate, ref in EXAMPLE_HISTORY]
+    drafts = [(_history_spec(*row), day_start(row[1]), example_set_id(row[0], row[1], row[4]))
+              for row in EXAMPLE_HISTORY]
     seed = tax.seed_2026_spec()
     drafts.append((seed, day_start(seed["effective_date"])))
-    eff, rate, ref = EXAMPLE_UNPUBLISHED_DRAFT
-    drafts.append((_history_spec(eff, rate, ref), day_start(eff)))
+    row = EXAMPLE_UNPUBLISHED_DRAFT
+    drafts.append((_history_spec(*row), day_start(row[1]), example_set_id(row[0], row[1], row[4])))
     rule_sets, rules, ids = tax.create_drafts(spark, rule_sets, rules, drafts)
     rule_sets = tax.publish_in_order(rule_sets, ids[:-1], "history",
                                      day_start(tax.SEED_EFFECTIVE_DATE))

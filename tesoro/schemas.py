@@ -53,12 +53,13 @@ CORE_TRANSACTION = _s(
 CORE_INVENTORYSNAPSHOT = _s(
     ("id", T.StringType()), ("entity_id", T.StringType()), ("sku", T.StringType()),
     ("date", T.DateType()), ("qty", T.IntegerType()), ("unit_cost", UNIT_COST),
-    ("turnover_rate", T.DoubleType()),
+    ("turnover_rate", T.DoubleType()), ("batch_id", T.StringType()),
 )
 
 CORE_CASHFLOWEVENT = _s(
     ("id", T.StringType()), ("entity_id", T.StringType()), ("date", T.DateType()),
     ("event_type", T.StringType()), ("amount", MONEY), ("projected", T.BooleanType()),
+    ("batch_id", T.StringType()),
 )
 
 BRACKET = _s(("min", MONEY), ("max", MONEY), ("fixed_fee", MONEY), ("rate", BRACKET_RATE))

@@ -105,10 +105,12 @@ def inventory_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_tax_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts to tax: order totals, as of the order date."""
+    """Amounts to tax: order totals, as of the order date; every fifth customer's orders
+    are of another jurisdiction."""
     orders = read_table(spark, sf_dir, "orders")
     return orders.select(
         "o_orderkey", "o_orderstatus", "o_orderpriority",
+        F.when(F.col("o_custkey") % 5 == 0, F.lit("US")).otherwise(F.lit("MX")).alias("jurisdiction"),
         money("o_totalprice").alias("amount"),
         F.to_date("o_orderdate").alias("as_of_date"),
     )
@@ -134,3 +136,36 @@ def customer_entities_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with the JSON ``props`` text column."""
     return read_table(spark, sf_dir, "events").select("event_id", "props")
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables as JSON feed files ``(_source_file, value)`` by kind: one file for each
+    line item (an invoice that is there twice, and an inventory snapshot) and for each
+    order (a cash-flow record; low-priority orders lack the date, every 50th file is cut
+    short)."""
+    li, orders = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders")
+    uuid, rfc = _lineitem_id(), F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 11, "0"))
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    invoice = F.struct(
+        uuid.alias("uuid"), day.alias("fecha_emision"), rfc.alias("rfc_receptor"),
+        F.array(F.struct(F.col("l_returnflag").alias("categoria"),
+                         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("descripcion")),
+                F.struct(F.lit("second").alias("categoria"), F.lit("ignored").alias("descripcion"))).alias("conceptos"),
+        money("l_quantity").alias("total"))
+    stock = F.struct(
+        rfc.alias("entity_rfc"), F.col("l_partkey").cast("string").alias("sku"), day.alias("date"),
+        F.col("l_quantity").cast("int").alias("qty"), F.col("l_extendedprice").cast(UNIT_COST).alias("unit_cost"),
+        F.col("l_discount").alias("turnover_rate"))
+    flow = F.struct(
+        F.concat(F.lit("C"), F.lpad(F.col("o_custkey").cast("string"), 11, "0")).alias("entity_rfc"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
+        F.when(F.col("o_orderpriority").isin(*INFLOW_PRIORITIES), F.lit("inflow")).otherwise(F.lit("outflow")).alias("type"),
+        money("o_totalprice").alias("amount"))
+    text = F.to_json(F.array(flow))
+    return {
+        "transactions": li.select(uuid.alias("_source_file"), F.to_json(F.array(invoice, invoice)).alias("value")),
+        "inventory": li.select(uuid.alias("_source_file"), F.to_json(F.array(stock)).alias("value")),
+        "cashflow": orders.select(
+            F.col("o_orderkey").cast("string").alias("_source_file"),
+            F.when(F.col("o_orderkey") % 50 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value")),
+    }

@@ -2,19 +2,20 @@
 dimensions, S3-S5 Bronze appends and S7 load counts.
 
 Feed files are JSON arrays of objects. Each file is read whole (like
-``multiLine``), parsed with an explicit schema and exploded with its position,
-so every record gets a deterministic id from (file, position) or from its own
-business key. Nothing is inferred and nothing passes through the driver.
-
-Loads are idempotent by default: a record whose id is already in Bronze is
-skipped, so re-running the daily job on the same files adds nothing (the
-reference appends again and turns every row into a "duplicate", trap 12).
+``multiLine``), parsed with an explicit schema and exploded with its position.
+Nothing is inferred and nothing passes through the driver.
+
+Loads are idempotent by default and lose nothing: a transaction is known by its uuid, a
+cash-flow or inventory record by its batch (the content of its file, unless the caller
+names the batch), file and position. Re-running the same files adds nothing (the
+reference appends again and turns every row into a "duplicate", trap 12); new content at
+a known path is loaded whole; a file that does not parse is a counted reject.
 ``mode="append"`` reproduces the reference.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,31 +36,38 @@ DEFAULT_ACCOUNT_TYPE = "checking"
 DEFAULT_CURRENCY = "MXN"
 
 
-def parse_feed_files(files: DataFrame, kind: str) -> DataFrame:
-    """Records of whole-file text rows ``(_source_file, value)`` of one feed kind.
+def parse_feed_files(files: DataFrame, kind: str, batch_id: str | None = None) -> DataFrame:
+    """Records of whole-file text rows ``(_source_file, value)`` of one feed kind, with
+    ``_pos`` and ``batch_id``.
 
     A record that does not match the schema leaves NULL fields (never a guessed
-    type). Also used by the streaming loader on each micro-batch."""
-    schema = FEED_SCHEMAS[kind]
-    parsed = files.select("_source_file", F.posexplode(
-        F.from_json("value", T.ArrayType(schema))).alias("_pos", "r"))
-    return parsed.select("_source_file", "_pos", "r.*")
-
-
-def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Records of one feed kind with ``_source_file`` and ``_pos`` columns.
-
-    ``path`` may be a file, a directory or a glob; each file is one task.
+    type). A file that does not parse is one record of NULLs, which the load counts
+    as a reject. The batch is ``batch_id``, or else the SHA-256 of the file's text:
+    the same content is the same batch wherever it lies, new content at a known path
+    is a new one. Also used by the streaming loader on each micro-batch."""
+    kind_type = T.ArrayType(FEED_SCHEMAS[kind])
+    batch = F.lit(batch_id) if batch_id is not None else F.sha2("value", 256)
+    records = F.coalesce(F.from_json("value", kind_type), F.array(F.lit(None).cast(FEED_SCHEMAS[kind])))
+    parsed = files.select("_source_file", batch.alias("batch_id"), F.posexplode(records).alias("_pos", "r"))
+    return parsed.select("_source_file", "_pos", "batch_id", "r.*")
+
+
+def read_feed(spark: SparkSession, path: str, kind: str, batch_id: str | None = None) -> DataFrame:
+    """Records of one feed kind with ``_source_file``, ``_pos`` and ``batch_id``.
+
+    ``path`` may be a file, a directory or a glob; each file is one task, and its text
+    and records must fit in that task's memory.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_source_file"), "value")
-    return parse_feed_files(files, kind)
+    return parse_feed_files(files, kind, batch_id)
 
 
 def empty_feed(spark: SparkSession, kind: str) -> DataFrame:
     from tesoro.sources.literal import literal_frame
     schema = T.StructType([T.StructField("_source_file", T.StringType()),
-                           T.StructField("_pos", T.IntegerType())] + FEED_SCHEMAS[kind].fields)
+                           T.StructField("_pos", T.IntegerType()),
+                           T.StructField("batch_id", T.StringType())] + FEED_SCHEMAS[kind].fields)
     return literal_frame(spark, [], schema)
 
 
@@ -92,6 +100,7 @@ def typed_transactions(raw: DataFrame) -> DataFrame:
     """P4 + P5: the fields the loader keeps, typed. ``amount`` is ``total`` (tax
     included); the date is parsed from ISO text."""
     return raw.select(
+        "_source_file", "_pos",
         F.col("uuid").alias("source_doc_ref"),
         F.col("rfc_receptor").alias("entity_rfc"),
         iso_date("fecha_emision").alias("date"),
@@ -131,23 +140,37 @@ def empty_bronze(spark: SparkSession) -> dict:
     return {name: literal_frame(spark, [], schema) for name, schema in tables.items()}
 
 
-def _new_only(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+def _check_mode(mode: str) -> None:
+    if mode not in ("idempotent", "append"):
+        raise ValueError("mode must be 'idempotent' or 'append'")
+
+
+def _new_transactions(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+    """One row for each id of ``rows`` (the first in the feed), and unless appending
+    only ids that Bronze lacks in that month: Bronze is partitioned by month, so the
+    load reads the months of the feed, not the history."""
+    first = Window.partitionBy("id").orderBy("_source_file", "_pos")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_source_file", "_pos")
     if mode == "append":
         return rows
-    if mode != "idempotent":
-        raise ValueError("mode must be 'idempotent' or 'append'")
-    return rows.join(existing.select("id"), "id", "left_anti")
+    stored = F.col("month") if "month" in existing.columns else F.trunc("date", "month")
+    known = existing.select("id", stored.alias("_month"))
+    return rows.withColumn("_month", F.trunc("date", "month")).join(known, ["id", "_month"], "left_anti").drop("_month")
+
+
+def _new_batches(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+    """The rows of batches that Bronze lacks (it is partitioned by batch)."""
+    if mode == "append":
+        return rows
+    return rows.join(existing.select("batch_id").distinct(), "batch_id", "left_anti").select(*rows.columns)
 
 
 def load_feed(spark: SparkSession, feed_dir: str, bronze: dict, load_ts,
-              mode: str = "idempotent") -> tuple[dict, dict]:
+              mode: str = "idempotent", batch_id: str | None = None) -> tuple[dict, dict]:
     """S3-S6 + J2: load transactions.json, cashflow.json and inventory.json of
     ``feed_dir``. See :func:`load_records`."""
     feed_dir = feed_dir.rstrip("/")
-    return load_records(spark,
-                        read_feed(spark, f"{feed_dir}/transactions.json", "transactions"),
-                        read_feed(spark, f"{feed_dir}/cashflow.json", "cashflow"),
-                        read_feed(spark, f"{feed_dir}/inventory.json", "inventory"),
+    return load_records(spark, *(read_feed(spark, f"{feed_dir}/{kind}.json", kind, batch_id) for kind in FEED_SCHEMAS),
                         bronze, load_ts, mode)
 
 
@@ -158,11 +181,14 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     Every record is attached to the entity of its own rfc (the reference gives
     all records the first transaction's receptor, trap 11; equal on a
     one-entity feed). Records missing a required field (or with a malformed
-    date) are not loaded; they are returned as ``rejected_<kind>``. Returns
-    (bronze after the load, rows added per table and rejected records).
-    ``load_ts`` stamps created_at; with ``mode="append"`` it also enters the
-    ids, so a re-run appends copies as the reference does.
+    date) are not loaded; they are returned as ``rejected_<kind>``. Transactions are
+    keyed by uuid, one row each; cash-flow and inventory records, which have no key,
+    by (batch, file, position). Returns (bronze after the load, rows added per table,
+    rejected records, and the whole batches as ``replay_<table>``).
+    ``load_ts`` stamps created_at; with ``mode="append"`` it also enters the ids and
+    batches, so a re-run appends copies as the reference does.
     """
+    _check_mode(mode)
     ts = F.lit(str(load_ts)).cast("timestamp")
     salt = [F.lit(str(load_ts))] if mode == "append" else []
     txn = typed_transactions(raw_txn)
@@ -212,38 +238,40 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                                                      F.col("name").alias("category_name")))
     t = (txn.join(ent_key, "entity_rfc", "left").join(acct_key, "entity_id", "left")
             .join(cat_key, "category_name", "left"))
-    new_txn = _new_only(bronze["core_transaction"], t.select(
+    new_txn = _new_transactions(bronze["core_transaction"], t.select(
         deterministic_id(F.lit("txn"), "source_doc_ref", *salt).alias("id"), "account_id", "category_id",
         "date", "amount", "description", "source_doc_ref",
         F.lit(False).alias("is_duplicate_flag"), F.lit(None).cast("double").alias("confidence_score"),
-        ts.alias("created_at")), mode)
+        ts.alias("created_at"), "_source_file", "_pos"), mode)
 
-    c = cf.join(ent_key, "entity_rfc", "left")
-    new_cf = _new_only(bronze["core_cashflowevent"], c.select(
-        deterministic_id(F.lit("cashflow"), "_source_file", "_pos", *salt).alias("id"), "entity_id",
-        "date", F.col("type").alias("event_type"), "amount",
-        F.lit(False).alias("projected")), mode)
+    batch = F.concat_ws("|", "batch_id", *salt).alias("batch_id") if salt else F.col("batch_id")
+    all_cf = cf.join(ent_key, "entity_rfc", "left").select(
+        deterministic_id(F.lit("cashflow"), "batch_id", "_source_file", "_pos", *salt).alias("id"), "entity_id",
+        "date", F.col("type").alias("event_type"), "amount", F.lit(False).alias("projected"), batch)
+    new_cf = _new_batches(bronze["core_cashflowevent"], all_cf, mode)
 
-    i = inv.join(ent_key, "entity_rfc", "left")
-    new_inv = _new_only(bronze["core_inventorysnapshot"], i.select(
-        deterministic_id(F.lit("inventory"), "_source_file", "_pos", *salt).alias("id"), "entity_id",
-        "sku", "date", "qty", "unit_cost", "turnover_rate"), mode)
+    all_inv = inv.join(ent_key, "entity_rfc", "left").select(
+        deterministic_id(F.lit("inventory"), "batch_id", "_source_file", "_pos", *salt).alias("id"), "entity_id",
+        "sku", "date", "qty", "unit_cost", "turnover_rate", batch)
+    new_inv = _new_batches(bronze["core_inventorysnapshot"], all_inv, mode)
 
     added = {"core_entity": new_entities, "core_account": new_accounts,
              "core_category": new_categories, "core_transaction": new_txn,
              "core_cashflowevent": new_cf, "core_inventorysnapshot": new_inv}
+    core = [f.name for f in schemas.CORE_TRANSACTION.fields]
     after = {"core_entity": entities, "core_account": accounts, "core_category": categories,
-             "core_transaction": bronze["core_transaction"].unionByName(new_txn),
+             "core_transaction": bronze["core_transaction"].select(*core).unionByName(new_txn),
              "core_cashflowevent": bronze["core_cashflowevent"].unionByName(new_cf),
              "core_inventorysnapshot": bronze["core_inventorysnapshot"].unionByName(new_inv)}
     added.update({f"rejected_{kind}": df for kind, df in rejected.items()})
+    added.update(replay_core_cashflowevent=all_cf, replay_core_inventorysnapshot=all_inv)
     return after, added
 
 
 def load_counts(added: dict) -> DataFrame:
     """Rows added per table, as one small DataFrame (one job)."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
-             for name, df in added.items()]
+             for name, df in added.items() if not name.startswith("replay_")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

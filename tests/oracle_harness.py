@@ -65,7 +65,7 @@ def compare(spark_df, con, sql):
 
 
 def main(argv):
-    sys.path.insert(0, ".")
+    sys.path.insert(0, "..")
     from __spark_entry__ import oracle_sql, queries
     from tesoro.session import local_session_for_tests
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
