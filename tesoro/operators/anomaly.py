@@ -1,22 +1,21 @@
 """Cash-flow anomalies N1 and the anomaly report N3.
 
-N1 scores each entity's monthly net cash flow with an isolation forest
-(Liu, Ting & Zhou 2008) with the usual defaults: 100 trees, sub-sample
-psi = min(256, n) drawn without replacement, height limit ceil(log2 psi),
-uniform random split points, score 2^(-E[h(x)] / c(psi)). A month is flagged
-when its score is strictly in the most anomalous 10 % (contamination 0.1,
-threshold = 10th percentile of the scores with linear interpolation). The
-random generator is seeded with 42 for every entity, so results do not depend
-on partitioning or task retries. Series shorter than 6 months are not scored.
+N1 scores each entity's monthly net cash flow by the isolation forest of Liu, Ting &
+Zhou (2008), with the expectation over all random trees in place of a sample of them: in
+one dimension a node is a run of sorted values, a split falls into a gap with a
+probability proportional to the gap, and the probability of every run at every depth
+follows from that of the runs one level up. The height limit is ceil(log2 n), the score
+-2^(-E[h(x)] / c(n)) (lower is more anomalous), rounded to 9 digits. A month is flagged
+when its score is strictly below the 10th percentile (contamination 0.1, linear
+interpolation). Series shorter than 6 months are not scored. There is no random number,
+so results depend on the series alone.
 
 The monthly mart is grouped by entity; a group holds one row per month.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
-import random
 
 import numpy as np
 import pandas as pd
@@ -27,13 +26,10 @@ from tesoro.session import ship_package
 
 from tesoro.operators.forecast import MIN_HISTORY_MONTHS, history_gate
 
-# Contamination, seed and reason text of the reference's detector;
-# tree count and sub-sample size are the published isolation-forest defaults.
-N_TREES = 100
-MAX_SAMPLES = 256
+# Contamination and reason text of the reference's detector.
 CONTAMINATION = 0.1
-SEED = 42
 ANOMALY_REASON = "Unusual net cash flow relative to historical pattern"
+SCORE_DIGITS = 9
 _EULER = 0.5772156649015329
 
 
@@ -47,63 +43,49 @@ def average_path_length(n) -> np.ndarray:
     return out
 
 
-def _c(n: int) -> float:
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
+def expected_path_lengths(values: np.ndarray) -> np.ndarray:
+    """E[h(x)] of each of the sorted ``values`` over all isolation trees on them.
 
-
-def _tree_depths(points: list, sample: list, rnd: random.Random, limit: int) -> list:
-    """Path length of every point through one random isolation tree on ``sample``.
-
-    In one dimension every node is a value interval, so the node's sample and
-    the points that reach it are contiguous runs of the two sorted lists: the
-    tree is grown over index ranges with binary search, no copying.
+    ``reach[a, b]`` is the probability that a tree has a node of exactly the points
+    a..b at the current depth. A node at the height limit, of one point or of equal
+    points is a leaf; any other is split in gap j with probability gap[j] / (x[b] - x[a]).
     """
-    depth = [0.0] * len(points)
-    stack = [(0, len(sample), 0, len(points), 0)]
-    while stack:
-        slo, shi, plo, phi, d = stack.pop()
-        if plo >= phi:
-            continue
-        size = shi - slo
-        if d >= limit or size <= 1 or sample[slo] == sample[shi - 1]:
-            value = d + _c(size)
-            for i in range(plo, phi):
-                depth[i] = value
-            continue
-        split = rnd.uniform(sample[slo], sample[shi - 1])
-        sm = bisect.bisect_right(sample, split, slo, shi)
-        pm = bisect.bisect_right(points, split, plo, phi)
-        stack.append((slo, sm, plo, pm, d + 1))
-        stack.append((sm, shi, pm, phi, d + 1))
-    return depth
-
-
-def isolation_scores(values, n_trees: int = N_TREES, seed: int = SEED) -> np.ndarray:
-    """score_samples in the scikit-learn sign convention (lower = more anomalous)."""
-    values = np.asarray(values, dtype=float)
     n = len(values)
-    psi = min(MAX_SAMPLES, n)
-    limit = int(math.ceil(math.log2(max(psi, 2))))
+    limit = int(math.ceil(math.log2(max(n, 2))))
+    size = np.arange(n)[None, :] - np.arange(n)[:, None] + 1
+    rest = average_path_length(np.maximum(size, 1))
+    width = values[None, :] - values[:, None]
+    gap = np.diff(values)
+    reach = np.zeros((n, n))
+    reach[0, n - 1] = 1.0
+    leaf = np.zeros((n, n))
+    for depth in range(limit + 1):
+        ends = (size == 1) | (width <= 0) | (depth == limit)
+        leaf += np.where(ends, reach * (depth + rest), 0.0)
+        flow = np.where(ends, 0.0, reach / np.where(width > 0, width, 1.0))
+        reach = np.zeros((n, n))
+        if n > 1:
+            beyond = np.cumsum(flow[:, ::-1], axis=1)[:, ::-1]  # runs from a that end at b or later
+            reach[:, :-1] += beyond[:, 1:] * gap[None, :]
+            before = np.cumsum(flow, axis=0)                    # runs to b that begin at a or before
+            reach[1:, :] += before[:-1, :] * gap[:, None]
+        reach = np.triu(reach)
+    return np.cumsum(leaf.sum(axis=1)) - np.r_[0.0, np.cumsum(leaf.sum(axis=0))[:-1]]
+
+
+def isolation_scores(values) -> np.ndarray:
+    """Scores in the scikit-learn sign convention (lower = more anomalous)."""
+    values = np.asarray(values, dtype=float)
     order = np.argsort(values, kind="stable")
-    points = values[order].tolist()
-    rnd = random.Random(seed)
-    total = np.zeros(n)
-    for _ in range(n_trees):
-        sample = points if psi == n else sorted(rnd.sample(points, psi))
-        total += np.asarray(_tree_depths(points, sample, rnd, limit))
-    scores_sorted = -np.power(2.0, -(total / n_trees) / _c(psi))
-    scores = np.empty(n)
-    scores[order] = scores_sorted
-    return scores
+    lengths = expected_path_lengths(values[order])
+    scores = np.empty(len(values))
+    scores[order] = -np.power(2.0, -lengths / average_path_length([max(len(values), 2)])[0])
+    return np.round(scores, SCORE_DIGITS)
 
 
 def flag_anomalies(values: np.ndarray, contamination: float = CONTAMINATION) -> tuple:
     scores = isolation_scores(values)
-    threshold = np.percentile(scores, 100.0 * contamination)
+    threshold = np.round(np.percentile(scores, 100.0 * contamination), SCORE_DIGITS)
     return scores, scores < threshold
 
 

@@ -7,11 +7,14 @@ grouped by entity and each series is fitted in ``applyInPandas``.
 
 The model follows the decomposable form of Taylor & Letham (2018), "Forecasting
 at scale": y scaled by max|y|, time scaled to [0, 1], a piecewise-linear trend
-with up to 25 changepoints in the first 80 % of the history under a Laplace
-prior (scale 0.05), yearly seasonality as a Fourier series of order 10 under a
-normal prior (scale 10), fitted by MAP with iteratively reweighted ridge
-regression. The interval is normal around the fit: residual scale plus the
-variance of future trend changes, so it widens with the horizon.
+with up to 25 changepoints in the first 80 % of the history and, from two years
+of history on, yearly seasonality as a Fourier series of the orders that monthly
+points tell apart. Slope, trend changes and seasonality have normal priors whose
+variances, and that of the noise, are set by maximum evidence (MacKay 1992), so a
+component that the series doesn't show shrinks away and the noise is judged on the
+effective degrees of freedom. The interval is that of the predictive Student
+distribution: noise, parameter uncertainty and future trend changes; it never
+narrows with the horizon.
 """
 
 from __future__ import annotations
@@ -32,10 +35,13 @@ SHORT_HISTORY_REASON = "Need at least 6 months of history to forecast reliably."
 _Z = 1.4395314709384563          # two-sided 85 % normal quantile
 N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
-CHANGEPOINT_PRIOR = 0.05
-SEASONALITY_PRIOR = 10.0
-YEARLY_ORDER = 10
+YEARLY_ORDER = 5                 # higher orders alias on monthly points
+MIN_SEASONAL_DAYS = 730
 YEAR_DAYS = 365.25
+EVIDENCE_STEPS = 200
+# Weights of size zero that each component is taken to have besides its own: a few
+# months of noise don't pass for a slope.
+SHRINKAGE = 2.0
 
 FORECAST_COLUMNS = ("month date, predicted_net_cashflow double, lower_bound double, "
                     "upper_bound double, history_months int")
@@ -58,6 +64,13 @@ def _fourier(days: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sin(ang), np.cos(ang)], axis=1)
 
 
+def _student_quantile(freedom: float) -> float:
+    """Two-sided 85 % quantile of Student's t (Cornish-Fisher expansion)."""
+    z, v = _Z, max(freedom, 1.0)
+    return z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2) + (
+        3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3)
+
+
 def fit_predict(ds: np.ndarray, y: np.ndarray, future: np.ndarray):
     """Fit on (ds, y) and return (yhat, lower, upper) at ``future``.
 
@@ -77,46 +90,45 @@ def fit_predict(ds: np.ndarray, y: np.ndarray, future: np.ndarray):
     hist = int(np.floor(n * CHANGEPOINT_RANGE))
     n_cp = max(0, min(N_CHANGEPOINTS, hist - 1))
     cps = t[np.linspace(0, hist - 1, n_cp + 1).round().astype(int)[1:]] if n_cp else np.empty(0)
+    seasonal = span >= MIN_SEASONAL_DAYS
 
     def design(d):
         tt = t_of(d)
-        delta = np.clip(tt[:, None] - cps[None, :], 0.0, None) if n_cp else np.empty((len(tt), 0))
-        days = (d - np.datetime64("1970-01-01")) / np.timedelta64(1, "D")
-        return np.column_stack([np.ones_like(tt), tt, delta, _fourier(days.astype(float))])
+        parts = [np.ones_like(tt), tt, np.clip(tt[:, None] - cps[None, :], 0.0, None)]
+        if seasonal:
+            days = (d - np.datetime64("1970-01-01")) / np.timedelta64(1, "D")
+            parts.append(_fourier(days.astype(float)))
+        return np.column_stack(parts)
 
-    X = design(ds)
-    ys = y / scale
+    X, ys = design(ds), y / scale
     p = X.shape[1]
-    cp_idx = np.arange(2, 2 + n_cp)
-    sea_idx = np.arange(2 + n_cp, p)
-    w = np.zeros(p)
-    sigma2 = max(float(np.var(ys)), 1e-6) * 0.1 + 1e-6
-    for _ in range(50):
-        pen = np.zeros(p)
-        pen[:2] = sigma2 / 25.0
-        pen[sea_idx] = sigma2 / SEASONALITY_PRIOR ** 2
-        pen[cp_idx] = sigma2 / (CHANGEPOINT_PRIOR * np.maximum(np.abs(w[cp_idx]), 1e-4))
-        w_new = np.linalg.solve(X.T @ X + np.diag(pen), X.T @ ys)
-        resid = ys - X @ w_new
-        sigma2 = max(float(np.mean(resid ** 2)), 1e-8)
-        if np.max(np.abs(w_new - w)) < 1e-9:
-            w = w_new
+    groups = [g for g in (np.array([1]), np.arange(2, 2 + n_cp), np.arange(2 + n_cp, p)) if len(g)]
+    variance = np.full(p, 0.01)
+    variance[0] = 25.0
+    noise = max(float(np.var(ys)), 1e-8)
+    gram, moment = X.T @ X, X.T @ ys
+    for _ in range(EVIDENCE_STEPS):
+        cov = np.linalg.inv(gram / noise + np.diag(1.0 / variance))
+        w = cov @ moment / noise
+        used = np.clip(1.0 - np.diag(cov) / variance, 0.0, 1.0)  # how far the data set each weight
+        old = np.r_[variance, noise]
+        for g in groups:
+            variance[g] = np.clip(float(np.sum(w[g] ** 2)) / (float(np.sum(used[g])) + SHRINKAGE), 1e-9, 1e3)
+        freedom = max(n - float(np.sum(used)), 1.0)
+        noise = max(float(np.sum((ys - X @ w) ** 2)) / freedom, 1e-10)
+        if np.max(np.abs(np.log(np.r_[variance, noise] / old))) < 1e-6:
             break
-        w = w_new
-    yhat = design(future) @ w * scale
-    # Trend uncertainty: beyond the history, rate changes keep arriving at the
-    # historical changepoint rate (n_cp per unit of scaled time) with Laplace
-    # size b = mean |delta|, i.e. variance 2 b^2 each. A change at s adds
-    # delta * (t - s) at t, so the expected trend variance at t > 1 is
-    # rate * 2 b^2 * (t - 1)^3 / 3; it widens the interval with the horizon.
-    t_future = t_of(future)
-    if n_cp:
-        b = float(np.mean(np.abs(w[cp_idx])))
-        ahead = np.clip(t_future - 1.0, 0.0, None)
-        trend_var = n_cp * 2.0 * b * b * ahead ** 3 / 3.0
-    else:
-        trend_var = np.zeros_like(t_future)
-    half = _Z * np.sqrt(sigma2 + trend_var) * scale
+    cov = np.linalg.inv(gram / noise + np.diag(1.0 / variance))
+    w = cov @ moment / noise
+    ahead_x = design(future)
+    yhat = ahead_x @ w * scale
+    # Beyond the history rate changes keep arriving at the historical rate (n_cp per
+    # unit of scaled time) with the learned variance. A change at s adds
+    # delta * (t - s) at t, so the trend variance at t > 1 is n_cp * var * (t - 1)^3 / 3.
+    ahead = np.clip(t_of(future) - 1.0, 0.0, None)
+    changes = n_cp * float(variance[2]) * ahead ** 3 / 3.0 if n_cp else 0.0 * ahead
+    spread = np.sqrt(noise + np.einsum("ij,jk,ik->i", ahead_x, cov, ahead_x) + changes)
+    half = np.maximum.accumulate(_student_quantile(freedom) * spread * scale)
     return yhat, yhat - half, yhat + half
 
 
@@ -127,31 +139,27 @@ def month_ends(last_month: np.datetime64, periods: int) -> np.ndarray:
     return (np.arange(1, periods + 1) + first).astype("datetime64[D]") - np.timedelta64(1, "D")
 
 
-def _forecast_group(periods: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        cols = ["entity_id", "month", "predicted_net_cashflow", "lower_bound", "upper_bound",
-                "history_months"]
-        if n < MIN_HISTORY_MONTHS:  # the gate also runs in Spark; kept for direct use
-            return pd.DataFrame(columns=cols)
-        known = pdf.dropna(subset=["net_cashflow"])  # missing y is not fitted
-        if known.empty:
-            return pd.DataFrame(columns=cols)
-        ds = pd.to_datetime(known["month"]).to_numpy().astype("datetime64[D]")
-        y = known["net_cashflow"].astype(float).to_numpy()
-        future = month_ends(pd.to_datetime(pdf["month"]).max().to_datetime64().astype("datetime64[D]"),
-                            periods)
-        future = future[future > ds.max()]
-        yhat, lo, hi = fit_predict(ds, y, future)
-        return pd.DataFrame({
-            "entity_id": pdf["entity_id"].iloc[0],
-            "month": pd.to_datetime(future).date,
-            "predicted_net_cashflow": np.round(yhat, 2),
-            "lower_bound": np.round(lo, 2),
-            "upper_bound": np.round(hi, 2),
-            "history_months": n,
-        })[cols]
-    return run
+def _forecast_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Forecast of one entity at the months of its ``ahead`` array. A month end is
+    evaluated a day later, on the grid of month starts that the model is fitted on."""
+    cols = ["entity_id", "month", "predicted_net_cashflow", "lower_bound", "upper_bound", "history_months"]
+    known = pdf.dropna(subset=["net_cashflow"])  # missing y is not fitted
+    if known.empty:
+        return pd.DataFrame(columns=cols)
+    ds = pd.to_datetime(known["month"]).to_numpy().astype("datetime64[D]")
+    future = np.sort(np.array(list(pdf["ahead"].iloc[0]), dtype="datetime64[D]"))
+    yhat, lo, hi = fit_predict(ds, known["net_cashflow"].astype(float).to_numpy(), future + np.timedelta64(1, "D"))
+    return pd.DataFrame({
+        "entity_id": pdf["entity_id"].iloc[0], "month": pd.to_datetime(future).date,
+        "predicted_net_cashflow": np.round(yhat, 2), "lower_bound": np.round(lo, 2),
+        "upper_bound": np.round(hi, 2), "history_months": len(pdf)})[cols]
+
+
+def _forecast(mart: DataFrame, eligible: DataFrame, periods: int) -> DataFrame:
+    """Fit every entity of the ``eligible`` series at the months of ``forecast_months``
+    (one array of ``periods`` dates an entity joins its few rows)."""
+    ahead = forecast_months(mart, periods).groupBy("entity_id").agg(F.collect_list("month").alias("ahead"))
+    return eligible.join(ahead, "entity_id").groupBy("entity_id").applyInPandas(_forecast_group, _schema(eligible))
 
 
 def history_gate(mart: DataFrame, key: str = "entity_id") -> tuple[DataFrame, DataFrame]:
@@ -179,7 +187,7 @@ def forecast_cashflow(mart: DataFrame, periods: int = DEFAULT_PERIODS,
         mart = mart.where(F.col("entity_id") == F.lit(entity_id))
     ok, _ = history_gate(mart.select("entity_id", "month",
                                      F.col("net_cashflow").cast("double").alias("net_cashflow")))
-    return ok.groupBy("entity_id").applyInPandas(_forecast_group(periods), _schema(ok))
+    return _forecast(mart, ok, periods)
 
 
 def forecast_refresh(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +198,7 @@ def forecast_refresh(mart: DataFrame, periods: int = DEFAULT_PERIODS) -> tuple[D
     series = mart.select("entity_id", "month",
                          F.col("net_cashflow").cast("double").alias("net_cashflow"))
     ok, rejected = history_gate(series)
-    return ok.groupBy("entity_id").applyInPandas(_forecast_group(periods), _schema(ok)), rejected
+    return _forecast(mart, ok, periods), rejected
 
 
 def history_summary(mart: DataFrame) -> DataFrame:

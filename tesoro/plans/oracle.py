@@ -498,3 +498,64 @@ g AS (SELECT entity_id, max(month) AS last_month FROM mart_cashflow GROUP BY 1 H
 steps AS (SELECT entity_id, last_month, unnest(generate_series(0, 5)) AS k FROM g)
 SELECT entity_id, CAST(last_day(last_month + to_months(CAST(k AS INTEGER))) AS DATE) AS month
 FROM steps"""
+
+
+# ---- anomalies: expected path lengths, one CTE for each level of the trees ----------
+
+_LEVELS = 10  # covers series of up to 2 ** 10 months
+
+
+def _anomaly_sql() -> str:
+    c = ("CASE WHEN {0} <= 1 THEN 0.0 WHEN {0} = 2 THEN 1.0 "
+         "ELSE 2.0 * (ln({0} - 1.0) + 0.5772156649015329) - 2.0 * ({0} - 1.0) / {0} END")
+    levels = ["""
+l0 AS (SELECT entity_id, 1 AS a, n AS b, 1.0::DOUBLE AS p FROM sizes)"""]
+    for d in range(_LEVELS):
+        levels.append(f"""
+s{d} AS (
+    SELECT l.entity_id, l.a, l.b, l.p / (xb.x - xa.x) AS flow
+    FROM l{d} l JOIN sizes z USING (entity_id)
+    JOIN points xa ON xa.entity_id = l.entity_id AND xa.i = l.a
+    JOIN points xb ON xb.entity_id = l.entity_id AND xb.i = l.b
+    WHERE {d} < z.top AND xb.x > xa.x
+),
+l{d + 1} AS (
+    SELECT entity_id, a, b, sum(p) AS p FROM (
+        SELECT s.entity_id, s.a, g.i AS b, s.flow * g.gap AS p
+        FROM s{d} s JOIN gaps g ON g.entity_id = s.entity_id AND g.i >= s.a AND g.i < s.b
+        UNION ALL
+        SELECT s.entity_id, g.i + 1, s.b, s.flow * g.gap
+        FROM s{d} s JOIN gaps g ON g.entity_id = s.entity_id AND g.i >= s.a AND g.i < s.b
+    ) WHERE p > 0 GROUP BY 1, 2, 3
+)""")
+    leaves = " UNION ALL ".join(f"""
+    SELECT l.entity_id, l.a, l.b, l.p * ({d} + {c.format('(l.b - l.a + 1)')}) AS h
+    FROM l{d} l JOIN sizes z USING (entity_id)
+    JOIN points xa ON xa.entity_id = l.entity_id AND xa.i = l.a
+    JOIN points xb ON xb.entity_id = l.entity_id AND xb.i = l.b
+    WHERE {d} = z.top OR xb.x <= xa.x""" for d in range(_LEVELS + 1))
+    return "WITH " + MART_CASHFLOW + """,
+points AS (
+    SELECT entity_id, month, net_cashflow, CAST(net_cashflow AS DOUBLE) AS x,
+           row_number() OVER (PARTITION BY entity_id ORDER BY net_cashflow, month) AS i,
+           count(*) OVER (PARTITION BY entity_id) AS n
+    FROM mart_cashflow QUALIFY n >= 6
+),
+sizes AS (SELECT entity_id, max(n) AS n, ceil(log2(max(n))) AS top FROM points GROUP BY 1),
+gaps AS (
+    SELECT entity_id, i, lead(x) OVER (PARTITION BY entity_id ORDER BY i) - x AS gap FROM points
+),""" + ",".join(levels) + f""",
+leaves AS ({leaves}),
+scored AS (
+    SELECT p.entity_id, p.month, p.net_cashflow,
+           round(-pow(2.0, -sum(f.h) / any_value({c.format('p.n')})), 9) AS anomaly_score
+    FROM points p JOIN leaves f ON f.entity_id = p.entity_id AND p.i BETWEEN f.a AND f.b
+    GROUP BY 1, 2, 3
+),
+limits AS (SELECT entity_id, round(quantile_cont(anomaly_score, 0.1), 9) AS bound FROM scored GROUP BY 1)
+SELECT s.entity_id, s.month, s.net_cashflow, s.anomaly_score,
+       'Unusual net cash flow relative to historical pattern' AS reason
+FROM scored s JOIN limits USING (entity_id) WHERE s.anomaly_score < bound"""
+
+
+ORACLE["n1_anomalies"] = _anomaly_sql()

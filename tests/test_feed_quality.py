@@ -60,6 +60,53 @@ def test_feed_load_is_idempotent_and_typed(spark, tmp_path):
     assert dict(rows(feed.load_counts(added3)))["core_transaction"] == 4
 
 
+def load(spark, path, bronze=None, **options):
+    after, added = feed.load_feed(spark, path, bronze or feed.empty_bronze(spark), dt.datetime(2026, 1, 1), **options)
+    return after, dict(rows(feed.load_counts(added)))
+
+
+def test_new_content_at_a_known_path_is_loaded_whole(spark, tmp_path):
+    path = write_feed(tmp_path / "feed")
+    bronze, _ = load(spark, path)
+    bronze = {k: v.checkpoint() for k, v in bronze.items()}
+    for kind, amount in (("cashflow", 7.0), ("inventory", None)):
+        file = tmp_path / "feed" / f"{kind}.json"
+        records = json.loads(file.read_text())
+        for r in records:
+            r["date"] = "2025-05-01"
+            if amount:
+                r["amount"] = amount
+        file.write_text(json.dumps(records))
+    after, counts = load(spark, path, bronze)
+    assert (counts["core_cashflowevent"], counts["core_inventorysnapshot"], counts["core_transaction"]) == (3, 1, 0)
+    assert after["core_cashflowevent"].count() == 6
+    # a named batch is one batch, whatever its files hold
+    _, named = load(spark, path, after, batch_id="2026-01-02")
+    assert named["core_cashflowevent"] == 3
+
+
+def test_a_truncated_file_is_one_reject_and_the_rest_loads(spark, tmp_path):
+    path = write_feed(tmp_path / "feed")
+    for kind in ("cashflow", "transactions"):
+        file = tmp_path / "feed" / f"{kind}.json"
+        file.write_text(file.read_text()[:40])
+    _, counts = load(spark, path)
+    assert counts["rejected_cashflow"] == 1 and counts["rejected_transactions"] == 1
+    assert counts["core_cashflowevent"] == 0 and counts["core_inventorysnapshot"] == 1
+    (tmp_path / "feed" / "cashflow.json").write_text("[]")
+    assert load(spark, path)[1]["rejected_cashflow"] == 0
+
+
+def test_a_uuid_twice_in_a_feed_is_one_transaction(spark, tmp_path):
+    path = write_feed(tmp_path / "feed")
+    file = tmp_path / "feed" / "transactions.json"
+    records = json.loads(file.read_text())
+    file.write_text(json.dumps([*records, {**records[0], "total": 1.0}]))
+    bronze, counts = load(spark, path)
+    assert counts["core_transaction"] == 4
+    assert bronze["core_transaction"].where("source_doc_ref = 'u0'").first()["amount"] == D("116.00")
+
+
 def test_quality_checks(spark):
     df = spark.createDataFrame(
         [("a", 1, "inflow", "x" * 3, "1.234"), ("a", None, "outflow", "y", "12.50"),

@@ -73,15 +73,82 @@ def test_anomalies_flag_the_extreme_month(spark):
     assert all(r["reason"] == anomaly.ANOMALY_REASON for r in out)
 
 
-def test_isolation_scores_are_deterministic_and_ordered():
+def brute_path_lengths(values, limit):
+    """E[h] by recursion over every split of every node."""
+    def grow(points, depth):
+        size = len(points)
+        rest = float(anomaly.average_path_length([size])[0])
+        if depth == limit or size == 1 or points[0][1] == points[-1][1]:
+            return {i: depth + rest for i, _ in points}
+        out = dict.fromkeys((i for i, _ in points), 0.0)
+        for j in range(size - 1):
+            p = (points[j + 1][1] - points[j][1]) / (points[-1][1] - points[0][1])
+            if p:
+                for part in (points[:j + 1], points[j + 1:]):
+                    for i, h in grow(part, depth + 1).items():
+                        out[i] += p * h
+        return out
+    found = grow(list(enumerate(values)), 0)
+    return [found[i] for i in range(len(values))]
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 2.5, 4.0, 9.0, 9.0, 40.0], [0.0, 0.0, 0.0], [5.0], [1.0, 2.0],
+                                    [-3.0, -1.0, 0.5, 0.5, 0.5, 7.0, 7.5, 8.0]])
+def test_path_lengths_are_the_expectation_over_all_trees(values):
+    limit = int(np.ceil(np.log2(max(len(values), 2))))
+    got = anomaly.expected_path_lengths(np.array(values))
+    assert np.allclose(got, brute_path_lengths(values, limit), atol=1e-12)
+
+
+def test_isolation_scores_are_ordered_at_any_length():
     v = np.array([1.0, 2.0, 3.0, 2.5, 1.5, 40.0, 2.2])
-    s1, s2 = anomaly.isolation_scores(v), anomaly.isolation_scores(v)
-    assert np.array_equal(s1, s2)
-    assert np.argmin(s1) == 5
+    assert np.argmin(anomaly.isolation_scores(v)) == 5
     big = np.random.default_rng(0).normal(size=400)
     big[17] = 25.0
-    s = anomaly.isolation_scores(big)           # sub-sampled trees (n > 256)
-    assert np.argmin(s) == 17
+    assert np.argmin(anomaly.isolation_scores(big)) == 17
+
+
+def backtest(history):
+    """Coverage of the interval and mean absolute error over that of the mean, for the
+    last 6 months of every entity of the sf0.01 mart."""
+    import duckdb
+    from tesoro.plans.oracle import MART_CASHFLOW
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    mart_rows = con.sql("WITH " + MART_CASHFLOW + " SELECT entity_id, month, CAST(net_cashflow AS DOUBLE) AS y "
+                        "FROM mart_cashflow ORDER BY 1, 2").df()
+    inside, error, plain = [], 0.0, 0.0
+    for _, g in mart_rows.groupby("entity_id"):
+        ds, y = g["month"].to_numpy().astype("datetime64[D]"), g["y"].to_numpy()
+        known = slice(-6 - history if history else None, -6)
+        yhat, lo, hi = forecast.fit_predict(ds[known], y[known], ds[-6:])
+        inside += list((lo <= y[-6:]) & (y[-6:] <= hi))
+        error += np.abs(yhat - y[-6:]).sum()
+        plain += np.abs(y[known].mean() - y[-6:]).sum()
+    return np.mean(inside), error / plain
+
+
+@pytest.mark.parametrize("history", [12, 18, 24, 36, None])
+def test_held_out_months_lie_in_the_interval_and_near_the_forecast(history):
+    coverage, ratio = backtest(history)
+    assert 0.75 <= coverage <= 0.95 and ratio <= 1.1
+
+
+def test_six_months_of_noise_stay_near_the_mean():
+    rng = np.random.default_rng(0)
+    ds = np.array([np.datetime64(f"2020-{m:02d}-01") for m in range(1, 7)])
+    ahead = forecast.month_ends(ds.max(), 6)
+    worst = [np.abs(forecast.fit_predict(ds, 1000 + 100 * rng.normal(size=6), ahead)[0] - 1000).max() for _ in range(100)]
+    assert np.quantile(worst, 0.97) < 300
+
+
+def test_a_yearly_pattern_and_a_trend_are_learned():
+    rng = np.random.default_rng(1)
+    ds = np.array([np.datetime64(f"{2016 + i // 12}-{i % 12 + 1:02d}-01") for i in range(72)])
+    y = 500 + 20.0 * np.arange(72) + 300 * np.sin(2 * np.pi * np.arange(72) / 12) + rng.normal(0, 40, 72)
+    yhat, lo, hi = forecast.fit_predict(ds[:60], y[:60], ds[60:])
+    assert np.abs(yhat - y[60:]).mean() < 100 and np.mean((lo <= y[60:]) & (y[60:] <= hi)) >= 0.7
 
 
 def test_spark_month_spine_matches_forecast_and_gate(spark):

@@ -21,12 +21,13 @@ def test_query_matches_oracle(spark, duck, name):
     assert not problems, problems
 
 
-def test_rows_only_queries_run(spark):
-    for name in set(queries()) - set(oracle_sql()):
-        assert queries()[name](spark, SF).count() >= 0
+def test_rows_only_queries_return_rows(spark):
+    optional = {name for name in queries() if name == "pipeline" or name[:2] == "op"}  # tests/llm has them
+    for name in set(queries()) - set(oracle_sql()) - optional:
+        assert queries()[name](spark, SF).count() > 0
 
 
 def test_entry_smoke(spark):
     df = entry(spark)
-    assert df.count() >= 0
+    assert df.count() > 0
     assert "flag_reason" in df.columns

@@ -1,6 +1,8 @@
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -192,6 +194,27 @@ def test_reports_push_account_filter_to_scan(spark, tmp_path):
     assert {r[0] for r in r1.select("account_id").collect()} == {3}
 
 
+def test_one_account_reports_read_that_account_only(spark):
+    """With the arguments that production uses: the look for hot groups runs while the
+    plan is built, so it must not read other accounts either."""
+    from tesoro.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    seen = []
+    find = staging._find_hot_groups
+
+    def spy(stg, hot_group_rows):
+        seen.append(stg._jdf.queryExecution().executedPlan().toString())
+        return find(stg, hot_group_rows)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(staging, "_find_hot_groups", spy)
+        plans = [catalog.r1_one_account(spark, sf), catalog.r3_one_account(spark, sf)]
+    texts = seen + [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(seen) == 2 and all("EqualTo(l_suppkey,7)" in t for t in texts)
+    for query, column in ((catalog.s9_one_entity, "n_nationkey"), (catalog.s10_one_entity, "l_suppkey")):
+        text = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo({column},7)" in text or f"EqualTo(c_nationkey,7)" in text
+
+
 def test_many_hot_groups_take_the_shuffle_path(spark, monkeypatch):
     df = dup_fixture(spark)
     cols = ["transaction_id", "dup_group_size", "dup_rank"]

@@ -199,3 +199,71 @@ def test_single_request_answers(spark, seeded):
     with pytest.raises(ValueError):
         tax.calculate_one(spark, rule_sets, rules, "RETENCION", "1.00")
 
+
+def test_types_and_rules_that_cannot_be_calculated(spark, seeded):
+    rule_sets, rules, _ = seeded
+    for bad in ("RETENCION", "VAT", None):
+        out = tax.calculate_tax(_amounts(spark, ["1000.00"], bad, "general"), rule_sets, rules,
+                                applies_to="applies_to", as_of="as_of_date")
+        assert rows(out, "tax_status", "tax_amount") == [("bad_tax_type", None)]
+    rs, rr = tax.empty_rule_tables(spark)
+    spec = {"jurisdiction": "MX", "effective_date": "2026-01-01", "rules": [
+        {"rule_type": "ISR", "applies_to": "none"}, {"rule_type": "IVA", "applies_to": "general"},
+        {"rule_type": "ISR", "applies_to": "empty", "formula_expression": {"brackets": []}}]}
+    rs, rr, sid = tax.create_draft(spark, rs, rr, spec, dt.datetime(2026, 1, 1))
+    rs = tax.publish(rs, sid, "t", dt.datetime(2026, 1, 1))
+    for kind, applies in (("ISR", "none"), ("ISR", "empty"), ("IVA", "general")):
+        out = tax.calculate_tax(_amounts(spark, ["1000.00"], kind, applies), rs, rr, applies_to="applies_to",
+                                as_of="as_of_date")
+        assert rows(out, "tax_status", "tax_amount") == [("bad_rule", None)]
+
+
+def test_one_order_for_ties_and_a_jurisdiction_column(spark):
+    rs, _ = _history(spark)
+    for order in (["B", "C"], ["C", "B"]):
+        published = tax.publish_in_order(rs, order, "t", dt.datetime(2022, 1, 1))
+        amounts = _amounts(spark, ["1.00"], as_of="2022-06-01").withColumn("where", F.lit("MX"))
+        shown = ("active", "superseded")
+        by_range = tax.as_of_rule_set(amounts, published, statuses=shown, jurisdiction_col="where")
+        one = tax.active_rule_set(published, "2022-06-01", statuses=shown)
+        assert rows(by_range, "rule_set_id") == [(order[-1],)] == rows(one, "id")
+    published = tax.publish_in_order(rs, ["A", "U"], "t", dt.datetime(2022, 1, 1))
+    both = _amounts(spark, ["1.00"] * 3, as_of="2022-06-01").withColumn(
+        "where", F.element_at(F.array(F.lit("MX"), F.lit("US"), F.lit("CA")), F.col("k") + 1))
+    assert [r[1] for r in rows(tax.as_of_rule_set(both, published, jurisdiction_col="where"), "k", "rule_set_id")] == [
+        "A", "U", None]
+
+
+def test_many_rule_sets_take_the_shuffle_join(spark, monkeypatch):
+    rs, _ = _history(spark)
+    rs = tax.publish_in_order(rs, ["A", "B", "C", "U"], "t", dt.datetime(2022, 1, 1))
+    amounts = _amounts(spark, ["1.00"], as_of="2022-06-01")
+    shown = ("active", "superseded")
+    few = rows(tax.as_of_rule_set(amounts, rs, statuses=shown), "rule_set_id", "rule_set_effective_date")
+    monkeypatch.setattr(tax, "MAX_RULE_ROWS", 2)
+    assert rows(tax.as_of_rule_set(amounts, rs, statuses=shown), "rule_set_id", "rule_set_effective_date") == few
+
+
+def test_too_many_approved_drafts_raise(spark, monkeypatch):
+    rs, _ = _history(spark)
+    monkeypatch.setattr(tax, "MAX_RULE_ROWS", 1)
+    approved = tax_cycle.approvals_frame(spark, [(i, "approved", dt.datetime(2026, 1, 1)) for i in ("A", "B")])
+    with pytest.raises(ValueError):
+        tax.publish_approved(rs, approved)
+
+
+def test_one_date_plans_no_nested_loop(spark, seeded):
+    rule_sets, rules, sid = seeded
+    out = tax.calculate_tax(_amounts(spark, ["844.60"]), rule_sets, rules, applies_to="applies_to",
+                            as_of_date="2026-06-30")
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out, "rule_set_id", "tax_amount", "tax_status") == [(sid, D("16.22"), "ok")]
+
+
+def test_rules_from_json_text(spark):
+    text = '{"brackets": [{"min": 0.01, "max": null, "fixed_fee": "16.22", "rate": 0.064}]}'
+    frame = spark.createDataFrame([("r1", text), ("r2", "{"), ("r3", None)], "id string, formula_expression string")
+    got = {r["id"]: r["formula_expression"] for r in tax.rules_from_json(frame).collect()}
+    b = got["r1"]["brackets"][0]
+    assert (b["min"], b["max"], b["fixed_fee"], b["rate"]) == (D("0.01"), None, D("16.22"), D("0.0640"))
+    assert got["r2"] is None and got["r3"] is None
