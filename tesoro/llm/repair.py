@@ -41,51 +41,63 @@ def _sides(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (pairs >> half).astype(np.int64), (pairs & ((pairs.dtype.type(1) << half) - pairs.dtype.type(1))).astype(np.int64)
 
 
-def _frequent_pairs(symbols: np.ndarray, inner: np.ndarray, at_least: int, at_most: int) -> np.ndarray:
-    """Pairs with at least ``at_least`` places, the most frequent ``at_most`` of them,
-    ties to the smaller pair. ``inner[i]`` is True where symbols i and i + 1 belong to
-    one document."""
-    pairs = np.sort(_pairs(symbols[:-1], symbols[1:])[inner])
+# Slots of the table that finds a pair's rule; of two pairs with one slot the more
+# frequent is taken, the other waits for the next round.
+SLOT_BITS = 18
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    """Slot of each pair: the high bits of a multiplicative hash."""
+    wide = pairs.dtype.type
+    bits = pairs.dtype.itemsize * 8
+    return (pairs * wide(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15)) >> wide(bits - SLOT_BITS)
+
+
+def _frequent_pairs(pairs: np.ndarray, at_least: int, at_most: int) -> np.ndarray:
+    """The pairs that occur ``at_least`` times, the most frequent ``at_most`` of them
+    with distinct slots, ties to the smaller pair."""
+    pairs = np.sort(pairs)
     if not len(pairs):
         return pairs
     first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
     counts = np.diff(np.r_[first, len(pairs)])
     keep = counts >= at_least
     pairs, counts = pairs[first[keep]], counts[keep]
-    return pairs[np.lexsort((pairs, -counts))[:at_most]]
-
-
-def _replace(symbols: np.ndarray, inner: np.ndarray, starts: np.ndarray, pairs: np.ndarray, first_rule: int
-             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Replace the pairs' places, left to right in every run of overlapping ones.
-    Returns symbols, inner, document starts, and how often each pair was replaced."""
-    order = np.argsort(pairs)
-    ranked = pairs[order]
-    left, right = np.zeros(first_rule, bool), np.zeros(first_rule, bool)
-    for side, marked in zip(_sides(pairs), (left, right)):
-        marked[side] = True
-    at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & inner)
-    keys = _pairs(symbols[at], symbols[at + 1])
-    found = np.searchsorted(ranked, keys)
-    hit = ranked[np.minimum(found, len(ranked) - 1)] == keys
-    at, rule = at[hit], order[found[hit]]
+    pairs = pairs[np.lexsort((pairs, -counts))[:at_most]]
+    _, owner = np.unique(_slots(pairs), return_index=True)  # the first: the most frequent
+    return pairs[np.sort(owner)]
+
+
+def _replace(symbols: np.ndarray, pairs: np.ndarray, inner: np.ndarray, starts: np.ndarray, chosen: np.ndarray,
+             first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace the ``chosen`` pairs' places, left to right in every run of overlapping
+    ones; ``pairs[i]`` is the pair at place i, ``inner[i]`` whether it lies in one
+    document. Returns symbols, inner and document starts."""
+    table = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+    table[_slots(chosen)] = np.arange(1, len(chosen) + 1)
+    rule = table[_slots(pairs)]
+    known = np.r_[chosen.dtype.type(0), chosen]
+    at = np.flatnonzero((known[rule] == pairs) & (rule > 0) & inner).astype(np.int32)
     # consecutive places overlap: keep every second of a run
-    run = np.r_[True, np.diff(at) != 1]
-    place = np.arange(len(at))
-    parity = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2
-    at, rule = at[parity == 0], rule[parity == 0]
-    used = np.bincount(rule, minlength=len(pairs))
+    place = np.arange(len(at), dtype=np.int32)
+    head = np.ones(len(at), bool)
+    head[1:] = at[1:] - at[:-1] != 1
+    keep = (place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 0
+    at = at[keep]
     new = symbols.copy()
-    new[at] = first_rule + rule
-    keep = np.ones(len(symbols), bool)
-    keep[at + 1] = False
-    position = np.cumsum(keep) - keep
-    starts = np.r_[position, keep.sum()][starts]
-    new = new[keep]
-    joined = np.ones(max(0, len(new) - 1), bool)
-    edge = starts[(starts > 0) & (starts < len(new))]
-    joined[edge - 1] = False
-    return new, joined, starts, used
+    new[at] = (rule[at] - 1 + first_rule).astype(symbols.dtype)
+    stays = np.ones(len(symbols), bool)
+    stays[at + 1] = False
+    new = new[stays]
+    starts = starts - np.searchsorted(at + 1, starts)  # the removed symbols before each start
+    return new, _inside(len(new), starts), starts
+
+
+def _inside(n: int, starts: np.ndarray) -> np.ndarray:
+    """For each place but the last, whether it and the next are of one document."""
+    inner = np.ones(max(0, n - 1), bool)
+    inner[starts[(starts > 0) & (starts < n)] - 1] = False
+    return inner
 
 
 @dataclass
@@ -176,21 +188,17 @@ def compress(ids: list[int | None], tokens: np.ndarray, token_starts: np.ndarray
     symbols = np.asarray(tokens, dtype=np.uint16 if narrow else np.uint32)
     limit = SYMBOLS if narrow else 1 << 32
     starts = np.asarray(token_starts, dtype=np.int64)
-    inner = np.ones(max(0, len(symbols) - 1), bool)
-    edge = starts[(starts > 0) & (starts < len(symbols))]
-    inner[edge - 1] = False
+    inner = _inside(len(symbols), starts)
     rules: list[np.ndarray] = []
     made = 0
     while len(symbols) > 1 and first_rule + made < limit:
-        pairs = _frequent_pairs(symbols, inner, min_pairs, min(per_round, limit - first_rule - made))
-        if not len(pairs):
-            break
-        new, joined, new_starts, used = _replace(symbols, inner, starts, pairs, first_rule + made)
-        if not used.any():
+        pairs = _pairs(symbols[:-1], symbols[1:])
+        chosen = _frequent_pairs(pairs[inner], min_pairs, min(per_round, limit - first_rule - made))
+        if not len(chosen):
             break
-        symbols, inner, starts = new, joined, new_starts
-        rules.append(pairs)
-        made += len(pairs)
+        symbols, inner, starts = _replace(symbols, pairs, inner, starts, chosen, first_rule + made)
+        rules.append(chosen)
+        made += len(chosen)
     left, right = _sides(np.concatenate(rules) if rules else np.zeros(0, np.uint32))
     lengths: list[int] = []
     for a, b in zip(left.tolist(), right.tolist()):

@@ -36,6 +36,8 @@ JOINED_UNITS = 500
 
 # ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
 _CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+# What is one pre-token for sure: ASCII letters, or ASCII marks without the apostrophe.
+_UNIT = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
 
 MANIFEST = "partition int, shard int, path string, n_docs long, n_tokens long"
 
@@ -46,13 +48,45 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Chunks(dict):
+    """Packed ids by chunk. A chunk that is not known is put together from its known
+    parts; what has a part that the library must encode first is noted as ``open``."""
+
+    def __init__(self):
+        super().__init__()
+        self.units: dict[bytes, bytes] = {}
+        self.open: set[bytes] = set()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        parts = _parts(chunk)
+        try:
+            packed = b"".join([self.units[p] for p in parts])
+        except KeyError:
+            self.open.add(chunk)
+            packed = b""  # until its parts are encoded
+        self[chunk] = packed
+        return packed
+
+
+def _parts(chunk: bytes) -> list[bytes]:
+    """The parts that have their own ids: marks, letters, marks; else the chunk."""
+    m = _CHUNK.fullmatch(chunk)
+    if m and b"<|" not in chunk:
+        word = m[2]
+        if word.isascii():
+            return [u for u in (m[1], word.lower(), m[3]) if u]
+        if word.decode().isalpha():
+            return [u for u in (m[1], word, m[3]) if u]
+    return [chunk]
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across ASCII white space, as the
     default one, whose pre-tokenizer drops white space and cuts letters from marks. So a
     text's ids are those of its white-space-free chunks, and a chunk of letters within
-    ASCII marks has the ids of its parts. Chunks and parts are encoded once by the
-    library and remembered as packed little-endian 32-bit ids; many parts are encoded as
-    one text and told apart by the tokens that end a word.
+    ASCII marks has the ids of its parts. Parts are encoded once by the library and
+    remembered, as chunks are, as packed little-endian 32-bit ids; many parts are
+    encoded as one text and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -63,57 +97,52 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
+        self.chunks = _Chunks()
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn_units(self, wanted: set[bytes]) -> None:
-        new = [u for u in wanted if u not in self.units]
-        if len(self.units) + len(new) > CACHE_UNITS:
-            self.units.clear()
-            new = list(wanted)
-        groups = [new[i:i + JOINED_UNITS] for i in range(0, len(new), JOINED_UNITS)]
+    def _learn(self) -> None:
+        """Encode the parts of the open chunks."""
+        units, wanted = self.chunks.units, {p for c in self.chunks.open for p in _parts(c)}
+        if len(units) + len(wanted) > CACHE_UNITS:
+            units.clear()
+        new = [u for u in wanted if u not in units]
+        sure = [u for u in new if _UNIT.fullmatch(u) or u.decode().isalpha()]
+        groups = [sure[i:i + JOINED_UNITS] for i in range(0, len(sure), JOINED_UNITS)]
         for group, packed in zip(groups, self._whole([b" ".join(g) for g in groups])):
             ids = np.frombuffer(packed, dtype="<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(group) and last[-1] == len(ids):
                 cuts = [0, *(last * 4).tolist()]
-                self.units.update(zip(group, (packed[a:b] for a, b in zip(cuts, cuts[1:]))))
-            else:  # a unit that the tokenizer cuts further
-                self.units.update(zip(group, self._whole(group)))
-
-    def _learn(self, wanted: set[bytes]) -> None:
-        new = [c for c in wanted if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks.clear()
-            new = list(wanted)
-        parts, others = [], []
-        for chunk in new:
-            m = _CHUNK.fullmatch(chunk)
-            if m and b"<|" not in chunk:
-                word = m[2]
-                if word.isascii():
-                    parts.append((chunk, [u for u in (m[1], word.lower(), m[3]) if u]))
-                    continue
-                if word.decode().isalpha():
-                    parts.append((chunk, [u for u in (m[1], word, m[3]) if u]))
-                    continue
-            others.append(chunk)
-        self._learn_units({u for _, us in parts for u in us})
-        for chunk, us in parts:
-            self.chunks[chunk] = b"".join([self.units[u] for u in us])
-        self.chunks.update(zip(others, self._whole(others)))
+                units.update(zip(group, (packed[a:b] for a, b in zip(cuts, cuts[1:]))))
+        alone = [u for u in new if u not in units]  # and parts that the tokenizer cuts further
+        units.update(zip(alone, self._whole(alone)))
+        self.chunks.update((c, b"".join([units[p] for p in _parts(c)])) for c in self.chunks.open)
+        self.chunks.open.clear()
 
     def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> list[bytes]:
         """Packed ids of each text, closed by the end id; null is the empty text."""
-        split = [(t or b"").split() for t in texts]
-        self._learn(set().union(*split))
+        chunks = self.chunks
+        if len(chunks) > CACHE_CHUNKS:
+            chunks.clear()
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
+        out: list[bytes] = []
+        later: list[tuple[int, list[bytes], list[bytes]]] = []
+        for i, text in enumerate(texts):
+            words = (text or b"").split()
+            packed = list(map(chunks.__getitem__, words))
+            if chunks.open.isdisjoint(words):
+                out.append(b"".join(packed) + end)
+            else:
+                later.append((i, words, packed))
+                out.append(b"")
+        if later:
+            self._learn()
+            for i, words, packed in later:
+                out[i] = b"".join([p or chunks[w] for p, w in zip(packed, words)]) + end
+        return out
 
 
 @lru_cache(maxsize=2)
