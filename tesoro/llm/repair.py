@@ -156,25 +156,26 @@ class Shard:
                     at += self.lengths[j]
         return offsets, flat
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every symbol where its expansion starts and its length, and the
+        expansions: the terminals themselves, then the rules'."""
+        if not hasattr(self, "_table"):
+            offsets, flat = self._expansions()
+            terminals = np.arange(self.first_rule, dtype=np.uint32)
+            self._table = (np.r_[terminals, offsets[:-1] + self.first_rule].astype(np.int64),
+                           np.r_[np.ones(self.first_rule, dtype=np.int64), self.lengths], np.r_[terminals, flat])
+        return self._table
+
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """Token ids of documents ``first`` to ``last`` - 1 (all by default)."""
         last = len(self.ids) if last is None else last
-        symbols = self.symbols[self.starts[first]:self.starts[last]].astype(np.int64)
-        if not hasattr(self, "_table"):
-            self._table = self._expansions()
-        offsets, flat = self._table
-        rule = symbols - self.first_rule
-        is_rule = rule >= 0
-        lengths = np.ones(len(symbols), dtype=np.int64)
-        lengths[is_rule] = self.lengths[rule[is_rule]]
-        ends = np.cumsum(lengths)
-        out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint32)
-        begins = ends - lengths
-        out[begins[~is_rule]] = symbols[~is_rule]
-        many, begin = lengths[is_rule], begins[is_rule]
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out[np.repeat(begin, many) + within] = flat[np.repeat(offsets[rule[is_rule]], many) + within]
-        return out
+        symbols = self.symbols[self.starts[first]:self.starts[last]]
+        starts, lengths, flat = self._tables()
+        size = lengths[symbols]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0)
+        place += np.repeat(starts[symbols] - (ends - size), size)
+        return flat[place]
 
 
 def compress(ids: list[int | None], tokens: np.ndarray, token_starts: np.ndarray, first_rule: int,

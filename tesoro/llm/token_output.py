@@ -28,11 +28,12 @@ TOKENIZER = "word_bpe_49k.json"  # of the public tokenizers; see tokenizer_path
 END_ID = 1
 # Token ids of one shard file (a longer document is a shard of its own).
 SHARD_TOKENS = 2_000_000
-# White-space-free chunks, and words and marks in them, whose ids a worker remembers.
-CACHE_CHUNKS = 800_000
-CACHE_UNITS = 600_000
-# Units that are encoded as one text.
-JOINED_UNITS = 500
+# Chunks of text whose ids a worker remembers; when full, the memory starts anew.
+CACHE_CHUNKS = 4_000_000
+# Words that are encoded as one text.
+JOINED_WORDS = 500
+# Bytes of text that are hashed at a time.
+HASHED_BYTES = 1 << 20
 
 # ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
 _CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -48,45 +49,115 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Chunks(dict):
-    """Packed ids by chunk. A chunk that is not known is put together from its known
-    parts; what has a part that the library must encode first is noted as ``open``."""
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Hasher:
+    """64-bit hashes of the white-space-free chunks of a text: a polynomial over the
+    bytes, from running sums, mixed."""
 
     def __init__(self):
-        super().__init__()
-        self.units: dict[bytes, bytes] = {}
-        self.open: set[bytes] = set()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        parts = _parts(chunk)
-        try:
-            packed = b"".join([self.units[p] for p in parts])
-        except KeyError:
-            self.open.add(chunk)
-            packed = b""  # until its parts are encoded
-        self[chunk] = packed
-        return packed
-
-
-def _parts(chunk: bytes) -> list[bytes]:
+        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(HASHED_BYTES, np.uint64(_BASE))], dtype=np.uint64)
+        self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(HASHED_BYTES, np.uint64(pow(_BASE, -1, 1 << 64)))],
+                                  dtype=np.uint64)
+
+    def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, byte after the last, and hash of each chunk; the text ends in a space."""
+        edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+        first, last = edge[::2], edge[1::2]
+        out = np.zeros(len(first), dtype=np.uint64)
+        at = begin = 0
+        while at < len(first):  # whole chunks, a bounded number of bytes at a time
+            begin = first[at]
+            end = int(np.searchsorted(last, begin + HASHED_BYTES, side="right"))
+            if end == at:  # a longer chunk: hashed in pieces
+                out[at] = self._long(data[begin:last[at]])
+                at += 1
+                continue
+            part = data[begin:last[end - 1]]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part + np.uint64(1)) * self.powers[:len(part)], out=sums[1:])
+            a, b = first[at:end] - begin, last[at:end] - begin
+            out[at:end] = (sums[b] - sums[a]) * self.inverse[a]
+            at = end
+        return first, last, self._mix(out)
+
+    def _long(self, part: np.ndarray) -> np.uint64:
+        total = 0
+        for k in range(0, len(part), HASHED_BYTES):
+            piece = part[k:k + HASHED_BYTES]
+            step = int(((piece + np.uint64(1)) * self.powers[:len(piece)]).sum(dtype=np.uint64))
+            total = (total + step * pow(_BASE, k, 1 << 64)) % (1 << 64)
+        return np.uint64(total)
+
+    @staticmethod
+    def _mix(x: np.ndarray) -> np.ndarray:
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+
+class _Memory:
+    """Ids by chunk hash: sorted hashes, and for each where its ids begin and how many
+    they are in one flat array."""
+
+    def __init__(self, kind: str):
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=kind)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash; -1 if it is not known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, place, -1)
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """``hashes`` are new and distinct; their ids follow each other in ``flat``."""
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.r_[self.flat, flat]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.starts = np.insert(self.starts, at, starts[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and joined ids of the places."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[places] - (ends - sizes), sizes)
+        return sizes, self.flat[at]
+
+
+def _parts(chunk: bytes) -> tuple[bytes, ...]:
     """The parts that have their own ids: marks, letters, marks; else the chunk."""
+    if chunk.isalpha():  # ASCII letters
+        return (chunk.lower(),)
+    if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
+        return (chunk[:-1].lower(), chunk[-1:])
     m = _CHUNK.fullmatch(chunk)
     if m and b"<|" not in chunk:
-        word = m[2]
+        before, word, after = m.groups()
         if word.isascii():
-            return [u for u in (m[1], word.lower(), m[3]) if u]
+            return tuple(u for u in (before, word.lower(), after) if u)
         if word.decode().isalpha():
-            return [u for u in (m[1], word, m[3]) if u]
-    return [chunk]
+            return tuple(u for u in (before, word, after) if u)
+    return (chunk,)
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across ASCII white space, as the
     default one, whose pre-tokenizer drops white space and cuts letters from marks. So a
     text's ids are those of its white-space-free chunks, and a chunk of letters within
-    ASCII marks has the ids of its parts. Parts are encoded once by the library and
-    remembered, as chunks are, as packed little-endian 32-bit ids; many parts are
-    encoded as one text and told apart by the tokens that end a word.
+    ASCII marks has the ids of its parts. The library encodes each part once a worker;
+    many words are encoded as one text and told apart by the tokens that end a word.
+    Chunks are known by 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -95,54 +166,77 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        top = max([*vocabulary.values(), self.size])
+        self.kind = "<u2" if top < 1 << 16 else "<u4"
+        self.ends = np.zeros(top + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks = _Chunks()
+        self.hasher = _Hasher()
+        self.memory = _Memory(self.kind)
 
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self) -> None:
-        """Encode the parts of the open chunks."""
-        units, wanted = self.chunks.units, {p for c in self.chunks.open for p in _parts(c)}
-        if len(units) + len(wanted) > CACHE_UNITS:
-            units.clear()
-        new = [u for u in wanted if u not in units]
-        sure = [u for u in new if _UNIT.fullmatch(u) or u.decode().isalpha()]
-        groups = [sure[i:i + JOINED_UNITS] for i in range(0, len(sure), JOINED_UNITS)]
-        for group, packed in zip(groups, self._whole([b" ".join(g) for g in groups])):
-            ids = np.frombuffer(packed, dtype="<u4")
+        return [np.array(e.ids, dtype=self.kind) for e in found]
+
+    def _hashes(self, chunks: list[bytes]) -> np.ndarray:
+        return self.hasher.spans(np.frombuffer(b" ".join(chunks) + b" ", dtype=np.uint8))[2]
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Encode distinct parts that are not known."""
+        sure = [p for p in parts if _UNIT.fullmatch(p) or p.decode().isalpha()]
+        done: list[bytes] = []
+        sizes, flat = [], []
+        for k in range(0, len(sure), JOINED_WORDS):
+            group = sure[k:k + JOINED_WORDS]
+            ids = self._whole([b" ".join(group)])[0]
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(group) and last[-1] == len(ids):
-                cuts = [0, *(last * 4).tolist()]
-                units.update(zip(group, (packed[a:b] for a, b in zip(cuts, cuts[1:]))))
-        alone = [u for u in new if u not in units]  # and parts that the tokenizer cuts further
-        units.update(zip(alone, self._whole(alone)))
-        self.chunks.update((c, b"".join([units[p] for p in _parts(c)])) for c in self.chunks.open)
-        self.chunks.open.clear()
-
-    def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> list[bytes]:
-        """Packed ids of each text, closed by the end id; null is the empty text."""
-        chunks = self.chunks
-        if len(chunks) > CACHE_CHUNKS:
-            chunks.clear()
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        out: list[bytes] = []
-        later: list[tuple[int, list[bytes], list[bytes]]] = []
-        for i, text in enumerate(texts):
-            words = (text or b"").split()
-            packed = list(map(chunks.__getitem__, words))
-            if chunks.open.isdisjoint(words):
-                out.append(b"".join(packed) + end)
-            else:
-                later.append((i, words, packed))
-                out.append(b"")
-        if later:
-            self._learn()
-            for i, words, packed in later:
-                out[i] = b"".join([p or chunks[w] for p, w in zip(packed, words)]) + end
-        return out
+                done += group
+                sizes.append(np.diff(last, prepend=0))
+                flat.append(ids)
+        known = set(done)
+        alone = [p for p in parts if p not in known]  # others, and those that the tokenizer cuts further
+        found = self._whole(alone)
+        if done or alone:
+            self.memory.add(self._hashes([*done, *alone]),
+                            np.concatenate([*sizes, [len(f) for f in found]]).astype(np.int64),
+                            np.concatenate([*flat, *found, np.zeros(0, dtype=self.kind)]).astype(self.kind))
+
+    def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
+        """Remember distinct chunks that are not known."""
+        parts_of = [_parts(c) for c in chunks]
+        flat = [p for parts in parts_of for p in parts]
+        own = self._hashes(flat)
+        unique, first = np.unique(own, return_index=True)
+        new = first[self.memory.find(unique) < 0]
+        self._learn_parts([flat[i] for i in new.tolist()])
+        missing = self.memory.find(hashes) < 0  # a chunk that is its own part is there by now
+        counts = np.array([len(parts) for parts in parts_of])
+        sizes, ids = self.memory.gather(self.memory.find(own[np.repeat(missing, counts)]))
+        counts = counts[missing]
+        ends = np.cumsum(np.r_[0, sizes])[np.cumsum(np.r_[0, counts])]
+        self.memory.add(hashes[missing], np.diff(ends), ids)
+
+    def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, each closed by the end id, and the
+        number of ids of each; null is the empty text."""
+        if len(self.memory.hashes) > CACHE_CHUNKS:
+            self.memory = _Memory(self.kind)
+        joined = b" ".join([t or b"" for t in texts]) + b" "
+        data = np.frombuffer(joined, dtype=np.uint8)
+        first, last, hashes = self.hasher.spans(data)
+        unique, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        new = self.memory.find(unique) < 0
+        if new.any():
+            spans = zip(first[sample[new]].tolist(), last[sample[new]].tolist())
+            self._learn([joined[a:b] for a, b in spans], unique[new])
+        sizes, ids = self.memory.gather(self.memory.find(unique)[which])
+        text_ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
+        chunk_ends = np.searchsorted(first, text_ends)
+        id_ends = np.r_[0, np.cumsum(sizes)][chunk_ends]
+        counts = np.diff(id_ends, prepend=0)
+        if end_id is not None:
+            ids, counts = np.insert(ids, id_ends, end_id), counts + 1
+        return ids.astype(self.kind, copy=False), counts
 
 
 @lru_cache(maxsize=2)
@@ -150,23 +244,34 @@ def _word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, shard_tokens: int
-            ) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    """Documents of consecutive shards: ids and packed token ids."""
-    tokenizer = _word_tokenizer(path)
-    ids: list[int | None] = []
-    packed: list[bytes] = []
-    held = 0
+def _shards(batches: Iterator[pa.RecordBatch], tokenizer: WordTokenizer, shard_tokens: int
+            ) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Documents of consecutive shards: names, token ids, and how many each has."""
+    names: list[int | None] = []
+    held: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    size = 0
     for step in steps(batches, "text"):
-        for doc, tokens in zip(values(step, "doc_id"), tokenizer.encode(values(step, "text"))):
-            if ids and held + len(tokens) // 4 > shard_tokens:
-                yield ids, packed
-                ids, packed, held = [], [], 0
-            ids.append(doc)
-            packed.append(tokens)
-            held += len(tokens) // 4
-    if ids:
-        yield ids, packed
+        docs = values(step, "doc_id")
+        ids, number = tokenizer.encode(values(step, "text"))
+        ends = np.cumsum(number)
+        first = 0
+        while first < len(docs):  # as many documents as the shard takes
+            before = int(ends[first - 1]) if first else 0
+            last = int(np.searchsorted(ends, before + shard_tokens - size, side="right"))
+            if last <= first:
+                if names:
+                    yield names, np.concatenate(held), np.concatenate(counts)
+                    names, held, counts, size = [], [], [], 0
+                    continue
+                last = first + 1
+            names += docs[first:last]
+            held.append(ids[before:int(ends[last - 1])])
+            counts.append(number[first:last])
+            size += int(ends[last - 1]) - before
+            first = last
+    if names:
+        yield names, np.concatenate(held), np.concatenate(counts)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None,
@@ -183,11 +288,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None,
     target = mounted_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        for k, (ids, packed) in enumerate(_packed(batches, path, shard_tokens)):
-            starts = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            tokens = np.frombuffer(b"".join(packed), dtype="<u4")
-            shard = compress(ids, tokens, starts, _word_tokenizer(path).size)
+        partition, words = TaskContext.get().partitionId(), _word_tokenizer(path)
+        for k, (ids, tokens, counts) in enumerate(_shards(batches, words, shard_tokens)):
+            starts = np.r_[0, np.cumsum(counts)]
+            shard = compress(ids, tokens, starts, words.size)
             file = os.path.join(target, f"part-{partition:06d}-{k:06d}.rpr")
             write_file(file, shard.to_bytes())
             yield pa.RecordBatch.from_pydict({"partition": pa.array([partition], pa.int32()),

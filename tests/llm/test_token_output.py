@@ -22,14 +22,16 @@ def plain():
     return lambda text: whole.encode(text or "", add_special_tokens=False).ids + [T.END_ID]
 
 
-def ids(packed):
-    return np.frombuffer(packed, dtype="<u4").tolist()
+def encode(words, texts):
+    ids, counts = words.encode([None if t is None else t.encode() for t in texts])
+    return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
 def test_words_apart_give_the_ids_of_the_whole_text(plain):
     words = T.WordTokenizer(T.tokenizer_path())
     for _ in range(2):  # unknown, then remembered
-        assert [ids(p) for p in words.encode([t.encode() for t in ODD])] == [plain(t) for t in ODD]
+        assert encode(words, [*ODD, None]) == [plain(t) for t in [*ODD, None]]
+    assert encode(words, []) == []
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,7 +39,7 @@ def test_words_apart_give_the_ids_of_the_whole_text(plain):
 def test_any_text(text):
     global _CACHED
     words, plain_ = _CACHED
-    assert ids(words.encode([text.encode()])[0]) == plain_.encode(text, add_special_tokens=False).ids + [T.END_ID]
+    assert encode(words, [text])[0] == plain_.encode(text, add_special_tokens=False).ids + [T.END_ID]
 
 
 _words = T.WordTokenizer(T.tokenizer_path())
@@ -46,10 +48,19 @@ _CACHED = (_words, _words.tokenizer)
 
 def test_a_full_memory_starts_anew(monkeypatch, plain):
     monkeypatch.setattr(T, "CACHE_CHUNKS", 3)
-    monkeypatch.setattr(T, "CACHE_UNITS", 2)
     words = T.WordTokenizer(T.tokenizer_path())
-    for text in ("one two three four five", "six seven one", "two nine ten eleven"):
-        assert ids(words.encode([text.encode(), None])[0]) == plain(text)
+    for text in ("one two three four five", "six Seven one.", "Two, nine ten eleven", "\u00a0 \u3000 x", "Nine. (ten) \u00a0",
+                 "nine ten seven", "one", "Eleven!"):
+        assert encode(words, [text, None]) == [plain(text), plain(None)]
+
+
+def test_hashes_of_long_and_short_chunks_agree_at_any_step(monkeypatch):
+    text = b"a bb " + b"c" * 5000 + b"  d\x0be" + b"f" * 900 + b" a bb "
+    whole = T._Hasher().spans(np.frombuffer(text, dtype=np.uint8))
+    monkeypatch.setattr(T, "HASHED_BYTES", 64)
+    parts = T._Hasher().spans(np.frombuffer(text, dtype=np.uint8))
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert [text[a:b] for a, b in zip(*whole[:2])] == text.split() and whole[2][0] == whole[2][-2] != whole[2][1]
 
 
 @pytest.mark.parametrize("seed,vocabulary", [(1, 3), (2, 40), (3, 1), (4, 70_000)])
