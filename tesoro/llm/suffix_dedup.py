@@ -10,10 +10,11 @@ on is made small first, without losing a repeat:
   runs of repeated anchors, strings over the symbols (anchor string, distance to the
   next).
 
-``suffix_ranks`` sorts all suffixes of these strings, and adjacent suffixes are compared:
-a common prefix of symbols is a common string of bytes, and decides the windows inside
-it. Only windows that the symbols leave open, at the ends of repeats, are compared byte
-by byte with the others of the same anchor string, by fingerprint.
+The difference-cover sort brings all suffixes of these strings in order (as far as the
+compared symbols go), and adjacent suffixes are compared: a common prefix of symbols is a
+common string of bytes, and decides the windows inside it. Only windows that the symbols
+leave open, at the ends of repeats, are compared with the others of the same anchor
+string, by fingerprint.
 
 Files of the shared folder, mapped by the workers, hold the sets and the decisions; no
 text is shuffled.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro.llm.common import mounted_path, prepare, read, shared_uri, steps, store, values, write_file
-from tesoro.llm.difference_cover import in_order, suffix_ranks
+from tesoro.llm.difference_cover import BASE_SYMBOLS, suffix_order
 from tesoro.llm.hash_arrays import BLOCK, HashSet, Held, bits_for, top_part, write_set
 
 LENGTH = 200
@@ -43,8 +44,11 @@ PART_BYTES = 64 << 20
 # Windows of a text that are looked at a time; positions in them take POSITION_BITS bits.
 CHUNK = 1 << 19
 POSITION_BITS = np.uint64(20)
-# Symbols of a suffix that are carried for the comparison; a longer common prefix is cut.
+# Symbols of a suffix that are compared with its neighbour's; a longer common prefix is cut.
 PREFIX = 8
+# Bits of an anchor's place in its partition, and of a distance in a symbol.
+NUMBER_BITS = 32
+GAP_BITS = 7
 NO_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -233,48 +237,123 @@ def _find_copies(texts: DataFrame, folder: str, bits: int, length: int) -> Keyed
                        folder, "copies", bits)
 
 
-_ANCHOR = ("k1 long, k2 long, sid long, pos int, hash long, gap int, at long, first long, last long, hashes binary, "
-           "gaps binary")
+class AnchorFiles:
+    """The strings over repeated anchors: files ``symbols-PART`` (anchor string hashes)
+    and ``gaps-PART`` (distances, 0 at the end of a run), one of each for each partition
+    of the scan. An anchor's number is the partition and the place in its file."""
 
+    def __init__(self, folder: str):
+        self.folder = folder
+        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _anchor_rows(texts: DataFrame, copies: Keyed, repeated: HashSet, length: int) -> DataFrame:
-    """One row for each repeated anchor. ``sid`` numbers the runs of anchors that are
-    repeated one after the other, ``pos`` the anchors in a run; it is null for runs too
-    short to hold a window between their ends. The next PREFIX symbols come along."""
+    def __getstate__(self):
+        return {**self.__dict__, "_open": {}}
+
+    def part(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        if part not in self._open:
+            self._open[part] = tuple(np.memmap(os.path.join(self.folder, f"{name}-{part}"), dtype=kind, mode="r")
+                                     for name, kind in (("symbols", "<u8"), ("gaps", "<u2")))
+        return self._open[part]
+
+    def prefixes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next PREFIX hashes and distances of each anchor; 0 beyond a file's end."""
+        hashes = np.zeros((len(numbers), PREFIX), dtype=np.uint64)
+        gaps = np.zeros((len(numbers), PREFIX), dtype=np.int64)
+        parts = numbers >> NUMBER_BITS
+        for p in np.unique(parts):
+            rows = np.flatnonzero(parts == p)
+            held, distances = self.part(int(p))
+            at = (numbers[rows] & ((1 << NUMBER_BITS) - 1))[:, None] + np.arange(PREFIX)
+            inside = at < len(held)
+            at = np.minimum(at, len(held) - 1)
+            hashes[rows] = np.where(inside, held[at], 0)
+            gaps[rows] = np.where(inside, distances[at], 0)
+        return hashes, gaps
+
+
+_TEXT = "k1 long, k2 long, first_number long, hash binary, gap binary, at binary, first binary, last binary, alone binary"
+
+
+def _anchor_texts(texts: DataFrame, copies: Keyed, repeated: HashSet, folder: str, length: int) -> DataFrame:
+    """One row for each text with repeated anchors: packed columns of those in runs that
+    can hold a window, numbered on from ``first_number``, and the hashes of the others
+    (``alone``). Writes the files of ``AnchorFiles``."""
     shipped = texts.sparkSession.sparkContext.broadcast((copies, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies, repeated = shipped.value
-        sid = TaskContext.get().partitionId() << 26
+        part = TaskContext.get().partitionId()
+        symbols: list[bytes] = []
+        distances: list[bytes] = []
+        number = part << NUMBER_BITS
         for batch in steps(batches, "text"):
             step = _Step(batch, copies, length)
-            columns: list[list] = [[] for _ in range(11)]
+            rows = []
             for i, found, mark in zip(step.rows, step.anchors, step.marked(repeated)):
-                k1, k2 = step.keys[i].view(np.int64).tolist()
+                if not mark.any():
+                    continue
                 edge = np.flatnonzero(np.diff(np.r_[False, mark, False].astype(np.int8)))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    n, at = b - a, found.at[a:b]
-                    hashes, gaps = found.hash[a:b], np.r_[np.diff(at), 0]
-                    long = bool(at[-1] + length // 2 - at[0] >= length)
-                    sid += long
-                    packed, steps_ = hashes.astype("<u8").tobytes(), gaps.astype("<u2").tobytes()
-                    for column, more in zip(columns, (
-                            [k1] * n, [k2] * n, [sid if long else None] * n, range(n), hashes.view(np.int64).tolist(),
-                            gaps.tolist(), at.tolist(), found.first[a:b].tolist(), found.last[a:b].tolist(),
-                            [packed[8 * j:8 * (j + PREFIX)] if long else None for j in range(n)],
-                            [steps_[2 * j:2 * (j + PREFIX)] if long else None for j in range(n)])):
-                        column.extend(more)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
-
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _ANCHOR.split(", "))])
-    return texts.mapInArrow(run, _ANCHOR)
+                begin, end = edge[::2], edge[1::2]
+                long = found.at[end - 1] + length // 2 - found.at[begin] >= length
+                inside = np.zeros(len(mark) + 1, dtype=np.int64)
+                inside[begin[long]] += 1
+                inside[end[long]] -= 1
+                inside = np.cumsum(inside)[:-1] > 0
+                gap = np.r_[np.diff(found.at), 0]
+                gap[end - 1] = 0
+                packed = [found.hash[inside].astype("<u8").tobytes(), gap[inside].astype("<u2").tobytes(),
+                          *(x[inside].astype("<u4").tobytes() for x in (found.at, found.first, found.last)),
+                          found.hash[mark & ~inside].astype("<u8").tobytes()]
+                rows.append((*step.keys[i].view(np.int64).tolist(), number, *packed))
+                symbols.append(packed[0])
+                distances.append(packed[1])
+                number += int(inside.sum())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+        write_file(os.path.join(folder, f"symbols-{part}"), *symbols)
+        write_file(os.path.join(folder, f"gaps-{part}"), *distances)
+
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _TEXT.split(", "))])
+    return store(texts.mapInArrow(run, _TEXT), "anchor-texts")
+
+
+def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, hashes and distances of the anchors of ``(first_number, hash, gap)`` rows."""
+    hashes = [np.frombuffer(x, "<u8") for x in values(batch, "hash")]
+    numbers = [np.arange(f, f + len(h)) for f, h in zip(values(batch, "first_number"), hashes)]
+    gaps = np.frombuffer(b"".join(values(batch, "gap")), "<u2").astype(np.int64)
+    return np.concatenate(numbers), np.concatenate(hashes), gaps
+
+
+def _triples(texts: DataFrame) -> DataFrame:
+    """The strings as ``triples_of`` would make them: a run's number is its first
+    anchor's, a symbol orders by the anchor string's hash and then the distance. Of the
+    hash 56 bits are in it: two that share them merely stand together in the order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, hashes, gaps = _symbols(batch)
+            if not len(number):
+                continue
+            symbol = ((hashes >> np.uint64(8) << np.uint64(GAP_BITS)).astype(np.int64)
+                      | np.minimum(gaps, (1 << GAP_BITS) - 2)) + 1
+            last = gaps == 0
+            place = np.arange(len(number))
+            head = np.maximum.accumulate(np.where(np.r_[True, last[:-1]], place, 0))
+            end = np.minimum.accumulate(np.where(last, place, len(place))[::-1])[::-1]  # of the run
+            after = [np.where(place + i <= end, symbol[np.minimum(place + i, len(place) - 1)], 0) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number - (place - head)), pa.array((place - head).astype(np.int32)), pa.array(symbol),
+                 *map(pa.array, after)], ["sid", "pos", "s0", "s1", "s2"])
+
+    return texts.select("first_number", "hash", "gap").mapInArrow(run, "sid long, pos int, s0 long, s1 long, s2 long")
 
 
 def _common(hashes: np.ndarray, gaps: np.ndarray, size: int) -> np.ndarray:
     """Bytes that each suffix but the last has in common with the one after it, as far
-    as the carried symbols tell: up to the end of the last equal anchor string."""
+    as the symbols tell: up to the end of the last equal anchor string."""
     common = np.zeros(len(hashes) - 1, dtype=np.int64)
     offset = np.zeros(len(hashes) - 1, dtype=np.int64)
     alive = np.ones(len(hashes) - 1, dtype=bool)
@@ -286,34 +365,44 @@ def _common(hashes: np.ndarray, gaps: np.ndarray, size: int) -> np.ndarray:
     return common
 
 
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize * PREFIX
-    joined = b"".join(v.ljust(width, b"\0") for v in column.to_pylist())
-    return np.frombuffer(joined, dtype=kind).reshape(-1, PREFIX).astype(np.int64 if kind == "<u2" else np.uint64)
-
+def _compare(ordered: DataFrame, files: AnchorFiles, length: int) -> DataFrame:
+    """``(part, place, common)`` of the anchors from which the text has a window in common
+    with a neighbour in the suffix order: the bytes in common. Neighbours in two tasks of
+    the sort are not compared: their windows stay open."""
+    shipped = ordered.sparkSession.sparkContext.broadcast(files)
 
-def _compared(ranked: DataFrame, length: int) -> DataFrame:
-    """Each suffix with ``common``: the bytes that it shares with a neighbour in the
-    suffix order. Neighbours in two partitions of the sort are left open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = before = None
+        files = shipped.value
+        held, before = np.zeros(0, dtype=np.int64), 0
         for batch in batches:
-            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            after = np.r_[_common(_matrix(table["hashes"], "<u8"), _matrix(table["gaps"], "<u2"), length // 2), 0]
-            best = np.maximum(after, np.r_[before or 0, after[:-1]])
-            before, held = (int(after[-2]) if len(after) > 1 else before or 0), table.slice(table.num_rows - 1)
-            yield emit(table, best, table.num_rows - 1)
-        if held is not None:
-            yield emit(held, np.array([before]), 1)
-
-    def emit(table: pa.RecordBatch, best: np.ndarray, n: int) -> pa.RecordBatch:
-        names = ["k1", "k2", "hash", "at", "first", "last"]
-        return pa.RecordBatch.from_arrays([*(table[c].slice(0, n) for c in names), pa.array(best[:n], pa.int64())],
-                                          [*names, "common"])
-
-    ordered = ranked.repartitionByRange("rank").sortWithinPartitions("rank")
-    return ordered.drop("rank").mapInArrow(
-        run, "k1 long, k2 long, hash long, at long, first long, last long, common long")
+            numbers = np.r_[held, batch.column(0).to_numpy() + batch.column(1).to_numpy()]
+            if not len(numbers):
+                continue
+            after = np.r_[_common(*files.prefixes(numbers), length // 2), 0]
+            best = np.maximum(after, np.r_[before, after[:-1]])
+            before, held = int(after[-2]) if len(after) > 1 else before, numbers[-1:]
+            yield emit(numbers[:-1], best[:-1])
+        yield emit(held, np.array([before] * len(held), dtype=np.int64))
+
+    def emit(numbers: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        sure = best >= length
+        return pa.RecordBatch.from_arrays(
+            [pa.array((numbers[sure] >> NUMBER_BITS).astype(np.int32)), pa.array(numbers[sure] & ((1 << NUMBER_BITS) - 1)),
+             pa.array(best[sure].astype(np.int32))], ["part", "place", "common"])
+
+    return ordered.mapInArrow(run, "part int, place long, common int")
+
+
+def _write_common(found: DataFrame, folder: str) -> None:
+    """Files ``common-PART``: the common bytes of each anchor of ``symbols-PART``."""
+    def write(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        size = os.path.getsize(os.path.join(folder, f"gaps-{part}")) // 2
+        common = np.zeros(size, dtype="<u4")
+        common[table["place"].to_numpy()] = table["common"].to_numpy()
+        write_file(os.path.join(folder, f"common-{part}"), common.tobytes())
+        return pa.table({"part": pa.array([part], pa.int32())})
+    found.groupBy("part").applyInArrow(write, "part int").count()
 
 
 def _union(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,19 +413,32 @@ def _union(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[head], last[np.r_[np.flatnonzero(head)[1:] - 1, len(last) - 1]] if len(first) else last
 
 
-def _decide(length: int):
-    def run(table: pa.Table) -> pa.Table:
-        """A text's decided windows, and the strings of anchors with open ones."""
-        at, first, last, common = (table[c].to_numpy() for c in ("at", "first", "last", "common"))
-        sure = common >= length
-        low, high = _union(at[sure], (at + common - length)[sure])
-        inside = np.searchsorted(low, first, side="right") - 1
-        settled = (inside >= 0) & (last <= (high[inside] if len(high) else -1))
-        return pa.table({
-            "k1": table["k1"].slice(0, 1), "k2": table["k2"].slice(0, 1),
-            "value": pa.array([np.c_[low, high].astype("<i8").tobytes()], pa.binary()),
-            "open": pa.array([np.unique(table["hash"].to_numpy()[~settled]).astype("<i8").tobytes()], pa.binary())})
-    return run
+def _decide(texts: DataFrame, folder: str, length: int) -> DataFrame:
+    """``(k1, k2, value, open)`` of each text of ``_anchor_texts``: the ranges of windows
+    that the suffix order decides, and the anchor strings with windows left open."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sure_, open_ = [], []
+            for r in batch.to_pylist():
+                hashes = np.frombuffer(r["hash"], "<u8")
+                at, first, last = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("at", "first", "last"))
+                part, place = r["first_number"] >> NUMBER_BITS, r["first_number"] & ((1 << NUMBER_BITS) - 1)
+                if part not in held:
+                    path = os.path.join(folder, f"common-{part}")
+                    held[part] = np.memmap(path, dtype="<u4", mode="r") if os.path.exists(path) else np.zeros(0, "<u4")
+                common = np.zeros(len(at), dtype=np.int64)
+                known = held[part][place:place + len(at)]
+                common[:len(known)] = known
+                sure = common >= length
+                low, high = _union(at[sure], (at + common - length)[sure])
+                inside = np.searchsorted(low, first, side="right") - 1
+                settled = (inside >= 0) & (last <= (high[inside] if len(high) else -1))
+                sure_.append(np.c_[low, high].astype("<i8").tobytes())
+                open_.append(np.unique(np.r_[hashes[~settled], np.frombuffer(r["alone"], "<u8")]).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure_, pa.binary()),
+                                              pa.array(open_, pa.binary())], ["k1", "k2", "value", "open"])
+    return store(texts.mapInArrow(run, "k1 long, k2 long, value binary, open binary"), "decided-windows")
 
 
 def _count(texts: DataFrame, hashes, bits: int) -> DataFrame:
@@ -350,7 +452,7 @@ def _count(texts: DataFrame, hashes, bits: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH,
-                   keep_text: bool = False) -> DataFrame:
+                   keep_text: bool = False, base: int = BASE_SYMBOLS) -> DataFrame:
     """One row per row of ``docs``: the id as ``doc_id``, ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and ``spans`` (byte ranges [first, last) that windows
     starting in two places cover), and with ``keep_text`` the kept bytes as ``kept``.
@@ -375,14 +477,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH
                 yield np.concatenate([a.hash for a in found])
     repeated = write_set(_count(texts, anchor_hashes, bits), folder, "anchors", bits, at_least=2)
 
-    rows = store(_anchor_rows(texts, copies, repeated, length), "anchor-rows")
-    names = in_order(rows.where("sid IS NOT NULL").select("hash", "gap").distinct(), ["hash", "gap"], "sym")
-    ranks = suffix_ranks(rows.where("sid IS NOT NULL").join(names, ["hash", "gap"]).select("sid", "pos", "sym"))
-    compared = _compared(rows.join(ranks, ["sid", "pos"]), length)
-    alone = rows.where("sid IS NULL").select("k1", "k2", "hash", "at", "first", "last",
-                                             F.lit(0).cast("long").alias("common"))
-    decided = store(compared.unionByName(alone).groupBy("k1", "k2").applyInArrow(
-        _decide(length), "k1 long, k2 long, value binary, open binary"), "decided-windows")
+    anchored = _anchor_texts(texts, copies, repeated, folder, length)
+    n = anchored.agg(F.sum(F.octet_length("gap") / 2)).first()[0] or 0
+    ordered = suffix_order(_triples(anchored), int(n), PREFIX, base)
+    _write_common(_compare(ordered, AnchorFiles(folder), length), folder)
+    decided = _decide(anchored, folder, length)
     sure = write_keyed(decided.where("octet_length(value) > 0").select("k1", "k2", "value"), folder, "sure", bits)
 
     def open_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

@@ -44,13 +44,11 @@ def run(spark, texts, length, ids=None):
     ids = ids or list(range(len(texts)))
     rows = [(i, t.decode("latin-1") if t is not None else None, "x") for i, t in zip(ids, texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(5)
-    return S.repeated_spans(docs, length=length, keep_text=True).collect()
+    return S.repeated_spans(docs, length=length, keep_text=True, base=20).collect()
 
 
 @pytest.mark.parametrize("seed,alphabet,length", [(1, b"abcdefgh", 40), (2, b"ab", 60), (3, b"abcd", 200)])
-def test_matches_brute_force(spark, monkeypatch, seed, alphabet, length):
-    monkeypatch.setattr("tesoro.llm.difference_cover.BASE_SYMBOLS", 20)
-    monkeypatch.setattr("tesoro.llm.difference_cover.suffix_ranks.__defaults__", (20,))
+def test_matches_brute_force(spark, seed, alphabet, length):
     texts = corpus(seed, alphabet, length)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run(spark, texts, length)}
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
