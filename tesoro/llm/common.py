@@ -19,6 +19,9 @@ from tesoro.session import ensure_checkpoint_dir, ship_package
 # document is a step of its own).
 STEP_BYTES = 4 * 1024 * 1024
 
+# Name of the text among columns that a caller keeps.
+BODY = "__text__"
+
 
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder set and the package importable in Python workers."""

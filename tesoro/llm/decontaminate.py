@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import prepare, read, steps, values
+from tesoro.llm.common import BODY, prepare, read, steps, values
 from tesoro.llm.fm_index import FMIndex
 
 WINDOW_WORDS = 10
@@ -135,8 +135,8 @@ def _find(docs: DataFrame, block: list[tuple[str, bytes | None]], width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(wanted.value, width)
-        for shard in steps(batches, "text", SHARD_BYTES):
-            texts = values(shard, "text")
+        for shard in steps(batches, BODY, SHARD_BYTES):
+            texts = values(shard, BODY)
             counts, hits, items = search_shard(texts, phrases)
             spans = [_word_spans(t, h) if h else [] for t, h in zip(texts, hits)]
             as_structs = lambda found: [[{"first": a, "last": b} for a, b in x] for x in found]
@@ -186,12 +186,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     ``BLOCK_BYTES`` takes a pass for each block; ``keep`` must then tell rows apart,
     or rows alike in it are told apart by their text.
     """
-    narrow = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias(BODY))
     blocks = list(_blocks(benchmark)) if benchmark is not None else [[]]
     if len(blocks) == 1:
         return _find(narrow, blocks[0], width)
     by = [*keep, "_text", "_row"]
-    marked = narrow.select(*keep, F.xxhash64("text").alias("_text"), F.lit(0).alias("_row"), "text")
+    marked = narrow.select(*keep, F.xxhash64(BODY).alias("_text"), F.lit(0).alias("_row"), BODY)
     found = None
     for block in blocks:
         part = _find(marked, block, width)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import prepare, read, steps, values
+from tesoro.llm.common import BODY, prepare, read, steps, values
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -286,15 +286,15 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches, "text"):
-            found = label(values(step, "text"), shipped.value, penalty)
+        for step in steps(batches, BODY):
+            found = label(values(step, BODY), shipped.value, penalty)
             yield pa.RecordBatch.from_arrays(
                 [*(step.column(i) for i in range(step.num_columns - 1)), pa.array([x[0] for x in found], pa.string()),
                  pa.array([x[1] for x in found], pa.float64()),
                  pa.array([[{"first": a, "last": b, "lang": c} for a, b, c in x[2]] for x in found], span)],
                 [*step.schema.names[:-1], "lang_pred", "score", "spans"])
 
-    narrow = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias(BODY))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     return narrow.mapInArrow(
         run, f"{keys}, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>")

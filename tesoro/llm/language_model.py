@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro.llm.hash_arrays import BLOCK, Held, bits_for, counted, top_part, unblock
-from tesoro.llm.common import mounted_path, prepare, read, shared_uri, steps, values, write_file
+from tesoro.llm.common import BODY, mounted_path, prepare, read, shared_uri, steps, values, write_file
 
 # Hash of the end token: no word holds a space.
 END = xxhash.xxh64_intdigest(b" ")
@@ -296,14 +296,14 @@ def score(docs: DataFrame, model: BigramModel, keep: tuple[str, ...] = ("doc_id"
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches, "text"):
-            found = shipped.value.score(values(step, "text"))
+        for step in steps(batches, BODY):
+            found = shipped.value.score(values(step, BODY))
             found["perplexity"] = 10.0 ** (-found["score"] / found["n_tokens"])
             yield pa.RecordBatch.from_arrays(
                 [*(step.column(i) for i in range(step.num_columns - 1)), *map(pa.array, found.values())],
                 [*step.schema.names[:-1], *found])
 
-    narrow = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias(BODY))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     return narrow.mapInArrow(
         run, f"{keys}, n_tokens long, n_known long, base_score double, score double, perplexity double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import prepare, read, shared_uri, steps, values
+from tesoro.llm.common import BODY, prepare, read, shared_uri, steps, values
 
 # Labelled rows of each grade that the fit may use, and the features it may keep:
 # the bounds of what reaches the driver.
@@ -198,9 +198,9 @@ def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         grades = np.array(model.grades, dtype=np.float64)
-        for step in steps(batches, "text"):
+        for step in steps(batches, BODY):
             severity, p_toxic, grade = [], [], []
-            for text in values(step, "text"):
+            for text in values(step, BODY):
                 above = model.above(text)
                 each = -np.diff(np.r_[1.0, above, 0.0])
                 severity.append(float(each @ grades))
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id
                 [*(step.column(i) for i in range(step.num_columns - 1)), pa.array(severity), pa.array(p_toxic),
                  pa.array(grade, pa.int32())], [*step.schema.names[:-1], "severity", "p_toxic", "grade"])
 
-    narrow = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    narrow = docs.select(*keep, F.col("text").cast("binary").alias(BODY))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     return narrow.mapInArrow(run, f"{keys}, severity double, p_toxic double, grade int")
 
