@@ -103,7 +103,9 @@ def anchors(text: bytes, length: int = LENGTH) -> Anchors:
         least = _sliding_min((grams >> POSITION_BITS << POSITION_BITS) | places, length - size + 1)
         head = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         at = (least[head] & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64)
-        found = [at + begin, head + begin, np.r_[head[1:], len(least)] - 1 + begin, grams[at]]
+        # anchors have small hashes: mixed anew, so that they spread over all parts
+        hashes = grams[at] * np.uint64(0xD6E8FEB86659FD93)
+        found = [at + begin, head + begin, np.r_[head[1:], len(least)] - 1 + begin, hashes ^ (hashes >> np.uint64(32))]
         if parts and parts[-1][0][-1] == found[0][0]:  # one anchor's windows in two chunks
             parts[-1][2][-1] = found[2][0]
             found = [x[1:] for x in found]
