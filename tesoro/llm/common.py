@@ -4,11 +4,14 @@ folder, lineage cuts and memory-bounded Arrow batches.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +73,16 @@ def write_file(path: str, *chunks: bytes) -> None:
     os.replace(part, path)
 
 
+def map_file(path: str, kind: str) -> np.ndarray:
+    """A file as a mapped array; empty if there is none. No file handle stays open, so
+    a worker may map any number of files."""
+    if not os.path.exists(path) or not os.path.getsize(path):
+        return np.zeros(0, dtype=kind)
+    options = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    with open(path, "rb") as f:
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **options), dtype=kind)
+
+
 def steps(batches: Iterator[pa.RecordBatch], sized: str, limit: int = STEP_BYTES
           ) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``limit`` bytes of the

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesoro.llm.common import write_file
+from tesoro.llm.common import map_file, write_file
 
 # Distinct keys that a counting task holds before it passes them on.
 HELD_KEYS = 4_000_000
@@ -102,9 +102,7 @@ class HashSet:
 
     def _part(self, part: int) -> np.ndarray:
         if part not in self._open:
-            path = os.path.join(self.folder, f"{self.name}-{part}")
-            some = os.path.exists(path) and os.path.getsize(path)
-            self._open[part] = np.memmap(path, dtype="<u8", mode="r") if some else np.zeros(0, np.uint64)
+            self._open[part] = map_file(os.path.join(self.folder, f"{self.name}-{part}"), "<u8")
         return self._open[part]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:

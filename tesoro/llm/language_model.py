@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro.llm.hash_arrays import BLOCK, Held, bits_for, counted, top_part, unblock
-from tesoro.llm.common import BODY, mounted_path, prepare, read, shared_uri, steps, values, write_file
+from tesoro.llm.common import BODY, map_file, mounted_path, prepare, read, shared_uri, steps, values, write_file
 
 # Hash of the end token: no word holds a space.
 END = xxhash.xxh64_intdigest(b" ")
@@ -88,9 +88,7 @@ class BigramModel:
     def _map(self, name: str, kind: str) -> np.ndarray:
         open_ = self.__dict__.setdefault("_open", {})
         if name not in open_:
-            path = os.path.join(self.folder, name)
-            some = os.path.exists(path) and os.path.getsize(path)
-            open_[name] = np.memmap(path, dtype=kind, mode="r") if some else np.zeros(0, kind)
+            open_[name] = map_file(os.path.join(self.folder, name), kind)
         return open_[name]
 
     def __getstate__(self):

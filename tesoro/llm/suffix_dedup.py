@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import mounted_path, prepare, read, shared_uri, steps, store, values, write_file
+from tesoro.llm.common import map_file, mounted_path, prepare, read, shared_uri, steps, store, values, write_file
 from tesoro.llm.difference_cover import BASE_SYMBOLS, suffix_order
 from tesoro.llm.hash_arrays import BLOCK, HashSet, Held, bits_for, top_part, write_set
 
@@ -154,8 +154,8 @@ class Keyed:
 
     def _part(self, part: int) -> tuple:
         if part not in self._open:
-            path = os.path.join(self.folder, f"{self.name}-{part}")
-            data = np.memmap(path, dtype="<u8", mode="r") if os.path.exists(path) else np.zeros(1, np.uint64)
+            data = map_file(os.path.join(self.folder, f"{self.name}-{part}"), "<u8")
+            data = data if len(data) else np.zeros(2, np.uint64)
             n = int(data[0])
             self._open[part] = (data[1:n + 1], data[n + 1:2 * n + 1], data[2 * n + 1:3 * n + 2], data[3 * n + 2:])
         return self._open[part]
@@ -253,7 +253,7 @@ class AnchorFiles:
 
     def part(self, part: int) -> tuple[np.ndarray, np.ndarray]:
         if part not in self._open:
-            self._open[part] = tuple(np.memmap(os.path.join(self.folder, f"{name}-{part}"), dtype=kind, mode="r")
+            self._open[part] = tuple(map_file(os.path.join(self.folder, f"{name}-{part}"), kind)
                                      for name, kind in (("symbols", "<u8"), ("gaps", "<u2")))
         return self._open[part]
 
@@ -427,8 +427,7 @@ def _decide(texts: DataFrame, folder: str, length: int) -> DataFrame:
                 at, first, last = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("at", "first", "last"))
                 part, place = r["first_number"] >> NUMBER_BITS, r["first_number"] & ((1 << NUMBER_BITS) - 1)
                 if part not in held:
-                    path = os.path.join(folder, f"common-{part}")
-                    held[part] = np.memmap(path, dtype="<u4", mode="r") if os.path.exists(path) else np.zeros(0, "<u4")
+                    held[part] = map_file(os.path.join(folder, f"common-{part}"), "<u4")
                 common = np.zeros(len(at), dtype=np.int64)
                 known = held[part][place:place + len(at)]
                 common[:len(known)] = known

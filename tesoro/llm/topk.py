@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import prepare, read
+from tesoro.llm.common import prepare, read, shared_uri
 
 K = 5
 SCALE = 256
@@ -64,7 +64,7 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Queries of a round: rows ``first`` .. of the round's numbering, by length."""
+    """Queries of a round, numbered from 0, by length."""
     ids: np.ndarray
     groups: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (query numbers, vectors)
 
@@ -199,8 +199,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
                                    F.col(candidates.columns[1]).cast("array<double>").alias("vector"))
     queries = queries.select(F.col(queries.columns[0]).cast("long").alias("id"),
                              F.col(queries.columns[1]).cast("array<double>").alias("vector"))
-    result, largest = spark.createDataFrame([], schema), _largest(candidates)
-    for block in _blocks(queries):
+    largest, found = _largest(candidates), None
+    uri = shared_uri(spark, "top-k")
+    for number, block in enumerate(_blocks(queries)):
+        if found is not None:  # several blocks: each is written, so that plans don't pile up
+            found.write.mode("append").parquet(uri)
         shipped = spark.sparkContext.broadcast((block, _select(candidates, block, k, largest)))
 
         def reach(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -212,11 +215,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
                                              ["q", "query_id", "vec_id", "score"])
 
         best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        result = result.unionByName(
-            candidates.mapInArrow(reach, "q long, query_id long, vec_id long, score long")
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
-    return result
+        found = (candidates.mapInArrow(reach, "q long, query_id long, vec_id long, score long")
+                 .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                 .select("query_id", "rank", "vec_id", "score"))
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return found if number == 0 else found.unionByName(spark.read.schema(schema).parquet(uri))
 
 
 def is_query(vec_id: Column) -> Column:
