@@ -40,7 +40,7 @@ from tesoro.llm.hash_arrays import BLOCK, HashSet, Held, bits_for, top_part, wri
 
 LENGTH = 200
 # Text bytes whose hashes one task merges.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 # Windows of a text that are looked at a time; positions in them take POSITION_BITS bits.
 CHUNK = 1 << 19
 POSITION_BITS = np.uint64(20)
