@@ -20,16 +20,23 @@ from tesoro.session import ensure_checkpoint_dir, ship_package
 
 # Text bytes that one step of a Python worker holds at a time (a single longer
 # document is a step of its own).
-STEP_BYTES = 4 * 1024 * 1024
+STEP_BYTES = 2 * 1024 * 1024
+# Bytes of an Arrow batch, unless the session sets its own: Spark's default suits short
+# rows, and a worker holds a batch on both sides of the pipe.
+BATCH_BYTES = "8388608b"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 # Name of the text among columns that a caller keeps.
 BODY = "__text__"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder set and the package importable in Python workers."""
+    """Checkpoint folder set, the package importable in Python workers, and Arrow batches
+    of a size for long texts."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

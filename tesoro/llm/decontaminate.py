@@ -24,7 +24,7 @@ WINDOW_WORDS = 10
 # Benchmark text that one pass ships to the workers; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 * 1024 * 1024
 # Text bytes of a training shard (a longer document is a shard of its own).
-SHARD_BYTES = 8 * 1024 * 1024
+SHARD_BYTES = 4 * 1024 * 1024
 
 # A-Z in lower case; digits, letters and all bytes of other characters stay; the rest
 # separates words.

@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from tesoro.llm.common import map_file, mounted_path, prepare, read, shared_uri, steps, store, values, write_file
 from tesoro.llm.difference_cover import BASE_SYMBOLS, suffix_order
-from tesoro.llm.hash_arrays import BLOCK, HashSet, Held, bits_for, top_part, write_set
+from tesoro.llm.hash_arrays import HashSet, bits_for, count_blocks, top_part, write_set
 
 LENGTH = 200
 # Text bytes whose hashes one task merges.
 PART_BYTES = 32 << 20
 # Windows of a text that are looked at a time; positions in them take POSITION_BITS bits.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 POSITION_BITS = np.uint64(20)
 # Symbols of a suffix that are compared with its neighbour's; a longer common prefix is cut.
 PREFIX = 8
@@ -442,16 +442,6 @@ def _decide(texts: DataFrame, folder: str, length: int) -> DataFrame:
     return store(texts.mapInArrow(run, "k1 long, k2 long, value binary, open binary"), "decided-windows")
 
 
-def _count(texts: DataFrame, hashes, bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held(top_part(bits))
-        for batch in batches:
-            for found in hashes(batch):
-                yield from held.add(found)
-        yield from held.flush()
-    return texts.mapInArrow(run, BLOCK)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH,
                    keep_text: bool = False, base: int = BASE_SYMBOLS) -> DataFrame:
     """One row per row of ``docs``: the id as ``doc_id``, ``n_bytes``, ``n_removed``,
@@ -476,7 +466,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH
             found = _Step(part, held.value, length).anchors
             if found:
                 yield np.concatenate([a.hash for a in found])
-    repeated = write_set(_count(texts, anchor_hashes, bits), folder, "anchors", bits, at_least=2)
+    repeated = write_set(count_blocks(texts, anchor_hashes, bits), folder, "anchors", bits, at_least=2)
 
     anchored = _anchor_texts(texts, copies, repeated, folder, length)
     n = anchored.agg(F.sum(F.octet_length("gap") / 2)).first()[0] or 0
@@ -487,7 +477,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH
 
     def open_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join(values(batch, "open")), dtype="<u8")
-    unsettled = write_set(_count(decided.select("open"), open_hashes, bits), folder, "open", bits)
+    unsettled = write_set(count_blocks(decided.select("open"), open_hashes, bits), folder, "open", bits)
     shipped = context.broadcast((copies, unsettled, sure))
 
     def window_counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -497,7 +487,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", length: int = LENGTH
             for i, found, mark in zip(step.rows, step.anchors, step.marked(unsettled)):
                 if mark.any():
                     yield window_hashes(step.texts[i], found.first[mark], found.last[mark], length)[1]
-    again = write_set(_count(texts, window_counts, bits), folder, "windows", bits, at_least=2)
+    again = write_set(count_blocks(texts, window_counts, bits), folder, "windows", bits, at_least=2)
     last = context.broadcast(again)
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 

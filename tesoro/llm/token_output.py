@@ -27,13 +27,13 @@ from tesoro.llm.repair import Shard, compress
 TOKENIZER = "word_bpe_49k.json"  # of the public tokenizers; see tokenizer_path
 END_ID = 1
 # Token ids of one shard file (a longer document is a shard of its own).
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 # Chunks of text whose ids a worker remembers; when full, the memory starts anew.
-CACHE_CHUNKS = 4_000_000
+CACHE_CHUNKS = 1_000_000
 # Words that are encoded as one text.
 JOINED_WORDS = 500
 # Bytes of text that are hashed at a time.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 1 << 19
 
 # ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
 _CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -105,8 +105,8 @@ class _Memory:
 
     def __init__(self, kind: str):
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(0, dtype=np.uint32)
+        self.sizes = np.zeros(0, dtype=np.uint32)
         self.flat = np.zeros(0, dtype=kind)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -123,12 +123,12 @@ class _Memory:
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, at, hashes[order])
-        self.starts = np.insert(self.starts, at, starts[order])
-        self.sizes = np.insert(self.sizes, at, sizes[order])
+        self.starts = np.insert(self.starts, at, starts[order].astype(np.uint32))
+        self.sizes = np.insert(self.sizes, at, sizes[order].astype(np.uint32))
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and joined ids of the places."""
-        sizes = self.sizes[places]
+        sizes = self.sizes[places].astype(np.int64)
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0)
         at += np.repeat(self.starts[places] - (ends - sizes), sizes)
