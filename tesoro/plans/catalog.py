@@ -354,33 +354,33 @@ FEED_LOAD_TS = "2026-01-01 00:00:00"
 FEED_BATCH = "tables"
 
 
-def feed_load(spark: SparkSession, sf_dir: str) -> dict:
-    """The tables written as feed files, parsed, typed and loaded into empty Bronze
-    tables: S1 P4 P5 J2 S3-S7. Returns the rows added."""
-    kinds = {kind: feed.parse_feed_files(files, kind, FEED_BATCH)
-             for kind, files in dt.feed_files(spark, sf_dir).items()}
-    return feed.load_records(spark, kinds["transactions"], kinds["cashflow"], kinds["inventory"],
-                             feed.empty_bronze(spark), FEED_LOAD_TS)[1]
+def feed_load(spark: SparkSession, sf_dir: str, *kinds: str) -> dict:
+    """The tables written as feed files of the ``kinds``, parsed, typed and loaded into
+    empty Bronze tables: S1 P4 P5 J2 S3-S7. Returns the rows added."""
+    files = dt.feed_files(spark, sf_dir)
+    parsed = [feed.parse_feed_files(files[kind], kind, FEED_BATCH) if kind in kinds else feed.empty_feed(spark, kind)
+              for kind in feed.FEED_SCHEMAS]
+    return feed.load_records(spark, *parsed, feed.empty_bronze(spark), FEED_LOAD_TS)[1]
 
 
 def s1_feed_transactions(spark, sf_dir):
     """JSON invoices to Bronze transactions, one for each uuid."""
-    return feed_load(spark, sf_dir)["core_transaction"].drop("created_at", "confidence_score")
+    return feed_load(spark, sf_dir, "transactions")["core_transaction"].drop("created_at", "confidence_score")
 
 
 def s4_feed_cashflow(spark, sf_dir):
     """JSON cash-flow records to Bronze, records without a date rejected."""
-    return feed_load(spark, sf_dir)["core_cashflowevent"]
+    return feed_load(spark, sf_dir, "cashflow")["core_cashflowevent"]
 
 
 def s5_feed_inventory(spark, sf_dir):
     """JSON inventory snapshots to Bronze."""
-    return feed_load(spark, sf_dir)["core_inventorysnapshot"]
+    return feed_load(spark, sf_dir, "inventory")["core_inventorysnapshot"]
 
 
 def s7_load_counts(spark, sf_dir):
     """Rows added and rejected by the load, and repeated entity keys."""
-    added = feed_load(spark, sf_dir)
+    added = feed_load(spark, sf_dir, *feed.FEED_SCHEMAS)
     repeated = quality.unique(added["core_entity"], "rfc").agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit("repeated_rfc").alias("table"), "rows")
     return feed.load_counts(added).unionByName(repeated)

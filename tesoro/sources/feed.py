@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tesoro import schemas
 from tesoro.functions.columns import deterministic_id
 from tesoro.functions.joins import bounded_broadcast
+from tesoro.session import ensure_checkpoint_dir
 
 FEED_SCHEMAS = {
     "transactions": schemas.RAW_TRANSACTION,
@@ -189,6 +190,9 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     batches, so a re-run appends copies as the reference does.
     """
     _check_mode(mode)
+    ensure_checkpoint_dir(spark)
+    # parsed once: the dimensions, the facts and the counts all read the records
+    raw_txn, cf, inv = (raw.checkpoint() for raw in (raw_txn, cf, inv))
     ts = F.lit(str(load_ts)).cast("timestamp")
     salt = [F.lit(str(load_ts))] if mode == "append" else []
     txn = typed_transactions(raw_txn)
