@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 from tesoro.llm import token_output as T
 from tesoro.llm.common import prepare, shared_uri
-from tesoro.llm.repair import Shard, compress
+from tesoro.llm.repair import Shard, compress, paying_places
 
 ODD = ["it's DON'T 'stop' a.b,c 1234x x1234 <|endoftext|>foo <|ENDOFTEXT|> İstanbul ÀÉ éà ≠ ...… “quoted” café! KK ẞ ΣΣ "
        "nbsp x　y 漢字!! हिन्दी 가각 ## a\x1cb \U0001F600hi! H̱ x̱ ﬁne ''s 's ?!what -- é",
@@ -81,6 +82,40 @@ def test_grammar_round_trip_and_random_access(seed, vocabulary):
     assert lengths == shard.lengths.tolist()
 
 
+def most_places(shard):
+    """The most places, not overlapping, of a pair in a shard."""
+    found = Counter()
+    for a, b in zip(shard.starts[:-1].tolist(), shard.starts[1:].tolist()):
+        symbols, last = shard.symbols[a:b].tolist(), None
+        for pair in zip(symbols, symbols[1:]):
+            last = None if pair == last else pair
+            found[pair] += last is not None
+    return max(found.values())
+
+
+@pytest.mark.parametrize("seed,first_rule", [(1, 49_408), (2, 65_500), (3, 70_000)])
+def test_production_values_leave_no_pair_that_pays(seed, first_rule):
+    rng = np.random.default_rng(seed)
+    phrases = [rng.integers(0, first_rule, rng.integers(2, 9)) for _ in range(600)]
+    docs = [np.concatenate([phrases[i] for i in (rng.random(50) ** 2 * 600).astype(int)]) for _ in range(400)]
+    docs += [np.zeros(13 + seed, dtype=np.int64)] * 40
+    starts = np.cumsum([0, *map(len, docs)])
+    shard = Shard.from_bytes(compress(list(range(len(docs))), np.concatenate(docs), starts, first_rule).to_bytes())
+    symbols = first_rule + len(shard.left)
+    assert (shard.symbols.dtype == np.uint16) == (symbols <= 1 << 16) and shard.symbols.max() >= first_rule
+    assert shard.decode().tolist() == np.concatenate(docs).tolist()
+    assert most_places(shard) < paying_places(symbols) <= 7
+
+
+def test_pairs_are_counted_again_between_rounds():
+    # the best pair takes places from both others: the rest of those don't pay
+    text = [1, 2, 3] * 20 + [2, 3] * 20 + [1, 2] * 3
+    docs = [text[i:i + n] for i, n in [(k * 3, 3) for k in range(20)] + [(60 + k * 2, 2) for k in range(23)]]
+    made = compress(list(range(43)), np.array(text), np.cumsum([0, *map(len, docs)]), 4)
+    assert list(zip(made.left.tolist(), made.right.tolist())) == [(2, 3), (1, 4)]
+    assert made.decode().tolist() == text and most_places(made) == 3
+
+
 def test_files_hold_all_rows_in_id_order(spark, plain):
     prepare(spark)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (50, None), (7, "again"), (7, "again"), (-3, "first")]
