@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -135,6 +136,12 @@ class _Memory:
         return sizes, self.flat[at]
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is letters only, also as the tokenizer sees it (NFC, then lower
+    case): some letters become a letter and a combining mark, which isn't one."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 def _parts(chunk: bytes) -> tuple[bytes, ...]:
     """The parts that have their own ids: marks, letters, marks; else the chunk."""
     if chunk.isalpha():  # ASCII letters
@@ -146,7 +153,7 @@ def _parts(chunk: bytes) -> tuple[bytes, ...]:
         before, word, after = m.groups()
         if word.isascii():
             return tuple(u for u in (before, word.lower(), after) if u)
-        if word.decode().isalpha():
+        if _letters(word.decode()):
             return tuple(u for u in (before, word, after) if u)
     return (chunk,)
 
@@ -155,7 +162,7 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across ASCII white space, as the
     default one, whose pre-tokenizer drops white space and cuts letters from marks. So a
     text's ids are those of its white-space-free chunks, and a chunk of letters within
-    ASCII marks has the ids of its parts. The library encodes each part once a worker;
+    ASCII marks has the ids of its parts if the normalised word is letters only. The library encodes each part once a worker;
     many words are encoded as one text and told apart by the tokens that end a word.
     Chunks are known by 64-bit hashes.
     """
@@ -182,7 +189,7 @@ class WordTokenizer:
 
     def _learn_parts(self, parts: list[bytes]) -> None:
         """Encode distinct parts that are not known."""
-        sure = [p for p in parts if _UNIT.fullmatch(p) or p.decode().isalpha()]
+        sure = [p for p in parts if _UNIT.fullmatch(p) or _letters(p.decode())]
         done: list[bytes] = []
         sizes, flat = [], []
         for k in range(0, len(sure), JOINED_WORDS):

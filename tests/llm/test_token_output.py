@@ -35,6 +35,15 @@ def test_words_apart_give_the_ids_of_the_whole_text(plain):
     assert encode(words, []) == []
 
 
+@pytest.mark.parametrize("chunk", ["CUMHURİYETİ.", "ŞİRKETİ,", "İ)", "(İ)", "\u0915\u095c.", "\u0921\u093f\u095c,", "\u095c!", "\u0a36.",
+                                   "\ufb4b,", "\u01f0)", "É.", "(ΣΑΣ),"])
+def test_letters_that_end_in_a_mark_when_normalised(plain, chunk):
+    words = T.WordTokenizer(T.tokenizer_path())
+    texts = [chunk, f"word {chunk} été {chunk[:-1]}"]
+    for _ in range(2):
+        assert encode(words, texts) == [plain(t) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from("aA' .!é́ßİ<|>1"), max_size=40))
 def test_any_text(text):
