@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +22,24 @@ from tesoro.llm.common import prepare, read, steps, store, values
 # Elements whose content is never main text.
 DROPPED_TAGS = frozenset("head script style noscript template nav header footer aside form iframe svg math button "
                          "select textarea input object embed canvas menu dialog video audio map title".split())
-# Words of a class, id or role that mark such content.
+# Words that mark such content as the last word of a class, id or role; layout words
+# may follow.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
     "navigation menu menus breadcrumb breadcrumbs sidebar sidenav aside footer header masthead topbar toolbar notice "
     "notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments commentlist disqus respond reply "
     "replies pagination pager widget widgets search copyright complementary contentinfo dialog form".split())
+LAYOUT_WORDS = frozenset("area bar block box buttons container inner item items links list section slot unit wrap wrapper".split())
+# As a last word one of these needs a dropped word before it: a long form is no form.
+GENERAL_WORDS = frozenset("form notice related search share social".split())
+# A name that begins so tells what a page has, or what it is about.
+STATE_WORDS = frozenset("has have no not with without is category cat tag tags topic".split())
+# A marked container that holds most of the page's text, or is an article or main, is
+# dropped only if a main container holds this share of its text outside of it.
+MAIN_TAGS = frozenset(["article", "main"])
+EVIDENCE_SHARE = 0.05
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 CONTAINER_TAGS = frozenset("article main section div td body blockquote center".split())
@@ -44,6 +56,8 @@ MAIN_WORDS = frozenset("article content post entry story main text".split())
 MAIN_WORD_WEIGHT = 1.5
 # A container's share of the text in the containers inside it.
 INNER_SHARE = 0.5
+# The container around wins if it has this share of the best one's text beside that.
+BESIDE_SHARE = 1 / 3
 ROOT = "html"
 
 _TOKEN = re.compile(
@@ -55,65 +69,105 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    """A block's text, the letters of it that are links, and the paths of the
-    containers around it, outermost first."""
-    __slots__ = ("text", "link", "paths")
-
-    def __init__(self, text: str, link: int, paths: tuple[str, ...]):
-        self.text, self.link, self.paths = text, link, paths
-
-
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """``(tag with its generalised classes, dropped)``: class names are lower-cased,
-    digits become ``#``, and they are sorted."""
+    """A block's text, the letters of it that are links, the paths of the containers
+    around it, outermost first, the marked elements around it, and whether it is in a
+    heading."""
+    __slots__ = ("text", "link", "paths", "marks", "heading")
+
+    def __init__(self, text: str, link: int, paths: tuple[str, ...], marks: tuple[int, ...] = (), heading: bool = False):
+        self.text, self.link, self.paths, self.marks, self.heading = text, link, paths, marks, heading
+
+
+@lru_cache(maxsize=1 << 16)
+def _marked(name: str) -> bool:
+    """Whether a class, id or role names content that isn't main text."""
+    words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+    if not words or words[0] in STATE_WORDS:
+        return False
+    while len(words) > 1 and words[-1] in LAYOUT_WORDS:
+        words.pop()
+    if words[-1] in GENERAL_WORDS and len(words) > 1:
+        return not DROPPED_WORDS.isdisjoint(words[:-1])
+    return words[-1] in DROPPED_WORDS
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """``(tag with its generalised classes, dropped, marked by a name)``: class names are
+    lower-cased, digits become ``#``, and they are sorted."""
     if tag in DROPPED_TAGS:
-        return tag, True
+        return tag, True, False
     classes: list[str] = []
+    marked = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return tag, True
+            return tag, True, False
         if name == "style":
             if _HIDDEN.search(value):
-                return tag, True
+                return tag, True, False
         elif name in ("class", "id", "role"):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-            if not DROPPED_WORDS.isdisjoint(_WORD.findall(value)) and tag not in ("body", "html"):
-                return tag, True
+            marked = marked or tag not in ("body", "html") and any(map(_marked, value.split()))
             if name == "class":
+                value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
                 classes = sorted({re.sub(r"\d+", "#", c) for c in value.split()})
-    return ".".join([tag, *classes]), False
+    return ".".join([tag, *classes]), False, marked
+
+
+def _is_main(path: str) -> bool:
+    tag, _, classes = path.rpartition(">")[2].partition(".")
+    return tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(_WORD.findall(classes))
+
+
+def _unmarked(found: list[Block], tags: list[str]) -> list[Block]:
+    """The blocks outside of marked elements; ``tags`` are those elements' tags. An
+    element that holds most of the text, or is an article or main, counts as marked only
+    beside other main text; the largest are decided first."""
+    size = [0] * len(tags)
+    for block in found:
+        for mark in block.marks:
+            size[mark] += len(block.text)
+    total = sum(len(b.text) for b in found)
+    marked = set(range(len(tags)))
+    for mark in sorted(marked, key=lambda i: (-size[i], i)):
+        if size[mark] and (tags[mark] in MAIN_TAGS or 2 * size[mark] > total):
+            others = sum(len(b.text) for b in found if not b.heading and mark not in b.marks
+                         and marked.isdisjoint(b.marks) and any(map(_is_main, b.paths)))
+            if others < EVIDENCE_SHARE * size[mark]:
+                marked.remove(mark)
+    return [b for b in found if marked.isdisjoint(b.marks)]
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page outside of dropped content, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (ROOT,), False)]  # tag, paths, dropped
-    pieces: list[str] = []
-    links = link_letters = 0
+    tags: list[str] = []  # of the marked elements
+    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = [("", (ROOT,), False, ())]  # tag, paths, dropped, marks
+    pieces: dict[tuple[int, ...], list[str]] = {}  # by the marks around: an inline element may be marked
+    link_letters: dict[tuple[int, ...], int] = {}
+    links = 0
 
     def flush() -> None:
-        nonlocal link_letters
-        if pieces:
-            text = " ".join("".join(pieces).split())
+        for marks, held in pieces.items():
+            text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, link_letters, stack[-1][1]))
-            pieces.clear()
-        link_letters = 0
+                out.append(Block(text, link_letters.get(marks, 0), stack[-1][1], marks,
+                                 any(entry[0] in HEADINGS for entry in stack[-3:])))
+        pieces.clear()
+        link_letters.clear()
 
     def close(depth: int) -> None:
         nonlocal links
         flush()
-        links -= sum(1 for tag, _, _ in stack[depth:] if tag == "a")
+        links -= sum(1 for tag, *_ in stack[depth:] if tag == "a")
         del stack[depth:]
 
     def add(text: str) -> None:
-        nonlocal link_letters
-        if not stack[-1][2]:
+        _, _, dropped, marks = stack[-1]
+        if not dropped:
             text = html.unescape(text) if "&" in text else text
-            pieces.append(text)
+            pieces.setdefault(marks, []).append(text)
             if links:
-                link_letters += len(text.strip())
+                link_letters[marks] = link_letters.get(marks, 0) + len(text.strip())
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -126,10 +180,10 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:  # an end tag
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
-                    if tag in BLOCK_TAGS or any(t in BLOCK_TAGS for t, _, _ in stack[depth:]):
+                    if tag in BLOCK_TAGS or any(t in BLOCK_TAGS for t, *_ in stack[depth:]):
                         close(depth)
                     else:
-                        links -= sum(1 for t, _, _ in stack[depth:] if t == "a")
+                        links -= sum(1 for t, *_ in stack[depth:] if t == "a")
                         del stack[depth:]
                     break
             continue
@@ -154,17 +208,20 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[depth][0] in barrier:
                     break
-        label, dropped = _label(tag, m[3] or m[6] or "")
-        paths = stack[-1][1]
+        label, dropped, marked = _label(tag, m[3] or m[6] or "")
+        _, paths, outside, marks = stack[-1]
         if tag in CONTAINER_TAGS:
             paths = (*paths, f"{paths[-1]}>{label}")
         if tag == "a":
             links += 1
-        stack.append((tag, paths, dropped or stack[-1][2]))
+        if marked and not (dropped or outside):
+            marks = (*marks, len(tags))
+            tags.append(tag)
+        stack.append((tag, paths, dropped or outside, marks))
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    return _unmarked(out, tags) if tags else out
 
 
 def _weight(path: str) -> float:
@@ -177,7 +234,8 @@ def best_path(found: list[Block]) -> tuple[str, float] | None:
     """The page's vote: the path of the highest score and that score; None without
     text. A block counts its letters outside of links for its container, a share of
     that for the container around it, and so on. Ties go to the longer path (the inner
-    container), then to the path that sorts first."""
+    container), then to the path that sorts first. Where comparable text stands beside the
+    best containers, in the one around them, that one wins; not around an article or main."""
     scores: dict[str, float] = {}
     for block in found:
         part = float(max(0, len(block.text) - block.link)) + 1e-3
@@ -188,6 +246,14 @@ def best_path(found: list[Block]) -> tuple[str, float] | None:
         return None
     weighted = {p: s * (0.1 if p == ROOT else _weight(p)) for p, s in scores.items()}
     path = min(weighted, key=lambda p: (-weighted[p], -len(p), p))
+    while around := next((b.paths[b.paths.index(path) - 1] for b in found if path in b.paths[1:]), None):
+        if path.rpartition(">")[2].partition(".")[0] in MAIN_TAGS:
+            break
+        own = sum(max(0, len(b.text) - b.link) for b in found if path in b.paths)
+        beside = sum(max(0, len(b.text) - b.link) for b in found if around in b.paths and path not in b.paths)
+        if not beside or beside < BESIDE_SHARE * own:
+            break
+        path = around
     return path, weighted[path]
 
 

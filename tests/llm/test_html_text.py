@@ -34,6 +34,38 @@ def test_odd_pages(page, want):
     assert text(page) == want
 
 
+LONG = " ".join(f"sentence {i} of the story" for i in range(40))
+
+
+@pytest.mark.parametrize("opening", [
+    "article class='long-form'", "article class='post category-search tag-social'", "div class='content has-sidebar'",
+    "main class='no-sidebar'", "article class='entry comments-open'", "div class='wrap search'", "div id=widget", "article class='post share'",
+    "main class=form", "div class='with-comments'", "span class=promo"])
+def test_an_article_in_an_element_with_a_marked_name(opening):
+    page = f"<body><div class='page-header'><p>Site</p></div><{opening}><h1>Head</h1><p>{LONG}</p><div class='ad'>Buy</div></{opening.split()[0]}>"
+    assert LONG in text(page) and "Buy" not in text(page)
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar2", "site-sidebar", "cookie-notice", "commentList comments", "comments-area", "adContainer",
+                                  "search-form", "social-share", "related"])
+def test_marked_content_beside_or_in_main_text(name):
+    page = f"<body><article><h1>Head</h1><p>{LONG}</p><div class='{name}'><p>noise</p></div></article><div id='{name}'><p>noise {LONG}</p></div>"
+    assert text(page) == f"Head\n{LONG}"
+    page = f"<body><div class=content><p>{LONG}</p><div class='{name}'><p>noise {LONG} {LONG}</p></div></div>"
+    assert text(page) == LONG
+    page = f"<div class=entry><p>{LONG}</p></div>" + "<article class=comment><p>noise</p></article>" * 9
+    assert text(page) == LONG
+
+
+def test_an_article_in_two_containers(spark):
+    parts = [f"intro {LONG[:400]}", f"rest {LONG[:600]}"]
+    page = "<body><div class=wrap><div class=intro><p>%s</p></div><div class=rest><p>%s</p></div></div><p>x</p>" % tuple(parts)
+    assert text(page) == "\n".join(parts)
+    prepare(spark)
+    table = spark.createDataFrame([(i, "http://a/", page) for i in range(3)], "page_id long, url string, html string")
+    assert {(r["text"], r["path"]) for r in H.extract_pages(table).collect()} == {("\n".join(parts), "html>body>div.wrap")}
+
+
 def test_consensus_of_a_host_beats_a_page_of_its_own(spark):
     prepare(spark)
     body = "<div class='story'><p>%s</p></div><div class='extra'><p>%s</p></div>"
