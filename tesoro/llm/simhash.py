@@ -64,17 +64,20 @@ def fingerprint(text: bytes | None, words_per_shingle: int = SHINGLE_WORDS) -> i
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``(id_col, fp)`` of every row; null texts have no words."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                      words_per_shingle: int = SHINGLE_WORDS, hashed: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` of every row, with ``hashed`` also ``text_hash``, which tells texts
+    apart; null texts have no words."""
+    more = [F.xxhash64(text_col).alias("text_hash")] if hashed else []
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more,
                          F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, "text"):
             fps = [fingerprint(t, words_per_shingle) for t in values(step, "text")]
-            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*step.columns[:-1], pa.array(fps, pa.int64())],
+                                             [*step.schema.names[:-1], "fp"])
 
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, fp long" if hashed else "doc_id long, fp long")
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -112,34 +115,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless the component has no other. An empty table gives an empty result. Other
     columns are not read, so their names can't clash.
     """
-    marked = store(with_fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
+    return _components(docs, id_col, text_col, words_per_shingle, max_distance).select("doc_id", "fp", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS,
+                max_distance: int = MAX_DISTANCE, hashed: bool = False) -> DataFrame:
+    """``near_duplicates`` with the components' ``root``, which alone tells them apart when
+    ids are null or repeated, and with ``text_hash`` if ``hashed``."""
+    marked = store(with_fingerprints(docs, id_col, text_col, words_per_shingle, hashed), "fingerprints")
     by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     roots = connected_components(links(by_fp.select("fp"), max_distance))
     rooted = (by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                    .select("fp", "smallest", F.coalesce("root", "fp").alias("root")))
     # at most one row per distinct fingerprint on either side
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    component = rooted.join(smallest, "root").select("fp", "component_id")
+    component = rooted.join(smallest, "root").select("fp", "root", "component_id")
     # a hot fingerprint is split by the adaptive skew join: only documents repeat it
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(component, "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those whose ``doc_id`` is
-    the component's id. Rows that agree in ``doc_id`` and text are one document;
-    the first in the order of the other columns stays. Rows without an id stay only
-    in a group in which no row has one."""
-    kept = (near_duplicates(docs, **options)
+    """The rows of ``docs`` that stand for their group, one of each: the row whose
+    ``doc_id`` is the component's id; of several texts with that id, that of the smallest
+    fingerprint, then hash; of rows that agree in ``doc_id`` and text, the first in the
+    order of the other columns. A row without an id stays only for a group in which no
+    row has one."""
+    kept = (_components(docs, **options, hashed=True)
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("doc_id").isNull().alias("_none"))
-            .distinct())
+            .groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("fp", "text_hash")).alias("of"))
+            .select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("doc_id").isNull().alias("_none"),
+                    F.col("of.text_hash").alias("_text")))
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("text").alias("_text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"),
                        F.col("doc_id").isNull().alias("_none"))
     first = Window.partitionBy("_key", "_none", "_text").orderBy(
         *[F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind],
         F.lit(0))
-    return (rows.join(kept, ["_key", "_none"], "left_semi")
+    return (rows.join(kept, ["_key", "_none", "_text"], "left_semi")
                 .withColumn("_n", F.row_number().over(first)).where("_n = 1")
                 .select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]))
 

@@ -67,6 +67,23 @@ def test_components_match_all_pairs(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    prepare(spark)
+    rows = [(None, "alone without id", 2), (None, "Alone without ID", 1), (None, "alone without id", 1), (None, "b c d e", 0),
+            (5, "B c d e", 0), (9, "b c d e", 0), (7, "one two three four", 0), (7, "ONE two three four", 0),
+            (7, "another text of the same id", 3), (7, "another text of the same id", 1), (5, "one two three four", 0),
+            (None, "", 0), (None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for parts in (1, 5):
+        kept = [tuple(r) for r in S.drop_near_duplicates(docs.repartition(parts)).collect()]
+        groups = sorted((slow_fingerprint(t), i) for i, t, _ in kept if i is not None)
+        assert groups == sorted([(slow_fingerprint("b c d e"), 5), (slow_fingerprint("one two three four"), 5),
+                                 (slow_fingerprint("another text of the same id"), 7)])
+        assert sorted(slow_fingerprint(t) for i, t, _ in kept if i is None) == sorted(
+            [slow_fingerprint(""), slow_fingerprint("alone without id")])
+        assert (7, "another text of the same id", 1) in kept and all(n < 2 for *_, n in kept)
+
+
 @pytest.mark.parametrize("distance", [0, 2, 4])
 def test_links_connect_what_all_pairs_connect(spark, distance):
     prepare(spark)
