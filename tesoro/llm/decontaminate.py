@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import BODY, prepare, read, steps, values
+from tesoro.llm.common import BODY, prepare, read, steps, store, values
 from tesoro.llm.fm_index import FMIndex
 
 WINDOW_WORDS = 10
@@ -151,15 +151,16 @@ def _find(docs: DataFrame, block: list[tuple[str, bytes | None]], width: int) ->
     return docs.mapInArrow(run, f"{keys}, n_words long, hit {_SPAN}, spans {_SPAN}, items array<string>")
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The items in blocks of about BLOCK_BYTES each, dealt by a hash of the row."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, bytes | None]]]]:
+    """Number of blocks, and the distinct items in blocks of about BLOCK_BYTES each, dealt
+    by a hash of the row; the driver holds the one it is at."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"),
-                             F.col("text").cast("binary").alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
+                             F.col("text").cast("binary").alias("text")).where(
+                                 "text IS NOT NULL AND item IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     n = 1 + int(size) // BLOCK_BYTES
-    for k in range(n):
-        yield [(r["item"], bytes(r["text"])) for r in
-               items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
+    return n, ([(r["item"], bytes(r["text"])) for r in
+                items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()] for k in range(n))
 
 
 def _merge_spans(spans: Column) -> Column:
@@ -183,27 +184,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     Null or empty texts have no words. Items without id or words find nothing;
     repeated items count once. An empty table on either side gives whole, unhit or no
     rows. Columns besides ``keep`` and ``text`` are not read. A benchmark of more than
-    ``BLOCK_BYTES`` takes a pass for each block; ``keep`` must then tell rows apart,
-    or rows alike in it are told apart by their text.
+    ``BLOCK_BYTES`` takes a pass for each block, whose hits are stored before the next
+    block is read; ``keep`` must then be comparable.
     """
     narrow = docs.select(*keep, F.col("text").cast("binary").alias(BODY))
-    blocks = list(_blocks(benchmark)) if benchmark is not None else [[]]
-    if len(blocks) == 1:
-        return _find(narrow, blocks[0], width)
-    by = [*keep, "_text", "_row"]
-    marked = narrow.select(*keep, F.xxhash64(BODY).alias("_text"), F.lit(0).alias("_row"), BODY)
+    n, blocks = _blocks(benchmark) if benchmark is not None else (1, iter([[]]))
+    if n == 1:
+        return _find(narrow, next(blocks), width)
+    by = [*keep, "_text"]
+    marked = narrow.select(*keep, F.xxhash64(BODY).alias("_text"), BODY)
     found = None
     for block in blocks:
-        part = _find(marked, block, width)
+        part = store(_find(marked, block, width).where(F.size("hit") > 0).drop("n_words"), "block-hits")
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(*by).agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"),
-        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"),
-        (F.count("*") / len(blocks)).cast("int").alias("_copies"))
-    return merged.select(
-        *keep, "n_words", _merge_spans("hit").alias("hit"), _merge_spans("spans").alias("spans"),
-        F.array_sort(F.array_distinct("items")).alias("items"),
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+        del block  # before the next one is read
+    names = [f"_by{i}" for i in range(len(by))]
+    merged = found.groupBy(*[F.col(f"`{c}`").alias(x) for c, x in zip(by, names)]).agg(
+        F.flatten(F.collect_set("hit")).alias("_hit"), F.flatten(F.collect_set("spans")).alias("_spans"),
+        F.flatten(F.collect_set("items")).alias("_items"))
+    rows = _find(marked, [], width).drop("hit", "spans", "items")
+    same = [rows[f"`{c}`"].eqNullSafe(merged[x]) for c, x in zip(by, names)]
+    none = F.array().cast(_SPAN)
+    return rows.join(merged, same, "left").select(
+        *[rows[f"`{c}`"] for c in keep], "n_words", _merge_spans(F.coalesce("_hit", none)).alias("hit"),
+        _merge_spans(F.coalesce("_spans", none)).alias("spans"),
+        F.array_sort(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>")))).alias("items"))
 
 
 def n_hit() -> Column:

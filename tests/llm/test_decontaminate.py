@@ -66,6 +66,22 @@ def test_edge_cases_match_brute_force(spark, monkeypatch, block_bytes):
     check(D.find_contamination(docs, items, keep=("doc_id", "n")), DOCS, ITEMS)
 
 
+def test_a_block_is_searched_before_the_next_is_read(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    docs, items = frames(spark)
+    steps, read, find = [], D._blocks, D._find
+
+    def blocks(benchmark):
+        n, found = read(benchmark)
+        return n, (steps.append("read") or block for block in found)
+    monkeypatch.setattr(D, "_blocks", blocks)
+    monkeypatch.setattr(D, "_find", lambda docs, block, width: steps.append("find") or find(docs, block, width))
+    check(D.find_contamination(docs.union(docs), items, keep=("doc_id", "n")), DOCS, ITEMS)
+    n = read(items)[0]
+    assert n > 1 and steps == ["read", "find"] * n + ["find"]
+    assert D.find_contamination(docs.union(docs), items, keep=("doc_id", "n")).count() == 2 * len(DOCS)
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark, DOCS, [])
     assert D.find_contamination(docs, items).where("size(items) > 0").count() == 0
