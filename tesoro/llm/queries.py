@@ -1,13 +1,14 @@
 """Registered queries of the training-data operators: ``(spark, sf_dir) -> DataFrame``.
 
-None of them has oracle SQL: every one needs a hash, a tokenizer, a fitted model, an
-HTML reader or a byte-level suffix order that SQL can't express. ``tests/llm`` holds
-them against brute-force versions instead.
+Operators 11 to 13 have oracle SQL. The others have none: each needs a hash, a tokenizer,
+a fitted model, an HTML reader or a byte-level suffix order that SQL can't express, and
+``tests/llm`` holds them against brute-force versions instead.
 """
 
 from __future__ import annotations
 
 from tesoro.llm.decontaminate import op5_decontamination
+from tesoro.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
 from tesoro.llm.html_text import op1_html_extraction
 from tesoro.llm.langid import op3_language_id
 from tesoro.llm.language_model import op7_language_model
@@ -29,6 +30,9 @@ QUERIES = {f.__name__: f for f in (
     op8_mixture,
     op9_token_output,
     op10_suffix_dedup,
+    op13_fill_in_middle,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op13_fill_in_middle": OP13_SQL,
+}
