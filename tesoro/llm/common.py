@@ -8,6 +8,7 @@ import mmap
 import os
 import sys
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -81,8 +82,8 @@ def write_file(path: str, *chunks: bytes) -> None:
 
 
 def map_file(path: str, kind: str) -> np.ndarray:
-    """A file as a mapped array; empty if there is none. No file handle stays open, so
-    a worker may map any number of files."""
+    """A file as a mapped array; empty if there is none. No file handle stays open; the
+    map lasts as long as the array (``MapCache`` bounds their number)."""
     if not os.path.exists(path) or not os.path.getsize(path):
         return np.zeros(0, dtype=kind)
     options = {"trackfd": False} if sys.version_info >= (3, 13) else {}
@@ -90,6 +91,26 @@ def map_file(path: str, kind: str) -> np.ndarray:
         return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **options), dtype=kind)
 
 
+class MapCache:
+    """Mapped files by path, the last ``limit`` used: a process may hold some 65 000 maps."""
+
+    def __init__(self, kind: str, limit: int = 1024):
+        self.kind, self.limit = kind, limit
+        self._maps: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def __getitem__(self, path: str) -> np.ndarray:
+        if path in self._maps:
+            self._maps.move_to_end(path)
+        else:
+            self._maps[path] = map_file(path, self.kind)
+            if len(self._maps) > self.limit:
+                self._maps.popitem(last=False)  # unmapped with its last view
+        return self._maps[path]
+
+    def __getstate__(self):
+        return {**self.__dict__, "_maps": OrderedDict()}
+
+
 def steps(batches: Iterator[pa.RecordBatch], sized: str, limit: int = STEP_BYTES
           ) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``limit`` bytes of the

@@ -7,6 +7,7 @@ a fitted model, an HTML reader or a byte-level suffix order that SQL can't expre
 
 from __future__ import annotations
 
+from tesoro.llm.collocations import OP12_SQL, op12_phrase_collocations
 from tesoro.llm.decontaminate import op5_decontamination
 from tesoro.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
 from tesoro.llm.html_text import op1_html_extraction
@@ -30,9 +31,11 @@ QUERIES = {f.__name__: f for f in (
     op8_mixture,
     op9_token_output,
     op10_suffix_dedup,
+    op12_phrase_collocations,
     op13_fill_in_middle,
 )}
 
 ORACLE: dict[str, str] = {
+    "op12_phrase_collocations": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
