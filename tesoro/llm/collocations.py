@@ -1,6 +1,6 @@
 """Phrase collocations by dynamic itemset counting.
 
-The corpus is stored in ``INTERVALS`` slices that are scanned one after the other, round
+The corpus is cut into words once and stored in ``INTERVALS`` slices that are scanned one after the other, round
 and round. Words are counted from the first slice on. As soon as both subphrases of a
 longer phrase (without its last and without its first word) have reached the threshold,
 the phrase becomes active with the next slice, whichever that is, and is counted until
@@ -27,16 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import MapCache, mounted_path, prepare, read, shared_uri, steps, store, values, write_file
+from tesoro.llm.common import (MapCache, mounted_path, prepare, read, shared_uri, shuffles_go, steps, store, values,
+                               write_file)
 from tesoro.llm.hash_arrays import BLOCK, Held, bits_for, merged, top_part, unblock
 
 INTERVALS = 4
 MAX_WORDS = 5
 # Text bytes whose counters one task holds, and fewest parts.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 LEAST_PARTS = 16
-# Words that a task knows at a time, and phrases that it names before it passes them on.
-KNOWN_WORDS = 1 << 20
+# Text bytes of a stored chunk, and phrases that a task names before it passes them on.
+CHUNK_BYTES = 4 << 20
 NAMED = 1 << 19
 NEVER = np.int64(1 << 40)
 
@@ -44,6 +45,7 @@ NEVER = np.int64(1 << 40)
 _END = 0xFF
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else _END if 10 <= b <= 13 or b in b".,;:!?" else b
                for b in range(256))
+CHUNKS = "lang string, n_bytes long, wide boolean, numbers binary, hashes binary, words binary"
 _STRETCH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,22 +59,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 KEY_BITS = (1 << 64) - 8
 
 
-class Vocabulary(dict):
-    """Numbers and hashes of the words seen; 0 is the end of a piece."""
+def encoded(lang: str, texts: list[bytes]) -> dict:
+    """Texts of a lang as word numbers (0: the end of a piece), and the hashes and the
+    words that the numbers from 1 on stand for."""
+    data = b"\xff".join(texts).translate(_TABLE).replace(b"\xff", b" \xff ").split()
+    known = {b"\xff": 0}
+    numbers = np.fromiter((known.setdefault(w, len(known)) for w in data), dtype="<u4", count=len(data))
+    words = list(known)[1:]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="<u8", count=len(words))
+    kind = "<u2" if len(known) < 1 << 16 else "<u4"
+    return {"lang": lang, "n_bytes": sum(map(len, texts)), "wide": kind == "<u4",
+            "numbers": numbers.astype(kind).tobytes(), "hashes": hashes.tobytes(), "words": b" ".join(words)}
 
-    def __init__(self):
-        super().__init__({bytes([_END]): 0})
-        self.hashes, self.words = [0], [b""]
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.words.append(word)
-        return number
+def _encode(rows: DataFrame) -> DataFrame:
+    """``rows`` (``lang``, ``text``) in chunks of some megabytes of a lang's text."""
+    kind = pa.schema([("lang", pa.string()), ("n_bytes", pa.int64()), ("wide", pa.bool_()),
+                      ("numbers", pa.binary()), ("hashes", pa.binary()), ("words", pa.binary())])
 
-    def numbers(self, texts: list[bytes]) -> np.ndarray:
-        data = b"\xff".join(texts).translate(_TABLE).replace(b"\xff", b" \xff ").split()
-        return np.fromiter(map(self.__getitem__, data), dtype=np.int64, count=len(data))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        total = 0
+        for batch in steps(batches, "text"):
+            for lang, text in zip(values(batch, "lang"), values(batch, "text")):
+                held.setdefault(lang, []).append(text or b"")
+                sizes[lang] = sizes.get(lang, 0) + len(text or b"")
+                total += len(text or b"")
+            # the largest of them, so that what is held is bounded for any number of langs
+            for lang in sorted(sizes, key=sizes.get, reverse=True):
+                if sizes[lang] < CHUNK_BYTES and total < 4 * CHUNK_BYTES:
+                    break
+                total -= sizes.pop(lang)
+                yield pa.RecordBatch.from_pylist([encoded(lang, held.pop(lang))], kind)
+        for lang, texts in held.items():
+            yield pa.RecordBatch.from_pylist([encoded(lang, texts)], kind)
+
+    return rows.mapInArrow(run, CHUNKS)
 
 
 class Reached:
@@ -82,66 +105,96 @@ class Reached:
     def __init__(self, folder: str, step: int, bits: int, key_bits: int = KEY_BITS):
         self.folder, self.step, self.bits, self.key_bits = folder, step, bits, np.uint64(key_bits)
         self.maps = MapCache("<u8")
+        self._heads: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_heads": {}}
+
+    def _part(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """Keys, steps, and where the keys of each range of the next bits begin."""
+        data = self.maps[os.path.join(self.folder, f"reached-{self.step}-{part}")]
+        n = len(data) // 2
+        bits = max(1, bits_for(n))
+        if part not in self._heads:
+            if len(self._heads) >= self.maps.limit:
+                self._heads.clear()
+            range_ = ((data[:n] << np.uint64(self.bits)) >> np.uint64(64 - bits)).astype(np.int64)
+            self._heads[part] = np.cumsum(np.bincount(range_ + 1, minlength=(1 << bits) + 1))
+        return data[:n], data[n:], self._heads[part], np.uint64(64 - bits)
 
     def steps(self, keys: np.ndarray) -> np.ndarray:
         """The step of each key; NEVER if it hasn't reached the threshold."""
         out = np.full(len(keys), NEVER)
         if self.step < 0 or not len(keys):
             return out
-        unique, which = np.unique(keys, return_inverse=True)
-        found, part = np.full(len(unique), NEVER), top_part(self.bits)(unique)
-        for p in np.unique(part).tolist():
-            at = slice(*np.searchsorted(part, [p, p + 1]))
-            data = self.maps[os.path.join(self.folder, f"reached-{self.step}-{p}")]
-            n = len(data) // 2
-            if n:
-                place = np.minimum(np.searchsorted(data[:n], unique[at]), n - 1)
-                found[at] = np.where(data[place] == unique[at], data[n + place].astype(np.int64), NEVER)
-        return found[which]
-
-
-def phrases(words: np.ndarray, hashes: np.ndarray, lang: str, reached: Reached
-            ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: ``(size, places, keys, active, own)`` of the phrases whose
-    subphrases have reached the threshold; ``active`` is the step in which a phrase
-    becomes active, ``own`` the one in which it reached the threshold itself."""
-    at = np.flatnonzero(words)
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
-    single = _mixed(hashes[words] ^ seed)
-    raw, active = single[at], np.zeros(len(at), dtype=np.int64)
-    for size in range(1, MAX_WORDS + 1):
-        keys = (raw & reached.key_bits) | np.uint64(size)
-        own = reached.steps(keys)
-        yield size, at, keys, active, own
-        live = own < NEVER
-        at, raw, own = at[live], raw[live], own[live]
-        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        active = np.maximum(own[follows], own[follows + 1]) + 1
-        raw, at = raw[follows], at[follows]
-        raw = _mixed(raw * _STRETCH + single[at + size])
-
-
-def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    for batch in steps(batches, "text", 4 << 20):
-        texts: dict[str, list[bytes]] = {}
-        for lang, text in zip(values(batch, "lang"), values(batch, "text")):
-            texts.setdefault(lang, []).append(text or b"")
-        yield from texts.items()
+        part = top_part(self.bits)(keys)
+        order = np.argsort(part.astype(np.uint16 if self.bits <= 16 else np.uint32), kind="stable")
+        ends = np.cumsum(np.bincount(part, minlength=1))
+        for p in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            rows = order[ends[p - 1] if p else 0:ends[p]]
+            held, step, heads, shift = self._part(p)
+            if not len(held):
+                continue
+            wanted = keys[rows]
+            range_ = ((wanted << np.uint64(self.bits)) >> shift).astype(np.int64)
+            at, end = heads[range_], heads[range_ + 1]
+            live = np.flatnonzero(at < end)
+            while len(live):  # a range has about one key
+                place = at[live]
+                same = held[place] == wanted[live]
+                out[rows[live[same]]] = step[place[same]].astype(np.int64)
+                at[live] += 1
+                live = live[~same & (place + 1 < end[live])]
+        return out
+
+
+class Chunk:
+    """A chunk's words with their keys; words that occur in it are looked up once."""
+
+    def __init__(self, row: dict, reached: Reached):
+        self.lang, self.reached = row["lang"], reached
+        self.numbers = np.frombuffer(row["numbers"], "<u4" if row["wide"] else "<u2").astype(np.int64)
+        seed = np.uint64(xxhash.xxh3_64_intdigest(self.lang))
+        self.single = _mixed(np.r_[np.uint64(0), np.frombuffer(row["hashes"], "<u8")] ^ seed)
+        self.keys = (self.single & reached.key_bits) | np.uint64(1)
+        self.steps = reached.steps(self.keys)
+        self.steps[0] = NEVER  # the end of a piece
+
+    def longer(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length from 2 on: ``(size, places, keys, active, own)`` of the phrases
+        whose subphrases have reached the threshold; ``active`` is the step in which a
+        phrase becomes active, ``own`` the one in which it reached the threshold itself."""
+        own = self.steps[self.numbers]
+        at = np.flatnonzero(own < NEVER)
+        own, raw = own[at], self.single[self.numbers[at]]
+        for size in range(2, MAX_WORDS + 1):
+            follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+            active = np.maximum(own[follows], own[follows + 1]) + 1
+            at = at[follows]
+            raw = _mixed(raw[follows] * _STRETCH + self.single[self.numbers[at + size - 1]])
+            keys = (raw & self.reached.key_bits) | np.uint64(size)
+            own = self.reached.steps(keys)
+            yield size, at, keys, active, own
+            live = own < NEVER
+            at, raw, own = at[live], raw[live], own[live]
 
 
 def _scan(slice_: DataFrame, reached: Reached, step: int, intervals: int) -> DataFrame:
     """Counts of the phrases that are active in this step, as blocks by part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = Held(top_part(reached.bits)), Vocabulary()
-        for lang, texts in _by_lang(batches):
-            known = known if len(known) < KNOWN_WORDS else Vocabulary()
-            words = known.numbers(texts)
-            for _, _, keys, active, _ in phrases(words, np.array(known.hashes, dtype=np.uint64), lang, reached):
-                counting = step < active + intervals
-                if counting.any():
-                    yield from held.add(keys[counting])
+        held = Held(top_part(reached.bits))
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row, reached)
+                if step < intervals:
+                    times = np.bincount(chunk.numbers, minlength=1)
+                    yield from held.put(chunk.keys[1:], times[1:])
+                for _, _, keys, active, _ in chunk.longer():
+                    counting = step < active + intervals
+                    if counting.any():
+                        yield from held.add(keys[counting])
         yield from held.flush()
-    return slice_.mapInArrow(run, BLOCK)
+    return slice_.select("lang", "wide", "numbers", "hashes").mapInArrow(run, BLOCK)
 
 
 def _add(blocks: DataFrame, folder: str, bits: int, step: int, intervals: int, threshold: int) -> int:
@@ -195,60 +248,95 @@ def _remove(folder: str, step: int, bits: int) -> None:
                 os.remove(path)
 
 
-def _counters(spark: SparkSession, folder: str, step: int, bits: int) -> DataFrame:
-    """``key, counted`` of all phrases that reached the threshold."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in values(batch, "id"):
-                path = os.path.join(folder, f"reached-{step}-{part}")
-                keys = np.fromfile(path, "<i8").reshape(2, -1)[0]
-                counts = np.fromfile(os.path.join(folder, f"counts-{step}-{part}"), "<i8")
-                for at in range(0, len(keys), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + (1 << 16)]),
-                                                      pa.array(counts[at:at + (1 << 16)])], ["key", "counted"])
-    return spark.range(1 << bits).mapInArrow(run, "key long, counted long")
-
-
-def _named(corpus: DataFrame, reached: Reached) -> DataFrame:
-    """``lang, phrase, size, key, c``: what the phrases are called and how often a task
-    saw them; and the number of words of each lang as a phrase of size 0."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()),
-                        ("key", pa.int64()), ("c", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names, counts = Vocabulary(), {}, {}  # by (lang, key): phrase and size, counts
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, *names[lang, key, p], key, c) for (lang, key, p), c in counts.items()]
-            for at in range(0, len(rows), 1 << 14):
-                columns = zip(*rows[at:at + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-            names.clear()
-            counts.clear()
-
-        for lang, texts in _by_lang(batches):
-            known = known if len(known) < KNOWN_WORDS else Vocabulary()
-            words = known.numbers(texts)
-            total = (lang, 0, b"")
-            names[total] = (b"", 0)
-            counts[total] = counts.get(total, 0) + int(np.count_nonzero(words))
-            for size, at, keys, _, own in phrases(words, np.array(known.hashes, dtype=np.uint64), lang, reached):
-                at, keys = at[own < NEVER], keys[own < NEVER]
-                grams = np.stack([words[at + i] for i in range(size)], axis=1) if len(at) else np.zeros((0, size), int)
-                order = np.lexsort((*grams.T, keys)) if len(at) else at
-                grams, keys = grams[order], keys[order]
-                first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (grams[1:] != grams[:-1]).any(axis=1)]) \
-                    if len(keys) else np.zeros(0, int)
-                times = np.diff(np.r_[first, len(keys)])
-                for key, gram, c in zip(keys[first].view(np.int64).tolist(), grams[first].tolist(), times.tolist()):
-                    phrase = b" ".join([known.words[w] for w in gram])
-                    name = (lang, key, phrase)
-                    names[name] = (phrase, size)
-                    counts[name] = counts.get(name, 0) + c
-            if len(counts) > NAMED:
-                yield from flush()
+_NAMES = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()), ("key", pa.uint64()),
+                    ("c", pa.int64())])
+
+
+def _names(batches: Iterator[pa.RecordBatch], reached: Reached) -> Iterator[pa.RecordBatch]:
+    """What the phrases that reached the threshold are called and how often the task sees
+    them, and the number of words of each lang as phrase '' of size 0: a block for each
+    part, an Arrow stream of ``_NAMES`` rows."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = _summed(pa.concat_tables(held))
+        part = top_part(reached.bits)(table["key"].to_numpy())
+        order = np.argsort(part, kind="stable")
+        table, part = table.take(order), part[order]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _NAMES) as out:
+                out.write_table(table.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()])],
+                                             ["part", "block"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            chunk = Chunk(row, reached)
+            words = [b"", *row["words"].split(b" ")] if row["words"] else [b""]
+            times = np.bincount(chunk.numbers, minlength=1)
+            found = np.flatnonzero(chunk.steps < NEVER)
+            phrases, sizes = [b"", *(words[i] for i in found.tolist())], [np.r_[0, np.ones(len(found), int)]]
+            keys, counts = [np.r_[np.uint64(0), chunk.keys[found]]], [np.r_[times[1:].sum(), times[found]]]
+            for n, at, key, _, own in chunk.longer():
+                at, key = at[own < NEVER], key[own < NEVER]
+                if not len(at):
+                    break
+                order = np.argsort(key, kind="stable")
+                key, grams = key[order], np.stack([chunk.numbers[at[order] + i] for i in range(n)], axis=1)
+                other = (grams[1:] != grams[:-1]).any(axis=1)
+                if (other & (key[1:] == key[:-1])).any():  # phrases that share a key
+                    order = np.lexsort((*grams.T, key))
+                    key, grams = key[order], grams[order]
+                    other = (grams[1:] != grams[:-1]).any(axis=1)
+                first = np.flatnonzero(np.r_[True, other | (key[1:] != key[:-1])])
+                phrases += [b" ".join([words[w] for w in g]) for g in grams[first].tolist()]
+                sizes.append(np.full(len(first), n))
+                keys.append(key[first])
+                counts.append(np.diff(np.r_[first, len(key)]))
+            held.append(pa.Table.from_arrays(
+                [pa.array([chunk.lang] * len(phrases)), pa.array(phrases, pa.binary()),
+                 pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(keys), pa.uint64()),
+                 pa.array(np.concatenate(counts), pa.int64())], schema=_NAMES))
+            size += len(phrases)
+            if size > NAMED:
+                held = [_summed(pa.concat_tables(held))]
+                size = held[0].num_rows
+                if size > NAMED // 2:
+                    yield from flush()
+                    held, size = [], 0
+    if held:
         yield from flush()
-    return corpus.mapInArrow(run, "lang string, phrase binary, size int, key long, c long")
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One row for each phrase."""
+    out = table.group_by(["lang", "phrase", "size", "key"], use_threads=False).aggregate([("c", "sum")])
+    return out.rename_columns(["lang", "phrase", "size", "key", "c"]).select(_NAMES.names).cast(_NAMES)
+
+
+def _named(corpus: DataFrame, reached: Reached, threshold: int) -> DataFrame:
+    """``lang, phrase, size, f`` of the phrases that occur often enough: the counter, or
+    the number of times that the phrase was seen where its counter counts another too."""
+    def total(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        rows = _summed(pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["block"]]))
+        name = lambda kind: os.path.join(reached.folder, f"{kind}-{reached.step}-{part}")
+        keys, counts = np.fromfile(name("reached"), "<u8").reshape(2, -1)[0], np.fromfile(name("counts"), "<i8")
+        size, key, seen = (rows[c].to_numpy() for c in ("size", "key", "c"))
+        f = seen.copy()
+        if len(keys):
+            counter = counts[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
+            f[size > 0] = np.minimum(seen, counter)[size > 0]
+        rows = rows.select(["lang", "phrase", "size"]).append_column("f", pa.array(f, pa.int64()))
+        rows = rows.set_column(1, "phrase", rows["phrase"].cast(pa.string()))
+        return rows.filter(pa.array((size == 0) | (f >= threshold)))
+
+    blocks = corpus.select("lang", "wide", "numbers", "hashes", "words").mapInArrow(
+        lambda batches: _names(batches, reached), "part int, block binary")
+    return blocks.groupBy("part").applyInArrow(total, "lang string, phrase string, size int, f long")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = 100, intervals: int = INTERVALS,
@@ -266,28 +354,23 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, intervals: int = INT
                        F.col("text").cast("binary").alias("text"))
     uri = shared_uri(spark, "collocation-slices")
     dealt = F.pmod(F.monotonically_increasing_id(), F.lit(intervals))
-    (rows.withColumn("slice", dealt.cast("int")).write.partitionBy("slice").option("compression", "zstd").parquet(uri))
-    corpus = spark.read.schema("lang string, text binary, slice int").parquet(uri)
-    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    _encode(rows).withColumn("slice", dealt.cast("int")).write.partitionBy("slice").parquet(uri, compression="zstd")
+    corpus = spark.read.schema(f"{CHUNKS}, slice int").parquet(uri)
+    size = corpus.agg(F.sum("n_bytes")).first()[0] or 0
     bits = bits_for(max(LEAST_PARTS, int(size) // PART_BYTES))
     step = last = 0
     while True:
         reached = Reached(folder, step - 1, bits, key_bits)
-        turn = corpus.where(F.col("slice") == step % intervals).drop("slice")
-        if _add(_scan(turn, reached, step, intervals), folder, bits, step, intervals, threshold):
-            last = step
+        turn = corpus.where(F.col("slice") == step % intervals)
+        with shuffles_go(spark):
+            if _add(_scan(turn, reached, step, intervals), folder, bits, step, intervals, threshold):
+                last = step
         if step:
             _remove(folder, step - 1, bits)
         if step >= last + intervals:
             break
         step += 1
-    counters = _counters(spark, folder, step, bits)
-    found = _named(corpus.drop("slice"), Reached(folder, step, bits, key_bits))
-    found = found.groupBy("lang", "phrase", "size", "key").agg(F.sum("c").alias("c"))
-    exact = (found.join(counters, "key", "left")
-             .select("lang", F.col("phrase").cast("string").alias("phrase"), "size",
-                     F.least("c", "counted").alias("f")))  # least passes over the null of size 0
-    return store(exact.where((F.col("size") == 0) | (F.col("f") >= threshold)), "frequent-phrases")
+    return store(_named(corpus, Reached(folder, step, bits, key_bits), threshold), "frequent-phrases")
 
 
 def collocations(docs: DataFrame, threshold: int = 100, top: int = 2000, intervals: int = INTERVALS) -> DataFrame:

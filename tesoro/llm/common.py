@@ -10,6 +10,7 @@ import sys
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -58,6 +59,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go as each of them ends: for loops of
+    queries whose results are written, so that disk holds one step's shuffle at a time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mounted_path(uri: str) -> str:
     """The path under which every worker sees a folder of the shared store.
 

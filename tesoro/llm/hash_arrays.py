@@ -43,10 +43,12 @@ class Held:
         self.part_of, self.keys, self.counts, self.size = part_of, [], [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = counted(keys)
-        self.keys.append(found[0])
-        self.counts.append(found[1])
-        self.size += len(found[0])
+        yield from self.put(*counted(keys))
+
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
         if self.size > HELD_KEYS:
             self.keys, self.counts = ([x] for x in merged(self.keys, self.counts))
             self.size = len(self.keys[0])
