@@ -15,6 +15,7 @@ from tesoro.llm.langid import op3_language_id
 from tesoro.llm.language_model import op7_language_model
 from tesoro.llm.mixture import op8_mixture
 from tesoro.llm.simhash import op2_simhash_near_dedup
+from tesoro.llm.substring_dedup import OP11_SQL, op11_substring_dedup
 from tesoro.llm.suffix_dedup import op10_suffix_dedup
 from tesoro.llm.token_output import op9_token_output
 from tesoro.llm.topk import op6_exact_topk
@@ -31,11 +32,13 @@ QUERIES = {f.__name__: f for f in (
     op8_mixture,
     op9_token_output,
     op10_suffix_dedup,
+    op11_substring_dedup,
     op12_phrase_collocations,
     op13_fill_in_middle,
 )}
 
 ORACLE: dict[str, str] = {
+    "op11_substring_dedup": OP11_SQL,
     "op12_phrase_collocations": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
