@@ -200,17 +200,23 @@ def _scan(slice_: DataFrame, reached: Reached, step: int, intervals: int) -> Dat
 def _add(blocks: DataFrame, folder: str, bits: int, step: int, intervals: int, threshold: int) -> int:
     """Add a step's blocks to the counters. Returns how many phrases below the full
     length have reached the threshold in this step."""
-    def read_file(name: str, columns: int) -> np.ndarray:
-        path = os.path.join(folder, name)
-        data = np.fromfile(path, "<u8") if os.path.exists(path) else np.zeros(0, np.uint64)
-        return data.reshape(columns, -1)
+    part = 0
+
+    def read_file(name: str, *kinds: str) -> list[np.ndarray]:
+        """The columns of a file, one after the other."""
+        path = os.path.join(folder, f"{name}-{step - 1}-{part}")
+        data = np.fromfile(path, np.uint8) if os.path.exists(path) else np.zeros(0, np.uint8)
+        widths = [np.dtype(k).itemsize for k in kinds]
+        ends = np.cumsum(widths) * (len(data) // sum(widths))
+        return [data[b - a:b].view(k) for a, b, k in zip(np.diff(ends, prepend=0), ends, kinds)]
 
     def run(table: pa.Table) -> pa.Table:
+        nonlocal part
         part = table["part"][0].as_py()
         new, more = unblock(table)
-        keys, counts, first = read_file(f"open-{step - 1}-{part}", 3)
-        done, done_step = read_file(f"reached-{step - 1}-{part}", 2)
-        done_count, = read_file(f"counts-{step - 1}-{part}", 1)
+        keys, counts, first = read_file("open", "<u8", "<u4", "<u2")  # counts are below the threshold
+        done, done_step = read_file("reached", "<u8", "<u8")
+        done_count, = read_file("counts", "<u8")
         if len(done):
             place = np.minimum(np.searchsorted(done, new), len(done) - 1)
             old = done[place] == new
@@ -218,17 +224,17 @@ def _add(blocks: DataFrame, folder: str, bits: int, step: int, intervals: int, t
             done_count[place[old]] += more[old].astype(np.uint64)
             new, more = new[~old], more[~old]
         both, count = merged([keys, new], [counts.astype(np.int64), more])
-        since = np.full(len(both), step, dtype=np.uint64)
+        since = np.full(len(both), step, dtype="<u2")
         since[np.searchsorted(both, keys)] = first
         now = count >= threshold
         done = np.r_[done, both[now]]
         done_step = np.r_[done_step, np.full(int(now.sum()), step, dtype=np.uint64)]
         done_count = np.r_[done_count, count[now].astype(np.uint64)]
         order = np.argsort(done)
-        live = ~now & (since + np.uint64(intervals - 1) > np.uint64(step))  # the others have completed their cycle
+        live = ~now & (since.astype(np.int64) + intervals - 1 > step)  # the others have completed their cycle
         out = lambda name, *columns: write_file(
-            os.path.join(folder, f"{name}-{step}-{part}"), *(np.ascontiguousarray(c, dtype="<u8").tobytes() for c in columns))
-        out("open", both[live], count[live], since[live])
+            os.path.join(folder, f"{name}-{step}-{part}"), *(c.tobytes() for c in columns))
+        out("open", both[live], count[live].astype("<u4"), since[live])
         out("reached", done[order], done_step[order])
         out("counts", done_count[order])
         longer = int(np.count_nonzero((both[now] & np.uint64(7)) < MAX_WORDS))
