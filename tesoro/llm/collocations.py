@@ -200,9 +200,7 @@ def _scan(slice_: DataFrame, reached: Reached, step: int, intervals: int) -> Dat
 def _add(blocks: DataFrame, folder: str, bits: int, step: int, intervals: int, threshold: int) -> int:
     """Add a step's blocks to the counters. Returns how many phrases below the full
     length have reached the threshold in this step."""
-    part = 0
-
-    def read_file(name: str, *kinds: str) -> list[np.ndarray]:
+    def read_file(name: str, part: int, *kinds: str) -> list[np.ndarray]:
         """The columns of a file, one after the other."""
         path = os.path.join(folder, f"{name}-{step - 1}-{part}")
         data = np.fromfile(path, np.uint8) if os.path.exists(path) else np.zeros(0, np.uint8)
@@ -211,12 +209,11 @@ def _add(blocks: DataFrame, folder: str, bits: int, step: int, intervals: int, t
         return [data[b - a:b].view(k) for a, b, k in zip(np.diff(ends, prepend=0), ends, kinds)]
 
     def run(table: pa.Table) -> pa.Table:
-        nonlocal part
         part = table["part"][0].as_py()
         new, more = unblock(table)
-        keys, counts, first = read_file("open", "<u8", "<u4", "<u2")  # counts are below the threshold
-        done, done_step = read_file("reached", "<u8", "<u8")
-        done_count, = read_file("counts", "<u8")
+        keys, counts, first = read_file("open", part, "<u8", "<u4", "<u2")  # counts are below the threshold
+        done, done_step = read_file("reached", part, "<u8", "<u8")
+        done_count, = read_file("counts", part, "<u8")
         if len(done):
             place = np.minimum(np.searchsorted(done, new), len(done) - 1)
             old = done[place] == new
