@@ -16,39 +16,45 @@ every document meets every index nor a frequent passage meets one task:
 * The chunk gets these ids back and marks the windows of its documents that begin in a
   document with a smaller one.
 
-Hashes only route: words and segments are compared as they are.
+Hashes only route: words and segments are compared as they are. No text is shuffled but
+the distinct segments: what a chunk gets back lies in a file of the shared folder for each
+few chunks, which the next scan of the corpus opens.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.common import prepare, read, steps, store, values
+from tesoro.llm.common import mounted_path, prepare, read, shared_uri, shuffles_go, steps, store, values, write_file
 from tesoro.llm.hash_arrays import bits_for, top_part
 from tesoro.llm.match_index import MatchIndex
 
 WINDOW = 13
 ANCHOR = 5
 # Text bytes of a chunk (a longer document is one of its own) and of a shard.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 LEAST_PARTS = 16
 # Words whose anchors are looked for at a time; a place in them takes PLACE_BITS bits.
 SECTION = 1 << 20
 PLACE_BITS = np.uint64(21)
+# Chunks of a writing task whose answers are in one file: 2 ** GROUP_BITS.
+GROUP_BITS = 5
 # In place of a null id, and of no document: larger than any id.
 LAST = np.iinfo(np.int64).max
 
-CHUNKS = "ids array<long>, sizes binary, n_bytes long, numbers binary, hashes binary, words binary"
+CHUNKS = "ids array<long>, sizes binary, n_bytes long, numbers binary, words binary"
 _MARKS = "chunk long, keys binary"
 _SEGMENTS = "part int, chunk long, keys binary, lengths binary, ids binary, numbers binary, words binary"
 _FOUND = "chunk long, part int, keys binary, least binary"
@@ -56,19 +62,23 @@ _ROWS = "n_words long, n_removed long, kept_sha256 string, removed array<struct<
 
 
 def encoded(ids: list[int | None], texts: list[bytes]) -> dict:
-    """Documents as numbers of words, and the hashes and words these stand for."""
+    """Documents as numbers of words, and the words these stand for."""
     split = [t.split() for t in texts]
     known: dict[bytes, int] = {}
     numbers = np.fromiter((known.setdefault(w, len(known)) for w in chain.from_iterable(split)), dtype="<u4")
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), dtype="<u8", count=len(known))
     return {"ids": ids, "sizes": np.array([len(s) for s in split], dtype="<i8").tobytes(),
-            "n_bytes": sum(map(len, texts)), "numbers": numbers.tobytes(), "hashes": hashes.tobytes(),
+            "n_bytes": sum(map(len, texts)), "numbers": numbers.astype(_kind(len(known))).tobytes(),
             "words": b" ".join(known)}
 
 
+def _kind(words: int) -> str:
+    """Of the numbers of so many words."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
 def _encode(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n_bytes", pa.int64()),
-                        ("numbers", pa.binary()), ("hashes", pa.binary()), ("words", pa.binary())])
+                        ("numbers", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -115,7 +125,9 @@ class Chunk:
     def __init__(self, row: dict, width: int):
         self.ids = np.array([LAST if x is None else x for x in row["ids"]], dtype=np.int64)
         self.sizes = np.frombuffer(row["sizes"], "<i8")
-        self.numbers, self.hashes = np.frombuffer(row["numbers"], "<u4"), np.frombuffer(row["hashes"], "<u8")
+        self.words = row["words"].split(b" ")
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), dtype="<u8", count=len(self.words))
+        self.numbers = np.frombuffer(row["numbers"], _kind(len(self.words))).astype("<u4")
         self.ends = np.cumsum(self.sizes)
         self.width, self.row = width, row
 
@@ -188,7 +200,7 @@ def _anchors(corpus: DataFrame, width: int, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _, _ in runs], pa.int32()), pa.array([row["chunk"]] * len(runs), pa.int64()),
                      pa.array([keys[a:b].tobytes() for _, a, b in runs], pa.binary())], ["part", "chunk", "keys"])
-    return corpus.select("chunk", "ids", "sizes", "numbers", "hashes").mapInArrow(run, f"part int, {_MARKS}")
+    return corpus.mapInArrow(run, f"part int, {_MARKS}")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -210,20 +222,64 @@ def _all_keys(found: Segments, halves: list[bytes]) -> np.ndarray:
     return unique[np.isin(unique >> np.uint64(1), wanted)]
 
 
-def _send(chunk: pa.Table, marks: pa.Table, width: int, bits: int) -> pa.Table:
+class Answers:
+    """Rows for chunks, in a file for each group of them; a chunk's rows are found in it."""
+
+    def __init__(self, rows: DataFrame, folder: str):
+        self.folder = folder
+        names = rows.columns
+
+        def write(table: pa.Table) -> pa.Table:
+            group = table["group"][0].as_py()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, table.select(names).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for chunk in sorted(set(table["chunk"].to_pylist())):
+                    own = table.select(names).filter(pc.equal(table["chunk"], chunk)).combine_chunks()
+                    out.write_batch(own.to_batches()[0])
+            write_file(os.path.join(folder, f"group-{group}"), sink.getvalue())
+            return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+        grouped = rows.withColumn("group", F.shiftright("chunk", GROUP_BITS)).groupBy("group")
+        grouped.applyInArrow(write, "n long").agg(F.sum("n")).first()
+        self._group, self._rows = None, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "_group": None, "_rows": {}}
+
+    def of(self, chunk: int) -> list[dict]:
+        group = chunk >> GROUP_BITS
+        if group != self._group:
+            self._group, self._rows = group, {}
+            path = os.path.join(self.folder, f"group-{group}")
+            if os.path.exists(path):
+                self._file = pa.ipc.open_file(pa.memory_map(path))
+                for i in range(self._file.num_record_batches):
+                    self._rows[self._file.get_batch(i).column("chunk")[0].as_py()] = i
+        return self._file.get_batch(self._rows[chunk]).to_pylist() if chunk in self._rows else []
+
+
+def _over(corpus: DataFrame, answers: Answers, run: Callable[[dict, list[dict]], pa.Table], schema: str) -> DataFrame:
+    """What ``run`` makes of each chunk and its answers."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from run(row, answers.of(row["chunk"])).to_batches()
+    return corpus.mapInArrow(each, schema)
+
+
+def _send(row: dict, marks: list[dict], width: int, bits: int) -> pa.Table:
     """A chunk's distinct segments with repeated anchors, by part."""
     rows = []
-    if marks.num_rows:
-        row = chunk.to_pylist()[0]
+    if marks:
         one = Chunk(row, width)
-        found, which, sample, least = one.wanted(_all_keys(one.segments(), marks["keys"].to_pylist()))
-        words = row["words"].split(b" ")
+        found, which, sample, least = one.wanted(_all_keys(one.segments(), [m["keys"] for m in marks]))
+        words = one.words
         key, lengths = found.key[sample], (found.windows[sample] + width - 1)
         for part, a, b in _parts_of(key, bits):
             numbers = np.concatenate([one.numbers[f:f + n] for f, n in zip(found.first[sample[a:b]].tolist(), lengths[a:b].tolist())])
             used, local = np.unique(numbers, return_inverse=True)
             rows.append((part, row["chunk"], np.unique(key[a:b]).tobytes(), lengths[a:b].astype("<u4").tobytes(),
-                         least[a:b].tobytes(), local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(),
+                         least[a:b].tobytes(), local.astype(_kind(len(used))).tobytes(),
                          b" ".join([words[i] for i in used.tolist()])))
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
     names = ["part", "chunk", "keys", "lengths", "ids", "numbers", "words"]
@@ -259,7 +315,7 @@ def _match(table: pa.Table, width: int) -> pa.Table:
     blocks = []
     for row in table.to_pylist():
         here = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in row["words"].split(b" ")]
-        local = np.frombuffer(row["numbers"], "<u2" if len(here) < 1 << 16 else "<u4")
+        local = np.frombuffer(row["numbers"], _kind(len(here)))
         data, which, at = np.array(here, dtype="<u4")[local].tobytes(), [], 0
         for length, doc in zip(np.frombuffer(row["lengths"], "<u4").tolist(), np.frombuffer(row["ids"], "<i8").tolist()):
             number = known.setdefault(data[at:at + 4 * length], len(known))
@@ -278,12 +334,11 @@ def _match(table: pa.Table, width: int) -> pa.Table:
         ["chunk", "part", "keys", "least"])
 
 
-def _result(chunk: pa.Table, found: pa.Table, width: int, keep_text: bool) -> pa.Table:
+def _result(row: dict, found: list[dict], width: int, keep_text: bool) -> pa.Table:
     """The rows of a chunk's documents."""
-    row = chunk.to_pylist()[0]
     one = Chunk(row, width)
     removed = np.zeros(len(one.numbers) + 1, dtype=np.int64)
-    blocks = sorted(found.to_pylist(), key=lambda b: b["part"])
+    blocks = sorted(found, key=lambda b: b["part"])
     if blocks:
         segments, which, sample, _ = one.wanted(np.frombuffer(b"".join([b["keys"] for b in blocks]), "<u8"))
         least = np.frombuffer(b"".join([b["least"] for b in blocks]), "<i8")
@@ -296,7 +351,7 @@ def _result(chunk: pa.Table, found: pa.Table, width: int, keep_text: bool) -> pa
         np.add.at(removed, window[smaller], 1)
         np.add.at(removed, window[smaller] + width, -1)
     removed = np.cumsum(removed)[:-1] > 0
-    words = np.array(row["words"].split(b" "), dtype=object)[one.numbers] if len(one.numbers) else np.zeros(0, object)
+    words = np.array(one.words, dtype=object)[one.numbers] if len(one.numbers) else np.zeros(0, object)
     rows = []
     for doc, a, b in zip(row["ids"], (one.ends - one.sizes).tolist(), one.ends.tolist()):
         gone = removed[a:b]
@@ -323,16 +378,20 @@ def drop_repeated_words(docs: DataFrame, width: int = WINDOW, keep_text: bool =
     words, texts shorter than a window lose none. Very long texts are a chunk each. Other
     columns are not read; an empty table gives no rows.
     """
-    corpus = store(_encode(docs), "word-chunks")
+    spark = docs.sparkSession
+    uri = shared_uri(spark, "word-chunks")
+    _encode(docs).write.parquet(uri, compression="zstd")
+    corpus = spark.read.schema(f"{CHUNKS}, chunk long").parquet(uri)
     size = corpus.agg(F.sum("n_bytes")).first()[0] or 0
     bits = bits_for(max(LEAST_PARTS, int(size) // PART_BYTES))
-    marks = _anchors(corpus, width, bits).groupBy("part").applyInArrow(_repeated, _MARKS)
-    sent = corpus.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(
-        lambda chunk, keys: _send(chunk, keys, width, bits), _SEGMENTS)
-    found = sent.groupBy("part").applyInArrow(lambda table: _match(table, width), _FOUND)
+    folder = lambda name: mounted_path(shared_uri(spark, name))
+    with shuffles_go(spark):
+        marks = Answers(_anchors(corpus, width, bits).groupBy("part").applyInArrow(_repeated, _MARKS), folder("marks"))
+        sent = _over(corpus, marks, lambda row, keys: _send(row, keys, width, bits), _SEGMENTS)
+        found = Answers(store(sent.groupBy("part").applyInArrow(lambda table: _match(table, width), _FOUND), "window-ids"),
+                        folder("windows"))
     out = f"doc_id long, {_ROWS}" + ", kept string" * keep_text
-    return corpus.groupBy("chunk").cogroup(store(found, "window-ids").groupBy("chunk")).applyInArrow(
-        lambda chunk, ids: _result(chunk, ids, width, keep_text), out)
+    return _over(corpus, found, lambda row, ids: _result(row, ids, width, keep_text), out)
 
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
