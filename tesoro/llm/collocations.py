@@ -239,7 +239,8 @@ def _add(blocks: DataFrame, folder: str, bits: int, step: int, intervals: int, t
 
     none = blocks.sparkSession.range(1 << bits).selectExpr("int(id) part", "binary('') once", "binary('') more",
                                                            "binary('') counts")
-    return blocks.unionByName(none).groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).first()[0]
+    # more partitions than parts, so that parts don't pile up in a task
+    return blocks.unionByName(none).repartition(2 << bits, "part").groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).first()[0]
 
 
 def _remove(folder: str, step: int, bits: int) -> None:
@@ -339,7 +340,7 @@ def _named(corpus: DataFrame, reached: Reached, threshold: int) -> DataFrame:
 
     blocks = corpus.select("lang", "wide", "numbers", "hashes", "words").mapInArrow(
         lambda batches: _names(batches, reached), "part int, block binary")
-    return blocks.groupBy("part").applyInArrow(total, "lang string, phrase string, size int, f long")
+    return blocks.repartition(2 << reached.bits, "part").groupBy("part").applyInArrow(total, "lang string, phrase string, size int, f long")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = 100, intervals: int = INTERVALS,

@@ -386,10 +386,11 @@ def drop_repeated_words(docs: DataFrame, width: int = WINDOW, keep_text: bool =
     bits = bits_for(max(LEAST_PARTS, int(size) // PART_BYTES))
     folder = lambda name: mounted_path(shared_uri(spark, name))
     with shuffles_go(spark):
-        marks = Answers(_anchors(corpus, width, bits).groupBy("part").applyInArrow(_repeated, _MARKS), folder("marks"))
+        # more partitions than parts, so that parts don't pile up in a task
+        marks = Answers(_anchors(corpus, width, bits).repartition(4 << bits, "part").groupBy("part").applyInArrow(_repeated, _MARKS), folder("marks"))
         sent = _over(corpus, marks, lambda row, keys: _send(row, keys, width, bits), _SEGMENTS)
-        found = Answers(store(sent.groupBy("part").applyInArrow(lambda table: _match(table, width), _FOUND), "window-ids"),
-                        folder("windows"))
+        found = Answers(store(sent.repartition(4 << bits, "part").groupBy("part").applyInArrow(
+            lambda table: _match(table, width), _FOUND), "window-ids"), folder("windows"))
     out = f"doc_id long, {_ROWS}" + ", kept string" * keep_text
     return _over(corpus, found, lambda row, ids: _result(row, ids, width, keep_text), out)
 
