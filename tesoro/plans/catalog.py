@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro import schemas
-from tesoro.operators import anomaly, forecast, marts, quality, review, staging, tax
+from tesoro.operators import anomaly, forecast, marts, quality, review, similar, staging, tax
 from tesoro.plans import tax_cycle
 from tesoro.sources import driver_tables as dt
 from tesoro.sources import feed
@@ -74,6 +74,13 @@ def w5_duplicate_flags(spark, sf_dir):
         "dup_group_size", "dup_rank", "is_likely_duplicate", "is_duplicate_secondary")
 
 
+def u1_fuzzy_duplicates(spark, sf_dir):
+    """Every transaction with the similarity to others of its account, up to three days
+    apart and one edit away."""
+    found = similar.fuzzy_duplicates(staging.stg_transactions(dt.transactions(spark, sf_dir)))
+    return found.select("transaction_id", "account_id", "transaction_date", "description", "confidence_score", "n_similar")
+
+
 def a2_expense_summary(spark, sf_dir):
     """J1 A2."""
     return expense_mart(spark, sf_dir)
@@ -369,7 +376,7 @@ def s1_feed_transactions(spark, sf_dir):
 
 
 def s4_feed_cashflow(spark, sf_dir):
-    """JSON cash-flow records to Bronze, records without a date rejected."""
+    """JSON cash-flow records to Bronze."""
     return feed_load(spark, sf_dir, "cashflow")["core_cashflowevent"]
 
 
@@ -411,6 +418,7 @@ QUERIES = {
     "a1_monthly_cashflow": a1_monthly_cashflow,
     "s9_cashflow_read": s9_cashflow_read,
     "w5_duplicate_flags": w5_duplicate_flags,
+    "u1_fuzzy_duplicates": u1_fuzzy_duplicates,
     "a2_expense_summary": a2_expense_summary,
     "w3_rolling_trend": w3_rolling_trend,
     "r2_cost_spikes": r2_cost_spikes,

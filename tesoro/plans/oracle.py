@@ -438,8 +438,8 @@ SELECT sku, month, avg_qty, avg_turnover_rate, inventory_value FROM turnover WHE
 
 _SUPPLIER = "sha256('entity|S' || lpad(CAST(l_suppkey AS VARCHAR), 11, '0'))"
 _CUSTOMER = "sha256('entity|C' || lpad(CAST(o_custkey AS VARCHAR), 11, '0'))"
-# cash-flow records that load: the file is whole and has a date
-_LOADED_ORDER = "o_orderkey % 50 <> 0 AND o_orderpriority <> '5-LOW' AND o_orderdate IS NOT NULL"
+# cash-flow records that load: they have a date
+_LOADED_ORDER = "o_orderdate IS NOT NULL"
 
 ORACLE["s1_feed_transactions"] = "WITH " + STG_TRANSACTIONS + f"""
 SELECT DISTINCT sha256('txn|' || t.transaction_id) AS id, sha256('account|' || {_SUPPLIER} || '|checking') AS account_id,
@@ -480,6 +480,27 @@ UNION ALL SELECT 'rejected_cashflow', (SELECT count(*) FROM orders WHERE NOT ({_
 UNION ALL SELECT 'rejected_inventory', 0
 UNION ALL SELECT 'repeated_rfc', 0"""
 
+ORACLE["u1_fuzzy_duplicates"] = """
+WITH t AS (
+    SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
+                     lpad(CAST(l_partkey AS VARCHAR), 12, '0'),
+                     lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0')) AS transaction_id,
+           l_suppkey AS account_id, CAST(l_shipdate AS DATE) AS transaction_date,
+           'order ' || l_orderkey || ' line ' || l_linenumber AS description, row_number() OVER () AS n
+    FROM lineitem),
+links AS (
+    SELECT a.n, count(*) AS n_similar,
+           max(1.0::DOUBLE - levenshtein(a.description, b.description)
+               / CAST(greatest(length(a.description), length(b.description)) AS DOUBLE)) AS confidence_score
+    FROM t a JOIN t b ON a.account_id = b.account_id AND a.n <> b.n
+         AND abs(a.transaction_date - b.transaction_date) <= 3
+         AND abs(length(a.description) - length(b.description)) <= 1
+    WHERE levenshtein(a.description, b.description) <= 1
+    GROUP BY a.n)
+SELECT transaction_id, account_id, transaction_date, description, confidence_score,
+       coalesce(n_similar, 0) AS n_similar
+FROM t LEFT JOIN links USING (n)"""
+
 ORACLE["p4_nested_extract"] = """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
 
