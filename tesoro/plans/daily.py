@@ -3,8 +3,10 @@ materialisation.
 
 Storage layout under ``warehouse`` (a shared path on a cluster)::
 
-    bronze/<table>/                 parquet; transactions by month, cash flow and
-                                    inventory by batch, dimensions plain
+    bronze/<table>/                 parquet; transactions by month and load, cash flow
+                                    and inventory by batch, dimensions by load
+    bronze/transaction_ids/         ids of all transactions, bucketed: the identity index
+    run_log/                        finished steps of all runs
     models/<run_id>/_load/          what the run's feed added and rejected
     models/<run_id>/<model>/        marts written once per run, never overwritten
                                     in place; month-partitioned where the model
@@ -12,13 +14,19 @@ Storage layout under ``warehouse`` (a shared path on a cluster)::
     models/<run_id>/_tests/         data-test summary of the run (the dbt tests)
     models/<run_id>/_constraints/   D3-D6 checks of Bronze (the database constraints)
 
-Reports read the newest run folder. Re-running the same feed content adds no
-Bronze rows (idempotent load), and writes a fresh run folder; new content at a known
-path is a new batch.
+Re-running the same feed content adds no Bronze rows (idempotent load), and writes a fresh
+run folder; new content at a known path is a new batch. A run that broke off and is started
+again with its id goes on after its last finished step: what a load adds is staged before
+Bronze changes, and written to partitions of its own, so that writing it again replaces
+it. A staged load that never reached Bronze is finished before another run loads. Readers
+take the models of the run that ``published_run`` names: the last one that finished. One
+run at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +34,7 @@ from pyspark.sql import types as T
 
 from tesoro import schemas
 from tesoro.operators import marts, quality, staging
+from tesoro.plans.run_log import RunLog, published_run
 from tesoro.sources import feed
 from tesoro.session import ensure_checkpoint_dir
 from tesoro.sources.literal import literal_frame
@@ -54,9 +63,13 @@ CLUSTER_KEYS = {
     "mart_inventory_turnover": ("entity_id", "sku"),
     "mart_profitability_flags": ("account_id",),
 }
-# Partition columns of the Bronze facts: a load joins its months or batches only.
-BRONZE_PARTITION = {"core_transaction": "month", "core_cashflowevent": "batch_id",
-                    "core_inventorysnapshot": "batch_id"}
+# Partition columns of the Bronze tables: a load writes partitions of its own.
+BRONZE_PARTITION = {"core_entity": ("load",), "core_account": ("load",), "core_category": ("load",),
+                    "core_transaction": ("month", "load"), "core_cashflowevent": ("batch_id",),
+                    "core_inventorysnapshot": ("batch_id",)}
+# Buckets of the identity index when a warehouse is made: about one for each ten million
+# transactions that it is to hold.
+ID_BUCKETS = 16
 BRONZE_ORDER = ("core_entity", "core_account", "core_category",
                 "core_transaction", "core_cashflowevent", "core_inventorysnapshot")
 
@@ -65,47 +78,77 @@ def clustered(df: DataFrame, name: str) -> DataFrame:
     """Rows ordered for the write. A month- or batch-partitioned table is dealt by that
     column first (Spark splits a large month and joins small ones), so that a task does
     not leave a small file in every partition."""
-    part = "month" if name in MONTH_PARTITIONED else BRONZE_PARTITION.get(name)
+    part = "month" if name in MONTH_PARTITIONED else BRONZE_PARTITION.get(name, (None,))[0]
     if part:
         df = df.hint("rebalance", F.col(part))
     keys = ([part] if part else []) + list(CLUSTER_KEYS.get(name, ()))
     return df.sortWithinPartitions(*keys) if keys else df
 
 
-def append_bronze(added: dict, warehouse: str) -> None:
-    """S3-S5 sink (dimensions first). Transactions and dimensions append their new
-    rows. Cash flow and inventory write whole batches and overwrite a batch that is
-    there already: a replay, also one after a write that broke off, leaves each batch
-    once. A whole batch may be given as ``replay_<table>``; else the new rows are it."""
+def transaction_ids(spark: SparkSession, warehouse: str, buckets: int = ID_BUCKETS) -> str:
+    """S3: the name of the identity index of a warehouse, a table of (id, load) bucketed by
+    id below its Bronze folder, so that looking up new ids never shuffles the history.
+    Registered in the session's catalog if need be; an index that is empty is filled from
+    Bronze."""
+    name = f"tesoro_ids_{hashlib.sha256(warehouse.encode()).hexdigest()[:16]}"
+    if not spark.catalog.tableExists(name):
+        path = f"{warehouse}/bronze/transaction_ids".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (id STRING, load STRING) USING parquet "
+                  f"CLUSTERED BY (id) INTO {buckets} BUCKETS LOCATION '{path}'")
+        if spark.table(name).isEmpty():
+            _add_ids(_stored(spark, warehouse, "core_transaction").select("id", "load"), warehouse, buckets)
+    spark.catalog.refreshTable(name)  # another session may have added to it
+    return name
+
+
+def _add_ids(rows: DataFrame, warehouse: str, buckets: int = ID_BUCKETS) -> None:
+    spark = rows.sparkSession
+    name = transaction_ids(spark, warehouse)
+    rows.select("id", "load").repartition(buckets, "id").write.mode("append").bucketBy(buckets, "id").format(
+        "parquet").saveAsTable(name)
+
+
+def append_bronze(added: dict, warehouse: str, load: str) -> None:
+    """S3-S5 sink (dimensions first). New rows of transactions and dimensions go to
+    partitions of the ``load``, cash flow and inventory to those of their batches, and
+    what these held is overwritten: a replay, also one after a write that broke off,
+    leaves each row once. A whole batch may be given as ``replay_<table>``; else the new
+    rows are it."""
     for name in BRONZE_ORDER:
-        part = BRONZE_PARTITION.get(name)
         rows = added.get(f"replay_{name}", added[name])
-        if part == "month":
+        if "month" in BRONZE_PARTITION[name]:
             rows = rows.withColumn("month", F.trunc("date", "month"))
-        writer = clustered(rows, name).write
-        if part == "batch_id":
-            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(
-                f"{warehouse}/bronze/{name}")
-        elif part:
-            writer.mode("append").partitionBy(part).parquet(f"{warehouse}/bronze/{name}")
-        else:
-            writer.mode("append").parquet(f"{warehouse}/bronze/{name}")
-
-
-def read_bronze(spark: SparkSession, warehouse: str) -> dict:
-    """S2 on Bronze: every table, or an empty frame of its schema before the first load.
-    Any other error than a missing path is raised."""
-    out = {}
-    for name, schema in BRONZE_SCHEMAS.items():
-        stored = schema
-        if BRONZE_PARTITION.get(name) == "month":
-            stored = T.StructType([*schema.fields, T.StructField("month", T.DateType())])
-        try:
-            out[name] = spark.read.schema(stored).parquet(f"{warehouse}/bronze/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            out[name] = literal_frame(spark, [], stored)
+        if "load" in BRONZE_PARTITION[name]:
+            rows = rows.withColumn("load", F.lit(load))
+        writer = clustered(rows, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*BRONZE_PARTITION[name]).parquet(f"{warehouse}/bronze/{name}")
+        if name == "core_transaction":
+            _add_ids(rows, warehouse)  # a replay adds them again, which changes no answer
+
+
+def _stored(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
+    """A Bronze table with its partition columns; empty before the first load. Any other
+    error than a missing path is raised."""
+    extra = {"month": T.DateType(), "load": T.StringType()}
+    schema = T.StructType([*BRONZE_SCHEMAS[name].fields, *(T.StructField(c, extra[c]) for c in BRONZE_PARTITION[name] if c in extra)])
+    try:
+        return spark.read.schema(schema).parquet(f"{warehouse}/bronze/{name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return literal_frame(spark, [], schema)
+
+
+def read_bronze(spark: SparkSession, warehouse: str, load: str | None = None) -> dict:
+    """S2 on Bronze: every table, and ``transaction_ids``, the ids that loads other than
+    ``load`` have added."""
+    out = {name: _stored(spark, warehouse, name).drop("load") for name in BRONZE_SCHEMAS}
+    out["transaction_ids"] = spark.table(transaction_ids(spark, warehouse))
+    if load is not None:
+        out["transaction_ids"] = out["transaction_ids"].where(F.col("load") != load)
+        # what a broken attempt of this load has written is written again
+        for name in ("core_entity", "core_account", "core_category"):
+            out[name] = _stored(spark, warehouse, name).where(F.col("load") != load).drop("load")
     return out
 
 
@@ -189,37 +232,59 @@ def materialise(models: dict, path: str, names=None) -> dict:
     return written
 
 
-def write_model(df: DataFrame, name: str, path: str) -> str:
+def write_model(df: DataFrame, name: str, path: str, mode: str = "errorifexists") -> str:
     target = f"{path}/{name}"
-    writer = clustered(df, name).write.mode("errorifexists")
+    writer = clustered(df, name).write.mode(mode)
     if name in MONTH_PARTITIONED:
         writer = writer.partitionBy("month")
     writer.parquet(target)
     return target
 
 
-def build_stored_models(spark: SparkSession, bronze: dict, path: str) -> tuple[dict, dict]:
+def build_stored_models(spark: SparkSession, bronze: dict, path: str, log: RunLog) -> tuple[dict, dict]:
     """P1-P3, W5, A1-A3, R2, written one after the other: each model reads the stored
-    one before it, so the duplicate windows and the expense aggregate run once.
+    one before it, so the duplicate windows and the expense aggregate run once. Models
+    that the ``log`` has are there already; parts of one that broke off are replaced.
     Returns (models, with the stored ones read back, and {model: path})."""
     models = {"stg_transactions": staging.stg_transactions(bronze["core_transaction"]),
               "stg_cashflow": staging.stg_cashflow(bronze["core_cashflowevent"]),
               "stg_inventory": staging.stg_inventory(bronze["core_inventorysnapshot"])}
     written = {}
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        written[name] = write_model(df, name, path)
-        models[name] = spark.read.schema(df.schema).parquet(written[name])
+    def keep(name: str, build) -> DataFrame:
+        written[name] = f"{path}/{name}"
+        if log.has(f"model:{name}"):
+            models[name] = spark.read.parquet(written[name])
+        else:
+            df = build()
+            write_model(df, name, path, "overwrite")
+            log.add(f"model:{name}")
+            models[name] = spark.read.schema(df.schema).parquet(written[name])
         return models[name]
 
-    deduped = keep("stg_transactions_deduped", staging.flag_duplicates(models["stg_transactions"]))
-    expense = keep("mart_expense_summary", marts.expense_summary(deduped, bronze["core_category"]))
-    keep("mart_profitability_flags", marts.profitability_flags(expense))
-    keep("mart_monthly_cashflow", marts.monthly_cashflow(models["stg_cashflow"]))
-    keep("mart_inventory_turnover", marts.inventory_turnover(models["stg_inventory"]))
+    deduped = keep("stg_transactions_deduped", lambda: staging.flag_duplicates(models["stg_transactions"]))
+    expense = keep("mart_expense_summary", lambda: marts.expense_summary(deduped, bronze["core_category"]))
+    keep("mart_profitability_flags", lambda: marts.profitability_flags(expense))
+    keep("mart_monthly_cashflow", lambda: marts.monthly_cashflow(models["stg_cashflow"]))
+    keep("mart_inventory_turnover", lambda: marts.inventory_turnover(models["stg_inventory"]))
     return models, written
 
 
+def _staged(spark: SparkSession, warehouse: str, run_id: str) -> dict:
+    """The staged load of a run."""
+    names = [*BRONZE_ORDER, "replay_core_cashflowevent", "replay_core_inventorysnapshot"]
+    return {name: spark.read.parquet(f"{warehouse}/models/{run_id}/_load/{name}") for name in names}
+
+
+def read_published(spark: SparkSession, warehouse: str, model: str) -> DataFrame:
+    """A model of the run that finished last; LookupError before the first one."""
+    warehouse = warehouse.rstrip("/")
+    run_id = published_run(spark, warehouse)
+    if run_id is None:
+        raise LookupError(f"no run of {warehouse} has finished")
+    return spark.read.parquet(f"{warehouse}/models/{run_id}/{model}")
+
+
 def run_daily(spark: SparkSession, feed_dir: str, warehouse: str, run_id: str, load_ts,
               mode: str = "idempotent", batch_id: str | None = None) -> dict:
     """L1: load the feed into Bronze, rebuild the models, run the data tests.
@@ -227,28 +292,39 @@ def run_daily(spark: SparkSession, feed_dir: str, warehouse: str, run_id: str, l
     Tests run after the marts are written, as in the reference: they report,
     they do not hold data back. Rejected records are stored with the run. The load's
     new rows are stored once, counted while they are written, and appended from there.
+    Started again with the same ``run_id``, it goes on after the last finished step.
     Returns the S7 load counts, the written model paths and the test summary (as
     DataFrames read back from storage).
     """
     ensure_checkpoint_dir(spark)
     warehouse = warehouse.rstrip("/")
     out = f"{warehouse}/models/{run_id}"
-    _, added = feed.load_feed(spark, feed_dir, read_bronze(spark, warehouse), load_ts, mode, batch_id)
-    staged, counts = {}, []
-    for name, df in added.items():
-        seen = Observation(name)
-        target = f"{out}/_load/{name}"
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(target)
-        staged[name] = spark.read.schema(df.schema).parquet(target)
-        if not name.startswith("replay_"):
-            counts.append((name, seen.get["rows"]))
-    append_bronze(staged, warehouse)
-    load_counts = literal_frame(spark, counts, T.StructType([
+    log = RunLog(spark, warehouse, run_id)
+    for broken in log.open_loads():
+        append_bronze(_staged(spark, warehouse, broken), warehouse, broken)
+        log.add("bronze", run_id=broken)
+    if not log.has("staged"):
+        _, added = feed.load_feed(spark, feed_dir, read_bronze(spark, warehouse, run_id), load_ts, mode, batch_id)
+        counts = []
+        for name, df in added.items():
+            seen = Observation(name)
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{out}/_load/{name}")
+            if not name.startswith("replay_"):
+                counts.append((f"rows:{name}", seen.get["rows"]))
+        log.add(*counts, "staged")
+    if not log.has("bronze"):
+        append_bronze(_staged(spark, warehouse, run_id), warehouse, run_id)
+        log.add("bronze")
+    load_counts = literal_frame(spark, list(log.rows("rows").items()), T.StructType([
         T.StructField("table", T.StringType()), T.StructField("rows", T.LongType())]))
     bronze = read_bronze(spark, warehouse)
-    models, written = build_stored_models(spark, bronze, out)
-    data_tests(models).write.mode("errorifexists").parquet(f"{out}/_tests")
-    bronze_checks(bronze).write.mode("errorifexists").parquet(f"{out}/_constraints")
+    models, written = build_stored_models(spark, bronze, out, log)
+    for name, checks in (("_tests", lambda: data_tests(models)), ("_constraints", lambda: bronze_checks(bronze))):
+        if not log.has(name):
+            checks().write.mode("overwrite").parquet(f"{out}/{name}")
+            log.add(name)
+    if not log.has("published"):
+        log.add("published")
     return {"load_counts": load_counts, "models": written,
             "tests": spark.read.parquet(f"{out}/_tests"),
             "constraints": spark.read.parquet(f"{out}/_constraints")}

@@ -15,14 +15,14 @@ a known path is loaded whole; a file that does not parse is a counted reject.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesoro import schemas
 from tesoro.functions.columns import deterministic_id
 from tesoro.functions.joins import bounded_broadcast
-from tesoro.session import ensure_checkpoint_dir
+from tesoro.functions.storage import stored
 
 FEED_SCHEMAS = {
     "transactions": schemas.RAW_TRANSACTION,
@@ -146,17 +146,13 @@ def _check_mode(mode: str) -> None:
         raise ValueError("mode must be 'idempotent' or 'append'")
 
 
-def _new_transactions(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
-    """One row for each id of ``rows`` (the first in the feed), and unless appending
-    only ids that Bronze lacks in that month: Bronze is partitioned by month, so the
-    load reads the months of the feed, not the history."""
-    first = Window.partitionBy("id").orderBy("_source_file", "_pos")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_source_file", "_pos")
-    if mode == "append":
-        return rows
-    stored = F.col("month") if "month" in existing.columns else F.trunc("date", "month")
-    known = existing.select("id", stored.alias("_month"))
-    return rows.withColumn("_month", F.trunc("date", "month")).join(known, ["id", "_month"], "left_anti").drop("_month")
+def _new_transactions(known: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+    """One row for each id of ``rows`` (the first in the feed; combined before the
+    shuffle), and unless appending only ids that are not ``known``, whatever their date."""
+    kept = [c for c in rows.columns if c not in ("id", "_source_file", "_pos")]
+    rows = rows.groupBy("id").agg(F.min_by(F.struct(*kept), F.struct("_source_file", "_pos")).alias("_row"))
+    rows = rows.select("id", *[F.col(f"_row.{c}").alias(c) for c in kept])
+    return rows if mode == "append" else rows.join(known.select("id"), "id", "left_anti")
 
 
 def _new_batches(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
@@ -179,7 +175,8 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                  bronze: dict, load_ts, mode: str = "idempotent") -> tuple[dict, dict]:
     """Load parsed feed records (any of them may be empty) into Bronze frames.
 
-    Every record is attached to the entity of its own rfc (the reference gives
+    Transactions that Bronze has are known by ``bronze["transaction_ids"]`` (the bucketed
+    index of a warehouse) or else by the table itself. Every record is attached to the entity of its own rfc (the reference gives
     all records the first transaction's receptor, trap 11; equal on a
     one-entity feed). Records missing a required field (or with a malformed
     date) are not loaded; they are returned as ``rejected_<kind>``. Transactions are
@@ -190,14 +187,12 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     batches, so a re-run appends copies as the reference does.
     """
     _check_mode(mode)
-    ensure_checkpoint_dir(spark)
-    # parsed once: the dimensions, the facts and the counts all read the records
-    raw_txn, cf, inv = (raw.checkpoint() for raw in (raw_txn, cf, inv))
     ts = F.lit(str(load_ts)).cast("timestamp")
     salt = [F.lit(str(load_ts))] if mode == "append" else []
-    txn = typed_transactions(raw_txn)
-    cf = cf.withColumn("date", iso_date("date"))
-    inv = inv.withColumn("date", iso_date("date"))
+    # parsed and typed once: the dimensions, the facts and the counts read what they need
+    txn = stored(typed_transactions(raw_txn), "feed-transactions")
+    cf = stored(cf.withColumn("date", iso_date("date")), "feed-cashflow")
+    inv = stored(inv.withColumn("date", iso_date("date")), "feed-inventory")
     rejected = {"transactions": txn.where(~_complete(txn, "transactions")),
                 "cashflow": cf.where(~_complete(cf, "cashflow")),
                 "inventory": inv.where(~_complete(inv, "inventory"))}
@@ -242,7 +237,8 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                                                      F.col("name").alias("category_name")))
     t = (txn.join(ent_key, "entity_rfc", "left").join(acct_key, "entity_id", "left")
             .join(cat_key, "category_name", "left"))
-    new_txn = _new_transactions(bronze["core_transaction"], t.select(
+    known = bronze.get("transaction_ids", bronze["core_transaction"])
+    new_txn = _new_transactions(known, t.select(
         deterministic_id(F.lit("txn"), "source_doc_ref", *salt).alias("id"), "account_id", "category_id",
         "date", "amount", "description", "source_doc_ref",
         F.lit(False).alias("is_duplicate_flag"), F.lit(None).cast("double").alias("confidence_score"),

@@ -4,16 +4,17 @@ The reference loads its JSON feed on a daily schedule. Here new feed files are
 picked up as they land by a file-source stream (whole files, as each is one
 JSON array), parsed and appended to Bronze in ``foreachBatch``.
 
-Exactly-once: the stream's checkpoint records which files were processed, and
-the append inside ``foreachBatch`` is idempotent (records whose id is already
-in Bronze are skipped), so a micro-batch replayed after a failure adds nothing
-twice. ``trigger(availableNow=True)`` processes what is there and stops, which
+Exactly-once: the stream's checkpoint records which files were processed, and a
+micro-batch is a load of its own in Bronze: replayed after a failure it finds the ids of
+other loads, adds the same rows and replaces what the first attempt has written. ``trigger(availableNow=True)`` processes what is there and stops, which
 is how a scheduled run uses it; a continuous trigger works unchanged. All feed
 kinds go through one stream, so each Bronze table has a single writer.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +24,14 @@ from tesoro.sources import feed
 KINDS = ("transactions", "cashflow", "inventory")
 
 
-def _batch_loader(spark: SparkSession, warehouse: str, load_ts):
+def _batch_loader(spark: SparkSession, warehouse: str, stream: str, load_ts):
     def load(batch: DataFrame, batch_id: int) -> None:
+        name = f"stream-{stream}-{batch_id}"
         parts = {kind: feed.parse_feed_files(batch.where(F.col("_kind") == kind), kind)
                  for kind in KINDS}
         _, added = feed.load_records(spark, parts["transactions"], parts["cashflow"],
-                                     parts["inventory"], read_bronze(spark, warehouse), load_ts)
-        # one writer per Bronze table; ids make a replayed batch add nothing
-        append_bronze(added, warehouse)
+                                     parts["inventory"], read_bronze(spark, warehouse, name), load_ts)
+        append_bronze(added, warehouse, name)
     return load
 
 
@@ -46,8 +47,9 @@ def start_feed_stream(spark: SparkSession, feed_root: str, warehouse: str,
              .text(f"{feed_root.rstrip('/')}/*/", wholetext=True)
              .select(F.col("_metadata.file_path").alias("_source_file"), "value")
              .withColumn("_kind", F.regexp_extract("_source_file", r"/([^/]+)/[^/]+$", 1)))
+    stream = hashlib.sha256(checkpoint_location.encode()).hexdigest()[:16]
     writer = (files.writeStream
-              .foreachBatch(_batch_loader(spark, warehouse.rstrip("/"), load_ts))
+              .foreachBatch(_batch_loader(spark, warehouse.rstrip("/"), stream, load_ts))
               .option("checkpointLocation", checkpoint_location)
               .queryName("feed_load"))
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -61,7 +61,7 @@ def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
     feed_dir, wh = write_feed(tmp_path / "feed"), str(tmp_path / "wh")
     _, added = feed.load_feed(spark, feed_dir, feed.empty_bronze(spark), dt.datetime(2026, 1, 1))
     for _ in range(2):  # the same micro-batch again, as after a crash between two tables
-        daily.append_bronze({**added, "core_transaction": added["core_transaction"].limit(0)}, wh)
+        daily.append_bronze({**added, "core_transaction": added["core_transaction"].limit(0)}, wh, "load1")
     assert daily.read_bronze(spark, wh)["core_cashflowevent"].count() == 3
 
 
@@ -98,3 +98,79 @@ def test_streaming_feed_load(spark, tmp_path):
     start_feed_stream(spark, str(root), wh, ck, dt.datetime(2026, 1, 3)).awaitTermination(120)
     bronze = daily.read_bronze(spark, wh)
     assert bronze["core_cashflowevent"].count() == 6 and bronze["core_transaction"].count() == 4
+
+
+def test_a_uuid_sent_again_in_another_month_is_one_row(spark, tmp_path):
+    feed_dir, wh = write_feed(tmp_path / "feed"), str(tmp_path / "wh")
+    daily.run_daily(spark, feed_dir, wh, "run1", dt.datetime(2026, 1, 1))
+    path = tmp_path / "feed" / "transactions.json"
+    records = json.loads(path.read_text())
+    loaded = {r["source_doc_ref"] for r in daily.read_bronze(spark, wh)["core_transaction"].collect()}
+    path.write_text(json.dumps([{**r, "fecha_emision": "2027-02-01"} for r in records if r["uuid"] in loaded]
+                               + [{**records[0], "uuid": "new"}]))
+    again = daily.run_daily(spark, feed_dir, wh, "run2", dt.datetime(2026, 1, 2))
+    assert dict(rows(again["load_counts"]))["core_transaction"] == 1
+    stored = daily.read_bronze(spark, wh)["core_transaction"]
+    assert stored.count() == stored.select("id").distinct().count() == 5
+    # a session that doesn't know the index yet finds it below the warehouse
+    spark.sql(f"DROP TABLE {daily.transaction_ids(spark, wh)}")
+    assert daily.read_bronze(spark, wh)["transaction_ids"].select("id").distinct().count() == 5
+
+
+def test_new_ids_are_looked_up_without_a_shuffle_of_the_history(spark, tmp_path):
+    from tesoro.sources import feed
+    feed_dir, wh = write_feed(tmp_path / "feed"), str(tmp_path / "wh")
+    daily.run_daily(spark, feed_dir, wh, "run1", dt.datetime(2026, 1, 1))
+    known = daily.read_bronze(spark, wh, "run2")["transaction_ids"]
+    rows_ = spark.range(50).selectExpr("cast(id AS string) AS id", "'f' AS _source_file", "1 AS _pos", "id AS amount")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = feed._new_transactions(known, rows_, "idempotent")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    join = plan.index("SortMergeJoin")
+    right = plan[join:].split("FileScan parquet")[0].rsplit("+- ", 3)
+    assert "Bucketed: true" in plan and "Exchange" not in "".join(right[1:])
+
+
+@pytest.mark.parametrize("broken", ["staged", "bronze", "model:mart_profitability_flags"])
+def test_a_broken_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch, broken):
+    from tesoro.plans import run_log
+    feed_dir, wh = write_feed(tmp_path / "feed"), str(tmp_path / "wh")
+    add = run_log.RunLog.add
+
+    def fail(self, *steps, **more):
+        if broken in steps:
+            raise RuntimeError("lost")
+        add(self, *steps, **more)
+    with monkeypatch.context() as patch:
+        patch.setattr(run_log.RunLog, "add", fail)
+        with pytest.raises(RuntimeError):
+            daily.run_daily(spark, feed_dir, wh, "run1", dt.datetime(2026, 1, 1))
+    with pytest.raises(LookupError):
+        daily.read_published(spark, wh, "mart_monthly_cashflow")
+    result = daily.run_daily(spark, feed_dir, wh, "run1", dt.datetime(2026, 1, 1))
+    counts = dict(rows(result["load_counts"]))
+    assert (counts["core_transaction"], counts["core_cashflowevent"], counts["core_entity"]) == (4, 3, 2)
+    bronze = daily.read_bronze(spark, wh)
+    assert {n: bronze[n].count() for n in ("core_transaction", "core_cashflowevent", "core_entity", "core_inventorysnapshot")} \
+        == {"core_transaction": 4, "core_cashflowevent": 3, "core_entity": 2, "core_inventorysnapshot": 1}
+    assert daily.read_published(spark, wh, "mart_monthly_cashflow").count() == 2
+    assert sum(r["failures"] for r in result["constraints"].collect()) == 0
+
+
+def test_a_staged_load_reaches_bronze_before_the_next_run(spark, tmp_path, monkeypatch):
+    """The first run dies between two Bronze tables and is never started again."""
+    feed_dir, wh = write_feed(tmp_path / "feed"), str(tmp_path / "wh")
+    write = daily._add_ids
+    with monkeypatch.context() as patch:
+        patch.setattr(daily, "_add_ids", lambda rows_, *_: (_ for _ in ()).throw(RuntimeError("lost")) if rows_.count() else write(rows_, *_))
+        with pytest.raises(RuntimeError):
+            daily.run_daily(spark, feed_dir, wh, "run1", dt.datetime(2026, 1, 1))
+    assert daily.published_run(spark, wh) is None
+    second = daily.run_daily(spark, feed_dir, wh, "run2", dt.datetime(2026, 1, 2))
+    assert {n for t, n in rows(second["load_counts"]) if not t.startswith("rejected")} == {0}
+    bronze = daily.read_bronze(spark, wh)
+    assert bronze["core_transaction"].count() == 4 and bronze["core_inventorysnapshot"].count() == 1
+    assert daily.published_run(spark, wh) == "run2"
