@@ -13,15 +13,19 @@ overwrite of the path being read.
 
 from __future__ import annotations
 
+import bisect
 import datetime as _dt
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesoro import schemas
 from tesoro.functions.columns import MONEY, quantize_half_even
+from tesoro.functions.joins import bounded_broadcast
+from tesoro.functions.storage import stored
 from tesoro.sources.literal import literal_frame, typed_lit
 
 # ---- fixed values -----------------------------------------------------------------
@@ -56,6 +60,7 @@ MONTHLY_DRAFT_PUBLISHED_BY = "airflow_monthly_dag"
 TAX_TYPES = ("IVA", "ISR")          # what can be calculated (D8, trap 8)
 DEFAULT_APPLIES_TO = "general"
 DEFAULT_STATUSES = ("active",)      # trap 4/5: superseded sets are invisible by default
+HISTORY_STATUSES = ("active", "superseded")  # all that was ever published
 
 # Rule tables are tiny; this bounds what the lookups broadcast.
 MAX_RULE_ROWS = 100_000
@@ -377,6 +382,84 @@ def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "a
     return left.join(buckets, cond, "left").drop("_as_of_year", "_year", "_valid_to", "_jurisdiction")
 
 
+def _known_rectangles(sets: list[tuple]) -> list[tuple]:
+    """``(id, effective from, to, known from, to)`` of the sets ``(id, effective_date,
+    published_at)`` of one jurisdiction; to is open or None. In the order of publication a
+    set takes the dates from its own to the next known one from the set that had them."""
+    starts: list = []  # known effective dates
+    current: dict = {}  # by effective date: id, known from
+    out = []
+
+    def close(start, upto) -> None:
+        i = bisect.bisect_left(starts, start)
+        sid, since = current[start]
+        if since < upto:  # sets published at one time leave no empty rectangle
+            out.append((sid, start, starts[i + 1] if i + 1 < len(starts) else None, since, upto))
+
+    for sid, start, published in sorted(sets, key=lambda s: (s[2], s[0])):
+        if start in current:
+            close(start, published)
+        else:
+            i = bisect.bisect_left(starts, start)
+            if i:
+                close(starts[i - 1], published)
+                current[starts[i - 1]] = (current[starts[i - 1]][0], published)
+            starts.insert(i, start)
+        current[start] = (sid, published)
+    for i, start in enumerate(starts):
+        sid, since = current[start]
+        out.append((sid, start, starts[i + 1] if i + 1 < len(starts) else None, since, None))
+    return out
+
+
+def known_ranges(rule_sets: DataFrame, statuses=HISTORY_STATUSES) -> DataFrame:
+    """T4: the sets ever published as rectangles of effective date and publication time,
+    ``jurisdiction, id, effective_date, valid_to, known_from, known_to``: disjoint within
+    a jurisdiction, at most two for each set and one more for each later one that
+    cuts it."""
+    sets = rule_sets.where(F.col("status").isin(*statuses) & F.col("jurisdiction").isNotNull()
+                           & F.col("effective_date").isNotNull() & F.col("published_at").isNotNull())
+
+    def cut(key, table):
+        rows = _known_rectangles([(r["id"], r["effective_date"], r["published_at"]) for r in table.to_pylist()])
+        kinds = (pa.string(), pa.date32(), pa.date32(), table.schema.field("published_at").type, table.schema.field("published_at").type)
+        names = ["id", "effective_date", "valid_to", "known_from", "known_to"]
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(rows), pa.string()), *columns], ["jurisdiction", *names])
+
+    return sets.select("jurisdiction", "id", "effective_date", "published_at").groupBy("jurisdiction").applyInArrow(
+        cut, "jurisdiction string, id string, effective_date date, valid_to date, known_from timestamp, known_to timestamp")
+
+
+def as_known_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str, known_at_col: str,
+                      jurisdiction_col: str, statuses=HISTORY_STATUSES) -> DataFrame:
+    """T4 in two times: add ``rule_set_id`` and ``rule_set_effective_date`` of the set in
+    force on the date ``as_of_col`` as far as it was published at the time ``known_at_col``
+    (NULL without one, or for a null date, time or jurisdiction). What is published later
+    changes no answer for an earlier time.
+
+    The rectangles of ``known_ranges`` are cut into calendar years and met by hash on
+    (jurisdiction, year); broadcast if they are few, else a shuffle join.
+    """
+    ranges = stored(known_ranges(rule_sets, statuses), "known-ranges")  # small; read by the count and the join
+    cap_year = ranges.agg(F.max(F.year("effective_date"))).first()[0]
+    if cap_year is None:
+        return (amounts.withColumn("rule_set_id", F.lit(None).cast("string"))
+                       .withColumn("rule_set_effective_date", F.lit(None).cast("date")))
+    buckets, _ = bounded_broadcast(_year_buckets(ranges, cap_year).select(
+        F.col("jurisdiction").alias("_jurisdiction"), F.col("id").alias("rule_set_id"),
+        F.col("effective_date").alias("rule_set_effective_date"), F.col("valid_to").alias("_valid_to"),
+        F.col("known_from").alias("_known_from"), F.col("known_to").alias("_known_to"), "_year"), MAX_RULE_ROWS)
+    as_of, known_at = F.col(as_of_col), F.col(known_at_col).cast("timestamp")
+    left = amounts.withColumn("_as_of_year", F.least(F.year(as_of), F.lit(cap_year)))
+    cond = ((left["_as_of_year"] == buckets["_year"]) & (left[jurisdiction_col] == buckets["_jurisdiction"])
+            & (as_of >= buckets["rule_set_effective_date"])
+            & (buckets["_valid_to"].isNull() | (as_of < buckets["_valid_to"]))
+            & (known_at >= buckets["_known_from"])
+            & (buckets["_known_to"].isNull() | (known_at < buckets["_known_to"])))
+    return left.join(buckets, cond, "left").drop("_as_of_year", "_year", "_valid_to", "_jurisdiction", "_known_from", "_known_to")
+
+
 def active_rule_set(rule_sets: DataFrame, as_of, jurisdiction: str = "MX",
                     statuses=DEFAULT_STATUSES) -> DataFrame:
     """J3 for one date: at most one row (orderBy + limit 1, O3), in the order that

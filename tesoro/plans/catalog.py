@@ -17,13 +17,15 @@ from tesoro.sources import driver_tables as dt
 from tesoro.sources import feed
 
 # Statuses that keep rule-set history visible (trap 5: the default sees only 'active').
-HISTORY_STATUSES = ("active", "superseded")
+HISTORY_STATUSES = tax.HISTORY_STATUSES
 # Dates of the scheduled monthly update used by t8 (run date, and the as-of date).
 MONTHLY_RUN_DATE = "2026-02-01"
 AFTER_MONTHLY_RUN = "2026-03-01"
 # t5: a retroactive publication drafted in mid-2026 (illustrative rate).
 T5_DRAFT = ("MX", "1999-01-01", "0.10", 90, "example publication retroactive")
 T5_CREATED = "2026-06-01"
+# t4: days after its date at which an order's rule set is asked for, by priority.
+AS_KNOWN_DAYS = {"1-URGENT": 0, "2-HIGH": 60, "3-MEDIUM": 180, "4-NOT SPECIFIED": 365, "5-LOW": 1000}
 # As-of date for taxing customer balances with the 2026 seed.
 BALANCES_AS_OF = "2026-06-30"
 
@@ -171,6 +173,17 @@ def j3_asof_rule_set(spark, sf_dir):
         "o_orderkey", "jurisdiction", "as_of_date", "rule_set_id", "rule_set_effective_date")
 
 
+def t4_as_known(spark, sf_dir):
+    """Rule set in force on each order date in the order's jurisdiction, as it was
+    known some time later; low priorities ask later."""
+    delay = F.create_map(*[F.lit(x) for kv in AS_KNOWN_DAYS.items() for x in kv])[F.col("o_orderpriority")]
+    amounts = dt.order_tax_amounts(spark, sf_dir).withColumn(
+        "known_at", F.date_add("as_of_date", delay).cast("timestamp"))
+    out = tax.as_known_rule_set(amounts, tax_cycle.example_publications(spark), "as_of_date", "known_at", "jurisdiction")
+    return out.select("o_orderkey", "jurisdiction", "as_of_date", F.to_date("known_at").alias("known_at"), "rule_set_id",
+                      "rule_set_effective_date")
+
+
 def _tax_columns(df, key):
     return df.select(key, "amount", "rule_set_id", "rule_set_effective_date",
                      "tax_amount", "tax_status")
@@ -436,6 +449,7 @@ QUERIES = {
     "s10_inventory_read": s10_inventory_read,
     "n2_slow_moving": n2_slow_moving,
     "j3_asof_rule_set": j3_asof_rule_set,
+    "t4_as_known": t4_as_known,
     "t1_iva": t1_iva,
     "t2_isr": t2_isr,
     "t2_isr_balances": t2_isr_balances,

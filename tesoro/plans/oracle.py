@@ -337,6 +337,25 @@ FROM req"""
 ORACLE.update(_tax_sql())
 
 
+ORACLE["t4_as_known"] = """
+WITH sets(jur, id, effective_date, published) AS (VALUES
+    ('US', 'US-1990-01-01-jurisdiction', DATE '1990-01-01', DATE '1990-01-01'),
+    ('MX', 'MX-1995-04-01-1995', DATE '1995-04-01', DATE '1995-04-01'),
+    ('MX', 'MX-1998-01-01-replaced', DATE '1998-01-01', DATE '1997-12-15'),
+    ('MX', 'MX-1998-01-01-1998', DATE '1998-01-01', DATE '1998-06-01'),
+    ('US', 'US-1999-07-01-later', DATE '1999-07-01', DATE '1999-07-01'),
+    ('MX', 'MX-2000-07-01-2000', DATE '2000-07-01', DATE '2001-01-01')),
+o AS (
+    SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'US' ELSE 'MX' END AS jurisdiction,
+           CAST(o_orderdate AS DATE) AS as_of_date,
+           CAST(o_orderdate AS DATE) + CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 60
+               WHEN '3-MEDIUM' THEN 180 WHEN '4-NOT SPECIFIED' THEN 365 WHEN '5-LOW' THEN 1000 END AS known_at
+    FROM orders)
+SELECT o_orderkey, jurisdiction, as_of_date, known_at, id AS rule_set_id, effective_date AS rule_set_effective_date
+FROM o LEFT JOIN sets ON jur = jurisdiction AND effective_date <= as_of_date AND published <= known_at
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY effective_date DESC, published DESC, id DESC) = 1"""
+
+
 # ---- quality, dimensions, JSON -----------------------------------------------------
 
 def _summary(rows):

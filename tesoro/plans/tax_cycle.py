@@ -30,6 +30,11 @@ EXAMPLE_HISTORY = [
 EXAMPLE_UNPUBLISHED_DRAFT = ("MX", "1999-06-01", "0.99", 99, "example draft never approved")
 
 
+# When the example sets were published: ahead, on the day, and after the fact (the second
+# publication of 1998 and that of 2000 change what holds for days that have passed).
+EXAMPLE_PUBLISHED = ["1990-01-01", "1995-04-01", "1997-12-15", "1998-06-01", "1999-07-01", "2001-01-01"]
+
+
 def scaled_brackets(percentage: int) -> list[tuple]:
     """The 2026 ISR table with fees and rates at a percentage of the tariff's."""
     share = Decimal(percentage) / 100
@@ -93,6 +98,18 @@ def example_rule_history(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return rule_sets, rules
 
 
+def example_publications(spark: SparkSession) -> DataFrame:
+    """EXAMPLE_HISTORY, each set published at its time of EXAMPLE_PUBLISHED, and the draft
+    that never was."""
+    rule_sets, rules = tax.empty_rule_tables(spark)
+    drafts = [(_history_spec(*row), day_start(row[1]), example_set_id(row[0], row[1], row[4]))
+              for row in [*EXAMPLE_HISTORY, EXAMPLE_UNPUBLISHED_DRAFT]]
+    rule_sets, _, ids = tax.create_drafts(spark, rule_sets, rules, drafts)
+    for sid, published in zip(ids, EXAMPLE_PUBLISHED):
+        rule_sets = tax.publish(rule_sets, sid, "history", day_start(published))
+    return rule_sets
+
+
 def monthly_tax_update(spark: SparkSession, rule_sets: DataFrame, rules: DataFrame,
                        run_date, approvals: DataFrame | None = None,
                        published_at: _dt.datetime | None = None
