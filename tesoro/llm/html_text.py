@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,22 +61,139 @@ INNER_SHARE = 0.5
 BESIDE_SHARE = 1 / 3
 ROOT = "html"
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# An attribute, or the end of a tag. A quoted value is taken up to its quote.
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:([\"'])|([^\s>]++))?)?)")
+_TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+# Characters of a quoted value; a longer one has a quote that isn't closed.
+VALUE_CHARS = 20_000
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class Block:
-    """A block's text, the letters of it that are links, the paths of the containers
-    around it, outermost first, the marked elements around it, and whether it is in a
-    heading."""
-    __slots__ = ("text", "link", "paths", "marks", "heading")
+class Tokens:
+    """The tags of a page and the text between them, in one pass forward: a tag that has
+    no end is text, and so is all that follows."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.loose = False  # quotes don't count any more
+
+    def __iter__(self) -> Iterator[tuple[str, str, dict[str, str] | None]]:
+        """``(text, "", None)``, ``("", name, attributes)`` of a tag, or ``("", name,
+        None)`` of an end tag."""
+        page, at, text = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            name, end = None, 0
+            if page.startswith("<!--", at):
+                end, found = page.find("-->", at), None
+                end = end + 3 if end >= 0 else len(page)
+            elif at > self.last:
+                pass
+            elif name := _TAG_NAME.match(page, at + 1):
+                end, found = self._attributes(name.end())
+            elif page.startswith(("!", "?"), at + 1):
+                end, found = page.find(">", at) + 1, None
+            if not end:
+                at += 1
+                continue
+            if text < at:
+                yield page[text:at], "", None
+            self.at = end
+            if name:
+                yield "", name[2].lower(), None if name[1] else found
+            at = text = self.at
+        if text < len(page):
+            yield page[text:], "", None
+
+    def _attributes(self, at: int) -> tuple[int, dict[str, str]]:
+        """End of the tag whose name ends at ``at``, 0 if there is none, and its
+        attributes; of two of one name the first counts."""
+        page, found = self.page, {}
+        if page.startswith(">", at):
+            return at + 1, found
+        first = page.find(">", at) + 1
+        start = at
+        while not self.loose:
+            m = _ATTRIBUTE.match(page, at)
+            if not m:  # the page is over: from here on a tag ends with the first >
+                self.loose = True
+                break
+            if m[1]:
+                return m.end(), found
+            at = m.end()
+            value = m[4] or ""
+            if m[3]:
+                end = page.find(m[3], at, at + VALUE_CHARS + 1)
+                if end < 0:
+                    break
+                value, at = page[at:end], end + 1
+            found.setdefault(m[2].lower(), value)
+        found = {}
+        for m in _ATTRIBUTE.finditer(page, start, max(start, first - 1)):
+            if m[2]:
+                found.setdefault(m[2].lower(), m[4] or "")
+        return first, found
 
-    def __init__(self, text: str, link: int, paths: tuple[str, ...], marks: tuple[int, ...] = (), heading: bool = False):
-        self.text, self.link, self.paths, self.marks, self.heading = text, link, paths, marks, heading
+    def skip_raw(self, tag: str) -> None:
+        """Go on after the end tag of an element without markup inside."""
+        end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(self.page, self.at)
+        close = self.page.find(">", end.end()) if end else -1
+        self.at = close + 1 if close >= 0 else len(self.page)
+
+
+class Block:
+    """A block's text, the letters of it that are links, the container around it, the
+    innermost marked element around it (-1: none), and whether it is in a heading."""
+    __slots__ = ("text", "link", "node", "mark", "heading")
+
+    def __init__(self, text: str, link: int, node: int, mark: int = -1, heading: bool = False):
+        self.text, self.link, self.node, self.mark, self.heading = text, link, node, mark, heading
+
+    @property
+    def letters(self) -> int:
+        return max(0, len(self.text) - self.link)
+
+
+class Page:
+    """The blocks of a page in order, and the tree of its containers: one node for each
+    generalised path, after its parent."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.label, self.main = [-1], [ROOT], [False]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def node(self, parent: int, label: str) -> int:
+        if (parent, label) not in self.known:
+            self.known[parent, label] = len(self.parent)
+            self.parent.append(parent)
+            self.label.append(label)
+            self.main.append(self.main[parent] or _is_main(label))
+        return self.known[parent, label]
+
+    def path(self, node: int) -> str:
+        labels = []
+        while node >= 0:
+            labels.append(self.label[node])
+            node = self.parent[node]
+        return ">".join(reversed(labels))
+
+    def find(self, path: str | None) -> int | None:
+        """The node of a path."""
+        labels = (path or "").split(">")
+        node = 0 if labels[0] == ROOT else None
+        for label in labels[1:]:
+            node = self.known.get((node, label)) if node is not None else None
+        return node
+
+    def inside(self, node: int | None) -> list[Block]:
+        """The blocks in the containers of a node."""
+        if node is None:
+            return []
+        under = [False] * len(self.parent)
+        for i in range(node, len(self.parent)):
+            under[i] = i == node or self.parent[i] >= 0 and under[self.parent[i]]
+        return [b for b in self.blocks if under[b.node]]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -91,105 +209,102 @@ def _marked(name: str) -> bool:
     return words[-1] in DROPPED_WORDS
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+def _label(tag: str, attributes: dict[str, str]) -> tuple[str, bool, bool]:
     """``(tag with its generalised classes, dropped, marked by a name)``: class names are
     lower-cased, digits become ``#``, and they are sorted."""
-    if tag in DROPPED_TAGS:
+    if (tag in DROPPED_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+            or _HIDDEN.search(attributes.get("style", ""))):
         return tag, True, False
-    classes: list[str] = []
-    marked = False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return tag, True, False
-        if name == "style":
-            if _HIDDEN.search(value):
-                return tag, True, False
-        elif name in ("class", "id", "role"):
-            marked = marked or tag not in ("body", "html") and any(map(_marked, value.split()))
-            if name == "class":
-                value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-                classes = sorted({re.sub(r"\d+", "#", c) for c in value.split()})
-    return ".".join([tag, *classes]), False, marked
-
-
-def _is_main(path: str) -> bool:
-    tag, _, classes = path.rpartition(">")[2].partition(".")
+    marked = tag not in ("body", "html") and any(
+        map(_marked, f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".split()))
+    classes = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", attributes.get("class", "")).lower().replace(">", "")
+    return ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes.split()})]), False, marked
+
+
+def _is_main(label: str) -> bool:
+    tag, _, classes = label.partition(".")
     return tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(_WORD.findall(classes))
 
 
-def _unmarked(found: list[Block], tags: list[str]) -> list[Block]:
-    """The blocks outside of marked elements; ``tags`` are those elements' tags. An
-    element that holds most of the text, or is an article or main, counts as marked only
-    beside other main text; the largest are decided first."""
+def _drop_marked(page: Page, tags: list[str], around: list[int]) -> None:
+    """Take the blocks in marked elements out; ``tags`` are those elements' tags, ``around``
+    the marked elements they are in. An element that holds most of the text, or is an
+    article or main, counts as marked only beside other main text; the largest are
+    decided first."""
     size = [0] * len(tags)
-    for block in found:
-        for mark in block.marks:
-            size[mark] += len(block.text)
-    total = sum(len(b.text) for b in found)
-    marked = set(range(len(tags)))
-    for mark in sorted(marked, key=lambda i: (-size[i], i)):
+    for block in page.blocks:
+        if block.mark >= 0:
+            size[block.mark] += len(block.text)
+    for i in range(len(tags) - 1, -1, -1):
+        if around[i] >= 0:
+            size[around[i]] += size[i]
+    total = sum(len(b.text) for b in page.blocks)
+    marked = [True] * len(tags)
+
+    def covered(also: int = -1) -> list[bool]:
+        """Which elements are in a marked one or in ``also``; the last entry: outside of all."""
+        out: list[bool] = []
+        for i, mark in enumerate(marked):
+            out.append(mark or i == also or around[i] >= 0 and out[around[i]])
+        return [*out, False]
+
+    for mark in sorted(range(len(tags)), key=lambda i: (-size[i], i)):
         if size[mark] and (tags[mark] in MAIN_TAGS or 2 * size[mark] > total):
-            others = sum(len(b.text) for b in found if not b.heading and mark not in b.marks
-                         and marked.isdisjoint(b.marks) and any(map(_is_main, b.paths)))
+            gone = covered(mark)
+            others = sum(len(b.text) for b in page.blocks if not b.heading and not gone[b.mark] and page.main[b.node])
             if others < EVIDENCE_SHARE * size[mark]:
-                marked.remove(mark)
-    return [b for b in found if marked.isdisjoint(b.marks)]
+                marked[mark] = False
+    gone = covered()
+    page.blocks = [b for b in page.blocks if not gone[b.mark]]
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page outside of dropped content, in page order."""
-    out: list[Block] = []
+def blocks(source: str) -> Page:
+    """The text blocks of a page outside of dropped content, in page order. Time and
+    memory are linear in the page's length, also for broken markup and deep nesting (but
+    for marked elements that hold most of the page in one another: each is looked at)."""
+    page = Page()
     tags: list[str] = []  # of the marked elements
-    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = [("", (ROOT,), False, ())]  # tag, paths, dropped, marks
-    pieces: dict[tuple[int, ...], list[str]] = {}  # by the marks around: an inline element may be marked
-    link_letters: dict[tuple[int, ...], int] = {}
-    links = 0
+    around: list[int] = []
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # tag, container, dropped, marked element
+    opened: Counter[str] = Counter()
+    pieces: dict[int, list[str]] = {}  # by the marked element around: an inline one may be marked
+    link_letters: dict[int, int] = {}
 
     def flush() -> None:
-        for marks, held in pieces.items():
+        for mark, held in pieces.items():
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, link_letters.get(marks, 0), stack[-1][1], marks,
-                                 any(entry[0] in HEADINGS for entry in stack[-3:])))
+                page.blocks.append(Block(text, link_letters.get(mark, 0), stack[-1][1], mark,
+                                         any(entry[0] in HEADINGS for entry in stack[-3:])))
         pieces.clear()
         link_letters.clear()
 
     def close(depth: int) -> None:
-        nonlocal links
-        flush()
-        links -= sum(1 for tag, *_ in stack[depth:] if tag == "a")
+        opened.subtract(entry[0] for entry in stack[depth:])
         del stack[depth:]
 
     def add(text: str) -> None:
-        _, _, dropped, marks = stack[-1]
+        _, _, dropped, mark = stack[-1]
         if not dropped:
             text = html.unescape(text) if "&" in text else text
-            pieces.setdefault(marks, []).append(text)
-            if links:
-                link_letters[marks] = link_letters.get(marks, 0) + len(text.strip())
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at:m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+            pieces.setdefault(mark, []).append(text)
+            if opened["a"] > 0:
+                link_letters[mark] = link_letters.get(mark, 0) + len(text.strip())
+
+    tokens = Tokens(source)
+    for text, tag, attributes in tokens:
         if not tag:
+            add(text)
             continue
-        if m[1] or m[4]:  # an end tag
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    if tag in BLOCK_TAGS or any(t in BLOCK_TAGS for t, *_ in stack[depth:]):
-                        close(depth)
-                    else:
-                        links -= sum(1 for t, *_ in stack[depth:] if t == "a")
-                        del stack[depth:]
-                    break
+        if attributes is None:  # an end tag
+            if opened[tag] > 0:
+                depth = next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag)
+                if any(t in BLOCK_TAGS for t, *_ in stack[depth:]):
+                    flush()
+                close(depth)
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            tokens.skip_raw(tag)
             continue
         if tag in VOID_TAGS:
             if tag == "hr":
@@ -198,7 +313,8 @@ def blocks(page: str) -> list[Block]:
                 add(" ")
             continue
         if tag == "body":  # also ends an open head
-            close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+            flush()
+            close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)) if opened["head"] > 0 else len(stack))
         if tag in BLOCK_TAGS:
             flush()
             ends, barrier = IMPLIED_END.get(tag, ("p", BLOCK_TAGS - {"p"}))
@@ -208,62 +324,69 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[depth][0] in barrier:
                     break
-        label, dropped, marked = _label(tag, m[3] or m[6] or "")
-        _, paths, outside, marks = stack[-1]
+        label, dropped, marked = _label(tag, attributes)
+        _, node, outside, mark = stack[-1]
         if tag in CONTAINER_TAGS:
-            paths = (*paths, f"{paths[-1]}>{label}")
-        if tag == "a":
-            links += 1
+            node = page.node(node, label)
         if marked and not (dropped or outside):
-            marks = (*marks, len(tags))
+            around.append(mark)
+            mark = len(tags)
             tags.append(tag)
-        stack.append((tag, paths, dropped or outside, marks))
-    if at < len(page):
-        add(page[at:])
+        opened[tag] += 1
+        stack.append((tag, node, dropped or outside, mark))
     flush()
-    return _unmarked(out, tags) if tags else out
+    if tags:
+        _drop_marked(page, tags, around)
+    return page
 
 
-def _weight(path: str) -> float:
-    tag, _, classes = path.rpartition(">")[2].partition(".")
+def _weight(label: str) -> float:
+    tag, _, classes = label.partition(".")
     weight = TAG_WEIGHT.get(tag, 1.0)
     return weight * MAIN_WORD_WEIGHT if not MAIN_WORDS.isdisjoint(_WORD.findall(classes)) else weight
 
 
-def best_path(found: list[Block]) -> tuple[str, float] | None:
-    """The page's vote: the path of the highest score and that score; None without
-    text. A block counts its letters outside of links for its container, a share of
-    that for the container around it, and so on. Ties go to the longer path (the inner
-    container), then to the path that sorts first. Where comparable text stands beside the
-    best containers, in the one around them, that one wins; not around an article or main."""
-    scores: dict[str, float] = {}
-    for block in found:
-        part = float(max(0, len(block.text) - block.link)) + 1e-3
-        for path in reversed(block.paths):
-            scores[path] = scores.get(path, 0.0) + part
-            part *= INNER_SHARE
-    if not scores:
+def _best(page: Page) -> tuple[int, float] | None:
+    """The container of the highest score and that score; None without text. A block
+    counts its letters outside of links for its container, a share of that for the
+    container around it, and so on. Ties go to the inner container, then to the first
+    one. Where comparable text stands beside the best containers, in the one around them,
+    that one wins; not around an article or main."""
+    if not page.blocks:
         return None
-    weighted = {p: s * (0.1 if p == ROOT else _weight(p)) for p, s in scores.items()}
-    path = min(weighted, key=lambda p: (-weighted[p], -len(p), p))
-    while around := next((b.paths[b.paths.index(path) - 1] for b in found if path in b.paths[1:]), None):
-        if path.rpartition(">")[2].partition(".")[0] in MAIN_TAGS:
+    score, letters = [0.0] * len(page.parent), [0] * len(page.parent)
+    depth = [0] * len(page.parent)
+    for block in page.blocks:
+        score[block.node] += block.letters + 1e-3
+        letters[block.node] += block.letters
+    for i in range(len(score) - 1, 0, -1):
+        score[page.parent[i]] += INNER_SHARE * score[i]
+        letters[page.parent[i]] += letters[i]
+    for i in range(1, len(depth)):
+        depth[i] = depth[page.parent[i]] + 1
+    weighted = [s * (_weight(page.label[i]) if i else 0.1) for i, s in enumerate(score)]
+    node = min((i for i, s in enumerate(score) if s), key=lambda i: (-weighted[i], -depth[i], i))
+    while node and page.label[node].partition(".")[0] not in MAIN_TAGS:
+        beside = letters[page.parent[node]] - letters[node]
+        if not beside or beside < BESIDE_SHARE * letters[node]:
             break
-        own = sum(max(0, len(b.text) - b.link) for b in found if path in b.paths)
-        beside = sum(max(0, len(b.text) - b.link) for b in found if around in b.paths and path not in b.paths)
-        if not beside or beside < BESIDE_SHARE * own:
-            break
-        path = around
-    return path, weighted[path]
+        node = page.parent[node]
+    return node, weighted[node]
+
+
+def best_path(page: Page) -> tuple[str, float] | None:
+    """The page's vote: the path of its best container and the score."""
+    found = _best(page)
+    return found and (page.path(found[0]), found[1])
 
 
-def extract(found: list[Block], path: str | None) -> str:
-    """The blocks inside the containers of ``path``, or of the page's own best path if
+def extract(page: Page, path: str | None) -> str:
+    """The blocks inside the containers of ``path``, or of the page's own best one if
     there are none, joined by newlines."""
-    inside = [b.text for b in found if path in b.paths]
-    if not inside and (own := best_path(found)):
-        inside = [b.text for b in found if own[0] in b.paths]
-    return "\n".join(inside)
+    inside = page.inside(page.find(path))
+    if not inside and (own := _best(page)):
+        inside = page.inside(own[0])
+    return "\n".join(b.text for b in inside)
 
 
 def host_of(url: Column) -> Column:
@@ -292,7 +415,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, path`` of every row: the main text, and the path that the
     host's pages agree on.
 
-    Null, empty and text-less pages give an empty text. Null URLs share the empty host.
+    Null, empty and text-less pages give an empty text. Very long pages are read whole;
+    of broken markup a tag without an end is text, a quote that isn't closed doesn't
+    count, and end tags without a start are passed over. Null URLs share the empty host.
     Repeated rows vote and are extracted each. Other columns are not read.
     """
     winners = store(host_paths(pages), "host-paths")  # stored: its size decides how it is joined

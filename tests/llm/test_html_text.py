@@ -34,6 +34,29 @@ def test_odd_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article title="The hidden costs"><p>kept</p></article>', "kept"), ('<p title="hidden gem">kept</p>', "kept"),
+    ('<div data-hidden="false">kept</div>', "kept"), ('<section data-id="share">kept</section>', "kept"),
+    ('<a href="/blog/hidden-gems">the guide</a>', "the guide"), ('<a href="/item?id=ad">kept</a>', "kept"),
+    ("<a href=/x?role=search>kept</a>", "kept"), ("<p title=hidden>kept", "kept"), ("<p hidden/>no", ""), ("<p HIDDEN=''>no", ""),
+    ("<p x='>' hidden>no", ""), ("<p aria-hidden = 'TRUE'>no", ""), ("<p id=a id=ad>kept", "kept"), ("<p =hidden>kept", "kept")])
+def test_attributes_are_read_by_their_whole_name(page, want):
+    assert text(page) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<a " * 300_000, None), ("<a '" * 200_000, None), ('<a "' * 200_000 + ">", None), ("<!" * 300_000, None),
+    ("<div>" * 50_000 + "in" + "</div>" * 50_000 + "after", "in"), ("<div>x" * 50_000, None),
+    ("<b>" * 50_000 + "</i>" * 50_000 + "x", "x"), ("<script>" + "</script " * 200_000, ""),
+    ("<p>" + " " * 500_000 + "x" + "<!-- " * 100_000, "x"), ("<a b='>' c=\"" * 50_000, None)])
+def test_broken_and_deep_pages_take_linear_time(page, want):
+    import time
+    began = time.process_time()
+    found = text(page)
+    assert time.process_time() - began < 4
+    assert want is None or found == want
+
+
 LONG = " ".join(f"sentence {i} of the story" for i in range(40))
 
 
