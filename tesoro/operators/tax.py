@@ -338,6 +338,43 @@ _BUCKETS = T.StructType([
     T.StructField("_year", T.IntegerType())])
 
 
+def merge_slices(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str, jurisdiction, statuses) -> DataFrame:
+    """Amounts and rule sets in one order (jurisdiction, date, sets before amounts), cut
+    into slices of about equal size and stored: ``_jur, _date, _kind, _tie, _slice``, the
+    amount as the struct ``_row`` and the set as ``_set``. Amounts of one jurisdiction and
+    date are dealt over as many slices as they fill."""
+    sets = validity_ranges(rule_sets.where(F.col("jurisdiction").isNotNull() & F.col("effective_date").isNotNull()), statuses)
+    found = F.struct(F.col("id").alias("rule_set_id"), F.col("effective_date").alias("rule_set_effective_date"))
+    row = F.struct(*[F.col(f"`{c}`") for c in amounts.columns])
+    jurisdiction = F.col(jurisdiction) if isinstance(jurisdiction, str) else jurisdiction
+    asked = amounts.select(jurisdiction.cast("string").alias("_jur"), F.col(as_of_col).cast("date").alias("_date"), F.lit(1).alias("_kind"),
+                           F.monotonically_increasing_id().alias("_tie"), row.alias("_row"))
+    given = sets.select(F.col("jurisdiction").alias("_jur"), F.col("effective_date").alias("_date"), F.lit(0).alias("_kind"),
+                        F.lit(0).cast("long").alias("_tie"), found.alias("_set"))
+    both = asked.unionByName(given, allowMissingColumns=True)
+    return stored(both.repartitionByRange("_jur", "_date", "_kind", "_tie").withColumn("_slice", F.spark_partition_id()),
+                  "as-of-slices")
+
+
+def _as_of_by_merge(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str, jurisdiction, statuses) -> DataFrame:
+    """J3 by sort and merge, for any number of rule sets: within a slice of the common order
+    the last set before an amount is carried to it; an amount before the first set of its
+    slice takes the last one of the slices before, carried over the slices' ends (a row
+    for each slice and jurisdiction)."""
+    slices = merge_slices(amounts, rule_sets, as_of_col, jurisdiction, statuses)
+    within = Window.partitionBy("_slice", "_jur").orderBy("_date", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = slices.withColumn("_own", F.last("_set", ignorenulls=True).over(within)).where("_kind = 1")
+    ends = slices.groupBy("_slice", "_jur").agg(F.max(F.when(F.col("_kind") == 0, F.struct("_date", "_set"))).alias("_end"))
+    before = Window.partitionBy("_jur").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_slice", "_jur", F.last("_end", ignorenulls=True).over(before)["_set"].alias("_earlier"))
+    ends = ends.where(F.col("_earlier").isNotNull() & F.col("_jur").isNotNull())
+    out = carried.join(ends, ["_slice", "_jur"], "left").withColumn("_found", F.when(
+        F.col("_date").isNotNull(), F.coalesce("_own", "_earlier")))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in amounts.columns],
+                      F.col("_found.rule_set_id").alias("rule_set_id"),
+                      F.col("_found.rule_set_effective_date").alias("rule_set_effective_date"))
+
+
 def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "as_of_date",
                    jurisdiction: str = "MX", statuses=DEFAULT_STATUSES,
                    jurisdiction_col: str | None = None) -> DataFrame:
@@ -348,8 +385,7 @@ def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "a
     The visible sets (checked to be at most MAX_RULE_ROWS) are cut into calendar
     years on the driver and matched by hash on (jurisdiction, as-of year), the year
     clamped to the latest effective one: no count job, no shuffle of the amounts and
-    no nested-loop join. With more sets the same lookup is a shuffle join, which
-    adaptive execution splits where a year is hot.
+    no nested-loop join. More sets take the sort-merge lookup (``_as_of_by_merge``).
     """
     spark = amounts.sparkSession
     ranges = _driver_ranges(rule_sets, None if jurisdiction_col else jurisdiction, statuses)
@@ -364,14 +400,7 @@ def as_of_rule_set(amounts: DataFrame, rule_sets: DataFrame, as_of_col: str = "a
         if len(rows) <= MAX_RULE_ROWS:
             buckets = F.broadcast(buckets)
     else:
-        lazy = validity_ranges(rule_sets, statuses)
-        if jurisdiction_col is None:
-            lazy = lazy.where(F.col("jurisdiction") == F.lit(jurisdiction))
-        cap_year = lazy.agg(F.max(F.year("effective_date"))).first()[0]
-        buckets = _year_buckets(lazy, cap_year).select(
-            F.col("jurisdiction").alias("_jurisdiction"), F.col("id").alias("rule_set_id"),
-            F.col("effective_date").alias("rule_set_effective_date"),
-            F.col("valid_to").alias("_valid_to"), "_year")
+        return _as_of_by_merge(amounts, rule_sets, as_of_col, jurisdiction_col or F.lit(jurisdiction), statuses)
     as_of = F.col(as_of_col)
     left = amounts.withColumn("_as_of_year", F.least(F.year(as_of), F.lit(cap_year)))
     cond = ((left["_as_of_year"] == buckets["_year"])
