@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesoro.functions.storage import stored
+
 SUMMARY_COLUMNS = ("model", "column_name", "test", "failures")
 
 
@@ -119,6 +121,70 @@ def set_null_on_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key:
                  .drop("_gone", "_hit")
 
 
+# The foreign keys of the model: child table, column, parent, and what a deleted parent does.
+FOREIGN_KEYS = (
+    ("core_account", "entity_id", "core_entity", "cascade"),
+    ("core_inventorysnapshot", "entity_id", "core_entity", "cascade"),
+    ("core_cashflowevent", "entity_id", "core_entity", "cascade"),
+    ("core_transaction", "account_id", "core_account", "cascade"),
+    ("core_transaction", "category_id", "core_category", "set_null"),
+    ("core_category", "parent_id", "core_category", "set_null"),
+)
+
+
+def delete_closure(tables: dict, deleted: dict, foreign_keys=FOREIGN_KEYS) -> tuple[dict, dict]:
+    """D7 to the end: delete the rows of ``deleted`` (table -> frame with ``id``) and all
+    that hangs on them along ``foreign_keys``, parents before children. Returns (the
+    tables afterwards, the deleted ids of each table as frames).
+
+    A cascading key deletes the child rows, whose own children follow; a key that is set
+    null keeps them. A table that refers to itself by a cascading key is followed level by
+    level until a level is empty (each level is stored; deeper than the tree is no level,
+    so cycles end, too). Joins are on keys, so Spark broadcasts few deleted ids and
+    shuffles many; ids that aren't in a table delete nothing there.
+    """
+    order, rest = [], list(tables)
+    while rest:  # parents first; a reference to the own table doesn't count
+        ready = [t for t in rest if all(p == t or p not in rest for c, _, p, _ in foreign_keys if c == t)]
+        if not ready:
+            raise ValueError(f"foreign keys of {sorted(rest)} form a cycle")
+        order += ready
+        rest = [t for t in rest if t not in ready]
+    gone: dict = {}
+    for table in order:
+        rows = tables[table]
+        found = []
+        if table in deleted:
+            found.append(rows.join(deleted[table].select("id").distinct(), "id", "left_semi").select("id"))
+        for child, column, parent, action in foreign_keys:
+            if child == table and parent != table and action == "cascade" and parent in gone:
+                keys = gone[parent].select(F.col("id").alias("_gone"))
+                found.append(rows.join(keys, F.col(column) == keys["_gone"], "left_semi").select("id"))
+        if not found:
+            continue
+        ids = found[0]
+        for more in found[1:]:
+            ids = ids.unionByName(more)
+        ids = stored(ids.distinct(), "deleted-ids")
+        for child, column, parent, action in foreign_keys:
+            level = ids
+            while child == parent == table and action == "cascade" and not level.isEmpty():
+                keys = level.select(F.col("id").alias("_gone"))
+                below = rows.join(keys, F.col(column) == keys["_gone"], "left_semi").select("id").distinct()
+                level = stored(below.join(ids, "id", "left_anti"), "deleted-ids")
+                ids = ids.unionByName(level)
+        gone[table] = ids
+    after = {}
+    for table, rows in tables.items():
+        if table in gone:
+            rows = cascade_delete(rows, "id", gone[table], "id")
+        for child, column, parent, action in foreign_keys:
+            if child == table and action == "set_null" and parent in gone:
+                rows = set_null_on_delete(rows, column, gone[parent], "id").select(*tables[table].columns)
+        after[table] = rows
+    return after, gone
+
+
 def summarize(checks) -> DataFrame:
     """One row per check: (model, column_name, test, failures).
 

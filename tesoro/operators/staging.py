@@ -119,25 +119,60 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
                   .withColumn("dup_rank", (F.col("_local_rank") + F.col("_offset")).cast("int")))
 
 
+# Items that Spark's frequency sketch can track, and share of the rows, times the tracked
+# items, that its counts may be off.
+MAX_TRACKED = 1_000_000
+SKETCH_ERROR = 3.5
+
+
+def _admitted_keys(stg: DataFrame, rows: int, hot_group_rows: int) -> list[int] | None:
+    """Hashes of the keys that a mergeable frequency sketch admits: among them all that
+    more than ``hot_group_rows`` of the ``rows`` have. None if they can be too many for
+    the sketch. One scan of the key columns; a task passes on its sketch alone.
+
+    A count is too high by the error at most, and keys whose lower bound is below the
+    error may be missing; both stay below the threshold with four times as many items
+    as that takes."""
+    tracked = int(8 * SKETCH_ERROR * rows / hot_group_rows) + 100
+    if tracked > MAX_TRACKED:
+        return None
+    k = min(tracked, 100_000, 2 * (rows // hot_group_rows) + 100)
+    found = stg.select(F.xxhash64(*DUP_KEY).alias("_key")).agg(
+        F.expr(f"approx_top_k(_key, {k}, {tracked})").alias("top")).first()["top"]
+    return [r["item"] for r in found if r["count"] > hot_group_rows]
+
+
 def _find_hot_groups(stg: DataFrame, hot_group_rows: int) -> tuple[list, DataFrame | None]:
     """Keys of duplicate groups with more than ``hot_group_rows`` rows, with sizes.
 
-    A group that big lies in an account that big, so accounts are counted first:
-    that aggregate collapses map-side to one row per account and per task. Full
-    keys are then counted only inside the candidate accounts (usually none). At
-    most MAX_HOT_GROUPS + 1 small rows come back to the driver per step.
+    A table of no more rows has none: its rows are counted first, which reads the files'
+    footers only. Else a frequency sketch admits keys in one scan (usually none), and
+    only these are counted exactly. Where hot groups can be too many for the sketch, the
+    accounts are counted (a group that big lies in an account that big; one row for each
+    account and task is shuffled), then the full keys of the candidates. At most
+    MAX_HOT_GROUPS + 1 small rows come back to the driver per step.
     Returns (collected rows, the full lazy table of hot keys and sizes).
     """
-    acct = DUP_KEY[0]
-    accounts = (stg.groupBy(acct).agg(F.count(F.lit(1)).alias("_an"))
-                   .where(F.col("_an") > hot_group_rows).select(F.col(acct).alias("_c_acct")))
-    candidates = accounts.limit(MAX_HOT_GROUPS + 1).collect()
-    if not candidates:
+    rows = stg.count()
+    if rows <= hot_group_rows:
         return [], None
-    scope = stg
-    if len(candidates) <= MAX_HOT_GROUPS:
-        cand = F.broadcast(stg.sparkSession.createDataFrame(candidates, accounts.schema))
-        scope = stg.join(cand, stg[acct].eqNullSafe(cand["_c_acct"]), "left_semi")
+    spark, acct = stg.sparkSession, DUP_KEY[0]
+    admitted = _admitted_keys(stg, rows, hot_group_rows)
+    if admitted is not None:
+        if not admitted:
+            return [], None
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in admitted], "_key long"))
+        scope = stg.join(keys, F.xxhash64(*[stg[k] for k in DUP_KEY]) == keys["_key"], "left_semi")
+    else:
+        accounts = (stg.groupBy(acct).agg(F.count(F.lit(1)).alias("_an"))
+                       .where(F.col("_an") > hot_group_rows).select(F.col(acct).alias("_c_acct")))
+        candidates = accounts.limit(MAX_HOT_GROUPS + 1).collect()
+        if not candidates:
+            return [], None
+        scope = stg
+        if len(candidates) <= MAX_HOT_GROUPS:
+            cand = F.broadcast(spark.createDataFrame(candidates, accounts.schema))
+            scope = stg.join(cand, stg[acct].eqNullSafe(cand["_c_acct"]), "left_semi")
     sizes = scope.groupBy(*DUP_KEY).agg(F.count(F.lit(1)).alias("_n"))
     hot = (sizes.where(F.col("_n") > hot_group_rows)
                 .select(*[F.col(k).alias(f"_h_{k}") for k in DUP_KEY], "_n"))

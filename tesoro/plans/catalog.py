@@ -24,6 +24,8 @@ AFTER_MONTHLY_RUN = "2026-03-01"
 # t5: a retroactive publication drafted in mid-2026 (illustrative rate).
 T5_DRAFT = ("MX", "1999-01-01", "0.10", 90, "example publication retroactive")
 T5_CREATED = "2026-06-01"
+# w5_hot_group: rows of a group beyond which it is split.
+HOT_GROUP_ROWS = 400
 # t4: days after its date at which an order's rule set is asked for, by priority.
 AS_KNOWN_DAYS = {"1-URGENT": 0, "2-HIGH": 60, "3-MEDIUM": 180, "4-NOT SPECIFIED": 365, "5-LOW": 1000}
 # As-of date for taxing customer balances with the 2026 seed.
@@ -66,7 +68,7 @@ def a1_monthly_cashflow(spark, sf_dir):
 
 def s9_cashflow_read(spark, sf_dir):
     """S9 over every entity."""
-    return review.monthly_cashflow_read(cashflow_mart(spark, sf_dir))
+    return review.monthly_cashflow_read(cashflow_mart(spark, sf_dir), numbered=True)
 
 
 def w5_duplicate_flags(spark, sf_dir):
@@ -76,6 +78,16 @@ def w5_duplicate_flags(spark, sf_dir):
         "dup_group_size", "dup_rank", "is_likely_duplicate", "is_duplicate_secondary")
 
 
+def w5_hot_group(spark, sf_dir):
+    """W5 with groups beyond the limit of a task: a few accounts, one amount and one date a
+    year, found by the sketch and ranked slice by slice."""
+    stg = staging.stg_transactions(dt.transactions(spark, sf_dir))
+    hot = stg.withColumn("account_id", F.regexp_extract("description", "line ([0-9]+)", 1).cast("bigint")).withColumn(
+        "amount", F.lit("1.00").cast("decimal(14,2)")).withColumn("transaction_date", F.trunc("transaction_date", "year"))
+    return staging.flag_duplicates(hot, hot_group_rows=HOT_GROUP_ROWS).select(
+        "transaction_id", "account_id", "transaction_date", "dup_group_size", "dup_rank", "is_duplicate_secondary")
+
+
 def u1_fuzzy_duplicates(spark, sf_dir):
     """Every transaction with the similarity to others of its account, up to three days
     apart and one edit away."""
@@ -100,12 +112,12 @@ def r2_cost_spikes(spark, sf_dir):
 
 def r1_duplicate_report(spark, sf_dir):
     """R1 P7 O2."""
-    return review.duplicate_report(deduped_transactions(spark, sf_dir))
+    return review.duplicate_report(deduped_transactions(spark, sf_dir), numbered=True)
 
 
 def r3_cost_spike_report(spark, sf_dir):
     """R3 O2."""
-    return review.cost_spike_report(flags_mart(spark, sf_dir))
+    return review.cost_spike_report(flags_mart(spark, sf_dir), numbered=True)
 
 
 # The account and the entity whose reports are asked for.
@@ -115,12 +127,12 @@ ONE_ENTITY = 7
 
 def r1_one_account(spark, sf_dir):
     """The duplicate report of one account."""
-    return review.duplicate_report(deduped_transactions(spark, sf_dir, ONE_ACCOUNT), ONE_ACCOUNT)
+    return review.duplicate_report(deduped_transactions(spark, sf_dir, ONE_ACCOUNT), ONE_ACCOUNT, numbered=True)
 
 
 def r3_one_account(spark, sf_dir):
     """The cost-spike report of one account."""
-    return review.cost_spike_report(flags_mart(spark, sf_dir, ONE_ACCOUNT), ONE_ACCOUNT)
+    return review.cost_spike_report(flags_mart(spark, sf_dir, ONE_ACCOUNT), ONE_ACCOUNT, numbered=True)
 
 
 def s9_one_entity(spark, sf_dir):
@@ -140,7 +152,7 @@ def a3_inventory_turnover(spark, sf_dir):
 
 def s10_inventory_read(spark, sf_dir):
     """S10 over every entity."""
-    return review.inventory_turnover_read(turnover_mart(spark, sf_dir))
+    return review.inventory_turnover_read(turnover_mart(spark, sf_dir), numbered=True)
 
 
 def n2_slow_moving(spark, sf_dir):
@@ -345,6 +357,23 @@ def d6_limits(spark, sf_dir):
 S6_PREVIOUS_LOADS_BEFORE = "1998-01-01"
 
 
+def d7_delete_closure(spark, sf_dir):
+    """The transactions left after the entities (nations) of a region and the categories
+    (parts, in a tree by tens) of one size are deleted with all that hangs on them."""
+    read = lambda t: dt.read_table(spark, sf_dir, t)
+    nation, part = read("nation"), read("part")
+    tables = {
+        "core_entity": nation.select(F.col("n_nationkey").cast("bigint").alias("id")),
+        "core_account": read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("bigint").alias("entity_id")),
+        "core_category": part.select(F.col("p_partkey").alias("id"), F.expr("nullif(p_partkey div 10, 0)").alias("parent_id")),
+        "core_transaction": dt.transactions(spark, sf_dir).select("id", "account_id", "category_id")}
+    deleted = {"core_entity": nation.where("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("id")),
+               "core_category": part.where("p_size = 1").select(F.col("p_partkey").alias("id"))}
+    keys = [k for k in quality.FOREIGN_KEYS if k[0] in tables and k[2] in tables and k[1] != "parent_id"]
+    after, _ = quality.delete_closure(tables, deleted, [*keys, ("core_category", "parent_id", "core_category", "cascade")])
+    return after["core_transaction"].select(F.col("id").alias("transaction_id"), "account_id", "category_id")
+
+
 def s6_new_dimension_rows(spark, sf_dir):
     """Entities a day's feed would create (get-or-create by rfc)."""
     from tesoro.sources.feed import DEFAULT_ENTITY_NAME, DEFAULT_ENTITY_TYPE, get_or_create
@@ -431,6 +460,7 @@ QUERIES = {
     "a1_monthly_cashflow": a1_monthly_cashflow,
     "s9_cashflow_read": s9_cashflow_read,
     "w5_duplicate_flags": w5_duplicate_flags,
+    "w5_hot_group": w5_hot_group,
     "u1_fuzzy_duplicates": u1_fuzzy_duplicates,
     "a2_expense_summary": a2_expense_summary,
     "w3_rolling_trend": w3_rolling_trend,
@@ -461,6 +491,7 @@ QUERIES = {
     "d3_accepted_values": d3_accepted_values,
     "d4_orphans": d4_orphans,
     "d6_limits": d6_limits,
+    "d7_delete_closure": d7_delete_closure,
     "s6_new_dimension_rows": s6_new_dimension_rows,
     "p4_nested_extract": p4_nested_extract,
     "p11_history_gate": p11_history_gate,

@@ -147,8 +147,9 @@ ORACLE = {
 SELECT entity_id, month, total_flow, total_outflow, net_cashflow FROM mart_cashflow""",
 
     "s9_cashflow_read": "WITH " + MART_CASHFLOW + """
-SELECT entity_id, month, total_flow AS total_inflow, total_outflow, net_cashflow
-FROM mart_cashflow ORDER BY entity_id, month""",
+SELECT entity_id, month, total_flow AS total_inflow, total_outflow, net_cashflow,
+       row_number() OVER (ORDER BY entity_id, month) AS position
+FROM mart_cashflow""",
 
     "w5_duplicate_flags": "WITH " + DEDUPED + """
 SELECT transaction_id, account_id, category_id, transaction_date, amount,
@@ -169,20 +170,22 @@ FROM expense""",
 SELECT * FROM flags""",
 
     "r1_duplicate_report": "WITH " + DEDUPED + """
-SELECT transaction_id, account_id, transaction_date, amount, description, dup_group_size, dup_rank
-FROM deduped WHERE is_likely_duplicate
-ORDER BY transaction_date, amount""",
+SELECT transaction_id, account_id, transaction_date, amount, description, dup_group_size, dup_rank,
+       row_number() OVER (ORDER BY transaction_date, amount, account_id, dup_rank) AS position
+FROM deduped WHERE is_likely_duplicate""",
 
     "r3_cost_spike_report": "WITH " + FLAGS + """
-SELECT account_id, category, month, total_amount, rolling_6mo_avg, pct_above_rolling_avg, flag_reason
-FROM flags ORDER BY month DESC""",
+SELECT account_id, category, month, total_amount, rolling_6mo_avg, pct_above_rolling_avg, flag_reason,
+       row_number() OVER (ORDER BY month DESC NULLS FIRST, account_id, category) AS position
+FROM flags""",
 
     "a3_inventory_turnover": "WITH " + INVENTORY_MART + """
 SELECT * FROM turnover""",
 
     "s10_inventory_read": "WITH " + INVENTORY_MART + """
-SELECT entity_id, sku, month, avg_qty, avg_turnover_rate, inventory_value
-FROM turnover ORDER BY entity_id, sku, month""",
+SELECT entity_id, sku, month, avg_qty, avg_turnover_rate, inventory_value,
+       row_number() OVER (ORDER BY entity_id, sku, month) AS position
+FROM turnover""",
 
     "n2_slow_moving": "WITH " + INVENTORY_MART + """,
 summary AS (
@@ -449,7 +452,7 @@ FROM new_rfc"""
 
 ORACLE["r1_one_account"] = ORACLE["r1_duplicate_report"].replace(
     "WHERE is_likely_duplicate", "WHERE is_likely_duplicate AND account_id = 7")
-ORACLE["r3_one_account"] = ORACLE["r3_cost_spike_report"].replace("FROM flags ORDER", "FROM flags WHERE account_id = 7 ORDER")
+ORACLE["r3_one_account"] = ORACLE["r3_cost_spike_report"] + " WHERE account_id = 7"
 ORACLE["s9_one_entity"] = "WITH " + MART_CASHFLOW + """
 SELECT month, total_flow AS total_inflow, total_outflow, net_cashflow FROM mart_cashflow WHERE entity_id = 7"""
 ORACLE["s10_one_entity"] = "WITH " + INVENTORY_MART + """
@@ -499,6 +502,24 @@ UNION ALL SELECT 'rejected_cashflow', (SELECT count(*) FROM orders WHERE NOT ({_
 UNION ALL SELECT 'rejected_inventory', 0
 UNION ALL SELECT 'repeated_rfc', 0"""
 
+ORACLE["w5_hot_group"] = "WITH " + STG_TRANSACTIONS + """,
+g AS (SELECT transaction_id, CAST(regexp_extract(description, 'line ([0-9]+)', 1) AS BIGINT) AS account_id,
+             CAST(date_trunc('year', transaction_date) AS DATE) AS transaction_date, created_at
+      FROM stg_transactions)
+SELECT transaction_id, account_id, transaction_date,
+       count(*) OVER (PARTITION BY account_id, transaction_date) AS dup_group_size,
+       CAST(row_number() OVER w AS INTEGER) AS dup_rank, row_number() OVER w > 1 AS is_duplicate_secondary
+FROM g WINDOW w AS (PARTITION BY account_id, transaction_date ORDER BY created_at, transaction_id)"""
+
+ORACLE["d7_delete_closure"] = "WITH RECURSIVE " + STG_TRANSACTIONS.strip() + """,
+gone(id) AS (
+    SELECT p_partkey FROM part WHERE p_size = 1
+    UNION
+    SELECT p_partkey FROM part JOIN gone ON p_partkey // 10 = gone.id AND p_partkey >= 10),
+gone_account AS (SELECT s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)
+SELECT transaction_id, account_id, CASE WHEN category_id NOT IN (SELECT id FROM gone) THEN category_id END AS category_id
+FROM stg_transactions WHERE account_id NOT IN (SELECT id FROM gone_account)"""
+
 ORACLE["u1_fuzzy_duplicates"] = """
 WITH t AS (
     SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
