@@ -450,9 +450,9 @@ FROM new_rfc"""
 
 # ---- one account or entity, and the feed load --------------------------------------
 
-ORACLE["r1_one_account"] = ORACLE["r1_duplicate_report"].replace(
-    "WHERE is_likely_duplicate", "WHERE is_likely_duplicate AND account_id = 7")
-ORACLE["r3_one_account"] = ORACLE["r3_cost_spike_report"] + " WHERE account_id = 7"
+_ONE_ACCOUNT = "SELECT * EXCLUDE (position) FROM ({}) WHERE account_id = 7"
+ORACLE["r1_one_account"] = _ONE_ACCOUNT.format(ORACLE["r1_duplicate_report"])
+ORACLE["r3_one_account"] = _ONE_ACCOUNT.format(ORACLE["r3_cost_spike_report"])
 ORACLE["s9_one_entity"] = "WITH " + MART_CASHFLOW + """
 SELECT month, total_flow AS total_inflow, total_outflow, net_cashflow FROM mart_cashflow WHERE entity_id = 7"""
 ORACLE["s10_one_entity"] = "WITH " + INVENTORY_MART + """
