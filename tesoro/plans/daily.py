@@ -4,7 +4,7 @@ materialisation.
 Storage layout under ``warehouse`` (a shared path on a cluster)::
 
     bronze/<table>/                 parquet; transactions by month and load, cash flow
-                                    and inventory by batch, dimensions by load
+                                    and inventory by month and batch, dimensions by load
     bronze/transaction_ids/         ids of all transactions, bucketed: the identity index
     run_log/                        finished steps of all runs
     models/<run_id>/_load/          what the run's feed added and rejected
@@ -13,6 +13,7 @@ Storage layout under ``warehouse`` (a shared path on a cluster)::
                                     has a month (partition pruning for reports)
     models/<run_id>/_tests/         data-test summary of the run (the dbt tests)
     models/<run_id>/_constraints/   D3-D6 checks of Bronze (the database constraints)
+    marts/<model>/                  the same marts kept up by month (refresh_marts)
 
 Re-running the same feed content adds no Bronze rows (idempotent load), and writes a fresh
 run folder; new content at a known path is a new batch. A run that broke off and is started
@@ -65,8 +66,8 @@ CLUSTER_KEYS = {
 }
 # Partition columns of the Bronze tables: a load writes partitions of its own.
 BRONZE_PARTITION = {"core_entity": ("load",), "core_account": ("load",), "core_category": ("load",),
-                    "core_transaction": ("month", "load"), "core_cashflowevent": ("batch_id",),
-                    "core_inventorysnapshot": ("batch_id",)}
+                    "core_transaction": ("month", "load"), "core_cashflowevent": ("month", "batch_id"),
+                    "core_inventorysnapshot": ("month", "batch_id")}
 # Buckets of the identity index when a warehouse is made: about one for each ten million
 # transactions that it is to hold.
 ID_BUCKETS = 16
@@ -276,6 +277,68 @@ def _staged(spark: SparkSession, warehouse: str, run_id: str) -> dict:
     return {name: spark.read.parquet(f"{warehouse}/models/{run_id}/_load/{name}") for name in names}
 
 
+# The marts that follow from one Bronze table, month by month: what a mart says of a month
+# depends on that table's rows of the month alone (duplicates share their date).
+MARTS_OF = {"core_transaction": ("stg_transactions_deduped", "mart_expense_summary"),
+            "core_cashflowevent": ("mart_monthly_cashflow",), "core_inventorysnapshot": ("mart_inventory_turnover",)}
+
+
+def _months_to_refresh(spark: SparkSession, warehouse: str, log: RunLog) -> dict[str, list]:
+    """For each Bronze fact the months that loads have touched since the marts were
+    refreshed; all months before the first time. At most a calendar's months come back."""
+    loads = sorted({run for run, step in log.done if step == "bronze" and not log.has("marts", run)})
+    first = not any(step == "marts" for _, step in log.done)
+    out = {}
+    for table in MARTS_OF:
+        if first:
+            months = _stored(spark, warehouse, table).select("month")
+        else:
+            months = literal_frame(spark, [], T.StructType([T.StructField("month", T.DateType())]))
+            for load in loads:
+                months = months.unionByName(_staged(spark, warehouse, load)[table].select(F.trunc("date", "month").alias("month")))
+        out[table] = sorted(r["month"] for r in months.distinct().collect())
+    return out
+
+
+def refresh_marts(spark: SparkSession, warehouse: str) -> dict:
+    """A1-A3, W5 and R2 kept up under ``marts/``: only the months that loads have touched
+    since the last refresh are built again, from Bronze partitions of these months, and
+    replace their partitions. The flags compare a month with the five before, so they are
+    built from the whole expense mart (one row for each account, category and month).
+    Loads are those of ``run_daily``; the first refresh takes all of Bronze.
+    Returns {model: path}. One that breaks off leaves its months to the next one."""
+    warehouse = warehouse.rstrip("/")
+    log = RunLog(spark, warehouse, "marts")
+    paths = {name: f"{warehouse}/marts/{name}" for names in MARTS_OF.values() for name in names}
+    paths["mart_profitability_flags"] = f"{warehouse}/marts/mart_profitability_flags"
+    loads = sorted({run for run, step in log.done if step == "bronze" and not log.has("marts", run)})
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        if "month" not in df.columns:  # the rows behind the expense mart
+            df = df.withColumn("month", F.trunc("transaction_date", "month"))
+        (df.hint("rebalance", F.col("month")).sortWithinPartitions("month", *CLUSTER_KEYS[name]).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(paths[name]))
+        return spark.read.schema(df.schema).parquet(paths[name])
+
+    months = _months_to_refresh(spark, warehouse, log)
+    rows = {t: _stored(spark, warehouse, t).where(F.col("month").isin(m)) for t, m in months.items() if m}
+    if "core_transaction" in rows:
+        touched = months["core_transaction"]
+        stg = staging.stg_transactions(rows["core_transaction"])
+        deduped = write("stg_transactions_deduped", staging.flag_duplicates(stg)).where(F.col("month").isin(touched)).drop("month")
+        categories = _stored(spark, warehouse, "core_category").drop("load")
+        expense = write("mart_expense_summary", marts.expense_summary(deduped, categories))
+        flags = marts.profitability_flags(expense)
+        flags.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(paths["mart_profitability_flags"])
+    if "core_cashflowevent" in rows:
+        write("mart_monthly_cashflow", marts.monthly_cashflow(staging.stg_cashflow(rows["core_cashflowevent"])))
+    if "core_inventorysnapshot" in rows:
+        write("mart_inventory_turnover", marts.inventory_turnover(staging.stg_inventory(rows["core_inventorysnapshot"])))
+    for load in loads or ["marts"]:
+        log.add("marts", run_id=load)
+    return paths
+
+
 def read_published(spark: SparkSession, warehouse: str, model: str) -> DataFrame:
     """A model of the run that finished last; LookupError before the first one."""
     warehouse = warehouse.rstrip("/")

@@ -261,8 +261,8 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     core = [f.name for f in schemas.CORE_TRANSACTION.fields]
     after = {"core_entity": entities, "core_account": accounts, "core_category": categories,
              "core_transaction": bronze["core_transaction"].select(*core).unionByName(new_txn),
-             "core_cashflowevent": bronze["core_cashflowevent"].unionByName(new_cf),
-             "core_inventorysnapshot": bronze["core_inventorysnapshot"].unionByName(new_inv)}
+             "core_cashflowevent": bronze["core_cashflowevent"].select(*new_cf.columns).unionByName(new_cf),
+             "core_inventorysnapshot": bronze["core_inventorysnapshot"].select(*new_inv.columns).unionByName(new_inv)}
     added.update({f"rejected_{kind}": df for kind, df in rejected.items()})
     added.update(replay_core_cashflowevent=all_cf, replay_core_inventorysnapshot=all_inv)
     return after, added

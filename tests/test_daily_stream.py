@@ -174,3 +174,34 @@ def test_a_staged_load_reaches_bronze_before_the_next_run(spark, tmp_path, monke
     bronze = daily.read_bronze(spark, wh)
     assert bronze["core_transaction"].count() == 4 and bronze["core_inventorysnapshot"].count() == 1
     assert daily.published_run(spark, wh) == "run2"
+
+
+def test_marts_are_refreshed_for_touched_months_only(spark, tmp_path, monkeypatch):
+    feed_dir, wh = write_feed(tmp_path / "feed"), str(tmp_path / "wh")
+    daily.run_daily(spark, feed_dir, wh, "run1", dt.datetime(2026, 1, 1))
+    paths = daily.refresh_marts(spark, wh)
+    source = tmp_path / "feed"
+    sent = json.loads((source / "transactions.json").read_text())
+    (source / "transactions.json").write_text(json.dumps(
+        [{**sent[0], "uuid": "late", "total": 50.0}, {**sent[0], "uuid": "next", "fecha_emision": "2024-09-01"}]))
+    cash = json.loads((source / "cashflow.json").read_text())
+    (source / "cashflow.json").write_text(json.dumps([{**cash[0], "date": "2024-11-05"}]))
+    (source / "inventory.json").write_text("[]")
+    daily.run_daily(spark, feed_dir, wh, "run2", dt.datetime(2026, 1, 2))
+    months = daily._months_to_refresh(spark, wh, daily.RunLog(spark, wh, "marts"))
+    assert {t: [str(m)[:7] for m in found] for t, found in months.items()} == {
+        "core_transaction": [sent[0]["fecha_emision"][:7], "2024-09"], "core_cashflowevent": ["2024-11"], "core_inventorysnapshot": []}
+    files = lambda name: {f: f.stat().st_mtime_ns for f in (tmp_path / "wh" / "marts" / name).glob("month=*/*.parquet")}
+    before = {name: files(name) for name in ("mart_expense_summary", "mart_monthly_cashflow", "mart_inventory_turnover")}
+    read, seen = daily._stored, []
+    monkeypatch.setattr(daily, "_stored", lambda s, w, t: seen.append(t) or read(s, w, t))
+    daily.refresh_marts(spark, wh)
+    assert "core_inventorysnapshot" not in seen and files("mart_inventory_turnover") == before["mart_inventory_turnover"]
+    kept = [f for f in before["mart_expense_summary"] if "2024-03" in f.parent.name]
+    assert kept and all(files("mart_expense_summary").get(f) == before["mart_expense_summary"][f] for f in kept)
+    # equal to the models of the whole history
+    whole = daily.build_models(daily.read_bronze(spark, wh))
+    for name in ("mart_expense_summary", "mart_monthly_cashflow", "mart_inventory_turnover", "mart_profitability_flags", "stg_transactions_deduped"):
+        got = spark.read.schema(whole[name].schema).parquet(paths[name])
+        assert rows(got, *whole[name].columns) == rows(whole[name], *whole[name].columns), name
+    assert all(not m for m in daily._months_to_refresh(spark, wh, daily.RunLog(spark, wh, "marts")).values())
