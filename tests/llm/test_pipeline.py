@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 def test_stages_in_their_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "decontamination", "mixture", "token_output"]
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
