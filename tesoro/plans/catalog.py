@@ -232,6 +232,17 @@ def t2_isr_balances(spark, sf_dir):
     return _tax_columns(out, "c_custkey")
 
 
+def x11_rules_from_json(spark, sf_dir):
+    """ISR on customer balances with the rules read from JSON text, as the
+    reference stores them."""
+    rule_sets, rules = tax_cycle.example_rule_history(spark)
+    text = rules.withColumn("formula_expression", F.to_json("formula_expression"))
+    amounts = (dt.customer_incomes(spark, sf_dir).withColumn("tax_type", F.lit("ISR"))
+               .withColumn("applies_to", F.lit(tax.ISR_APPLIES_TO)))
+    out = tax.calculate_tax(amounts, rule_sets, tax.rules_from_json(text), applies_to="applies_to", as_of_date=BALANCES_AS_OF)
+    return _tax_columns(out, "c_custkey")
+
+
 def t3_calculate_tax(spark, sf_dir):
     """Mixed IVA/ISR/RETENCION requests of two jurisdictions with ok / no_rule_set /
     no_rule / bad_tax_type outcomes."""
@@ -483,6 +494,7 @@ QUERIES = {
     "t1_iva": t1_iva,
     "t2_isr": t2_isr,
     "t2_isr_balances": t2_isr_balances,
+    "x11_rules_from_json": x11_rules_from_json,
     "t3_calculate_tax": t3_calculate_tax,
     "t5_publish": t5_publish,
     "t8_approved_publish": t8_approved_publish,

@@ -340,6 +340,8 @@ FROM req"""
 ORACLE.update(_tax_sql())
 
 
+ORACLE["x11_rules_from_json"] = ORACLE["t2_isr_balances"]
+
 ORACLE["t4_as_known"] = """
 WITH sets(jur, id, effective_date, published) AS (VALUES
     ('US', 'US-1990-01-01-jurisdiction', DATE '1990-01-01', DATE '1990-01-01'),
