@@ -13,8 +13,9 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ SHARD_TOKENS = 1_000_000
 CACHE_CHUNKS = 1_000_000
 # Words that are encoded as one text.
 JOINED_WORDS = 500
-# Bytes of text that are hashed at a time.
-HASHED_BYTES = 1 << 19
+# Bytes of chunks that a worker remembers; when full, the memory starts anew.
+CACHE_BYTES = 64 * 1024 * 1024
+# Chunks of up to so many bytes are hashed and compared eight bytes at a time, all at once.
+WORDWISE_BYTES = 64
 
 # ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
 _CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -52,88 +55,112 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-
-
-class _Hasher:
-    """64-bit hashes of the white-space-free chunks of a text: a polynomial over the
-    bytes, from running sums, mixed."""
-
-    def __init__(self):
-        self.powers = np.cumprod(np.r_[np.uint64(1), np.full(HASHED_BYTES, np.uint64(_BASE))], dtype=np.uint64)
-        self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(HASHED_BYTES, np.uint64(pow(_BASE, -1, 1 << 64)))],
-                                  dtype=np.uint64)
-
-    def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First byte, byte after the last, and hash of each chunk; the text ends in a space."""
-        edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
-        first, last = edge[::2], edge[1::2]
-        out = np.zeros(len(first), dtype=np.uint64)
-        at = begin = 0
-        while at < len(first):  # whole chunks, a bounded number of bytes at a time
-            begin = first[at]
-            end = int(np.searchsorted(last, begin + HASHED_BYTES, side="right"))
-            if end == at:  # a longer chunk: hashed in pieces
-                out[at] = self._long(data[begin:last[at]])
-                at += 1
-                continue
-            part = data[begin:last[end - 1]]
-            sums = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum((part + np.uint64(1)) * self.powers[:len(part)], out=sums[1:])
-            a, b = first[at:end] - begin, last[at:end] - begin
-            out[at:end] = (sums[b] - sums[a]) * self.inverse[a]
-            at = end
-        return first, last, self._mix(out)
-
-    def _long(self, part: np.ndarray) -> np.uint64:
-        total = 0
-        for k in range(0, len(part), HASHED_BYTES):
-            piece = part[k:k + HASHED_BYTES]
-            step = int(((piece + np.uint64(1)) * self.powers[:len(piece)]).sum(dtype=np.uint64))
-            total = (total + step * pow(_BASE, k, 1 << 64)) % (1 << 64)
-        return np.uint64(total)
-
-    @staticmethod
-    def _mix(x: np.ndarray) -> np.ndarray:
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _by_eights(data: bytes | np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as an integer; the last seven begin none."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+
+
+def _eight(eights: np.ndarray, first: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th eight bytes of the spans, each longer than 8 k; zero beyond a span's end."""
+    return eights[first + 8 * k] & _MASKS[np.minimum(sizes - 8 * k, 8)]
+
+
+class _Chunks:
+    """The white-space-free chunks of a text that ends in a space."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+        edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(text, dtype=np.uint8)], prepend=True))
+        self.first = edge[::2]
+        self.sizes = edge[1::2] - self.first
+        self.eights = _by_eights(text + bytes(8))
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.text[self.first[i]:self.first[i] + self.sizes[i]]
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the chunks, from their length and eight bytes at a time."""
+        out = self.sizes.astype(np.uint64)
+        at = np.arange(len(out))
+        for k in range(WORDWISE_BYTES // 8):
+            at = at[self.sizes[at] > 8 * k]
+            if not len(at):
+                break
+            mixed = (out[at] ^ _eight(self.eights, self.first[at], self.sizes[at], k)) * np.uint64(0x9E3779B97F4A7C15)
+            out[at] = mixed ^ (mixed >> np.uint64(32))
+        for i in np.flatnonzero(self.sizes > WORDWISE_BYTES).tolist():
+            out[i] = int.from_bytes(blake2b(self[i], digest_size=8).digest(), "little")
+        return out
 
 
 class _Memory:
-    """Ids by chunk hash: sorted hashes, and for each where its ids begin and how many
-    they are in one flat array."""
+    """Known chunks and their ids. An entry is a chunk's place in one flat byte array and
+    its ids' place in one flat id array; sorted hashes lead to entries, and a chunk whose
+    hash leads to other bytes is found by its bytes."""
 
     def __init__(self, kind: str):
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.starts = np.zeros(0, dtype=np.uint32)
-        self.sizes = np.zeros(0, dtype=np.uint32)
-        self.flat = np.zeros(0, dtype=kind)
+        self.entries = np.zeros(0, dtype=np.int64)
+        self.text = np.zeros(8, dtype=np.uint8)  # eight bytes follow the last chunk
+        self.text_starts = np.zeros(0, dtype=np.int64)
+        self.text_sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=kind)
+        self.id_starts = np.zeros(0, dtype=np.int64)
+        self.id_sizes = np.zeros(0, dtype=np.int64)
+        self.clashes: dict[bytes, int] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash; -1 if it is not known."""
+        """Entry of each hash; -1 if it is not known."""
         if not len(self.hashes):
             return np.full(len(hashes), -1, dtype=np.int64)
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == hashes, place, -1)
-
-    def add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        """``hashes`` are new and distinct; their ids follow each other in ``flat``."""
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.r_[self.flat, flat]
-        order = np.argsort(hashes)
-        at = np.searchsorted(self.hashes, hashes[order])
-        self.hashes = np.insert(self.hashes, at, hashes[order])
-        self.starts = np.insert(self.starts, at, starts[order].astype(np.uint32))
-        self.sizes = np.insert(self.sizes, at, sizes[order].astype(np.uint32))
-
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and joined ids of the places."""
-        sizes = self.sizes[places].astype(np.int64)
+        return np.where(self.hashes[place] == hashes, self.entries[place], -1)
+
+    def differ(self, entries: np.ndarray, chunks: _Chunks) -> np.ndarray:
+        """Numbers of the chunks whose bytes are not those of their entries."""
+        other = self.text_sizes[entries] != chunks.sizes
+        starts, eights = self.text_starts[entries], _by_eights(self.text)
+        at = np.flatnonzero(~other)
+        for k in range(WORDWISE_BYTES // 8):
+            at = at[chunks.sizes[at] > 8 * k]
+            if not len(at):
+                break
+            sizes = chunks.sizes[at]
+            equal = (_eight(eights, starts[at], sizes, k) == _eight(chunks.eights, chunks.first[at], sizes, k))
+            other[at[~equal]] = True
+            at = at[equal]
+        for i in at[chunks.sizes[at] > WORDWISE_BYTES].tolist():
+            other[i] = self.text[starts[i]:starts[i] + chunks.sizes[i]].tobytes() != chunks[i]
+        return np.flatnonzero(other)
+
+    def add(self, chunks: list[bytes], sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray | None = None) -> int:
+        """Remember distinct chunks, whose ids follow each other, by hashes that are new
+        and distinct, or without. Returns the first one's entry."""
+        entry = len(self.id_sizes)
+        lengths = np.array([len(c) for c in chunks], dtype=np.int64)
+        self.text_starts = np.r_[self.text_starts, len(self.text) - 8 + np.cumsum(lengths) - lengths]
+        self.text_sizes = np.r_[self.text_sizes, lengths]
+        self.text = np.r_[self.text[:-8], np.frombuffer(b"".join(chunks) + bytes(8), dtype=np.uint8)]
+        self.id_starts = np.r_[self.id_starts, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.id_sizes = np.r_[self.id_sizes, sizes]
+        self.ids = np.r_[self.ids, ids]
+        if hashes is not None:
+            order = np.argsort(hashes)
+            at = np.searchsorted(self.hashes, hashes[order])
+            self.hashes = np.insert(self.hashes, at, hashes[order])
+            self.entries = np.insert(self.entries, at, entry + order)
+        return entry
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and joined ids of the entries."""
+        sizes = self.id_sizes[entries]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0)
-        at += np.repeat(self.starts[places] - (ends - sizes), sizes)
-        return sizes, self.flat[at]
+        at += np.repeat(self.id_starts[entries] - (ends - sizes), sizes)
+        return sizes, self.ids[at]
 
 
 def _letters(word: str) -> bool:
@@ -162,9 +189,10 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across ASCII white space, as the
     default one, whose pre-tokenizer drops white space and cuts letters from marks. So a
     text's ids are those of its white-space-free chunks, and a chunk of letters within
-    ASCII marks has the ids of its parts if the normalised word is letters only. The library encodes each part once a worker;
-    many words are encoded as one text and told apart by the tokens that end a word.
-    Chunks are known by 64-bit hashes.
+    ASCII marks has the ids of its parts if the normalised word is letters only. The
+    library encodes each part once a worker; many words are encoded as one text and told
+    apart by the tokens that end a word. Chunks are found by 64-bit hashes and compared
+    byte by byte; one that shares its hash with another is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -177,17 +205,28 @@ class WordTokenizer:
         self.kind = "<u2" if top < 1 << 16 else "<u4"
         self.ends = np.zeros(top + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.hasher = _Hasher()
         self.memory = _Memory(self.kind)
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind) for e in found]
 
-    def _hashes(self, chunks: list[bytes]) -> np.ndarray:
-        return self.hasher.spans(np.frombuffer(b" ".join(chunks) + b" ", dtype=np.uint8))[2]
-
-    def _learn_parts(self, parts: list[bytes]) -> None:
+    def _entries(self, chunks: _Chunks, learn: Callable[[list[bytes], np.ndarray], None]) -> np.ndarray:
+        """Memory entry of each chunk; ``learn`` adds distinct chunks of new hashes."""
+        unique, sample, which = np.unique(chunks.hashes(), return_index=True, return_inverse=True)
+        new = self.memory.find(unique) < 0
+        if new.any():
+            learn([chunks[i] for i in sample[new].tolist()], unique[new])
+        entries = self.memory.find(unique)[which]
+        for i in self.memory.differ(entries, chunks).tolist():
+            chunk = chunks[i]
+            if chunk not in self.memory.clashes:
+                ids = self._whole([chunk])[0]
+                self.memory.clashes[chunk] = self.memory.add([chunk], np.array([len(ids)]), ids)
+            entries[i] = self.memory.clashes[chunk]
+        return entries
+
+    def _learn_parts(self, parts: list[bytes], hashes: np.ndarray) -> None:
         """Encode distinct parts that are not known."""
         sure = [p for p in parts if _UNIT.fullmatch(p) or _letters(p.decode())]
         done: list[bytes] = []
@@ -203,42 +242,32 @@ class WordTokenizer:
         known = set(done)
         alone = [p for p in parts if p not in known]  # others, and those that the tokenizer cuts further
         found = self._whole(alone)
-        if done or alone:
-            self.memory.add(self._hashes([*done, *alone]),
-                            np.concatenate([*sizes, [len(f) for f in found]]).astype(np.int64),
-                            np.concatenate([*flat, *found, np.zeros(0, dtype=self.kind)]).astype(self.kind))
+        own = dict(zip(parts, hashes.tolist()))
+        self.memory.add([*done, *alone],
+                        np.concatenate([*sizes, [len(f) for f in found]]).astype(np.int64),
+                        np.concatenate([*flat, *found, np.zeros(0, dtype=self.kind)]).astype(self.kind),
+                        np.array([own[p] for p in (*done, *alone)], dtype=np.uint64))
 
     def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
         """Remember distinct chunks that are not known."""
         parts_of = [_parts(c) for c in chunks]
         flat = [p for parts in parts_of for p in parts]
-        own = self._hashes(flat)
-        unique, first = np.unique(own, return_index=True)
-        new = first[self.memory.find(unique) < 0]
-        self._learn_parts([flat[i] for i in new.tolist()])
+        entries = self._entries(_Chunks(b" ".join(flat) + b" "), self._learn_parts)
         missing = self.memory.find(hashes) < 0  # a chunk that is its own part is there by now
         counts = np.array([len(parts) for parts in parts_of])
-        sizes, ids = self.memory.gather(self.memory.find(own[np.repeat(missing, counts)]))
-        counts = counts[missing]
-        ends = np.cumsum(np.r_[0, sizes])[np.cumsum(np.r_[0, counts])]
-        self.memory.add(hashes[missing], np.diff(ends), ids)
+        sizes, ids = self.memory.gather(entries[np.repeat(missing, counts)])
+        ends = np.cumsum(np.r_[0, sizes])[np.cumsum(np.r_[0, counts[missing]])]
+        self.memory.add([c for c, m in zip(chunks, missing.tolist()) if m], np.diff(ends), ids, hashes[missing])
 
     def encode(self, texts: list[bytes | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, each closed by the end id, and the
         number of ids of each; null is the empty text."""
-        if len(self.memory.hashes) > CACHE_CHUNKS:
+        if len(self.memory.id_sizes) > CACHE_CHUNKS or len(self.memory.text) > CACHE_BYTES:
             self.memory = _Memory(self.kind)
-        joined = b" ".join([t or b"" for t in texts]) + b" "
-        data = np.frombuffer(joined, dtype=np.uint8)
-        first, last, hashes = self.hasher.spans(data)
-        unique, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        new = self.memory.find(unique) < 0
-        if new.any():
-            spans = zip(first[sample[new]].tolist(), last[sample[new]].tolist())
-            self._learn([joined[a:b] for a, b in spans], unique[new])
-        sizes, ids = self.memory.gather(self.memory.find(unique)[which])
+        chunks = _Chunks(b" ".join([t or b"" for t in texts]) + b" ")
+        sizes, ids = self.memory.gather(self._entries(chunks, self._learn))
         text_ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
-        chunk_ends = np.searchsorted(first, text_ends)
+        chunk_ends = np.searchsorted(chunks.first, text_ends)
         id_ends = np.r_[0, np.cumsum(sizes)][chunk_ends]
         counts = np.diff(id_ends, prepend=0)
         if end_id is not None:

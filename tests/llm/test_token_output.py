@@ -64,13 +64,33 @@ def test_a_full_memory_starts_anew(monkeypatch, plain):
         assert encode(words, [text, None]) == [plain(text), plain(None)]
 
 
-def test_hashes_of_long_and_short_chunks_agree_at_any_step(monkeypatch):
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 64, 65, 1024, 2048])
+def test_a_chunk_and_its_complement(plain, n):
+    one = thue_morse(n)
+    texts = [one, one.translate({97: 98, 98: 97}), f"{one}. {one[::-1]}"]
+    assert encode(T.WordTokenizer(T.tokenizer_path()), texts) == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("different", [1, 7])
+def test_chunks_that_share_a_hash_keep_their_ids(monkeypatch, plain, different):
+    whole = T._Chunks.hashes
+    monkeypatch.setattr(T._Chunks, "hashes", lambda self: whole(self) % np.uint64(different))
+    words = T.WordTokenizer(T.tokenizer_path())
+    texts = [*ODD, "x" * 64, "x" * 65, "x" * 64 + "y", "x" * 70 + "\0", "x" * 70, "a\0", "a", "\0", "\0\0 \0", "abcdefgh abcdefg"]
+    for _ in range(2):
+        assert encode(words, texts) == [plain(t) for t in texts]
+
+
+def test_chunks_of_a_text():
     text = b"a bb " + b"c" * 5000 + b"  d\x0be" + b"f" * 900 + b" a bb "
-    whole = T._Hasher().spans(np.frombuffer(text, dtype=np.uint8))
-    monkeypatch.setattr(T, "HASHED_BYTES", 64)
-    parts = T._Hasher().spans(np.frombuffer(text, dtype=np.uint8))
-    assert all((a == b).all() for a, b in zip(whole, parts))
-    assert [text[a:b] for a, b in zip(*whole[:2])] == text.split() and whole[2][0] == whole[2][-2] != whole[2][1]
+    chunks = T._Chunks(text)
+    hashes = chunks.hashes()
+    assert [chunks[i] for i in range(len(hashes))] == text.split()
+    assert hashes[0] == hashes[-2] and len(set(hashes.tolist())) == 5
 
 
 @pytest.mark.parametrize("seed,vocabulary", [(1, 3), (2, 40), (3, 1), (4, 70_000)])
