@@ -10,7 +10,9 @@ are merged into removal spans.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ WINDOW_WORDS = 10
 BLOCK_BYTES = 16 * 1024 * 1024
 # Text bytes of a training shard (a longer document is a shard of its own).
 SHARD_BYTES = 4 * 1024 * 1024
+# Test phrases that are searched at a time.
+SEARCHED = 200_000
 
 # A-Z in lower case; digits, letters and all bytes of other characters stay; the rest
 # separates words.
@@ -32,36 +36,95 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
                    for b in range(256))
 
 _SPAN = "array<struct<first:int,last:int>>"
+# Word ranges and the byte ranges that they span.
+_RANGES = "array<struct<first:int,last:int,start:int,end:int>>"
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and each key's number among the distinct ones."""
+    order = np.argsort(keys)
+    new = np.diff(keys[order], prepend=-1) != 0
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _named(keys: np.ndarray) -> np.ndarray:
+    """Equal numbers below the length for equal keys."""
+    return _distinct(keys)[1]
+
+
 class Phrases:
     """Test phrases of a block of benchmark items: the window of every ``width``
-    consecutive words, or the whole item if it is shorter, as word numbers."""
+    consecutive words, or the whole item if it is shorter, as word numbers. A distinct
+    phrase is a place and a length in the items' joined words; items without an id have
+    phrases but own none."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        rows, lengths, owners = [], [], []
-        for name, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(text)]
-            size = min(width, len(numbers))
-            for i in range(len(numbers) - size + 1 if size else 0):
-                rows.append([0] * (width - size) + numbers[i:i + size])
-                lengths.append(size)
-                owners.append(name)
-        table = np.array(rows, dtype=np.int64).reshape(-1, width)
-        self.phrases, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, int))
-        which = which.ravel()
-        self.lengths = np.zeros(len(self.phrases), dtype=np.int64)
-        self.lengths[which] = lengths
+        vocabulary, numbers, counts = self.vocabulary, array("i"), []
+        for _, text in items:
+            found = words(text)
+            numbers.extend([vocabulary.setdefault(w, len(vocabulary) + 2) for w in found])
+            counts.append(len(found))
+        self.numbers = np.array(numbers, dtype=np.int32)
+        counts = np.array(counts, dtype=np.int64)
+        begins = np.cumsum(counts) - counts
+        sizes = np.minimum(counts, width)
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {name: i for i, name in enumerate(self.names)}
+        item = np.array([number.get(name, -1) for name, _ in items], dtype=np.int64)
+        # names of the words of 1, 2, 4, ... places from each place on: two of them name a window
+        n, half, names = len(self.numbers), 1, self.numbers.astype(np.int64)
+        starts, lengths, owned = [], [], []
+        total = 0
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            of = np.flatnonzero(sizes == size)
+            windows = counts[of] - size + 1
+            at = np.arange(windows.sum()) + np.repeat(begins[of] - (np.cumsum(windows) - windows), windows)
+            while 2 * half <= size:
+                names, half = _named(names[:-half] * (n + 2) + names[half:]), 2 * half
+            first, which = _distinct(names[at] * (n + 2) + names[at + size - half])
+            starts.append(at[first])
+            lengths.append(np.full(len(first), size, dtype=np.int64))
+            owner = np.repeat(item[of], windows)
+            pairs = (total + which) * (len(self.names) + 1) + owner
+            owned.append(np.unique(pairs[owner >= 0]))
+            total += len(first)
+        empty = np.zeros(0, dtype=np.int64)
+        self.starts = np.concatenate([empty, *starts])
+        self.lengths = np.concatenate([empty, *lengths])
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        pairs = sorted(set(zip(which.tolist(), owners)))
-        self.owners: list[list[str]] = [[] for _ in range(len(self.phrases))]
-        for phrase, name in pairs:
-            self.owners[phrase].append(name)
+        phrase, self.owners = np.divmod(np.concatenate([empty, *owned]), len(self.names) + 1)
+        self.owner_ends = np.searchsorted(phrase, np.arange(total + 1))  # where a phrase's owners begin
+
+    def table(self, first: int, last: int) -> np.ndarray:
+        """Phrases ``first`` up to ``last``, one a row, right-aligned, 0 before them."""
+        lengths = self.lengths[first:last]
+        width = int(lengths.max(initial=1))
+        back = np.arange(-width, 0)
+        at = (self.starts[first:last] + lengths)[:, None] + back
+        return np.where(back >= -lengths[:, None], self.numbers[np.maximum(at, 0)], 0).astype(np.int64)
+
+    def items(self, phrases: np.ndarray) -> list[str]:
+        """Sorted ids of the items that have any of the phrases."""
+        found = [self.owners[self.owner_ends[p]:self.owner_ends[p + 1]] for p in phrases.tolist()]
+        return [self.names[i] for i in np.unique(np.concatenate(found)).tolist()] if found else []
+
+
+# The phrases that a worker holds: those of the last broadcast block.
+_HELD: dict[str, Phrases] = {}
+
+
+def _phrases(key: str, block: Callable[[], list], width: int) -> Phrases:
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Phrases(block(), width)
+    return _HELD[key]
 
 
 def _runs(marks: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +166,14 @@ def search_shard(texts: list[bytes | None], wanted: Phrases) -> tuple[list[int],
     if not pieces:
         return counts, hits, items
     index = FMIndex(np.concatenate(pieces))
-    low, high = index.search(wanted.phrases, wanted.lengths)
-    found = np.flatnonzero(high > low)
-    repeats = (high - low)[found]
-    phrase = np.repeat(found, repeats)
-    rows = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats) + np.repeat(low[found], repeats)
+    phrase, rows = [], []
+    for begin in range(0, len(wanted.lengths), SEARCHED):
+        low, high = index.search(wanted.table(begin, begin + SEARCHED), wanted.lengths[begin:begin + SEARCHED])
+        found = np.flatnonzero(high > low)
+        repeats = (high - low)[found]
+        phrase.append(np.repeat(found, repeats) + begin)
+        rows.append(np.arange(repeats.sum()) + np.repeat(low[found] - (np.cumsum(repeats) - repeats), repeats))
+    phrase, rows = np.concatenate(phrase), np.concatenate(rows)
     position = index.locate(rows)
     begins = np.cumsum([0, *sizes])[:-1]
     piece = np.searchsorted(begins, position, side="right") - 1
@@ -118,7 +184,7 @@ def search_shard(texts: list[bytes | None], wanted: Phrases) -> tuple[list[int],
     for group in np.split(by, cuts[1:]) if len(by) else []:
         number = int(owner[group[0]])
         hits[number] = _merged(first[group], first[group] + wanted.lengths[phrase[group]])
-        items[number] = sorted({name for p in np.unique(phrase[group]) for name in wanted.owners[p]})
+        items[number] = wanted.items(np.unique(phrase[group]))
     return counts, hits, items
 
 
@@ -130,11 +196,11 @@ def _word_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, i
     return [(int(edge[2 * a]), int(edge[2 * b - 1])) for a, b in ranges]
 
 
-def _find(docs: DataFrame, block: list[tuple[str, bytes | None]], width: int) -> DataFrame:
-    wanted = docs.sparkSession.sparkContext.broadcast(block)
+def _find(docs: DataFrame, block: list[tuple[str | None, bytes | None]], width: int) -> DataFrame:
+    wanted, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(wanted.value, width)
+        phrases = _phrases(key, lambda: wanted.value, width)
         for shard in steps(batches, BODY, SHARD_BYTES):
             texts = values(shard, BODY)
             counts, hits, items = search_shard(texts, phrases)
@@ -151,28 +217,29 @@ def _find(docs: DataFrame, block: list[tuple[str, bytes | None]], width: int) ->
     return docs.mapInArrow(run, f"{keys}, n_words long, hit {_SPAN}, spans {_SPAN}, items array<string>")
 
 
-def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str, bytes | None]]]]:
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[str | None, bytes | None]]]]:
     """Number of blocks, and the distinct items in blocks of about BLOCK_BYTES each, dealt
     by a hash of the row; the driver holds the one it is at."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"),
                              F.col("text").cast("binary").alias("text")).where(
-                                 "text IS NOT NULL AND item IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+                                 "text IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     n = 1 + int(size) // BLOCK_BYTES
     return n, ([(r["item"], bytes(r["text"])) for r in
                 items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()] for k in range(n))
 
 
-def _merge_spans(spans: Column) -> Column:
-    """Union of the [first, last) structs of an array; touching ones joined."""
+def _merge_ranges(ranges: Column) -> Column:
+    """Union of the word ranges of an array of _RANGES; touching ones joined."""
     def add(done: Column, new: Column) -> Column:
         last = F.element_at(done, -1)
         joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            last["first"].alias("first"), F.greatest(last["last"], new["last"]).alias("last"))).cast(_SPAN))
-        return (F.when(F.size(done) == 0, F.array(new).cast(_SPAN))
+            last["first"].alias("first"), F.greatest(last["last"], new["last"]).alias("last"),
+            last["start"].alias("start"), F.greatest(last["end"], new["end"]).alias("end"))).cast(_RANGES))
+        return (F.when(F.size(done) == 0, F.array(new).cast(_RANGES))
                  .when(last["last"] >= new["first"], joined)
-                 .otherwise(F.concat(done, F.array(new).cast(_SPAN))))
-    return F.aggregate(F.sort_array(spans), F.array().cast(_SPAN), add)
+                 .otherwise(F.concat(done, F.array(new).cast(_RANGES))))
+    return F.aggregate(F.sort_array(ranges), F.array().cast(_RANGES), add)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS,
@@ -181,34 +248,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     word ranges [first, last) covered by benchmark windows), ``spans`` (the same as
     byte ranges of the text) and ``items`` (sorted ids of the items found).
 
-    Null or empty texts have no words. Items without id or words find nothing;
-    repeated items count once. An empty table on either side gives whole, unhit or no
-    rows. Columns besides ``keep`` and ``text`` are not read. A benchmark of more than
-    ``BLOCK_BYTES`` takes a pass for each block, whose hits are stored before the next
-    block is read; ``keep`` must then be comparable.
+    Null or empty texts have no words. Items without words find nothing; those without
+    an id are found like any other, but are not among ``items``; repeated items count
+    once. An empty table on either side gives whole, unhit or no rows. Columns besides
+    ``keep`` and ``text`` are not read. A benchmark of more than ``BLOCK_BYTES`` takes a
+    pass for each block, whose hits are stored by the text's SHA-256 before the next
+    block is read; ``keep`` may be of any type.
     """
     narrow = docs.select(*keep, F.col("text").cast("binary").alias(BODY))
     n, blocks = _blocks(benchmark) if benchmark is not None else (1, iter([[]]))
     if n == 1:
         return _find(narrow, next(blocks), width)
-    by = [*keep, "_text"]
-    marked = narrow.select(*keep, F.xxhash64(BODY).alias("_text"), BODY)
+    digest = F.sha2(F.col(BODY), 256)
     found = None
     for block in blocks:
-        part = store(_find(marked, block, width).where(F.size("hit") > 0).drop("n_words"), "block-hits")
+        hits = _find(narrow.select(digest.alias("_digest"), BODY), block, width).where(F.size("hit") > 0)
+        part = store(hits.drop("n_words"), "block-hits")
         found = part if found is None else found.unionByName(part)
         del block  # before the next one is read
-    names = [f"_by{i}" for i in range(len(by))]
-    merged = found.groupBy(*[F.col(f"`{c}`").alias(x) for c, x in zip(by, names)]).agg(
-        F.flatten(F.collect_set("hit")).alias("_hit"), F.flatten(F.collect_set("spans")).alias("_spans"),
-        F.flatten(F.collect_set("items")).alias("_items"))
-    rows = _find(marked, [], width).drop("hit", "spans", "items")
-    same = [rows[f"`{c}`"].eqNullSafe(merged[x]) for c, x in zip(by, names)]
-    none = F.array().cast(_SPAN)
-    return rows.join(merged, same, "left").select(
-        *[rows[f"`{c}`"] for c in keep], "n_words", _merge_spans(F.coalesce("_hit", none)).alias("hit"),
-        _merge_spans(F.coalesce("_spans", none)).alias("spans"),
-        F.array_sort(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>")))).alias("items"))
+    both = F.zip_with("hit", "spans", lambda h, b: F.struct(
+        h["first"].alias("first"), h["last"].alias("last"), b["first"].alias("start"), b["last"].alias("end")))
+    merged = found.groupBy("_digest").agg(F.flatten(F.collect_set(both)).alias("_ranges"),
+                                          F.flatten(F.collect_set("items")).alias("_items"))
+    merged = merged.select("_digest", _merge_ranges(F.col("_ranges")).alias("_ranges"),
+                           F.array_sort(F.array_distinct("_items")).alias("_items"))
+    taken = narrow.select(F.struct(*keep).alias("_keep"), digest.alias("_digest"), BODY)
+    rows = _find(taken, [], width).drop("hit", "spans", "items").join(merged, "_digest", "left")
+    part = lambda a, b: F.coalesce(F.transform("_ranges", lambda r: F.struct(
+        r[a].alias("first"), r[b].alias("last"))), F.array().cast(_SPAN))
+    return rows.select(*[F.col(f"_keep.`{c}`").alias(c) for c in keep], "n_words", part("first", "last").alias("hit"),
+                       part("start", "end").alias("spans"),
+                       F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
 
 def n_hit() -> Column:

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,17 +20,17 @@ def brute(docs, items, width=10):
     """Contract, word for word: {row number: (n_words, n_hit, items)}."""
     windows = {}
     for item, text in items:
-        found = WORD.findall(lowered(text)) if item is not None else []
+        found = WORD.findall(lowered(text))
         size = min(width, len(found))
         for i in range(len(found) - size + 1 if size else 0):
-            windows.setdefault(tuple(found[i:i + size]), set()).add(str(item))
+            windows.setdefault(tuple(found[i:i + size]), set()).update([] if item is None else [str(item)])
     sizes = {len(w) for w in windows}
     out = []
     for _, text in docs:
         found, hit, names = WORD.findall(lowered(text)), set(), set()
         for size in sizes:
             for i in range(len(found) - size + 1):
-                if names_here := windows.get(tuple(found[i:i + size])):
+                if (names_here := windows.get(tuple(found[i:i + size]))) is not None:
                     hit.update(range(i, i + size))
                     names |= names_here
         out.append((len(found), len(hit), sorted(names)))
@@ -104,8 +106,36 @@ def test_query_matches_brute_force_on_the_whole_table(spark):
 def test_spans_are_cut_and_the_rest_is_untouched(spark):
     docs, items = frames(spark)
     out = {r["n"]: r for r in D.decontaminate(docs, items).collect()}
-    assert out[0]["text"] == "before  after" and out[0]["hit"] == "x"
+    assert out[0]["text"] == " after" and out[0]["hit"] == "x"
     assert out[1]["text"] is None and out[8]["text"] == DOCS[8][1]
     assert out[7]["text"] == " x  one two three"
     left = spark.createDataFrame([(r["n"], r["text"]) for r in out.values()], "doc_id long, text string")
     assert D.find_contamination(left.where("doc_id <> 9"), items).where(F.size("hit") > 0).count() == 0
+
+
+def test_columns_of_any_type_pass_through_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    docs, items = frames(spark)
+    typed = docs.withColumn("extra", F.create_map(F.lit("k"), F.col("n"))).withColumn("_digest", F.lit("own"))
+    out = {r["n"]: r for r in D.decontaminate(typed, items).collect()}
+    assert len(out) == len(DOCS) and all(r["extra"] == {"k": n} and r["_digest"] == "own" for n, r in out.items())
+    assert out[0]["text"] == " after" and out[8]["text"] == DOCS[8][1]
+
+
+def test_phrases_of_random_items_are_the_distinct_windows():
+    rng = random.Random(4)
+    for width in (1, 2, 5, 8, 10):
+        items = [(rng.choice([None, "a", "b", "c"]), " ".join(rng.choice("xyz") for _ in range(rng.randint(0, 30))).encode())
+                 for _ in range(40)]
+        want = {}
+        for name, text in items:
+            found = text.split()
+            size = min(width, len(found))
+            for i in range(len(found) - size + 1 if size else 0):
+                want.setdefault(tuple(found[i:i + size]), set()).update([] if name is None else [name])
+        made = D.Phrases(items, width)
+        word = {number: w for w, number in made.vocabulary.items()}
+        rows = [tuple(word[x] for x in row if x) for row in made.table(0, len(made.lengths)).tolist()]
+        assert [len(r) for r in rows] == made.lengths.tolist() and len(set(rows)) == len(rows)
+        assert {r: set(made.items(np.array([i]))) for i, r in enumerate(rows)} == want
+    assert len(D.Phrases([], 10).table(0, 5)) == 0
