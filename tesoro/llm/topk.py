@@ -66,6 +66,7 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 class Block:
     """Queries of a round, numbered from 0, by length."""
     ids: np.ndarray
+    own: np.ndarray  # each query's score with itself
     groups: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (query numbers, vectors)
 
 
@@ -73,9 +74,12 @@ def _blocks(queries: DataFrame) -> Iterator[Block]:
     """The query rows in blocks, a bounded number on the driver at a time."""
     def build(rows: list) -> Block:
         groups: dict[int, list[int]] = {}
+        own = np.zeros(len(rows), dtype=np.int64)
         for i, (_, v) in enumerate(rows):
             groups.setdefault(len(v), []).append(i)
-        return Block(np.array([i for i, _ in rows], dtype=np.int64),
+            vector = np.array([v], dtype=np.float64).reshape(1, len(v))
+            own[i] = scores(vector, vector)[0, 0]
+        return Block(np.array([i for i, _ in rows], dtype=np.int64), own,
                      {n: (np.array(at), np.array([rows[i][1] for i in at], dtype=np.float64).reshape(len(at), n))
                       for n, at in groups.items()})
 
@@ -98,19 +102,17 @@ def _blocks(queries: DataFrame) -> Iterator[Block]:
 def _hits(batches: Iterator[pa.RecordBatch], block: Block, lowest: np.ndarray, k: int
           ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(query numbers, candidate ids, scores)`` of a chunk of candidates that reach
-    their query's ``lowest`` score and the query's k-th score in the chunk; a query's
-    own id is no candidate."""
+    their query's ``lowest`` score and the query's k-th score in the chunk."""
     for batch in batches:
         for ids, vectors in integer_vectors(batch):
             if vectors.shape[1] not in block.groups or not len(ids):
                 continue
             numbers, queries = block.groups[vectors.shape[1]]
             found = scores(queries, vectors)
-            other = block.ids[numbers][:, None] != ids[None, :]
             least = lowest[numbers]
             if len(ids) > k:
-                least = np.maximum(least, np.partition(np.where(other, found, -_LONG - 1), -k, axis=1)[:, -k])
-            q, c = np.nonzero((found >= least[:, None]) & other)
+                least = np.maximum(least, np.partition(found, -k, axis=1)[:, -k])
+            q, c = np.nonzero(found >= least[:, None])
             yield numbers[q], ids[c], found[q, c]
 
 
@@ -187,10 +189,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k highest integer inner products of
     every row of ``queries (id, vector)`` among the rows of ``candidates``.
 
-    Vectors are scaled to whole numbers first. Candidates with the query's id are its
-    own and take no part; vectors of another length aren't comparable. Equal scores go
-    to the smaller id, then to either of rows equal in both. Repeated query rows get a
-    result each. Null ids, null vectors and vectors with null or non-finite components
+    Vectors are scaled to whole numbers first; vectors of another length aren't
+    comparable. One candidate row with the query's id and its score with itself is the
+    query's own and takes no part; other rows with that id do. Equal scores go to the
+    smaller id, then to either of rows equal in both. Repeated query rows get a result
+    each. Null ids, null vectors and vectors with null or non-finite components
     take no part; empty tables give an empty result.
     """
     spark = candidates.sparkSession
@@ -204,19 +207,25 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     for number, block in enumerate(_blocks(queries)):
         if found is not None:  # several blocks: each is written, so that plans don't pile up
             found.write.mode("append").parquet(uri)
-        shipped = spark.sparkContext.broadcast((block, _select(candidates, block, k, largest)))
+        # one more than k: a query's own row goes afterwards
+        shipped = spark.sparkContext.broadcast((block, _select(candidates, block, k + 1, largest)))
 
         def reach(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             block, lowest = shipped.value
             q = ids = s = np.zeros(0, dtype=np.int64)
-            for numbers, found, score in _hits(batches, block, lowest, k):
-                q, ids, s = _best(np.r_[q, numbers], np.r_[ids, found], np.r_[s, score], k)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(block.ids[q]), pa.array(ids), pa.array(s)],
-                                             ["q", "query_id", "vec_id", "score"])
+            for numbers, found, score in _hits(batches, block, lowest, k + 1):
+                q, ids, s = _best(np.r_[q, numbers], np.r_[ids, found], np.r_[s, score], k + 1)
+            own = (ids == block.ids[q]) & (s == block.own[q])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(block.ids[q]), pa.array(ids), pa.array(s),
+                                              pa.array(own.astype(np.int32))],
+                                             ["q", "query_id", "vec_id", "score", "own"])
 
         best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        found = (candidates.mapInArrow(reach, "q long, query_id long, vec_id long, score long")
-                 .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        met = F.sum("own").over(best.rowsBetween(Window.unboundedPreceding, 0))
+        found = (candidates.mapInArrow(reach, "q long, query_id long, vec_id long, score long, own int")
+                 .withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+                 .withColumn("met", met).where((F.col("own") == 0) | (F.col("met") > 1))
+                 .withColumn("rank", F.col("place") - F.least("met", F.lit(1)).cast("int")).where(F.col("rank") <= k)
                  .select("query_id", "rank", "vec_id", "score"))
     if found is None:
         return spark.createDataFrame([], schema)

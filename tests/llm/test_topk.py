@@ -16,9 +16,10 @@ def slow(rows, queries, k):
     """(query, rank, id, score) by Python integers over all pairs."""
     whole = [(i, [int(np.floor(K.SCALE * x)) for x in v]) for i, v in rows if i is not None and usable(v)]
     out = []
-    for i, v in whole:
+    for n, (i, v) in enumerate(whole):
         if i in queries:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i and len(v) == len(w))
+            found = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(whole)
+                           if m != n and len(v) == len(w))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found[:k])]
     return sorted(out)
 
@@ -44,6 +45,16 @@ def test_matches_all_pairs(spark, monkeypatch, k, block):
     assert sorted(map(tuple, found.collect())) == slow(rows, wanted, k)
 
 
+def test_rows_that_share_the_query_id_are_candidates(spark):
+    prepare(spark)
+    rows = [(50, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (3, [0.25, 1.0]), (50, [-1.0, 0.0]), (50, [1.0, -0.25]),
+            (7, [0.0, 0.0]), (100, [-0.5, -0.5]), (100, [-0.5, -0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for k in (1, 2, 5, 20):
+        found = K.top_k(table.where(F.col("vec_id").isin(50, 100)), table, k)
+        assert sorted(map(tuple, found.collect())) == slow(rows, {50, 100}, k)
+
+
 def test_empty_sides_and_a_single_row(spark):
     prepare(spark)
     table = spark.createDataFrame([(1, [0.5, 0.5])], "vec_id long, embedding array<float>")
