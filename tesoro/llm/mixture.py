@@ -199,11 +199,21 @@ def _taken(cut: Column) -> Column:
     return F.coalesce(F.slice(digits, 1, F.greatest(F.size(cut), F.lit(1))) <= cut, F.lit(False))
 
 
+def epoch_column(docs: DataFrame) -> str:
+    """Name of the column that ``mix`` adds: ``_epoch``, with more underscores in front as
+    long as ``docs`` has a column of that name."""
+    name, taken = "_epoch", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget_share: float = BUDGET_SHARE,
         max_epochs: int = MAX_EPOCHS, seed: int = SEED,
         domain: Callable[[], Column] = domain_of_source) -> DataFrame:
-    """The chosen rows of ``docs``, all columns, with ``_epoch`` (0, 1, ...) added: a
-    document that the mixture repeats is there once for each epoch.
+    """The chosen rows of ``docs``, all columns, with ``_epoch`` (0, 1, ...; named by
+    ``epoch_column``) added: a document that the mixture repeats is there once for each
+    epoch.
 
     A token is a white-space word. A leaf gets its budget, overshot by less than one
     document; documents without a word come with the prefix they stand in. Null
@@ -220,12 +230,13 @@ def mix(docs: DataFrame, weights: Mapping[tuple, float] = WEIGHTS, budget_share:
     return (held.join(leaves, path).withColumn("place", _place(F.col("whole"), seed))
                 .withColumn("times", times).where("times > 0")
                 .select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns],
-                        F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("_epoch")))
+                        F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias(epoch_column(docs))))
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the target mixture, one row for each epoch that takes them."""
     prepare(spark)
-    chosen = mix(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    chosen = mix(docs)
     return chosen.select("doc_id", domain_of_source().alias("domain"), "lang", "source",
-                         F.col("_epoch").alias("epoch"))
+                         F.col(epoch_column(docs)).alias("epoch"))

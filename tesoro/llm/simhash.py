@@ -134,22 +134,23 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(component, "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, one of each: the row whose
-    ``doc_id`` is the component's id; of several texts with that id, that of the smallest
-    fingerprint, then hash; of rows that agree in ``doc_id`` and text, the first in the
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, one of each: the row whose id
+    (``id_col``) is the component's id; of several texts with that id, that of the smallest
+    fingerprint, then hash; of rows that agree in id and text, the first in the
     order of the other columns. A row without an id stays only for a group in which no
     row has one."""
-    kept = (_components(docs, **options, hashed=True)
+    kept = (_components(docs, id_col=id_col, text_col=text_col, **options, hashed=True)
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("fp", "text_hash")).alias("of"))
             .select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("doc_id").isNull().alias("_none"),
                     F.col("of.text_hash").alias("_text")))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("text").alias("_text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_key"),
-                       F.col("doc_id").isNull().alias("_none"))
+    key = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                       F.xxhash64(F.col(f"`{text_col}`")).alias("_text"), F.coalesce(key, F.lit(-1)).alias("_key"),
+                       key.isNull().alias("_none"))
     first = Window.partitionBy("_key", "_none", "_text").orderBy(
-        *[F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind],
+        *[F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if c not in (id_col, text_col) and "map" not in kind],
         F.lit(0))
     return (rows.join(kept, ["_key", "_none", "_text"], "left_semi")
                 .withColumn("_n", F.row_number().over(first)).where("_n = 1")

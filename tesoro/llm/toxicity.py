@@ -111,7 +111,7 @@ def _sample(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int) -
                     .groupBy("doc_id").agg(F.max("grade").alias("grade")))
     counts = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled rows to fit on")
+        return docs.select(F.lit(0).alias("grade"), F.lit(1.0).alias("share"), "text").where(F.lit(False))
     fraction = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, per_grade / n))])
     place = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
     taken = (graded.withColumn("fraction", fraction[F.col("grade")]).where(place < F.col("fraction"))
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMP
     one grade only, every document gets it.
 
     Null texts count as empty; labels without a document and null grades are ignored;
-    no usable label raises ValueError.
+    without a usable label the model has no grades and ``score`` gives nulls.
     """
     spark = docs.sparkSession
     uri = shared_uri(spark, "toxicity-sample")
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMP
     sample = spark.read.parquet(uri)
     totals = {r["grade"]: r["s"] for r in sample.groupBy("grade").agg(F.sum("share").alias("s")).collect()}
     if not totals:
-        raise ValueError("no labelled row has a document")
+        return OrdinalModel([], np.zeros(0), {})
     grades = sorted(totals)
     if len(grades) == 1:
         return OrdinalModel(grades, np.zeros(0), {})
@@ -192,7 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMP
 def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, ``severity`` (expected grade), ``p_toxic`` (probability of
     a grade above the lowest) and ``grade`` (the most probable) of every row. Null
-    texts count as empty; repeated rows are scored each."""
+    texts count as empty; repeated rows are scored each. A model without grades gives
+    nulls."""
+    if not model.grades:
+        return docs.select(*keep, *[F.lit(None).cast(kind).alias(c) for c, kind in (
+            ("severity", "double"), ("p_toxic", "double"), ("grade", "int"))])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +227,11 @@ def label_grade() -> Column:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
     """``docs`` without the documents whose probability of a grade above the lowest
-    is ``reject_at`` or more. All columns pass through, whatever their names."""
+    is ``reject_at`` or more; without a usable label all stay. All columns pass through,
+    whatever their names."""
     model = fit(docs, labels, label_grade())
     scored = score(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), model, keep=("_doc",))
-    return scored.where(F.col("p_toxic") < reject_at).select(
+    return scored.where(F.col("p_toxic").isNull() | (F.col("p_toxic") < reject_at)).select(
         *[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
