@@ -92,8 +92,8 @@ class Phrases:
             starts.append(at[first])
             lengths.append(np.full(len(first), size, dtype=np.int64))
             owner = np.repeat(item[of], windows)
-            pairs = (total + which) * (len(self.names) + 1) + owner
-            owned.append(np.unique(pairs[owner >= 0]))
+            pairs = np.sort(((total + which) * (len(self.names) + 1) + owner)[owner >= 0])
+            owned.append(pairs[np.diff(pairs, prepend=-1) != 0])
             total += len(first)
         empty = np.zeros(0, dtype=np.int64)
         self.starts = np.concatenate([empty, *starts])
