@@ -38,6 +38,8 @@ JOINED_WORDS = 500
 CACHE_BYTES = 64 * 1024 * 1024
 # Chunks of up to so many bytes are hashed and compared eight bytes at a time, all at once.
 WORDWISE_BYTES = 64
+# Bits of a chunk's hash that number the slots of a worker's memory.
+SLOT_BITS = 21
 
 # ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
 _CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -55,6 +57,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
@@ -81,6 +84,10 @@ class _Chunks:
     def __getitem__(self, i: int) -> bytes:
         return self.text[self.first[i]:self.first[i] + self.sizes[i]]
 
+    def pick(self, at: np.ndarray) -> list[bytes]:
+        first = self.first[at]
+        return [self.text[a:b] for a, b in zip(first.tolist(), (first + self.sizes[at]).tolist())]
+
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the chunks, from their length and eight bytes at a time."""
         out = self.sizes.astype(np.uint64)
@@ -105,11 +112,12 @@ class _Memory:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.entries = np.zeros(0, dtype=np.int64)
         self.text = np.zeros(8, dtype=np.uint8)  # eight bytes follow the last chunk
-        self.text_starts = np.zeros(0, dtype=np.int64)
-        self.text_sizes = np.zeros(0, dtype=np.int64)
+        self.slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        self.text_starts = np.zeros(1, dtype=np.int64)
+        self.text_sizes = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=kind)
-        self.id_starts = np.zeros(0, dtype=np.int64)
-        self.id_sizes = np.zeros(0, dtype=np.int64)
+        self.id_starts = np.zeros(1, dtype=np.int64)
+        self.id_sizes = np.zeros(1, dtype=np.int64)
         self.clashes: dict[bytes, int] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -119,22 +127,26 @@ class _Memory:
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[place] == hashes, self.entries[place], -1)
 
-    def differ(self, entries: np.ndarray, chunks: _Chunks) -> np.ndarray:
-        """Numbers of the chunks whose bytes are not those of their entries."""
-        other = self.text_sizes[entries] != chunks.sizes
-        starts, eights = self.text_starts[entries], _by_eights(self.text)
-        at = np.flatnonzero(~other)
+    def differ(self, entries: np.ndarray, chunks: _Chunks, among: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks ``among`` whose bytes are not those of their entries."""
+        eights, other = _by_eights(self.text), []
+
+        def keep(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
+            other.append(at[~equal])
+            return at[equal]
+        at = keep(among, self.text_sizes[entries[among]] == chunks.sizes[among])
         for k in range(WORDWISE_BYTES // 8):
             at = at[chunks.sizes[at] > 8 * k]
             if not len(at):
                 break
             sizes = chunks.sizes[at]
-            equal = (_eight(eights, starts[at], sizes, k) == _eight(chunks.eights, chunks.first[at], sizes, k))
-            other[at[~equal]] = True
-            at = at[equal]
-        for i in at[chunks.sizes[at] > WORDWISE_BYTES].tolist():
-            other[i] = self.text[starts[i]:starts[i] + chunks.sizes[i]].tobytes() != chunks[i]
-        return np.flatnonzero(other)
+            at = keep(at, _eight(eights, self.text_starts[entries[at]], sizes, k)
+                      == _eight(chunks.eights, chunks.first[at], sizes, k))
+        at = at[chunks.sizes[at] > WORDWISE_BYTES]
+        starts = self.text_starts[entries[at]].tolist()
+        keep(at, np.array([self.text[a:a + chunks.sizes[i]].tobytes() == chunks[i] for i, a in zip(at.tolist(), starts)],
+                          dtype=bool))
+        return np.concatenate(other)
 
     def add(self, chunks: list[bytes], sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray | None = None) -> int:
         """Remember distinct chunks, whose ids follow each other, by hashes that are new
@@ -152,6 +164,7 @@ class _Memory:
             at = np.searchsorted(self.hashes, hashes[order])
             self.hashes = np.insert(self.hashes, at, hashes[order])
             self.entries = np.insert(self.entries, at, entry + order)
+            self.slots[hashes >> _SLOT_SHIFT] = np.arange(entry, entry + len(hashes))
         return entry
 
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +226,17 @@ class WordTokenizer:
 
     def _entries(self, chunks: _Chunks, learn: Callable[[list[bytes], np.ndarray], None]) -> np.ndarray:
         """Memory entry of each chunk; ``learn`` adds distinct chunks of new hashes."""
-        unique, sample, which = np.unique(chunks.hashes(), return_index=True, return_inverse=True)
+        hashes = chunks.hashes()
+        entries = self.memory.slots[hashes >> _SLOT_SHIFT].astype(np.int64)
+        rest = self.memory.differ(entries, chunks, np.arange(len(entries)))
+        if not len(rest):
+            return entries
+        unique, sample, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
         new = self.memory.find(unique) < 0
         if new.any():
-            learn([chunks[i] for i in sample[new].tolist()], unique[new])
-        entries = self.memory.find(unique)[which]
-        for i in self.memory.differ(entries, chunks).tolist():
+            learn(chunks.pick(rest[sample[new]]), unique[new])
+        entries[rest] = self.memory.find(unique)[which]
+        for i in self.memory.differ(entries, chunks, rest).tolist():
             chunk = chunks[i]
             if chunk not in self.memory.clashes:
                 ids = self._whole([chunk])[0]
