@@ -114,3 +114,14 @@ def test_query_takes_whole_rows_of_the_table(spark):
     ids = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert found.join(ids, "doc_id", "left_anti").count() == 0
     assert 0 < found.where(F.col("epoch") == 0).count() <= ids.count()
+
+
+def test_a_column_named_like_the_epochs(spark):
+    prepare(spark)
+    docs = documents(spark)
+    named = docs.withColumn("_epoch", F.lit("own")).withColumn("__Epoch", F.lit("own too"))
+    found = X.mix(named)
+    assert found.columns == [*named.columns, "___epoch"] and X.epoch_column(docs) == "_epoch"
+    assert found.where("_epoch <> 'own' OR __Epoch <> 'own too'").count() == 0
+    assert found.count() == X.mix(docs).count()
+    assert X.mix(named, max_epochs=1).select(*named.columns).columns == named.columns

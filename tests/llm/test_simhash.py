@@ -84,6 +84,22 @@ def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
         assert (7, "another text of the same id", 1) in kept and all(n < 2 for *_, n in kept)
 
 
+def test_other_column_names(spark):
+    prepare(spark)
+    rows = [(2, "b c d e", 0), (1, "B c d e", 1), (3, "one two three four", 2)]
+    docs = spark.createDataFrame(rows, "`my id` long, body string, n int")
+    kept = S.drop_near_duplicates(docs, id_col="my id", text_col="body")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[1:]
+
+
+def test_query_matches_the_contract_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    prepare(spark)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted((i, slow_fingerprint(t), c) for (i, t), c in zip(rows, slow_components(rows)))
+    assert sorted(tuple(r)[:3] for r in S.op2_simhash_near_dedup(spark, sf).collect()) == want
+
+
 @pytest.mark.parametrize("distance", [0, 2, 4])
 def test_links_connect_what_all_pairs_connect(spark, distance):
     prepare(spark)

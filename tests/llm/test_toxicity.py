@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,8 +77,30 @@ def test_one_grade_and_no_labels(spark):
     docs, labels = tables(spark)
     only = X.fit(docs, labels.where("toxic = 0"), X.label_grade())
     assert only.grades == [0] and X.score(docs, only).agg(F.max("p_toxic")).first()[0] == 0.0
-    with pytest.raises(ValueError):
-        X.fit(docs, labels.limit(0), X.label_grade())
+    for none in (labels.limit(0), labels.where("doc_id = 5000"), labels.where("toxic IS NULL")):
+        found = X.score(docs, X.fit(docs, none, X.label_grade()), keep=("doc_id", "text"))
+        assert found.count() == docs.count()
+        assert found.where("severity IS NOT NULL OR p_toxic IS NOT NULL OR grade IS NOT NULL").count() == 0
+        assert sorted(map(str, X.drop_toxic(docs, none).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_query_scores_by_the_formula(spark):
+    """Every document of the given table, by words, weights and thresholds one by one."""
+    sf = "/root/testdata/sf0.01"
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = X.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), X.label_grade())
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        lowered = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r["text"] or "").encode())
+        total = sum(model.weights.get(w, 0.0) for w in set(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)))
+        above = [1.0, *(1 / (1 + math.exp(t - total)) for t in model.thresholds), 0.0]
+        want[r["doc_id"]] = (sum(g * (above[k] - above[k + 1]) for k, g in enumerate(model.grades)), above[1])
+    got = {r["doc_id"]: r for r in X.op4_toxicity(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, (severity, p_toxic) in want.items():
+        assert got[i]["severity"] == pytest.approx(severity, abs=1e-6) and got[i]["p_toxic"] == pytest.approx(p_toxic, abs=1e-6)
+        assert got[i]["toxic"] == (got[i]["p_toxic"] >= 0.5)
 
 
 def test_held_out_labels_of_the_given_tables(spark):
