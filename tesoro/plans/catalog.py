@@ -428,6 +428,12 @@ def s1_feed_transactions(spark, sf_dir):
     return feed_load(spark, sf_dir, "transactions")["core_transaction"].drop("created_at", "confidence_score")
 
 
+def s1_split_feed(spark, sf_dir):
+    """Invoices from JSON-array files that are read by ranges, each record by itself."""
+    records = feed.read_feed(spark, dt.invoice_arrays(spark, sf_dir), "transactions", FEED_BATCH, split=True)
+    return feed.typed_transactions(records).drop("_source_file", "_pos")
+
+
 def s4_feed_cashflow(spark, sf_dir):
     """JSON cash-flow records to Bronze."""
     return feed_load(spark, sf_dir, "cashflow")["core_cashflowevent"]
@@ -483,6 +489,7 @@ QUERIES = {
     "s9_one_entity": s9_one_entity,
     "s10_one_entity": s10_one_entity,
     "s1_feed_transactions": s1_feed_transactions,
+    "s1_split_feed": s1_split_feed,
     "s4_feed_cashflow": s4_feed_cashflow,
     "s5_feed_inventory": s5_feed_inventory,
     "s7_load_counts": s7_load_counts,

@@ -474,6 +474,15 @@ FROM stg_transactions t JOIN lineitem ON t.transaction_id = concat_ws('-',
      lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
      lpad(CAST(l_partkey AS VARCHAR), 12, '0'), lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0'))"""
 
+ORACLE["s1_split_feed"] = """
+SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 4, '0'),
+                 lpad(CAST(l_partkey AS VARCHAR), 12, '0'),
+                 lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 14, '0')) AS source_doc_ref,
+       'S' || lpad(CAST(l_suppkey AS VARCHAR), 11, '0') AS entity_rfc, CAST(l_shipdate AS DATE) AS date,
+       CAST(l_quantity AS DECIMAL(14,2)) AS amount, l_returnflag AS category_name,
+       'line ' || CAST(l_linenumber AS VARCHAR) AS description
+FROM lineitem, range(2)"""
+
 ORACLE["s4_feed_cashflow"] = f"""
 SELECT sha256('cashflow|tables|' || CAST(o_orderkey AS VARCHAR) || '|0') AS id, {_CUSTOMER} AS entity_id,
        CAST(o_orderdate AS DATE) AS date,

@@ -14,10 +14,15 @@ the scan (``ReadSchema``) and pushes filters through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from uuid import uuid4
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro.functions.columns import UNIT_COST, money
+from tesoro.session import ensure_checkpoint_dir
 
 # Fixed values of the mapping: which order priorities count as inflows,
 # which order status counts as projected, which part sizes have a category.
@@ -145,6 +150,25 @@ def _over_all_cores(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a task as the lines of one JSON array."""
+    begun = False
+    for batch in batches:
+        lines = [f"{',' if begun or i else '['}{r}" for i, r in enumerate(batch.column(0).to_pylist())]
+        begun = begun or bool(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], ["value"])
+
+
+def invoice_arrays(spark: SparkSession, sf_dir: str) -> str:
+    """``lineitem`` as JSON-array files of many invoices each, written to the shared folder: its path."""
+    files = feed_files(spark, sf_dir)["transactions"]
+    records = files.select(F.expr("substring(value, 2, length(value) - 2)").alias("value"))  # both copies, without brackets
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/invoices-{uuid4().hex}"
+    records.mapInArrow(_as_arrays, "value string").write.text(path)
+    return path
+
+
 def feed_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The whole tables as JSON feed files ``(_source_file, value)`` by kind: one file for
     each line item (an invoice that is there twice, and an inventory snapshot) and for

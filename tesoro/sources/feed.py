@@ -2,7 +2,8 @@
 dimensions, S3-S5 Bronze appends and S7 load counts.
 
 Feed files are JSON arrays of objects. Each file is read whole (like
-``multiLine``), parsed with an explicit schema and exploded with its position.
+``multiLine``), parsed with an explicit schema and exploded with its position; very large
+files can be read by ranges instead.
 Nothing is inferred and nothing passes through the driver.
 
 Loads are idempotent by default and lose nothing: a transaction is known by its uuid, a
@@ -23,6 +24,7 @@ from tesoro import schemas
 from tesoro.functions.columns import deterministic_id
 from tesoro.functions.joins import bounded_broadcast
 from tesoro.functions.storage import stored
+from tesoro.sources.json_array import read_array
 
 FEED_SCHEMAS = {
     "transactions": schemas.RAW_TRANSACTION,
@@ -53,12 +55,16 @@ def parse_feed_files(files: DataFrame, kind: str, batch_id: str | None = None) -
     return parsed.select("_source_file", "_pos", "batch_id", "r.*")
 
 
-def read_feed(spark: SparkSession, path: str, kind: str, batch_id: str | None = None) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, kind: str, batch_id: str | None = None, split: bool = False) -> DataFrame:
     """Records of one feed kind with ``_source_file``, ``_pos`` and ``batch_id``.
 
-    ``path`` may be a file, a directory or a glob; each file is one task, and its text
-    and records must fit in that task's memory.
+    ``path`` may be a file, a directory or a glob. Each file is one task, and its text
+    and records must fit in that task's memory; with ``split`` a file is read by many tasks
+    (``json_array.read_array``), where a record that does not parse is a reject of its own.
+    The two name a file's content differently: name the batch, or stay with one of them.
     """
+    if split:
+        return read_array(spark, path, FEED_SCHEMAS[kind], batch_id)
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_source_file"), "value")
     return parse_feed_files(files, kind, batch_id)
@@ -163,11 +169,11 @@ def _new_batches(existing: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
 
 
 def load_feed(spark: SparkSession, feed_dir: str, bronze: dict, load_ts,
-              mode: str = "idempotent", batch_id: str | None = None) -> tuple[dict, dict]:
+              mode: str = "idempotent", batch_id: str | None = None, split: bool = False) -> tuple[dict, dict]:
     """S3-S6 + J2: load transactions.json, cashflow.json and inventory.json of
-    ``feed_dir``. See :func:`load_records`."""
+    ``feed_dir``, by ranges of the files if ``split``. See :func:`load_records`."""
     feed_dir = feed_dir.rstrip("/")
-    return load_records(spark, *(read_feed(spark, f"{feed_dir}/{kind}.json", kind, batch_id) for kind in FEED_SCHEMAS),
+    return load_records(spark, *(read_feed(spark, f"{feed_dir}/{kind}.json", kind, batch_id, split) for kind in FEED_SCHEMAS),
                         bronze, load_ts, mode)
 
 
