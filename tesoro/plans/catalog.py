@@ -7,12 +7,16 @@ oracle in ``plans.oracle``.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro import schemas
 from tesoro.operators import anomaly, forecast, marts, quality, review, similar, staging, tax
 from tesoro.plans import tax_cycle
+from tesoro.plans.rule_store import RuleStore, VersionConflict
+from tesoro.session import ensure_checkpoint_dir
 from tesoro.sources import driver_tables as dt
 from tesoro.sources import feed
 
@@ -273,6 +277,26 @@ def t5_publish(spark, sf_dir):
     return _tax_columns(out, "o_orderkey")
 
 
+def t5_atomic_switch(spark, sf_dir):
+    """The rules of ``t5_publish`` as stored versions: a draft, a publish, and one
+    from the version before, which loses; orders taxed with the latest version."""
+    store = RuleStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rules-{uuid4().hex}")
+    store.swap(0, *tax_cycle.example_rule_history(spark))
+    jurisdiction, eff, _, _, ref = T5_DRAFT
+    created = tax_cycle.day_start(T5_CREATED)
+    sid = store.add_draft(tax_cycle._history_spec(*T5_DRAFT), created, tax_cycle.example_set_id(jurisdiction, eff, ref))
+    seen = store.version()
+    store.publish(sid, "api_user", created)
+    try:
+        store.publish(sid, "late", created, seen=seen)
+    except VersionConflict:
+        pass
+    else:
+        raise AssertionError("two publishes from one version")
+    amounts = dt.order_tax_amounts(spark, sf_dir).withColumn("tax_type", F.lit("IVA"))
+    return _tax_columns(tax.calculate_tax(amounts, *store.load(), as_of="as_of_date", statuses=HISTORY_STATUSES), "o_orderkey")
+
+
 def t8_approved_publish(spark, sf_dir):
     """Seed, monthly IVA-only draft, approval, publish; then tax every
     order as of the following month (ISR now has no rule, trap 7)."""
@@ -504,6 +528,7 @@ QUERIES = {
     "x11_rules_from_json": x11_rules_from_json,
     "t3_calculate_tax": t3_calculate_tax,
     "t5_publish": t5_publish,
+    "t5_atomic_switch": t5_atomic_switch,
     "t8_approved_publish": t8_approved_publish,
     "d1_unique": d1_unique,
     "d2_not_null": d2_not_null,

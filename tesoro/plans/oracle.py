@@ -281,6 +281,7 @@ FROM matched"""
     out["t1_iva"] = "WITH " + sets() + "," + matched("'MX'") + iva
     out["t5_publish"] = ("WITH " + sets([("MX", "1999-01-01", "0.10", 90, "retroactive")]) + ","
                          + matched("'MX'") + iva)
+    out["t5_atomic_switch"] = out["t5_publish"]
     out["j3_asof_rule_set"] = "WITH " + sets() + "," + matched(by_customer) + """
 SELECT o_orderkey, jur AS jurisdiction, as_of_date, rule_set_id, rule_set_effective_date FROM matched"""
     out["t2_isr"] = "WITH " + sets() + "," + matched("'MX'") + "," + isr("matched", "o_orderkey") + """
