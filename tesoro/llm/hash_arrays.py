@@ -29,6 +29,20 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in 32 bits each, or in 64 where one needs them."""
+    return counts.astype("<u4" if not counts.size or int(counts.max()) < 1 << 32 else "<u8").tobytes()
+
+
+def width(size: int, n: int) -> str:
+    """The kind of ``n`` packed counts of ``size`` bytes."""
+    return "<u8" if n and size == 8 * n else "<u4"
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, width(len(data), n)).astype(np.int64)
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and how often each is there."""
     keys = np.sort(keys)
@@ -67,7 +81,7 @@ class Held:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(part[a])], pa.int32()), pa.array([keys[a:b][one].tobytes()], pa.binary()),
                  pa.array([keys[a:b][~one].tobytes()], pa.binary()),
-                 pa.array([counts[a:b][~one].astype("<u4").tobytes()], pa.binary())],
+                 pa.array([packed(counts[a:b][~one])], pa.binary())],
                 ["part", "once", "more", "counts"])
 
 
@@ -78,7 +92,7 @@ def unblock(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The merged counts of a part's blocks."""
     once = [np.frombuffer(x, "<u8") for x in table["once"].to_pylist()]
     more = [np.frombuffer(x, "<u8") for x in table["more"].to_pylist()]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()]
+    counts = [unpacked(x, len(keys)) for x, keys in zip(table["counts"].to_pylist(), more)]
     return merged(once + more, [np.ones(len(x), np.int64) for x in once] + counts)
 
 

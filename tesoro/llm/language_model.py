@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesoro.llm.hash_arrays import BLOCK, Held, bits_for, counted, top_part, unblock
-from tesoro.llm.common import BODY, map_file, mounted_path, prepare, read, shared_uri, steps, values, write_file
+from tesoro.llm.hash_arrays import BLOCK, Held, bits_for, counted, packed, top_part, unblock, unpacked, width
+from tesoro.llm.common import BODY, MapCache, mounted_path, prepare, read, shared_uri, steps, values, write_file
 
 # Hash of the end token: no word holds a space.
 END = xxhash.xxh64_intdigest(b" ")
@@ -37,6 +37,8 @@ VOCABULARY_PART_BYTES = 32 << 20
 PAIR_PART_TOKENS = 4_000_000
 # Numbers of one part of the per-token tables.
 NUMBERS_PER_PART = 1 << 18
+# Model files that a worker keeps mapped (a process may hold some 65 000 maps).
+OPEN_FILES = 32_768
 UNKNOWN = -1
 
 
@@ -68,7 +70,7 @@ def _discounts(of_counts: np.ndarray) -> tuple[float, float, float]:
 @dataclass
 class BigramModel:
     """What a worker needs to map the model's files: ``folder`` holds ``token-P`` (sorted
-    hashes) and ``count-P``, ``pair-P`` (sorted keys) and ``pairs-P`` (counts), and by
+    hashes) and ``count-P``, ``pair-P`` (sorted keys) and ``pairs-P`` (packed counts), and by
     ranges of numbers ``table-P`` with rows c(u .), N1, N2, N3+(u .), N(. w)."""
     folder: str
     vocabulary_bits: int
@@ -86,10 +88,8 @@ class BigramModel:
         return int(self.offsets[-1])
 
     def _map(self, name: str, kind: str) -> np.ndarray:
-        open_ = self.__dict__.setdefault("_open", {})
-        if name not in open_:
-            open_[name] = map_file(os.path.join(self.folder, name), kind)
-        return open_[name]
+        open_ = self.__dict__.setdefault("_open", MapCache("u1", OPEN_FILES))
+        return open_[os.path.join(self.folder, name)].view(kind)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_open"}
@@ -110,9 +110,9 @@ class BigramModel:
         """Training counts of sorted numbers of known tokens."""
         out = np.zeros(len(numbers), dtype=np.int64)
         edges = np.searchsorted(numbers, self.offsets)
-        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b > a:
-                out[a:b] = self._map(f"count-{p}", "<u8")[numbers[a:b] - self.offsets[p]]
+        for p in np.flatnonzero(np.diff(edges)):
+            at = slice(edges[p], edges[p + 1])
+            out[at] = self._map(f"count-{p}", "<u8")[numbers[at] - self.offsets[p]]
         return out
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -121,12 +121,14 @@ class BigramModel:
         part = _pair_part(self.pair_parts)(keys)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(self.pair_parts + 1))
-        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        for p in np.flatnonzero(np.diff(edges)):
+            rows = order[edges[p]:edges[p + 1]]
             held = self._map(f"pair-{p}", "<u8")
-            if b > a and len(held):
-                rows = order[a:b]
+            if len(held):
                 found = np.minimum(np.searchsorted(held, keys[rows]), len(held) - 1)
-                out[rows] = np.where(held[found] == keys[rows], self._map(f"pairs-{p}", "<u4")[found], 0)
+                times = self._map(f"pairs-{p}", "u1")
+                times = times.view(width(len(times), len(held)))
+                out[rows] = np.where(held[found] == keys[rows], times[found], 0)
         return out
 
     def table(self, numbers: np.ndarray) -> np.ndarray:
@@ -207,7 +209,7 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
                          "n": pa.array([int(counts.sum())], pa.int64())})
 
     # one row for each part of the vocabulary
-    found = (texts.mapInArrow(count_tokens, BLOCK).groupBy("part")
+    found = (texts.mapInArrow(count_tokens, BLOCK).repartition(1 << bits, "part").groupBy("part")
                   .applyInArrow(write_tokens, "part int, size long, n long").collect())
     sizes = np.zeros(1 << bits, dtype=np.int64)
     for r in found:
@@ -235,7 +237,7 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
         part = table["part"][0].as_py()
         keys, counts = unblock(table)
         write_file(f"{target}/pair-{part}", keys.astype("<u8").tobytes())
-        write_file(f"{target}/pairs-{part}", counts.astype("<u4").tobytes())
+        write_file(f"{target}/pairs-{part}", packed(counts))
         context = (keys >> np.uint64(32)).astype(np.int64)
         number = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         kind = np.minimum(counts, 3)
@@ -247,8 +249,8 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
             a, b = np.searchsorted(context[first], [p * NUMBERS_PER_PART, (p + 1) * NUMBERS_PER_PART])
             c, d = np.searchsorted(word, [p * NUMBERS_PER_PART, (p + 1) * NUMBERS_PER_PART])
             rows.append((int(p), (context[first][a:b] - p * NUMBERS_PER_PART).astype("<u4").tobytes(),
-                         np.array([x[a:b] for x in columns]).astype("<u4").tobytes(),
-                         (word[c:d] - p * NUMBERS_PER_PART).astype("<u4").tobytes(), times[c:d].astype("<u4").tobytes(),
+                         packed(np.array([x[a:b] for x in columns])),
+                         (word[c:d] - p * NUMBERS_PER_PART).astype("<u4").tobytes(), packed(times[c:d]),
                          [0] * 4 if rows else [int((counts == k).sum()) for k in (1, 2, 3, 4)]))
         names = ["part", "context", "sums", "word", "times", "seen"]
         kinds = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
@@ -261,8 +263,9 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
         seen = np.zeros(4, dtype=np.int64)
         for r in table.to_pylist():
             at = np.frombuffer(r["context"], "<u4")
-            out[:4, at] += np.frombuffer(r["sums"], "<u4").reshape(4, -1)
-            out[4, np.frombuffer(r["word"], "<u4")] += np.frombuffer(r["times"], "<u4")
+            out[:4, at] += unpacked(r["sums"], 4 * len(at)).reshape(4, -1)
+            word = np.frombuffer(r["word"], "<u4")
+            out[4, word] += unpacked(r["times"], len(word))
             seen += r["seen"]
         write_file(f"{target}/table-{part}", out.astype("<u8").tobytes())
         n = out[4]
@@ -271,9 +274,10 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
                          "over": pa.array([int((n >= 3).sum())], pa.int64()), "all": pa.array([int(n.sum())], pa.int64())})
 
     # one row for each range of numbers
-    tables = (texts.mapInArrow(count_pairs, BLOCK).groupBy("part")
+    # a task merges about one part, however many there are
+    tables = (texts.mapInArrow(count_pairs, BLOCK).repartition(model.pair_parts, "part").groupBy("part")
                    .applyInArrow(write_pairs, "part int, context binary, sums binary, word binary, times binary, seen array<long>")
-                   .groupBy("part").applyInArrow(write_table, "seen array<long>, again array<long>, over long, all long")
+                   .repartition(1 + model.size // NUMBERS_PER_PART, "part").groupBy("part").applyInArrow(write_table, "seen array<long>, again array<long>, over long, all long")
                    .collect())
     shipped.unpersist()
     model.pair_of_counts = sum((np.array(r["seen"]) for r in tables), np.zeros(4, np.int64))

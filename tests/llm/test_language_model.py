@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesoro.llm import hash_arrays as A
 from tesoro.llm import language_model as M
-from tesoro.llm.common import prepare, shared_uri
+from tesoro.llm.common import prepare, shared_uri, write_file
 
 
 def tokens(text):
@@ -136,3 +137,35 @@ def test_query_on_the_whole_table(spark):
         assert r["base_score"] == pytest.approx(sum(math.log10((slow.count[t] + 1) / (slow.n + slow.v + 1)) for t in ts))
     unseen = [r for i, r in found.items() if held[i]]
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)  # better than the base on unseen text
+
+
+def test_counts_of_64_bits_are_kept():
+    many = np.array([3, 1 << 32, 5 << 40], dtype=np.int64)
+    assert [len(A.packed(x)) for x in (many, many[:1], many[:0])] == [24, 4, 0]
+    for counts in (many, many[:1], many[:0], many[1:2], np.array([2, (1 << 32) - 1])):
+        assert A.unpacked(A.packed(counts), len(counts)).tolist() == counts.tolist()
+    held = A.Held(A.top_part(0))
+    keys = np.array([1, 2, 3, 4], dtype=np.uint64)
+    blocks = [*held.put(keys[:3], many), *held.put(keys, np.array([1, 1, 1, 1])), *held.flush()]
+    blocks += [*held.put(keys, np.array([1, 2, 1, 1])), *held.flush()]
+    found = A.unblock(pa.Table.from_batches(blocks))
+    assert [x.tolist() for x in found] == [[1, 2, 3, 4], [5, (1 << 32) + 3, (5 << 40) + 2, 2]]
+
+
+def test_pair_counts_of_both_widths_and_of_more_files_than_a_process_may_map(tmp_path):
+    parts = 70_000
+    model = M.BigramModel(str(tmp_path), 0, np.array([0, 9]), 10, pair_parts=parts)
+    keys = np.arange(1, 2001, dtype=np.uint64)
+    part = M._pair_part(parts)(keys)
+    want = np.where(keys % 2 == 0, keys << np.uint64(33), keys).astype(np.int64)
+    for p in np.unique(part):
+        at = part == p
+        write_file(str(tmp_path / f"pair-{p}"), keys[at].astype("<u8").tobytes())
+        write_file(str(tmp_path / f"pairs-{p}"), A.packed(want[at]))
+    assert model.pair_counts(keys).tolist() == want.tolist()
+    one = tmp_path / "one"
+    one.write_bytes(np.arange(4, dtype="<u8").tobytes())
+    for i in range(parts):
+        (tmp_path / f"link-{i}").symlink_to(one)
+        assert model._map(f"link-{i}", "<u8")[3] == 3
+    assert model.pair_counts(keys).tolist() == want.tolist()
