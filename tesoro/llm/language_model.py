@@ -209,7 +209,7 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
                          "n": pa.array([int(counts.sum())], pa.int64())})
 
     # one row for each part of the vocabulary
-    found = (texts.mapInArrow(count_tokens, BLOCK).repartition(1 << bits, "part").groupBy("part")
+    found = (texts.mapInArrow(count_tokens, BLOCK).repartitionById(1 << bits, F.col("part")).groupBy("part")
                   .applyInArrow(write_tokens, "part int, size long, n long").collect())
     sizes = np.zeros(1 << bits, dtype=np.int64)
     for r in found:
@@ -274,10 +274,10 @@ def train(docs: DataFrame, folder: str) -> BigramModel:
                          "over": pa.array([int((n >= 3).sum())], pa.int64()), "all": pa.array([int(n.sum())], pa.int64())})
 
     # one row for each range of numbers
-    # a task merges about one part, however many there are
-    tables = (texts.mapInArrow(count_pairs, BLOCK).repartition(model.pair_parts, "part").groupBy("part")
+    # a task merges one part, however many there are
+    tables = (texts.mapInArrow(count_pairs, BLOCK).repartitionById(model.pair_parts, F.col("part")).groupBy("part")
                    .applyInArrow(write_pairs, "part int, context binary, sums binary, word binary, times binary, seen array<long>")
-                   .repartition(1 + model.size // NUMBERS_PER_PART, "part").groupBy("part").applyInArrow(write_table, "seen array<long>, again array<long>, over long, all long")
+                   .repartitionById(1 + model.size // NUMBERS_PER_PART, F.col("part")).groupBy("part").applyInArrow(write_table, "seen array<long>, again array<long>, over long, all long")
                    .collect())
     shipped.unpersist()
     model.pair_of_counts = sum((np.array(r["seen"]) for r in tables), np.zeros(4, np.int64))
