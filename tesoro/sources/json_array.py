@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +32,13 @@ from tesoro.functions.storage import stored
 # Ranges of one reading: 25 TB of the default 128 MB.
 MAX_RANGES = 200_000
 
-_QUOTE, _ESCAPE, _OPEN = ord('"'), ord("\\"), ord("[")
+_QUOTE, _ESCAPE, _OPEN, _CLOSE, _SPACE = b'"\\[} '
 # What a byte outside texts does to the depth; NONE: nothing.
 _NONE = 9
-_STEP = np.full(256, _NONE, dtype=np.int64)
+_STEP = np.full(256, _NONE, dtype=np.int8)
 for _bytes, _change in ((b"[{", 1), (b"]}", -1), (b",", 0)):
     _STEP[list(_bytes)] = _change
+_IS_STEP = _STEP != _NONE
 # A file's content is a polynomial over its pieces' hashes, so that it is the same for any ranges.
 _PRIME, _BASE = 2 ** 255 - 19, 0x9E3779B97F4A7C15F39CC0605CEDC835
 
@@ -44,34 +46,46 @@ _RANGE = "file string, start long, length long"
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text between two ``}``, in order within a range."""
+    """The text up to each ``}``, in order within a range; the last piece of a file gets a
+    ``}`` that the file has not."""
     meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"),
                                                           ("file_block_length", "length"))]
-    return spark.read.option("lineSep", "}").text(path).select(*meta, F.col("value").cast("binary").alias("value"))
+    return spark.read.option("lineSep", "}").text(path).select(
+        *meta, F.concat("value", F.lit("}")).cast("binary").alias("value"))
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes]]]:
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array]]:
     """``(range, pieces)`` of consecutive rows of one range; a range may come in several."""
     for batch in batches:
-        files, starts, lengths, pieces = (c.to_pylist() for c in batch.columns)
-        ranges = list(zip(files, starts, lengths))
-        first = 0
-        for i in range(1, len(ranges) + 1):
-            if i == len(ranges) or ranges[i] != ranges[first]:
-                yield ranges[first], pieces[first:i]
-                first = i
-
-
-def _closing_quotes(data: np.ndarray) -> np.ndarray:
-    """Places of the quotes that no odd run of backslashes precedes."""
-    quotes = np.flatnonzero(data == _QUOTE)
-    after = quotes[(quotes > 0) & (data[quotes - 1] == _ESCAPE)]
-    if not len(after):
-        return quotes
-    slashes = np.flatnonzero(data == _ESCAPE)
-    first = slashes[np.r_[True, np.diff(slashes) > 1]]
-    run = after - first[np.searchsorted(first, after) - 1]
-    return np.setdiff1d(quotes, after[run % 2 == 1], assume_unique=True)
+        if not batch.num_rows:
+            continue
+        files, starts, lengths, pieces = batch.columns
+        other = pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        for c in (starts, lengths):
+            other |= np.diff(c.to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+        for first, end in zip(cuts, cuts[1:]):
+            yield (files[first].as_py(), starts[first].as_py(), lengths[first].as_py()), pieces[first:end]
+
+
+def _bytes_of(pieces: pa.Array) -> np.ndarray:
+    """The pieces' bytes, one after the other, as Arrow holds them."""
+    _, offsets, data = pieces.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(pieces.type) else np.int32)
+    return np.frombuffer(data, np.uint8)[at[pieces.offset]:at[pieces.offset + len(pieces)]]
+
+
+def _after_odd_quotes(data: np.ndarray) -> np.ndarray:
+    """For each byte 1 if the quotes up to it are odd in number, not counting those that an
+    odd run of backslashes precedes."""
+    quotes = data == _QUOTE
+    after = np.flatnonzero(quotes[1:] & (data[:-1] == _ESCAPE)) + 1
+    if len(after):
+        slashes = np.flatnonzero(data == _ESCAPE)
+        first = slashes[np.r_[True, np.diff(slashes) > 1]]
+        run = after - first[np.searchsorted(first, after, side="right") - 1]
+        quotes[after[run % 2 == 1]] = False
+    return np.add.accumulate(quotes, dtype=np.uint8) & 1
 
 
 class Scan:
@@ -81,42 +95,49 @@ class Scan:
     def __init__(self, in_text: bool, depth: int = 0):
         self.in_text, self.depth = in_text, depth
 
-    def step(self, data: np.ndarray, quotes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def step(self, data: np.ndarray, at: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the brackets and commas outside texts, their change of depth, and the
-        depth after each."""
-        at = np.flatnonzero(_STEP[data] != _NONE)
-        at = at[(np.searchsorted(quotes, at) + self.in_text) % 2 == 0]
+        depth after each, of all such places ``at``."""
+        at = at[odd[at] == self.in_text]
         change = _STEP[data[at]]
-        after = self.depth + np.cumsum(change)
-        self.in_text = bool((len(quotes) + self.in_text) % 2)
+        after = self.depth + np.cumsum(change, dtype=np.int64)
+        self.in_text = bool(odd[-1]) != self.in_text
         self.depth = int(after[-1]) if len(after) else self.depth
         return at, change, after
 
 
+def _counts(depths: np.ndarray) -> dict[int, int]:
+    if not len(depths):
+        return {}
+    low = int(depths.min())
+    return {low + i: n for i, n in enumerate(np.bincount(depths - low).tolist()) if n}
+
+
 class _Summary:
-    def __init__(self):
+    def __init__(self, hashed: bool):
         self.scans = [Scan(False), Scan(True)]
         self.commas, self.opened = [Counter(), Counter()], [Counter(), Counter()]
-        self.content, self.scale = 0, 1
+        self.hashed, self.content, self.scale = hashed, 0, 1
 
-    def add(self, pieces: list[bytes]) -> None:
-        data = np.frombuffer(b"}".join(pieces) + b"}", np.uint8)
-        quotes = _closing_quotes(data)
+    def add(self, pieces: pa.Array) -> None:
+        data = _bytes_of(pieces)
+        places, odd = np.flatnonzero(_IS_STEP[data]), _after_odd_quotes(data)
         for scan, commas, opened in zip(self.scans, self.commas, self.opened):
-            at, change, after = scan.step(data, quotes)
-            for held, places in ((commas, change == 0), (opened, (change == 1) & (data[at] == _OPEN))):
-                held.update(dict(zip(*(x.tolist() for x in np.unique(after[places], return_counts=True)))))
-        for piece in pieces:
-            digest = int.from_bytes(hashlib.sha256(piece).digest(), "big")
-            self.content = (self.content * _BASE + digest) % _PRIME
-        self.scale = self.scale * pow(_BASE, len(pieces), _PRIME) % _PRIME
+            at, change, after = scan.step(data, places, odd)
+            commas.update(_counts(after[change == 0]))
+            opened.update(_counts(after[data[at] == _OPEN]))
+        if self.hashed:
+            for piece in pieces.to_pylist():
+                digest = int.from_bytes(hashlib.sha256(piece[:-1]).digest(), "big")
+                self.content = (self.content * _BASE + digest) % _PRIME
+            self.scale = self.scale * pow(_BASE, len(pieces), _PRIME) % _PRIME
 
     def text(self) -> str:
         return json.dumps([[[s.in_text, s.depth, list(c.items()), list(o.items())] for s, c, o in
                             zip(self.scans, self.commas, self.opened)], self.content, self.scale])
 
 
-def _summaries(pieces: DataFrame) -> DataFrame:
+def _summaries(pieces: DataFrame, hashed: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(key, summary):
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(
@@ -127,7 +148,7 @@ def _summaries(pieces: DataFrame) -> DataFrame:
             if found != key:
                 if key is not None:
                     yield row(key, summary)
-                key, summary = found, _Summary()
+                key, summary = found, _Summary(hashed)
             summary.add(some)
         if key is not None:
             yield row(key, summary)
@@ -166,25 +187,41 @@ class _Records:
         self.whole = False             # the record held began in this range
         self.held: list[bytes] = []
 
-    def add(self, pieces: list[bytes]) -> Iterator[tuple[int, bool, bytes]]:
-        text = b"}".join(pieces) + b"}"
-        data = np.frombuffer(text, np.uint8)
-        at, change, after = self.scan.step(data, _closing_quotes(data))
+    def add(self, pieces: pa.Array) -> Iterator[tuple[np.ndarray, bool, pa.Array]]:
+        """``(positions, whole, texts)`` of the records that end here."""
+        data = _bytes_of(pieces)
+        at, change, after = self.scan.step(data, np.flatnonzero(_IS_STEP[data]), _after_odd_quotes(data))
         cut = ((change == 0) & (after == 1)) | ((change == 1) & (after == 1)) | ((change == -1) & (after == 0))
-        begin = 0
-        for place, kind in zip(at[cut].tolist(), change[cut].tolist()):
+        places, kinds = at[cut], change[cut]
+        if not len(places):
             if self.inside:
-                record = b"".join([*self.held, text[begin:place]])
-                if record.strip() or not self.whole or self.position or kind != -1:  # else an empty array
-                    yield self.position, self.whole, record
-            self.inside, self.whole, self.held, begin = kind != -1, True, [], place + 1
-            self.position += kind == 0
+                self.held.append(data.tobytes())
+            return
+        # a record ends at each place, if the array does not begin there or has ended before
+        positions = self.position + np.cumsum(kinds == 0) - (kinds == 0)
+        if self.inside:
+            record = b"".join([*self.held, data[:places[0]].tobytes()])
+            # else an empty array
+            if record.strip() or not self.whole or self.position or kinds[0] != -1:
+                yield positions[:1], self.whole, pa.array([record], pa.binary())
+        if len(places) > 1:
+            # its text begins with what ends the one before, made a space
+            spaced = data.copy()
+            spaced[places] = _SPACE
+            texts = pa.Array.from_buffers(pa.binary(), len(places) - 1, [
+                None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(spaced)])
+            kept = kinds[:-1] != -1
+            for i in np.flatnonzero((kinds[1:] == -1) & (positions[1:] == 0)).tolist():
+                kept[i] &= bool(texts[i].as_py().strip())
+            yield positions[1:][kept], True, texts if kept.all() else texts.filter(pa.array(kept))
+        self.inside, self.whole, self.held = bool(kinds[-1] != -1), True, []
+        self.position = int(positions[-1]) + int(kinds[-1] == 0)
         if self.inside:
-            self.held.append(text[begin:])
+            self.held.append(data[places[-1] + 1:].tobytes())
 
-    def end(self) -> Iterator[tuple[int, bool, bytes]]:
+    def end(self) -> Iterator[tuple[np.ndarray, bool, pa.Array]]:
         if self.inside:
-            yield self.position, False, b"".join(self.held)
+            yield np.array([self.position]), False, pa.array([b"".join(self.held)], pa.binary())
 
 
 def read_array(spark: SparkSession, path: str, record: T.StructType, batch_id: str | None = None) -> DataFrame:
@@ -198,7 +235,7 @@ def read_array(spark: SparkSession, path: str, record: T.StructType, batch_id: s
     run again; if the ranges differ between the two readings (other settings), it raises.
     """
     pieces = _pieces(spark, path)
-    summaries = _summaries(pieces).collect()  # a small row for each range
+    summaries = _summaries(pieces, batch_id is None).collect()  # a small row for each range
     if len(summaries) > MAX_RANGES:
         raise ValueError(f"over {MAX_RANGES} ranges: load the files in several calls")
     begins, content = _beginnings(summaries)
@@ -207,28 +244,27 @@ def read_array(spark: SparkSession, path: str, record: T.StructType, batch_id: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins, content = shipped.value
 
-        def rows(key, found):
-            position, whole, text = zip(*found)
-            n = len(found)
+        def rows(key, positions, whole, texts):
+            n, named = len(positions), content[key[0]] if batch_id is None else None
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()),
-                 pa.array([content[key[0]]] * n, pa.string()), pa.array(position, pa.int64()), pa.array(whole, pa.bool_()),
-                 pa.array(text, pa.binary())], ["file", "start", "content", "position", "whole", "text"])
+                [pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(key[1], n), pa.repeat(pa.scalar(named, pa.string()), n),
+                 pa.array(positions, pa.int64()), pa.repeat(whole, n), texts],
+                ["file", "start", "content", "position", "whole", "text"])
         key = records = None
         for found, some in _by_range(batches):
             if found != key:
-                if records and (left := list(records.end())):
-                    yield rows(key, left)
+                if records:
+                    yield from (rows(key, *x) for x in records.end())
                 key = found
                 if key not in begins:
                     raise RuntimeError(f"the ranges of {key[0]} are others than in the first reading")
                 records = _Records(begins[key]) if begins[key] else None  # None: nothing to read here
                 if begins[key] == ():
-                    yield rows(key, [(0, True, None)])
-            if records and (done := list(records.add(some))):
-                yield rows(key, done)
-        if records and (left := list(records.end())):
-            yield rows(key, left)
+                    yield rows(key, np.array([0]), True, pa.array([None], pa.binary()))
+            if records:
+                yield from (rows(key, *x) for x in records.add(some))
+        if records:
+            yield from (rows(key, *x) for x in records.end())
 
     found = pieces.mapInArrow(run, "file string, start long, content string, position long, whole boolean, text binary")
     parsed = F.from_json(F.col("text").cast("string"), record)

@@ -2,12 +2,13 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import rows
-from tesoro.sources import feed
+from tesoro.sources import feed, json_array
 from tesoro.sources.json_array import read_array
 from test_feed_quality import write_feed
 
@@ -100,3 +101,19 @@ def test_load_by_ranges_is_the_load_of_whole_files(spark, tmp_path):
             again = feed.load_feed(spark, path, after, dt.datetime(2026, 1, 2), batch_id="b", split=True)[1]
             assert {n for t, n in rows(feed.load_counts(again)) if not t.startswith("rejected")} == {0}
     assert loads[True] == loads[False]
+
+
+def test_records_are_cut_by_whole_batches():
+    """No Python step for each record: one array holds all that end in a batch of pieces."""
+    n = 500
+    text = json.dumps([{"id": i, "name": "a,\\]}[" * (i % 3)} for i in range(n)])
+    pieces = pa.array([p.encode() + b"}" for p in text.split("}")], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(pieces)), pa.array([0] * len(pieces), pa.int64()),
+                                        pa.array([9] * len(pieces), pa.int64()), pieces], ["file", "start", "length", "value"])
+    (key, some), = json_array._by_range(iter([batch]))
+    assert key == ("f", 0, 9)
+    got = list(json_array._Records((False, 0, 0)).add(some))
+    assert len(got) == 1
+    positions, whole, texts = got[0]
+    assert positions.tolist() == list(range(n)) and whole
+    assert [json.loads(t)["id"] for t in texts.to_pylist()] == list(range(n))
