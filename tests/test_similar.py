@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tesoro.operators.similar import fuzzy_duplicates
+from tesoro.operators.similar import fuzzy_duplicates, similar_pairs
 
 COLUMNS = "transaction_id long, account_id long, transaction_date date, description string, confidence_score double, day long"
 
@@ -67,3 +67,23 @@ def test_a_hot_description_is_not_expanded_into_pairs(spark):
 
 def test_empty_table(spark):
     assert fuzzy_duplicates(spark.createDataFrame([], COLUMNS)).collect() == []
+
+
+def test_days_meet_across_blocks_and_the_keys_are_shuffled_once(spark):
+    rows = [(2 * i + late, i, dt.date(2024, 1, 1) + dt.timedelta(i + late * 3), "invoice 1" + "7" * late, None, 7)
+            for i in range(40) for late in (0, 1)]
+    rows += [(100, 90, dt.date(2024, 1, 1), "invoice 1", None, 7), (101, 90, dt.date(2024, 1, 5), "invoice 17", None, 7)]  # four days
+    nodes = spark.createDataFrame(rows, COLUMNS).selectExpr("account_id", "transaction_date", "description", "1L AS copies")
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = similar_pairs(nodes, 3, 1)
+        found = sorted(r["account_id"] for r in pairs.collect())
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert found == list(range(40))
+    assert "ReusedExchange" in plan
