@@ -1,4 +1,4 @@
-"""Intermediate results in the shared folder that the cluster names."""
+"""Intermediate results in the shared folder that the cluster names, and rows dealt over tasks."""
 
 from __future__ import annotations
 
@@ -16,3 +16,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     uri = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
+
+
+# Rows that one task sorts or groups at a time: some 100 MB.
+ROWS_PER_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """``df`` of about ``rows`` rows shuffled by ``keys`` to so many tasks that one holds about
+    ROWS_PER_TASK, whatever the number of shuffle partitions, and adaptive execution merges
+    none of them. Left as it is where the cores are enough, or ``rows`` is unknown."""
+    tasks = int(-(-(rows or 0) // ROWS_PER_TASK))
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tesoro import schemas
 from tesoro.functions.columns import deterministic_id
 from tesoro.functions.joins import bounded_broadcast
-from tesoro.functions.storage import stored
+from tesoro.functions.storage import dealt, stored
 from tesoro.sources.json_array import read_array
 
 FEED_SCHEMAS = {
@@ -152,12 +152,16 @@ def _check_mode(mode: str) -> None:
         raise ValueError("mode must be 'idempotent' or 'append'")
 
 
+def _first_of_each(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """One of the ``n`` rows for each value of ``key``: the first in the feed. Few rows are
+    combined before the shuffle; many are dealt over tasks first, and sorted only there."""
+    kept = [c for c in rows.columns if c not in (key, "_source_file", "_pos")]
+    rows = dealt(rows, n, key).groupBy(key).agg(F.min_by(F.struct(*kept), F.struct("_source_file", "_pos")).alias("_row"))
+    return rows.select(key, *[F.col(f"_row.{c}").alias(c) for c in kept])
+
+
 def _new_transactions(known: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
-    """One row for each id of ``rows`` (the first in the feed; combined before the
-    shuffle), and unless appending only ids that are not ``known``, whatever their date."""
-    kept = [c for c in rows.columns if c not in ("id", "_source_file", "_pos")]
-    rows = rows.groupBy("id").agg(F.min_by(F.struct(*kept), F.struct("_source_file", "_pos")).alias("_row"))
-    rows = rows.select("id", *[F.col(f"_row.{c}").alias(c) for c in kept])
+    """The rows, unless appending only those of ids that are not ``known``, whatever their date."""
     return rows if mode == "append" else rows.join(known.select("id"), "id", "left_anti")
 
 
@@ -199,6 +203,7 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     txn = stored(typed_transactions(raw_txn), "feed-transactions")
     cf = stored(cf.withColumn("date", iso_date("date")), "feed-cashflow")
     inv = stored(inv.withColumn("date", iso_date("date")), "feed-inventory")
+    read = txn.count()  # from the files' footers
     rejected = {"transactions": txn.where(~_complete(txn, "transactions")),
                 "cashflow": cf.where(~_complete(cf, "cashflow")),
                 "inventory": inv.where(~_complete(inv, "inventory"))}
@@ -206,9 +211,11 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
     cf = cf.where(_complete(cf, "cashflow"))
     inv = inv.where(_complete(inv, "inventory"))
 
-    rfcs = (txn.select(F.col("entity_rfc").alias("rfc"))
-               .unionByName(cf.select(F.col("entity_rfc").alias("rfc")))
-               .unionByName(inv.select(F.col("entity_rfc").alias("rfc"))))
+    # the keys of the dimensions, found in one reading of the records and stored
+    txn_keys = stored(txn.select("entity_rfc", "category_name").distinct(), "feed-keys")
+    rfcs = stored(txn_keys.select(F.col("entity_rfc").alias("rfc"))
+                  .unionByName(cf.select(F.col("entity_rfc").alias("rfc")))
+                  .unionByName(inv.select(F.col("entity_rfc").alias("rfc"))).distinct(), "feed-rfcs")
     entities, new_entities = get_or_create(
         bronze["core_entity"], rfcs, ["rfc"],
         lambda k: k.select(deterministic_id(F.lit("entity"), "rfc").alias("id"), "rfc",
@@ -223,7 +230,7 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
 
     accounts, new_accounts = get_or_create(
         bronze["core_account"],
-        ent_key.join(txn.select("entity_rfc").distinct(), "entity_rfc", "left_semi")
+        ent_key.join(txn_keys.select("entity_rfc").distinct(), "entity_rfc", "left_semi")
                .select("entity_id", F.lit(DEFAULT_ACCOUNT_TYPE).alias("account_type")),
         ["entity_id", "account_type"],
         lambda k: k.select(deterministic_id(F.lit("account"), "entity_id", "account_type").alias("id"),
@@ -231,7 +238,7 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                            ts.alias("created_at")))
 
     categories, new_categories = get_or_create(
-        bronze["core_category"], txn.select(F.col("category_name").alias("name")), ["name"],
+        bronze["core_category"], txn_keys.select(F.col("category_name").alias("name")), ["name"],
         lambda k: k.select(deterministic_id(F.lit("category"), "name").alias("id"), "name",
                            F.lit(None).cast("string").alias("parent_id")))
 
@@ -241,14 +248,15 @@ def load_records(spark: SparkSession, raw_txn: DataFrame, cf: DataFrame, inv: Da
                                                               "entity_id"))
     cat_key, _ = bounded_broadcast(categories.select(F.col("id").alias("category_id"),
                                                      F.col("name").alias("category_name")))
-    t = (txn.join(ent_key, "entity_rfc", "left").join(acct_key, "entity_id", "left")
-            .join(cat_key, "category_name", "left"))
+    # one row for each uuid, which is one id, before the lookups widen it
+    t = (_first_of_each(txn, "source_doc_ref", read).join(ent_key, "entity_rfc", "left").join(acct_key, "entity_id", "left")
+         .join(cat_key, "category_name", "left"))
     known = bronze.get("transaction_ids", bronze["core_transaction"])
     new_txn = _new_transactions(known, t.select(
         deterministic_id(F.lit("txn"), "source_doc_ref", *salt).alias("id"), "account_id", "category_id",
         "date", "amount", "description", "source_doc_ref",
         F.lit(False).alias("is_duplicate_flag"), F.lit(None).cast("double").alias("confidence_score"),
-        ts.alias("created_at"), "_source_file", "_pos"), mode)
+        ts.alias("created_at")), mode)
 
     batch = F.concat_ws("|", "batch_id", *salt).alias("batch_id") if salt else F.col("batch_id")
     all_cf = cf.join(ent_key, "entity_rfc", "left").select(

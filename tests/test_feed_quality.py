@@ -5,6 +5,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tesoro.functions import storage
 from tesoro.operators import quality
 from tesoro.sources import feed
 
@@ -130,3 +131,18 @@ def test_quality_checks(spark):
     assert quality.cascade_delete(df, "fk", gone, "pk").count() == 3
     cleared = quality.set_null_on_delete(df, "fk", gone, "pk")
     assert cleared.where(F.col("fk").isNull()).count() == 2 and cleared.count() == 4
+
+
+def test_dimensions_come_from_stored_keys_and_a_uuid_is_one_row_before_the_lookups(spark, tmp_path, monkeypatch):
+    def load():
+        return feed.load_feed(spark, write_feed(tmp_path / "feed"), feed.empty_bronze(spark), "2026-01-01 00:00:00", batch_id="b")[1]
+    added = load()
+    for table in ("core_entity", "core_account", "core_category"):
+        assert all("/feed-keys-" in f or "/feed-rfcs-" in f for f in added[table].inputFiles())
+    plan = added["core_transaction"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("min_by")   # the join is above
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 0.1)  # dealt first, as many rows are
+    dealt = load()
+    assert "RepartitionByExpression [source_doc_ref" in dealt["core_transaction"]._jdf.queryExecution().optimizedPlan().toString()
+    for table in added:
+        assert rows(dealt[table]) == rows(added[table])
