@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tesoro.functions.columns import (
     TURNOVER, cents, month_start, quantize_half_even, ratio_thousandths, scaled_decimal)
 from tesoro.functions.joins import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast
+from tesoro.functions.storage import dealt
 
 
 def monthly_cashflow(stg_cashflow: DataFrame) -> DataFrame:
@@ -46,14 +47,15 @@ def _expense_aggs(count_col: str | None = None, sum_col: str | None = None,
 
 
 def expense_summary(deduped: DataFrame, categories: DataFrame,
-                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """A2 + J1: ``mart_expense_summary`` by account, month and category *name*.
 
     Ids sharing a name merge; a transaction without a category is its own NULL
     group (trap 15). When the category table is provably small it is broadcast
     and the join costs no shuffle. Otherwise transactions are first
     pre-aggregated per (account, month, category id), so only partial rows go
-    through the shuffle join, and re-aggregated by name.
+    through the shuffle join, and re-aggregated by name. If the number of transactions
+    ``rows`` is given and large, the rows of a group are dealt over tasks in proportion to it.
     """
     txns = deduped.select(
         "account_id", month_start("transaction_date").alias("month"), "category_id",
@@ -62,11 +64,11 @@ def expense_summary(deduped: DataFrame, categories: DataFrame,
     cats, small = bounded_broadcast(cats, max_broadcast_rows)
     if small:
         joined = txns.join(cats, txns.category_id == cats._cat_id, "left")
-        return joined.groupBy("account_id", "month", "category").agg(*_expense_aggs())
-    pre = txns.groupBy("account_id", "month", "category_id").agg(
+        return dealt(joined, rows, "account_id", "month", "category").groupBy("account_id", "month", "category").agg(*_expense_aggs())
+    pre = dealt(txns, rows, "account_id", "month", "category_id").groupBy("account_id", "month", "category_id").agg(
         *[a.alias(f"_p{i}") for i, a in enumerate(_expense_aggs())])
-    joined = pre.join(cats, pre.category_id == cats._cat_id, "left")
-    return joined.groupBy("account_id", "month", "category").agg(
+    joined = dealt(pre, rows, "category_id").join(cats, pre.category_id == cats._cat_id, "left")
+    return dealt(joined, rows, "account_id", "month", "category").groupBy("account_id", "month", "category").agg(
         *_expense_aggs("_p0", "_p1", "_p2"))
 
 
@@ -74,17 +76,18 @@ def _trend_window():
     return Window.partitionBy("account_id", "category").orderBy(F.col("month").asc_nulls_last())
 
 
-def category_trend(expense: DataFrame) -> DataFrame:
+def category_trend(expense: DataFrame, rows: int | None = None) -> DataFrame:
     """W3 + W4: rolling average over the current and 5 preceding *present* months
     (no calendar gap filling, trap 9; the current month is included, trap 19)
     and the previous present month's total.
 
     The window input is the aggregated mart (one row per account, category and
-    month), so a window partition holds at most one row per calendar month.
+    month), so a window partition holds at most one row per calendar month. ``rows`` as
+    in :func:`expense_summary`.
     """
     w = _trend_window()
     frame = w.rowsBetween(-5, 0)
-    return expense.select(
+    return dealt(expense, rows, "account_id", "category").select(
         "account_id", "category", "month", "total_amount",
         F.avg("total_amount").over(frame).alias("rolling_6mo_avg"),
         F.lag("total_amount", 1).over(w).alias("prev_month_amount"),
@@ -99,20 +102,21 @@ FLAG_REASON_PREFIX = "Category spend "
 FLAG_REASON_SUFFIX = "% above 6-month rolling average — review for waste"
 
 
-def profitability_flags(expense: DataFrame) -> DataFrame:
+def profitability_flags(expense: DataFrame, rows: int | None = None) -> DataFrame:
     """R2: ``mart_profitability_flags`` (W3 -> guarded pct -> P9 -> X4/X6 text).
 
     Exact arithmetic: with T the month's total, S the window sum and n the count
     of non-NULL totals in the frame, pct = (T*n - S) / S. In cents this is an
     integer ratio, so the spike test ``pct > 0.30`` is ``10*T*n > 13*S`` and the
     rounded percentage is computed from BIGINTs, half away from zero like
-    PostgreSQL's numeric round. The guard ``rolling avg > 0`` is ``S > 0``.
+    PostgreSQL's numeric round. The guard ``rolling avg > 0`` is ``S > 0``. ``rows`` as in
+    :func:`expense_summary`.
     """
     w = _trend_window().rowsBetween(-5, 0)
     t = cents("total_amount")
     s = cents(F.col("_s"))
     n = F.col("_n")
-    base = expense.select(
+    base = dealt(expense, rows, "account_id", "category").select(
         "account_id", "category", "month", "total_amount",
         F.avg("total_amount").over(w).alias("rolling_6mo_avg"),
         F.sum("total_amount").over(w).alias("_s"),

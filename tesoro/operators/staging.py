@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesoro.functions.joins import DEFAULT_MAX_BROADCAST_ROWS
-
+from tesoro.functions.storage import dealt, stored
 
 
 def stg_transactions(core_transaction: DataFrame) -> DataFrame:
@@ -69,12 +69,16 @@ def _dup_order():
 # Hot rows are cut into range slices of about this many rows each, so the slice
 # count grows with the hot data.
 DEFAULT_HOT_GROUP_ROWS = 2_000_000
+# A slice of hot rows has so many at least, unless there are fewer for each core, however
+# small a group counts as hot: a task for fewer rows costs more than their ranks.
+MIN_SLICE_ROWS = 200_000
 # Most candidate accounts / hot groups handled with a broadcast lookup; beyond
 # that the lookups are shuffle joins.
 MAX_HOT_GROUPS = 100_000
 
 
-def _window_flags(df: DataFrame) -> DataFrame:
+def _window_flags(df: DataFrame, rows: int | None = None) -> DataFrame:
+    df = dealt(df, rows, *DUP_KEY)
     ordered = Window.partitionBy(*DUP_KEY).orderBy(*_dup_order())
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Same partitioning and order for both: one Exchange, one Sort, one Window.
@@ -82,12 +86,18 @@ def _window_flags(df: DataFrame) -> DataFrame:
               .withColumn("dup_rank", F.row_number().over(ordered)))
 
 
+def _slices(hot_rows: int, hot_group_rows: int, cores: int) -> int:
+    """Slices of about ``hot_group_rows`` rows each, or of more where these would be small
+    and every core has one."""
+    return max(2, min(-(-hot_rows // hot_group_rows), max(cores, -(-hot_rows // MIN_SLICE_ROWS))))
+
+
 def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool) -> DataFrame:
     """Exact dup_rank for rows of very large groups, spread over many tasks.
 
     Range-partition on (key, order): one hot group lands in consecutive slices,
     each holding a contiguous run of its order. One window gives the rank inside
-    the slice and the slice size; that result is checkpointed to the shared folder,
+    the slice and the slice size; that result is written to the shared folder once,
     so the slice offsets and the ranks are computed from the same slices even though
     range boundaries are sampled. Rank = rank inside the slice + rows of the same group in
     earlier slices. Group size comes from the count aggregate that found the
@@ -100,7 +110,7 @@ def _split_hot_ranks(hot_rows: DataFrame, slices: int, broadcast_offsets: bool)
              .withColumn("_local_rank", F.row_number().over(in_slice))
              .withColumn("_slice_rows", F.count(F.lit(1)).over(
                  in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    local = local.checkpoint(eager=True)
+    local = stored(local, "hot-ranks")
     per_slice = local.select(*DUP_KEY, "_slice", "_slice_rows").dropDuplicates([*DUP_KEY, "_slice"])
     offsets = per_slice.withColumn(
         "_offset",
@@ -192,18 +202,20 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
     collected). With none, this is the plain windowed plan: one shuffle on the
     key, shared by both windows. Otherwise ordinary groups keep that plan and
     hot groups are ranked by :func:`_split_hot_ranks`, so no single task holds
-    a whole group. ``hot_group_rows=None`` skips the check.
+    a whole group. ``hot_group_rows=None`` skips the check. The rows are dealt over tasks
+    in proportion to their number (``storage.dealt``).
     """
     cols = stg.columns
-    flagged = None
+    flagged = rows = None
     if hot_group_rows is not None:
         found, hot_all = _find_hot_groups(stg, hot_group_rows)
+        rows = stg.count()
         if found:
             small = len(found) <= MAX_HOT_GROUPS
             if hot_slices is None:
                 hot_total = (sum(r["_n"] for r in found) if small
                              else hot_all.agg(F.sum("_n")).first()[0])
-                hot_slices = max(2, -(-hot_total // hot_group_rows))
+                hot_slices = _slices(hot_total, hot_group_rows, stg.sparkSession.sparkContext.defaultParallelism)
             # offsets have one row per (hot group, slice it spans) <= slices + groups
             small_offsets = small and hot_slices + len(found) <= DEFAULT_MAX_BROADCAST_ROWS
             spark = stg.sparkSession
@@ -213,13 +225,13 @@ def flag_duplicates(stg: DataFrame, hot_group_rows: int | None = DEFAULT_HOT_GRO
             lookup = F.broadcast(spark.createDataFrame(found, hot_schema)) if small else hot_all
             cond = [stg[k].eqNullSafe(lookup[f"_h_{k}"]) for k in DUP_KEY]
             tagged = stg.join(lookup, cond, "left").drop(*[f"_h_{k}" for k in DUP_KEY])
-            cold = _window_flags(tagged.where(F.col("_n").isNull()))
+            cold = _window_flags(tagged.where(F.col("_n").isNull()), rows)
             warm = _split_hot_ranks(tagged.where(F.col("_n").isNotNull()), hot_slices,
                                     small_offsets)
             keep = [*cols, "dup_group_size", "dup_rank"]
             flagged = cold.select(*keep).unionByName(warm.select(*keep))
     if flagged is None:
-        flagged = _window_flags(stg)
+        flagged = _window_flags(stg, rows)
     return (flagged.select(*cols, "dup_group_size", "dup_rank")
                    .withColumn("is_likely_duplicate", F.col("dup_group_size") > 1)
                    .withColumn("is_duplicate_secondary", F.col("dup_rank") > 1))

@@ -51,12 +51,18 @@ def deduped_transactions(spark: SparkSession, sf_dir: str, account_id=None) -> D
     return staging.flag_duplicates(stg)
 
 
+def _transaction_rows(spark: SparkSession, sf_dir: str, account_id=None) -> int | None:
+    """Rows of the transactions, from the files' footers; not known for one account."""
+    return dt.read_table(spark, sf_dir, "lineitem").count() if account_id is None else None
+
+
 def expense_mart(spark: SparkSession, sf_dir: str, account_id=None) -> DataFrame:
-    return marts.expense_summary(deduped_transactions(spark, sf_dir, account_id), dt.categories(spark, sf_dir))
+    return marts.expense_summary(deduped_transactions(spark, sf_dir, account_id), dt.categories(spark, sf_dir),
+                                 rows=_transaction_rows(spark, sf_dir, account_id))
 
 
 def flags_mart(spark: SparkSession, sf_dir: str, account_id=None) -> DataFrame:
-    return marts.profitability_flags(expense_mart(spark, sf_dir, account_id))
+    return marts.profitability_flags(expense_mart(spark, sf_dir, account_id), _transaction_rows(spark, sf_dir, account_id))
 
 
 def turnover_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +94,7 @@ def w5_hot_group(spark, sf_dir):
     stg = staging.stg_transactions(dt.transactions(spark, sf_dir))
     hot = stg.withColumn("account_id", F.regexp_extract("description", "line ([0-9]+)", 1).cast("bigint")).withColumn(
         "amount", F.lit("1.00").cast("decimal(14,2)")).withColumn("transaction_date", F.trunc("transaction_date", "year"))
+    hot = hot.select("transaction_id", *staging.DUP_KEY, "created_at")  # what is ranked and returned
     return staging.flag_duplicates(hot, hot_group_rows=HOT_GROUP_ROWS).select(
         "transaction_id", "account_id", "transaction_date", "dup_group_size", "dup_rank", "is_duplicate_secondary")
 
@@ -106,7 +113,7 @@ def a2_expense_summary(spark, sf_dir):
 
 def w3_rolling_trend(spark, sf_dir):
     """W3 W4."""
-    return marts.category_trend(expense_mart(spark, sf_dir))
+    return marts.category_trend(expense_mart(spark, sf_dir), _transaction_rows(spark, sf_dir))
 
 
 def r2_cost_spikes(spark, sf_dir):

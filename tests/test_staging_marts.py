@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tesoro.functions import storage
 from tesoro.operators import marts, review, staging
 
 TXN_SCHEMA = ("transaction_id string, account_id bigint, category_id bigint, transaction_date date, "
@@ -248,3 +249,28 @@ def test_one_big_account_with_small_groups(spark):
     cols = ["transaction_id", "dup_group_size", "dup_rank"]
     assert rows(staging.flag_duplicates(df, hot_group_rows=2), *cols) == \
         rows(staging.flag_duplicates(df, hot_group_rows=None), *cols)
+
+
+def test_slices_of_hot_rows_are_not_smaller_than_a_task_is_worth():
+    assert staging._slices(36_000_000, 400, 12) == 180   # not 90 000 tasks
+    assert staging._slices(60_000, 400, 8) == 8
+    assert staging._slices(1000, 400, 8) == 3
+    assert staging._slices(5, 2, 8) == 3
+    assert staging._slices(9_000_000, 2_000_000, 8) == 5
+
+
+def test_rows_of_large_tables_are_dealt_in_proportion(spark, monkeypatch):
+    df = dup_fixture(spark)
+    cats = spark.createDataFrame([(10, "a"), (20, "b"), (30, "a")], "id bigint, name string")
+    flags = staging.flag_duplicates(df)
+    want = [rows(flags), *(rows(f(marts.expense_summary(flags, cats))) for f in (lambda e: e, marts.category_trend, marts.profitability_flags))]
+    n = 2 * df.count()
+    assert n > spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 0.5)
+    flags = staging.flag_duplicates(df)
+    assert f", {n})" in flags._jdf.queryExecution().executedPlan().toString()   # hash partitions, whatever the setting
+    for limit in (100, 0):
+        expense = marts.expense_summary(flags, cats, max_broadcast_rows=limit, rows=8)
+        got = [rows(flags), rows(expense), rows(marts.category_trend(expense, 8)), rows(marts.profitability_flags(expense, 8))]
+        assert got == want
+    assert storage.dealt(df, None, "account_id") is df
