@@ -22,9 +22,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 ROWS_PER_TASK = 250_000
 
 
+def tasks_for(df: DataFrame, rows: int | None) -> int | None:
+    """Tasks of about ROWS_PER_TASK rows for ``rows``; None where the cores are enough, or
+    ``rows`` is unknown."""
+    tasks = int(-(-(rows or 0) // ROWS_PER_TASK))
+    return tasks if tasks > df.sparkSession.sparkContext.defaultParallelism else None
+
+
 def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
     """``df`` of about ``rows`` rows shuffled by ``keys`` to so many tasks that one holds about
     ROWS_PER_TASK, whatever the number of shuffle partitions, and adaptive execution merges
     none of them. Left as it is where the cores are enough, or ``rows`` is unknown."""
-    tasks = int(-(-(rows or 0) // ROWS_PER_TASK))
-    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+    tasks = tasks_for(df, rows)
+    return df.repartition(tasks, *keys) if tasks else df

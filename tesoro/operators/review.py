@@ -13,31 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesoro.functions.storage import stored
+from tesoro.functions.storage import stored, tasks_for
 
 
-def with_position(df: DataFrame, *order) -> DataFrame:
+def with_position(df: DataFrame, *order, rows: int | None = None) -> DataFrame:
     """O2: ``df`` with ``position``, the row's number from 1 in a total order, in that order.
 
     The rows are range-partitioned by the order and stored with their slice, so that the
     sampled boundaries are fixed; a row's number is its rank within the slice plus the
     rows of the slices before: no task holds more than a slice, and only one count for each
-    slice is summed up in one place.
+    slice is summed up in one place. ``rows``, if given, is the most rows that ``df`` can have:
+    slices follow it where they are more than the cores.
     """
-    slices = stored(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "positions")
+    tasks = tasks_for(df, rows)
+    many = (tasks,) if tasks else ()
+    slices = stored(df.repartitionByRange(*many, *order).withColumn("_slice", F.spark_partition_id()), "positions")
     within = slices.withColumn("_rank", F.row_number().over(Window.partitionBy("_slice").orderBy(*order)))
     counts = slices.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.select("_slice", (F.sum("_rows").over(Window.orderBy("_slice")) - F.col("_rows")).alias("_before"))
-    return within.join(F.broadcast(before), "_slice").select(
-        *df.columns, (F.col("_rank") + F.col("_before")).alias("position")).orderBy("position")
+    out = within.join(F.broadcast(before), "_slice").select(*df.columns, (F.col("_rank") + F.col("_before")).alias("position"))
+    return out.repartitionByRange(tasks, "position").sortWithinPartitions("position") if tasks else out.orderBy("position")
 
 
 def _maybe_filter(df: DataFrame, column: str, value) -> DataFrame:
     return df if value is None else df.where(F.col(column) == F.lit(value))
 
 
-def _ordered(df: DataFrame, numbered: bool, *order) -> DataFrame:
-    return with_position(df, *order) if numbered else df.orderBy(*order)
+def _ordered(df: DataFrame, numbered: bool, *order, rows: int | None = None) -> DataFrame:
+    return with_position(df, *order, rows=rows) if numbered else df.orderBy(*order)
 
 
 def monthly_cashflow_read(mart: DataFrame, entity_id=None, numbered: bool = False) -> DataFrame:
@@ -69,12 +72,13 @@ def duplicate_report(deduped: DataFrame, account_id=None, numbered: bool = False
                     F.col("account_id").asc_nulls_last(), F.col("dup_rank"))
 
 
-def cost_spike_report(flags: DataFrame, account_id=None, numbered: bool = False) -> DataFrame:
-    """Cost-spike flags, optionally for one account, newest month first."""
+def cost_spike_report(flags: DataFrame, account_id=None, numbered: bool = False, rows: int | None = None) -> DataFrame:
+    """Cost-spike flags, optionally for one account, newest month first. ``rows`` as in
+    :func:`with_position`."""
     df = _maybe_filter(flags, "account_id", account_id)
     return _ordered(df.select("account_id", "category", "month", "total_amount", "rolling_6mo_avg", "pct_above_rolling_avg", "flag_reason"),
                     numbered, F.col("month").desc_nulls_first(), F.col("account_id").asc_nulls_last(),
-                    F.col("category").asc_nulls_last())
+                    F.col("category").asc_nulls_last(), rows=rows)
 
 
 def normalization_review(deduped: DataFrame, flags: DataFrame, account_id=None) -> dict:

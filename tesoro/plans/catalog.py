@@ -128,7 +128,7 @@ def r1_duplicate_report(spark, sf_dir):
 
 def r3_cost_spike_report(spark, sf_dir):
     """R3 O2."""
-    return review.cost_spike_report(flags_mart(spark, sf_dir), numbered=True)
+    return review.cost_spike_report(flags_mart(spark, sf_dir), numbered=True, rows=_transaction_rows(spark, sf_dir))
 
 
 # The account and the entity whose reports are asked for.

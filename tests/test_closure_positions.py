@@ -56,3 +56,14 @@ def test_the_sketch_admits_every_hot_key(spark, monkeypatch):
     found, _ = staging._find_hot_groups(df, 7499)
     assert sorted(((r["_h_account_id"], r["_n"]) for r in found), key=repr) == sorted(want, key=repr)
     assert staging._find_hot_groups(df.limit(10), 10) == ([], None)  # no more rows than a group may have
+
+
+def test_positions_of_many_rows_are_given_in_as_many_slices(spark, monkeypatch):
+    from tesoro.functions import storage
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 10)
+    df = spark.range(200).selectExpr("(id * 37) % 200 AS k", "id % 3 AS g")
+    out = review.with_position(df, F.col("g").desc(), F.col("k"), rows=200)
+    got = [(r["g"], r["k"], r["position"]) for r in out.collect()]
+    want = sorted(((i % 3, (i * 37) % 200) for i in range(200)), key=lambda r: (-r[0], r[1]))
+    assert got == [(*r, i + 1) for i, r in enumerate(want)]
+    assert out.rdd.getNumPartitions() == 20
