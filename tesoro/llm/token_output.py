@@ -43,8 +43,14 @@ SLOT_BITS = 21
 
 # ASCII marks, a word, ASCII marks; without the apostrophe, which may join letters.
 _CHUNK = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-# What is one pre-token for sure: ASCII letters, or ASCII marks without the apostrophe.
-_UNIT = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
+# What is one pre-token for sure: ASCII and Latin-1 letters, or ASCII marks without the apostrophe.
+_UNIT = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+")
+# Kinds of bytes in _UNIT and between: white space, letters (the bytes of Latin-1 ones
+# too), marks, and what else there is.
+_GAP, _LETTER, _MARK, _OTHER = range(4)
+_KINDS = bytes(_GAP if b in b"\t\n\v\f\r " else
+               _LETTER if bytes([b]).isalpha() or b == 0xC3 or 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else
+               _MARK if 33 <= b < 127 and b != 39 and not 48 <= b < 58 else _OTHER for b in range(256))
 
 MANIFEST = "partition int, shard int, path string, n_docs long, n_tokens long"
 
@@ -72,14 +78,46 @@ def _eight(eights: np.ndarray, first: np.ndarray, sizes: np.ndarray, k: int) ->
 
 
 class _Chunks:
-    """The white-space-free chunks of a text that ends in a space."""
+    """The white-space-free chunks of a text that ends in a space, or given spans of it."""
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes, first: np.ndarray | None = None, sizes: np.ndarray | None = None):
         self.text = text
-        edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(text, dtype=np.uint8)], prepend=True))
-        self.first = edge[::2]
-        self.sizes = edge[1::2] - self.first
+        if first is None:
+            edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(text, dtype=np.uint8)], prepend=True))
+            first = edge[::2]
+            sizes = edge[1::2] - first
+        self.first, self.sizes = first, sizes
         self.eights = _by_eights(text + bytes(8))
+        self.heads = _eight(self.eights, first, sizes, 0)
+
+    @classmethod
+    def apart(cls, text: bytes) -> _Chunks:
+        """The chunks of ``text``, those of ASCII and Latin-1 letters and of ASCII marks
+        cut into letters, ASCII ones in lower case, and marks; the others stay whole as
+        they are."""
+        kinds = np.frombuffer(text.translate(_KINDS), dtype=np.uint8)
+        first = np.r_[0, np.flatnonzero(kinds[1:] != kinds[:-1]) + 1]  # of runs of one kind
+        kinds = kinds[first]
+        begins = kinds != _GAP
+        heads = begins & np.r_[True, ~begins[:-1]]  # runs that begin a chunk
+        lower = text.lower()
+        odd = np.flatnonzero(kinds == _OTHER)
+        special = [m.start() for m in re.finditer(rb"<\|", text)]
+        if len(odd) or special:
+            chunk = np.cumsum(heads) - 1
+            whole = np.zeros(chunk[-1] + 1, dtype=bool)
+            whole[chunk[odd]] = True
+            whole[chunk[np.searchsorted(first, special, side="right") - 1]] = True
+            begins = heads | (begins & ~whole[chunk])
+            changed = np.frombuffer(lower, dtype=np.uint8) != np.frombuffer(text, dtype=np.uint8)
+            upper = np.flatnonzero(changed)
+            upper = upper[whole[chunk[np.searchsorted(first, upper, side="right") - 1]]]
+            kept = np.frombuffer(lower, dtype=np.uint8).copy()
+            kept[upper] = np.frombuffer(text, dtype=np.uint8)[upper]
+            lower = kept.tobytes()
+        cuts = np.flatnonzero(begins | (kinds == _GAP))  # the last run is a gap
+        edge, units = first[cuts], begins[cuts]
+        return cls(lower, edge[units], np.diff(edge, append=len(text))[units])
 
     def __getitem__(self, i: int) -> bytes:
         return self.text[self.first[i]:self.first[i] + self.sizes[i]]
@@ -90,9 +128,10 @@ class _Chunks:
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the chunks, from their length and eight bytes at a time."""
-        out = self.sizes.astype(np.uint64)
+        out = (self.sizes.astype(np.uint64) ^ self.heads) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
         at = np.arange(len(out))
-        for k in range(WORDWISE_BYTES // 8):
+        for k in range(1, WORDWISE_BYTES // 8):
             at = at[self.sizes[at] > 8 * k]
             if not len(at):
                 break
@@ -115,6 +154,7 @@ class _Memory:
         self.slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         self.text_starts = np.zeros(1, dtype=np.int64)
         self.text_sizes = np.zeros(1, dtype=np.int64)
+        self.heads = np.zeros(1, dtype=np.uint64)  # the chunks' first eight bytes
         self.ids = np.zeros(0, dtype=kind)
         self.id_starts = np.zeros(1, dtype=np.int64)
         self.id_sizes = np.zeros(1, dtype=np.int64)
@@ -134,8 +174,9 @@ class _Memory:
         def keep(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
             other.append(at[~equal])
             return at[equal]
-        at = keep(among, self.text_sizes[entries[among]] == chunks.sizes[among])
-        for k in range(WORDWISE_BYTES // 8):
+        known = entries[among]
+        at = keep(among, (self.heads[known] == chunks.heads[among]) & (self.text_sizes[known] == chunks.sizes[among]))
+        for k in range(1, WORDWISE_BYTES // 8):
             at = at[chunks.sizes[at] > 8 * k]
             if not len(at):
                 break
@@ -153,9 +194,11 @@ class _Memory:
         and distinct, or without. Returns the first one's entry."""
         entry = len(self.id_sizes)
         lengths = np.array([len(c) for c in chunks], dtype=np.int64)
-        self.text_starts = np.r_[self.text_starts, len(self.text) - 8 + np.cumsum(lengths) - lengths]
+        starts, text = np.cumsum(lengths) - lengths, b"".join(chunks) + bytes(8)
+        self.heads = np.r_[self.heads, _eight(_by_eights(text), starts, lengths, 0)]
+        self.text_starts = np.r_[self.text_starts, len(self.text) - 8 + starts]
         self.text_sizes = np.r_[self.text_sizes, lengths]
-        self.text = np.r_[self.text[:-8], np.frombuffer(b"".join(chunks) + bytes(8), dtype=np.uint8)]
+        self.text = np.r_[self.text[:-8], np.frombuffer(text, dtype=np.uint8)]
         self.id_starts = np.r_[self.id_starts, len(self.ids) + np.cumsum(sizes) - sizes]
         self.id_sizes = np.r_[self.id_sizes, sizes]
         self.ids = np.r_[self.ids, ids]
@@ -164,7 +207,9 @@ class _Memory:
             at = np.searchsorted(self.hashes, hashes[order])
             self.hashes = np.insert(self.hashes, at, hashes[order])
             self.entries = np.insert(self.entries, at, entry + order)
-            self.slots[hashes >> _SLOT_SHIFT] = np.arange(entry, entry + len(hashes))
+            slots = hashes >> _SLOT_SHIFT
+            free = self.slots[slots] == 0  # what came first is the most frequent
+            self.slots[slots[free]] = np.arange(entry, entry + len(hashes))[free]
         return entry
 
     def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,25 +229,19 @@ def _letters(word: str) -> bool:
 
 def _parts(chunk: bytes) -> tuple[bytes, ...]:
     """The parts that have their own ids: marks, letters, marks; else the chunk."""
-    if chunk.isalpha():  # ASCII letters
-        return (chunk.lower(),)
-    if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
-        return (chunk[:-1].lower(), chunk[-1:])
     m = _CHUNK.fullmatch(chunk)
-    if m and b"<|" not in chunk:
-        before, word, after = m.groups()
-        if word.isascii():
-            return tuple(u for u in (before, word.lower(), after) if u)
-        if _letters(word.decode()):
-            return tuple(u for u in (before, word, after) if u)
+    if m and b"<|" not in chunk and _letters(m[2].decode()):
+        return tuple(u for u in m.groups() if u)
     return (chunk,)
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins across ASCII white space, as the
     default one, whose pre-tokenizer drops white space and cuts letters from marks. So a
-    text's ids are those of its white-space-free chunks, and a chunk of letters within
-    ASCII marks has the ids of its parts if the normalised word is letters only. The
+    text's ids are those of its white-space-free chunks, and a chunk of letters and ASCII
+    marks has the ids of its parts if the normalised words are letters only. With ASCII
+    and Latin-1 letters they are, and the whole text is cut there at once; another chunk
+    that is a word within marks is cut when it is first seen. The
     library encodes each part once a worker; many words are encoded as one text and told
     apart by the tokens that end a word. Chunks are found by 64-bit hashes and compared
     byte by byte; one that shares its hash with another is encoded by itself.
@@ -244,30 +283,36 @@ class WordTokenizer:
             entries[i] = self.memory.clashes[chunk]
         return entries
 
-    def _learn_parts(self, parts: list[bytes], hashes: np.ndarray) -> None:
-        """Encode distinct parts that are not known."""
-        sure = [p for p in parts if _UNIT.fullmatch(p) or _letters(p.decode())]
-        done: list[bytes] = []
+    def _learn_parts(self, parts: list[bytes], hashes: np.ndarray, units: bool = False) -> None:
+        """Encode distinct parts that are not known; ``units``: all are of ``_UNIT``."""
+        sure = [i for i, p in enumerate(parts) if units or _UNIT.fullmatch(p) or _letters(p.decode())]
+        done: list[int] = []
         sizes, flat = [], []
         for k in range(0, len(sure), JOINED_WORDS):
             group = sure[k:k + JOINED_WORDS]
-            ids = self._whole([b" ".join(group)])[0]
+            ids = self._whole([b" ".join([parts[i] for i in group])])[0]
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(group) and last[-1] == len(ids):
                 done += group
                 sizes.append(np.diff(last, prepend=0))
                 flat.append(ids)
-        known = set(done)
-        alone = [p for p in parts if p not in known]  # others, and those that the tokenizer cuts further
-        found = self._whole(alone)
-        own = dict(zip(parts, hashes.tolist()))
-        self.memory.add([*done, *alone],
+        known = np.zeros(len(parts), dtype=bool)
+        known[done] = True
+        alone = np.flatnonzero(~known).tolist()  # others, and those that the tokenizer cuts further
+        found = self._whole([parts[i] for i in alone])
+        order = done + alone
+        self.memory.add([parts[i] for i in order],
                         np.concatenate([*sizes, [len(f) for f in found]]).astype(np.int64),
-                        np.concatenate([*flat, *found, np.zeros(0, dtype=self.kind)]).astype(self.kind),
-                        np.array([own[p] for p in (*done, *alone)], dtype=np.uint64))
+                        np.concatenate([*flat, *found, np.zeros(0, dtype=self.kind)]).astype(self.kind), hashes[order])
 
     def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
         """Remember distinct chunks that are not known."""
+        units = np.array([_UNIT.fullmatch(c) is not None for c in chunks])
+        if units.any():
+            self._learn_parts([c for c, unit in zip(chunks, units.tolist()) if unit], hashes[units], units=True)
+            chunks, hashes = [c for c, unit in zip(chunks, units.tolist()) if not unit], hashes[~units]
+        if not chunks:
+            return
         parts_of = [_parts(c) for c in chunks]
         flat = [p for parts in parts_of for p in parts]
         entries = self._entries(_Chunks(b" ".join(flat) + b" "), self._learn_parts)
@@ -282,7 +327,7 @@ class WordTokenizer:
         number of ids of each; null is the empty text."""
         if len(self.memory.id_sizes) > CACHE_CHUNKS or len(self.memory.text) > CACHE_BYTES:
             self.memory = _Memory(self.kind)
-        chunks = _Chunks(b" ".join([t or b"" for t in texts]) + b" ")
+        chunks = _Chunks.apart(b" ".join([t or b"" for t in texts]) + b" ")
         sizes, ids = self.memory.gather(self._entries(chunks, self._learn))
         text_ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
         chunk_ends = np.searchsorted(chunks.first, text_ends)

@@ -93,6 +93,39 @@ def test_chunks_of_a_text():
     assert hashes[0] == hashes[-2] and len(set(hashes.tolist())) == 5
 
 
+def test_letters_and_marks_are_apart():
+    text = "The-END, (É)été!  A1.B <|endoftext|>Ab H\u0331.A Š.É ×A÷ it's ... x ".encode()
+    chunks = T._Chunks.apart(text)
+    want = "the - end , ( É ) été ! A1.B <|endoftext|>Ab H\u0331.A Š.É ×A÷ it's ... x"
+    assert [chunks[i].decode() for i in range(len(chunks.first))] == want.split()
+    assert not len(T._Chunks.apart(b" \n ").first)
+
+
+def test_a_word_is_encoded_once_whatever_stands_around_it(plain):
+    words = T.WordTokenizer(T.tokenizer_path())
+    texts = ["word Word word. WORD, (word) word!", "Été été. (été), -- word-été word--été", "word. <|endoftext|>Word wORD"]
+    for _ in range(2):
+        assert encode(words, texts) == [plain(t) for t in texts]
+    # none, word . , ( ) ! Été été ), -- - <|endoftext|>Word
+    assert len(words.memory.id_sizes) == 13
+
+
+@pytest.mark.parametrize("text", ["foo-bar,BAZ.(É)É! Ñandú-Über.x", "×A÷ A×B. a÷b, ß.ẞ", "NAÏVE.Naïve", "<|EndOfText|>A.B A<|B.C <|endoftext|>",
+                                  "H\u0331.A A\u0301.B, E\u0301", "\u212a.K K\u0327. \u00aa.A \u00b5.B", "don't.DON'T ''S.x 'S", "A\x1cB.C a\x85B.C \u00a0X.Y",
+                                  "(((A)))...B;;;C 1A.2B A1,B2"])
+def test_cut_chunks_have_the_ids_of_the_whole_text(plain, text):
+    assert encode(T.WordTokenizer(T.tokenizer_path()), [text, None, text.swapcase()]) == [plain(text), plain(None), plain(text.swapcase())]
+
+
+def test_the_first_of_chunks_that_share_a_slot_keeps_it(monkeypatch):
+    monkeypatch.setattr(T, "_SLOT_SHIFT", np.uint64(63))
+    words = T.WordTokenizer(T.tokenizer_path())
+    encode(words, ["the"])
+    first = words.memory.slots[words.memory.slots > 0].tolist()
+    encode(words, [" ".join(chr(97 + i) * 3 for i in range(26))])
+    assert first == [1] and 1 in words.memory.slots[:2]
+
+
 @pytest.mark.parametrize("seed,vocabulary", [(1, 3), (2, 40), (3, 1), (4, 70_000)])
 def test_grammar_round_trip_and_random_access(seed, vocabulary):
     rng = random.Random(seed)
