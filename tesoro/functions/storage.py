@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tesoro.session import ensure_checkpoint_dir
 
@@ -18,6 +19,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def stored_in_turn(spark: SparkSession, parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """As :func:`stored` for the rows of all ``parts``, which have the same columns: each is written
+    before the next is asked for. With zstd, as all of them lie there together."""
+    uri, schema = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", None
+    for part in parts:
+        part.write.option("compression", "zstd").mode("append").parquet(uri)
+        schema = part.schema
+    if schema is None:
+        raise ValueError("nothing to store")
+    return spark.read.schema(schema).parquet(uri)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """A folder of the job's own that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 # Rows that one task sorts or groups at a time: some 100 MB.
 ROWS_PER_TASK = 250_000
 

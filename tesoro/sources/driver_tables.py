@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesoro.functions.columns import UNIT_COST, money
+from tesoro.functions.storage import remove
 from tesoro.session import ensure_checkpoint_dir
 
 # Fixed values of the mapping: which order priorities count as inflows,
@@ -163,20 +164,38 @@ def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], ["value"])
 
 
-def invoice_arrays(spark: SparkSession, sf_dir: str) -> str:
-    """``lineitem`` as JSON-array files of many invoices each, written to the shared folder: its path."""
-    files = feed_files(spark, sf_dir)["transactions"]
-    records = files.select(F.expr("substring(value, 2, length(value) - 2)").alias("value"))  # both copies, without brackets
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/invoices-{uuid4().hex}"
-    records.mapInArrow(_as_arrays, "value string").write.text(path)
-    return path
+# The invoices of a line item take some 460 bytes as text, many times what it takes in its table. So they are
+# there for an eighth of the table at a time, or for six million line items (3 GB) where that is more: each part
+# reads the table anew, and one of few ranges leaves cores idle.
+INVOICE_PARTS, ROWS_PER_INVOICE_PART = 8, 6_000_000
 
 
-def feed_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def invoice_arrays(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """``lineitem`` as JSON-array files of many invoices each in the shared folder: the path of each part of
+    the table. A part is written when it is asked for, and removed when the next one is."""
+    rows = read_table(spark, sf_dir, "lineitem").count()  # from the files' footers
+    parts = max(1, min(INVOICE_PARTS, -(-rows // ROWS_PER_INVOICE_PART)))
+    for part in range(parts):
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/invoices-{uuid4().hex}"
+        files = feed_files(spark, sf_dir, part, parts)["transactions"]
+        records = files.select(F.expr("substring(value, 2, length(value) - 2)").alias("value"))  # both copies, without brackets
+        try:
+            records.mapInArrow(_as_arrays, "value string").write.text(path)
+            yield path
+        finally:
+            remove(spark, path)
+
+
+def _part_of(table: DataFrame, part: int, parts: int) -> DataFrame:
+    """The rows whose place in their file is ``part`` modulo ``parts``, whatever tasks read them."""
+    return table.where(F.col("_metadata.row_index") % parts == part) if parts > 1 else table
+
+
+def feed_files(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1) -> dict[str, DataFrame]:
     """The whole tables as JSON feed files ``(_source_file, value)`` by kind: one file for
     each line item (an invoice that is there twice, and an inventory snapshot) and for
-    each order (a cash-flow record)."""
-    li, orders = (_over_all_cores(read_table(spark, sf_dir, t).select(*columns)) for t, columns in (
+    each order (a cash-flow record). By default the one part is all of them."""
+    li, orders = (_over_all_cores(_part_of(read_table(spark, sf_dir, t), part, parts).select(*columns)) for t, columns in (
         ("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag",
                       "l_quantity", "l_discount")),
         ("orders", ("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice"))))

@@ -16,6 +16,8 @@ a known path is loaded whole; a file that does not parse is a counted reject.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ from tesoro import schemas
 from tesoro.functions.columns import deterministic_id
 from tesoro.functions.joins import bounded_broadcast
 from tesoro.functions.storage import dealt, stored
-from tesoro.sources.json_array import read_array
+from tesoro.sources.json_array import read_arrays
 
 FEED_SCHEMAS = {
     "transactions": schemas.RAW_TRANSACTION,
@@ -55,16 +57,18 @@ def parse_feed_files(files: DataFrame, kind: str, batch_id: str | None = None) -
     return parsed.select("_source_file", "_pos", "batch_id", "r.*")
 
 
-def read_feed(spark: SparkSession, path: str, kind: str, batch_id: str | None = None, split: bool = False) -> DataFrame:
+def read_feed(spark: SparkSession, path: str | Iterable[str], kind: str, batch_id: str | None = None,
+              split: bool = False) -> DataFrame:
     """Records of one feed kind with ``_source_file``, ``_pos`` and ``batch_id``.
 
     ``path`` may be a file, a directory or a glob. Each file is one task, and its text
     and records must fit in that task's memory; with ``split`` a file is read by many tasks
-    (``json_array.read_array``), where a record that does not parse is a reject of its own.
+    (``json_array.read_array``), where a record that does not parse is a reject of its own,
+    and ``path`` may be several that are read in turn (``json_array.read_arrays``).
     The two name a file's content differently: name the batch, or stay with one of them.
     """
     if split:
-        return read_array(spark, path, FEED_SCHEMAS[kind], batch_id)
+        return read_arrays(spark, [path] if isinstance(path, str) else path, FEED_SCHEMAS[kind], batch_id)
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_source_file"), "value")
     return parse_feed_files(files, kind, batch_id)

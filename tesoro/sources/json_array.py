@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesoro.functions.storage import stored
+from tesoro.functions.storage import stored_in_turn
 
 # Ranges of one reading: 25 TB of the default 128 MB.
 MAX_RANGES = 200_000
@@ -234,6 +234,26 @@ def read_array(spark: SparkSession, path: str, record: T.StructType, batch_id: s
     has no row. A record must fit in a task's memory, a file need not. A failed or lost task is
     run again; if the ranges differ between the two readings (other settings), it raises.
     """
+    return read_arrays(spark, [path], record, batch_id)
+
+
+def read_arrays(spark: SparkSession, paths: Iterable[str], record: T.StructType, batch_id: str | None = None) -> DataFrame:
+    """As :func:`read_array` for the files of several paths. What was read of a path is stored before the
+    next one is asked for, so an iterator may write the files of a path and remove them afterwards."""
+    found = stored_in_turn(spark, (_found(spark, path, record, batch_id) for path in paths), "json-array")
+    crossing = (found.where(~F.col("whole")).groupBy("file", "content", "position")
+                .agg(F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts"))
+                .select("file", "content", "position", F.array_join(F.transform(
+                    "parts", lambda p: p["part"].cast("string")), "").alias("text"))
+                .select("file", "content", "position", F.from_json("text", record).alias("record")))
+    whole = found.where("whole").select("file", "content", "position", "record")
+    batch = F.lit(batch_id) if batch_id is not None else F.col("content")
+    return whole.unionByName(crossing).select(
+        F.col("file").alias("_source_file"), F.col("position").alias("_pos"), batch.alias("batch_id"), "record.*")
+
+
+def _found(spark: SparkSession, path: str, record: T.StructType, batch_id: str | None) -> DataFrame:
+    """The whole records, parsed, and the pieces of those that cross the ends of ranges, of one path's files."""
     pieces = _pieces(spark, path)
     summaries = _summaries(pieces, batch_id is None).collect()  # a small row for each range
     if len(summaries) > MAX_RANGES:
@@ -268,15 +288,6 @@ def read_array(spark: SparkSession, path: str, record: T.StructType, batch_id: s
 
     found = pieces.mapInArrow(run, "file string, start long, content string, position long, whole boolean, text binary")
     parsed = F.from_json(F.col("text").cast("string"), record)
-    found = stored(found.select("file", "start", "content", "position", "whole",
-                                F.when(F.col("whole"), parsed).alias("record"),
-                                F.when(~F.col("whole"), F.col("text")).alias("part")), "json-array")
-    crossing = (found.where(~F.col("whole")).groupBy("file", "content", "position")
-                .agg(F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts"))
-                .select("file", "content", "position", F.array_join(F.transform(
-                    "parts", lambda p: p["part"].cast("string")), "").alias("text"))
-                .select("file", "content", "position", F.from_json("text", record).alias("record")))
-    whole = found.where("whole").select("file", "content", "position", "record")
-    batch = F.lit(batch_id) if batch_id is not None else F.col("content")
-    return whole.unionByName(crossing).select(
-        F.col("file").alias("_source_file"), F.col("position").alias("_pos"), batch.alias("batch_id"), "record.*")
+    return found.select("file", "start", "content", "position", "whole",
+                        F.when(F.col("whole"), parsed).alias("record"),
+                        F.when(~F.col("whole"), F.col("text")).alias("part"))

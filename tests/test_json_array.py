@@ -1,6 +1,9 @@
 import datetime as dt
+import glob
 import json
 import random
+from collections import Counter
+from decimal import Decimal
 
 import pyarrow as pa
 import pytest
@@ -8,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import rows
-from tesoro.sources import feed, json_array
+from tesoro.plans import catalog
+from tesoro.session import ensure_checkpoint_dir
+from tesoro.sources import driver_tables, feed, json_array
 from tesoro.sources.json_array import read_array
 from test_feed_quality import write_feed
 
@@ -117,3 +122,71 @@ def test_records_are_cut_by_whole_batches():
     positions, whole, texts = got[0]
     assert positions.tolist() == list(range(n)) and whole
     assert [json.loads(t)["id"] for t in texts.to_pylist()] == list(range(n))
+
+
+def test_files_may_be_gone_after_their_turn(spark, tmp_path, small_ranges):
+    """Each path is written when it is asked for and removed after; rows and content are those of one reading of both."""
+    held = [records(600, seed) for seed in (3, 4)]
+    files = [tmp_path / "a.json", tmp_path / "b.json"]
+
+    def written():
+        for file, some in zip(files, held):
+            assert not any(f.exists() for f in files)
+            file.write_text(json.dumps(some))
+            yield str(file)
+            file.unlink()
+
+    got = json_array.read_arrays(spark, written(), RECORD)
+    assert not any(f.exists() for f in files)
+    of = {r["_source_file"].rsplit("/", 1)[1]: r["batch_id"] for r in got.select("_source_file", "batch_id").distinct().collect()}
+    for file, some in zip(files, held):
+        assert found(got.where(F.col("_source_file").endswith(file.name))) == wanted(some)
+        file.write_text(json.dumps(some))
+    at_once = read_array(spark, str(tmp_path / "*.json"), RECORD)
+    assert of == {r["_source_file"].rsplit("/", 1)[1]: r["batch_id"] for r in at_once.select("_source_file", "batch_id").distinct().collect()}
+
+
+def line_items(spark, path, n, files=3):
+    """``n`` rows, the last one twice, in several files; one supplier is null."""
+    day = dt.datetime(2024, 1, 1)
+    items = [(i, i % 7 + 1, 10 * i, None if i == 5 else i % 13, i + 0.25, day + dt.timedelta(days=i % 400), "ANR"[i % 3], float(i % 50), 0.1)
+             for i in [*range(n - 1), n - 2]]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double,"
+                                 "l_shipdate timestamp, l_returnflag string, l_quantity double, l_discount double"
+                          ).repartition(files).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1, "1-URGENT", day, 5.0)], "o_orderkey long, o_custkey long, o_orderpriority string,"
+                          "o_orderdate timestamp, o_totalprice double").write.parquet(f"{path}/orders.parquet")
+    return Counter((f"{i:012}-{line:04}-{part:012}-{round(price * 100):014}", None if supplier is None else f"S{supplier:011}",
+                    date.date(), Decimal(quantity).quantize(Decimal("0.01")), flag, f"line {line}")
+                   for i, line, part, supplier, price, date, flag, quantity, _ in items for _copy in range(2))
+
+
+def test_invoices_lie_on_the_disk_in_parts(spark, tmp_path, monkeypatch):
+    wanted_rows = line_items(spark, tmp_path, 450)
+    there = lambda: set(glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/invoices-*"))
+    before = there()
+    monkeypatch.setattr(driver_tables, "ROWS_PER_INVOICE_PART", 100)
+    parts = []
+    for path in driver_tables.invoice_arrays(spark, str(tmp_path)):
+        assert len(there() - before) == 1                       # the part before is gone
+        parts.append([r["uuid"] for f in glob.glob(f"{path.removeprefix('file:')}/part-*") for r in json.load(open(f))])
+    assert there() == before
+    assert len(parts) == 5 and max(map(len, parts)) <= 2 * (450 // 5 + 3)
+    assert Counter(u for some in parts for u in some) == Counter(r[0] for r in wanted_rows.elements())
+
+    got = catalog.s1_split_feed(spark, str(tmp_path))
+    assert there() == before                                    # nor does the result need them
+    assert Counter(map(tuple, got.select("source_doc_ref", "entity_rfc", "date", "amount", "category_name", "description").collect())) == wanted_rows
+
+
+def test_number_of_invoice_parts(spark, tmp_path, monkeypatch):
+    """One for a small table, a fixed number for a large one: reading the table anew for each stays linear."""
+    line_items(spark, tmp_path, 60)
+    seen = []
+    monkeypatch.setattr(driver_tables, "feed_files", lambda spark, sf_dir, part, parts: seen.append((part, parts)) or {
+        "transactions": spark.createDataFrame([("f", "[{},{}]")], "_source_file string, value string")})
+    for rows_each, parts in ((60, 1), (59, 2), (1, driver_tables.INVOICE_PARTS)):
+        monkeypatch.setattr(driver_tables, "ROWS_PER_INVOICE_PART", rows_each)
+        seen.clear()
+        assert len(list(driver_tables.invoice_arrays(spark, str(tmp_path)))) == parts
+        assert seen == [(i, parts) for i in range(parts)]
